@@ -23,6 +23,30 @@ def op1_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"), 1)
 
 
+def op3_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import classify
+
+    return classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprints import fingerprint_edits
+
+    return fingerprint_edits(documents(spark, sf_dir))
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), 2)
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find_pii
+
+    return find_pii(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 

@@ -15,15 +15,20 @@ _PIECES = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 _LOADED: dict[tuple[str, int], "PieceEncoder"] = {}
 
 
+#: A word and the punctuation after it, which every tokenizer here cuts apart. Latin-1 letters only: all are letters to both sides.
+_STEM = re.compile(r"( ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,;:!?]*)")
+
+
 class PieceEncoder:
     """ids of texts, equal to Tokenizer.encode_batch(texts, add_special_tokens=False) with special strings as plain text.
 
     A text is cut at white space where the tokenizer's own pattern always cuts, each distinct piece is encoded once by the
-    library (many to a call, with a special token between them) and kept in a memo of at most `most` pieces; pieces beyond
-    that are encoded anew in each batch. Other pre-tokenizers, and texts with unusual characters, are encoded directly.
+    library and kept in a memo of at most `most` pieces; pieces beyond that are encoded anew in each batch. New plain words go
+    to the library many to a call, and their ids are told apart by the marks that begin or end a word in the vocabulary.
+    Other pre-tokenizers, and texts with unusual characters, are encoded directly.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
@@ -32,27 +37,52 @@ class PieceEncoder:
         self.tok.encode_special_tokens = True
         self.vocab_size = self.tok.get_vocab_size(with_added_tokens=True)
         self.most, self.memo = most, {}
-        marks = [t for t in spec.get("added_tokens", []) if t["special"] and not t["normalized"] and not t["lstrip"] and not t["rstrip"]]
         pre, norm = json.dumps(spec.get("pre_tokenizer")), json.dumps(spec.get("normalizer"))
-        self.kind = None
-        if marks and '"use_regex": true' in pre and '"add_prefix_space": false' in pre and norm == "null":
+        self.kind, ending = None, spec["model"].get("end_of_word_suffix")
+        if '"use_regex": true' in pre and '"add_prefix_space": false' in pre and norm == "null":
             self.kind = "bytes"
-        elif marks and '"behavior": "Removed"' in pre and "Lowercase" in norm and "NFC" in norm:
+        elif '"behavior": "Removed"' in pre and "Lowercase" in norm and "NFC" in norm and ending:
             self.kind = "words"
-        if self.kind:
-            self.mark, self.mark_id = marks[0]["content"], marks[0]["id"]
-            self.joined = Tokenizer.from_file(path)
+        self.edge = np.zeros(self.vocab_size, bool)
+        for t, i in spec["model"]["vocab"].items():
+            self.edge[i] = t.endswith(ending) if self.kind == "words" else t.startswith("\u0120")
 
-    def _encode_new(self, pieces: list[str], step: int = 10_000) -> dict[str, bytes]:
+    def _plain(self, words: list[str], step: int = 5_000) -> dict[str, bytes]:
+        """ids of words of letters (with a space before them, in the bytes kind), encoded many to a call."""
         out: dict[str, bytes] = {}
-        for i in range(0, len(pieces), step):
-            part = pieces[i : i + step]
-            ids = np.array(self.joined.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0].ids, "<u4")
-            cut = np.flatnonzero(ids == self.mark_id)
+        for i in range(0, len(words), step):
+            part = words[i : i + step]
+            ids = np.array(self.tok.encode_batch_fast([(" " if self.kind == "words" else "").join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cut = np.flatnonzero(self.edge[ids]) + (self.kind == "words")
+            bounds = [0, *(cut * 4).tolist()] if self.kind == "words" else [*(cut * 4).tolist(), 4 * len(ids)]
+            if len(bounds) != len(part) + 1 or bounds[0]:
+                out |= self._single(part)
+                continue
             raw = ids.tobytes()
-            out.update(zip(part, map(raw.__getitem__, map(slice, [0, *((cut + 1) * 4).tolist()], [*(cut * 4).tolist(), len(raw)])), strict=True))
+            out.update(zip(part, map(raw.__getitem__, map(slice, bounds[:-1], bounds[1:])), strict=True))
         return out
 
+    def _single(self, pieces: list[str]) -> dict[str, bytes]:
+        return {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(pieces, self.tok.encode_batch_fast(pieces, add_special_tokens=False), strict=True)}
+
+    def _encode_new(self, pieces: list[str]) -> dict[str, bytes]:
+        memo, parts, stems, rest = self.memo, {}, {}, {}
+        for p in pieces:
+            m = _STEM.fullmatch(p)
+            if m and (self.kind == "words" or p[0] == " "):
+                parts[p] = a, b = m.groups()
+                if a not in memo:
+                    stems[a] = None
+                if b and b not in memo:
+                    rest[b] = None
+            else:
+                rest[p] = None
+        got = self._plain(list(stems)) | self._single(list(rest))
+        for p, (a, b) in parts.items():
+            if b:
+                got[p] = (got[a] if a in got else memo[a]) + (got[b] if b in got else memo[b])
+        return got
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, as bytes; null: none."""
         cut: list[list[str] | None] = []
@@ -68,7 +98,7 @@ class PieceEncoder:
         memo = self.memo
         new = self._encode_new(list({w: None for ws in cut if ws for w in ws if w not in memo}))
         if len(memo) + len(new) <= self.most:
-            memo.update(new)
+            memo |= new
             new = {}
         out: list[bytes] = []
         for ws in cut:
@@ -84,7 +114,7 @@ class PieceEncoder:
         return out
 
 
-def encoder(path: str, most: int = 500_000) -> PieceEncoder:
+def encoder(path: str, most: int = 600_000) -> PieceEncoder:
     """One encoder for each worker process and vocabulary file."""
     if (path, most) not in _LOADED:
         _LOADED[path, most] = PieceEncoder(path, most)

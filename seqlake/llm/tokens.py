@@ -4,124 +4,209 @@ from __future__ import annotations
 
 import json
 import os
-import re
-import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+
+from .common import U64, span_hash, text_slices
 
-#: Texts with such characters (rare spaces, controls, context-dependent lower case, special-token marks) skip the memo.
-_ODD = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x9f\u0130\u03a3\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]|<\\|")
-_PIECES = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 _LOADED: dict[tuple[str, int], "PieceEncoder"] = {}
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_ASCII_LETTER = np.zeros(256, bool)
+_ASCII_LETTER[65:91] = _ASCII_LETTER[97:123] = True
+_PUNCT = np.zeros(256, bool)
+_PUNCT[33:127] = True
+_PUNCT[48:58] = _PUNCT[65:91] = _PUNCT[97:123] = False
+
 
-#: A word and the punctuation after it, which every tokenizer here cuts apart. Latin-1 letters only: all are letters to both sides.
-_STEM = re.compile(r"( ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,;:!?]*)")
+def letters(d: np.ndarray) -> np.ndarray:
+    """Bytes of ASCII letters and of the Latin-1 letters (C3 80-BF but for the signs C3 97 and C3 B7)."""
+    out = _ASCII_LETTER[d]
+    lead = np.flatnonzero(d[:-1] == 0xC3)
+    lead = lead[(d[lead + 1] != 0x97) & (d[lead + 1] != 0xB7)]
+    out[lead] = out[lead + 1] = True
+    return out
 
 
 class PieceEncoder:
     """ids of texts, equal to Tokenizer.encode_batch(texts, add_special_tokens=False) with special strings as plain text.
 
-    A text is cut at white space where the tokenizer's own pattern always cuts, each distinct piece is encoded once by the
-    library and kept in a memo of at most `most` pieces; pieces beyond that are encoded anew in each batch. New plain words go
-    to the library many to a call, and their ids are told apart by the marks that begin or end a word in the vocabulary.
-    Other pre-tokenizers, and texts with unusual characters, are encoded directly.
+    Texts are cut, in their UTF-8 bytes, where the tokenizer's own pattern always cuts: at ASCII white space, and between a
+    certain letter and ASCII punctuation (not after an apostrophe, which may begin a contraction). Each distinct piece is
+    encoded once by the library and kept, under its 64-bit hash, in a memo of at most `most` pieces; pieces beyond that are
+    encoded anew in each batch. New words of letters go to the library many to a call, and their ids are told apart by the
+    marks that begin or end a word in the vocabulary. Tokenizers of other kinds encode every text directly.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 3_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         spec = json.load(open(path, encoding="utf-8"))
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.vocab_size = self.tok.get_vocab_size(with_added_tokens=True)
-        self.most, self.memo = most, {}
         pre, norm = json.dumps(spec.get("pre_tokenizer")), json.dumps(spec.get("normalizer"))
         self.kind, ending = None, spec["model"].get("end_of_word_suffix")
         if '"use_regex": true' in pre and '"add_prefix_space": false' in pre and norm == "null":
             self.kind = "bytes"
         elif '"behavior": "Removed"' in pre and "Lowercase" in norm and "NFC" in norm and ending:
             self.kind = "words"
+        # plain words in lower case pass the normaliser unchanged, and the pattern cuts them at the spaces alone
+        self.usual = self.tok.normalizer, self.tok.pre_tokenizer
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.lean = (normalizers.Sequence([]), pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), level])) if self.kind == "words" else None
         self.edge = np.zeros(self.vocab_size, bool)
         for t, i in spec["model"]["vocab"].items():
-            self.edge[i] = t.endswith(ending) if self.kind == "words" else t.startswith("\u0120")
-
-    def _plain(self, words: list[str], step: int = 5_000) -> dict[str, bytes]:
-        """ids of words of letters (with a space before them, in the bytes kind), encoded many to a call."""
-        out: dict[str, bytes] = {}
+            self.edge[i] = t.endswith(ending) if self.kind == "words" else t.startswith("Ġ")
+        # the memo: ascending hashes, and where the ids of each lie in the store
+        self.most = most
+        self.hash, self.at, self.size = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.store, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    # ------------------------------------------------------------ cutting
+    def _pieces(self, d: np.ndarray, starts: np.ndarray, letter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, end) of the pieces of the documents that begin at `starts`, in bytes."""
+        n = len(d)
+        space, punct = _SPACE[d], _PUNCT[d]
+        begin = np.zeros(n, bool)
+        begin[1:] = (letter[:-1] & punct[1:]) | (punct[:-1] & letter[1:] & (d[:-1] != 39))
+        first = np.zeros(n + 1, bool)
+        first[starts] = True
+        first = first[:n]
+        if self.kind == "words":
+            begin[1:] |= space[:-1] & ~space[1:]
+            begin |= first
+            begin &= ~space
+            at = np.flatnonzero(begin)
+            stop = space.copy()
+            stop |= begin
+            stop |= first
+            ends = np.flatnonzero(stop[1:]) + 1  # candidates: the next stop after a start
+            return at, np.append(ends, n)[np.searchsorted(ends, at, side="right")]
+        last = np.zeros(n, bool)  # last of a run of spaces that a word follows in the same document
+        last[:-1] = space[:-1] & ~space[1:] & ~first[1:]
+        begin[1:] |= (space[1:] & ~space[:-1]) | (~space[1:] & space[:-1] & (d[:-1] != 32))
+        # other characters beyond ASCII may be spaces too: no cut beside them
+        glue = (d >= 128) & ~letter
+        last[:-1] &= ~glue[1:]
+        begin |= last
+        begin[1:] &= ~(glue[1:] | glue[:-1])
+        begin |= first
+        at = np.flatnonzero(begin)
+        return at, np.append(at[1:], n)
+
+    # ------------------------------------------------------------ new pieces
+    def _joined(self, words: list[str], step: int = 5_000) -> list[np.ndarray]:
+        out: list[np.ndarray] = []
         for i in range(0, len(words), step):
             part = words[i : i + step]
-            ids = np.array(self.tok.encode_batch_fast([(" " if self.kind == "words" else "").join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.tok.encode_batch_fast([(" " if self.kind == "words" else "").join(part)], add_special_tokens=False)[0].ids, np.uint32)
             cut = np.flatnonzero(self.edge[ids]) + (self.kind == "words")
-            bounds = [0, *(cut * 4).tolist()] if self.kind == "words" else [*(cut * 4).tolist(), 4 * len(ids)]
-            if len(bounds) != len(part) + 1 or bounds[0]:
-                out |= self._single(part)
-                continue
-            raw = ids.tobytes()
-            out.update(zip(part, map(raw.__getitem__, map(slice, bounds[:-1], bounds[1:])), strict=True))
+            if len(cut) == len(part) and (cut[-1] == len(ids) if self.kind == "words" else cut[0] == 0):
+                bounds = [0, *cut.tolist()] if self.kind == "words" else [*cut.tolist(), len(ids)]
+                out += [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            else:
+                out += self._single(part)
         return out
 
-    def _single(self, pieces: list[str]) -> dict[str, bytes]:
-        return {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(pieces, self.tok.encode_batch_fast(pieces, add_special_tokens=False), strict=True)}
-
-    def _encode_new(self, pieces: list[str]) -> dict[str, bytes]:
-        memo, parts, stems, rest = self.memo, {}, {}, {}
-        for p in pieces:
-            m = _STEM.fullmatch(p)
-            if m and (self.kind == "words" or p[0] == " "):
-                parts[p] = a, b = m.groups()
-                if a not in memo:
-                    stems[a] = None
-                if b and b not in memo:
-                    rest[b] = None
-            else:
-                rest[p] = None
-        got = self._plain(list(stems)) | self._single(list(rest))
-        for p, (a, b) in parts.items():
-            if b:
-                got[p] = (got[a] if a in got else memo[a]) + (got[b] if b in got else memo[b])
-        return got
+    def _single(self, pieces: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _encode_new(self, pieces: list[str], plain: np.ndarray) -> list[np.ndarray]:
+        out: list[np.ndarray | None] = [None] * len(pieces)
+        for which, f in ((np.flatnonzero(plain).tolist(), self._joined), (np.flatnonzero(~plain).tolist(), self._single)):
+            if which:
+                if self.lean and f == self._joined:
+                    self.tok.normalizer, self.tok.pre_tokenizer = self.lean
+                try:
+                    got = f([pieces[i] for i in which])
+                finally:
+                    if self.lean:
+                        self.tok.normalizer, self.tok.pre_tokenizer = self.usual
+                for i, x in zip(which, got, strict=True):
+                    out[i] = x
+        return out
+
+    def _keep(self, h: np.ndarray, got: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Put new pieces' ids in the store, and their (ascending) hashes in the memo while it has room."""
+        size = np.array([len(x) for x in got], np.int64)
+        total = int(size.sum())
+        if self.used + total > len(self.store):
+            self.store = np.concatenate((self.store[: self.used], np.empty(self.used + total + (1 << 16), np.uint32)))
+        at = self.used + np.cumsum(size) - size
+        self.store[self.used : self.used + total] = np.concatenate(got)
+        if len(self.hash) + len(h) <= self.most:
+            to = np.searchsorted(self.hash, h)
+            self.hash, self.at, self.size = np.insert(self.hash, to, h), np.insert(self.at, to, at), np.insert(self.size, to, size)
+            self.used += total
+        return at, size
+
+    # ------------------------------------------------------------ whole texts
+    def arrays(self, text: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For slices of a string column: (first row, ids of all its texts, offsets of each text's ids); null: none."""
+        for first, part in text_slices(text):
+            yield (first, *self._slice(part))
+
+    def _slice(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if self.kind is None:
+            got = [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast([t or "" for t in text.to_pylist()], add_special_tokens=False)]
+            return np.concatenate(got), np.concatenate(([0], np.cumsum([len(x) for x in got])))
+        text = text.cast(pa.large_string()).fill_null("")
+        n = len(text)
+        off = np.frombuffer(text.buffers()[1], np.int64, n + 1, text.offset * 8)
+        lo, hi = int(off[0]), int(off[-1])
+        if lo == hi:
+            return np.zeros(0, np.uint32), np.zeros(n + 1, np.int64)
+        d, off = np.frombuffer(text.buffers()[2], np.uint8, hi - lo, lo), off - lo
+        if self.kind == "words":
+            d = d + ((d >= 65) & (d <= 90)).astype(np.uint8) * np.uint8(32)
+        letter = letters(d)
+        at, end = self._pieces(d, off[:-1], letter)
+        h, where, back = np.unique(span_hash(d, at, end), return_index=True, return_inverse=True)
+        i = np.searchsorted(self.hash, h)
+        known = i < len(self.hash)
+        known[known] = self.hash[i[known]] == h[known]
+        start, size = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+        start[known], size[known] = self.at[i[known]], self.size[i[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            raw, a, b = d.tobytes(), at[where[new]], end[where[new]]
+            ok = np.concatenate(([0], np.cumsum(letter)))
+            head = (d[a] == 32).astype(np.int64) if self.kind == "bytes" else np.zeros(len(a), np.int64)
+            # bytes: without a space before it, a word would run into the one before
+            plain = (ok[b] - ok[a] + head == b - a) & ((head == 1) & (b - a > 1) if self.kind == "bytes" else True)
+            if self.kind == "words":  # capitals beyond ASCII go through the normaliser
+                caps = np.zeros(len(d), bool)
+                caps[1:] = (d[:-1] == 0xC3) & (d[1:] < 0x9F)
+                caps = np.concatenate(([0], np.cumsum(caps)))
+                plain &= caps[b] == caps[a]
+            got = self._encode_new([raw[x:y].decode() for x, y in zip(a.tolist(), b.tolist(), strict=True)], plain)
+            start[new], size[new] = self._keep(h[new], got)
+        start, size = start[back], size[back]
+        to = np.concatenate(([0], np.cumsum(size)))
+        ids = self.store[np.repeat(start - to[:-1], size) + np.arange(to[-1])]
+        return ids, to[np.searchsorted(at, off)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, as bytes; null: none."""
-        cut: list[list[str] | None] = []
-        direct: list[int] = []
-        for i, t in enumerate(texts):
-            if not t:
-                cut.append([])
-            elif self.kind is None or _ODD.search(t) or (self.kind == "words" and not (t.isascii() or unicodedata.is_normalized("NFC", t))):
-                cut.append(None)
-                direct.append(i)
-            else:
-                cut.append(t.lower().split() if self.kind == "words" else _PIECES.findall(t))
-        memo = self.memo
-        new = self._encode_new(list({w: None for ws in cut if ws for w in ws if w not in memo}))
-        if len(memo) + len(new) <= self.most:
-            memo |= new
-            new = {}
         out: list[bytes] = []
-        for ws in cut:
-            if ws is None:
-                out.append(b"")
-            elif new:
-                out.append(b"".join([memo[w] if w in memo else new[w] for w in ws]))
-            else:
-                out.append(b"".join([memo[w] for w in ws]))
-        if direct:
-            for i, e in zip(direct, self.tok.encode_batch_fast([texts[i] for i in direct], add_special_tokens=False), strict=True):
-                out[i] = np.array(e.ids, "<u4").tobytes()
+        for _, ids, off in self.arrays(pa.array(texts, pa.string())):
+            out += [ids[a:b].astype("<u4").tobytes() for a, b in zip(off[:-1], off[1:], strict=True)]
         return out
 
 
-def encoder(path: str, most: int = 600_000) -> PieceEncoder:
+def encoder(path: str, most: int = 3_000_000) -> PieceEncoder:
     """One encoder for each worker process and vocabulary file."""
     if (path, most) not in _LOADED:
         _LOADED[path, most] = PieceEncoder(path, most)
     return _LOADED[path, most]
 
 
-def batches(texts: list, most_chars: int = 1 << 20):
+def batches(texts: list, most_chars: int = 4 << 20):
     """(start, end) ranges of texts with about most_chars characters in each."""
     a = size = 0
     for i, t in enumerate(texts):

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import staged
-from .tokens import batches, encoder
+from .tokens import encoder
 
 #: A set of equal sequences: how many, and the (length, how many) in each.
 Pattern = tuple[int, list[tuple[int, int]]]
@@ -172,13 +172,13 @@ def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, key:
 
         task, seen, enc = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), encoder(tokenizer)
         for b in it:
-            texts, keys = b.column("text").to_pylist(), b.column("key").to_pylist()
-            for lo, hi in batches(texts):
-                rows = []
-                for k, x in zip(keys[lo:hi], enc.encode(texts[lo:hi]), strict=True):
-                    x += end
-                    for i, (a, n) in enumerate(cut(len(x) // 4, capacity)):
-                        rows.append((k, i, a, n, zlib.crc32(x[4 * a : 4 * (a + n)]), int(seen[n])))
+            keys = b.column("key").to_pylist()
+            for first, ids, off in enc.arrays(b.column("text")):
+                raw, ends, rows = ids.astype("<u4").tobytes(), off.tolist(), []
+                for j, (x, y) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+                    own = raw[4 * x : 4 * y] + end
+                    for i, (a, n) in enumerate(cut(y - x + 1, capacity)):
+                        rows.append((keys[first + j], i, a, n, zlib.crc32(own[4 * a : 4 * (a + n)]), int(seen[n])))
                         seen[n] += 1
                 c = list(zip(*rows, strict=True))
                 yield pa.record_batch({"key": pa.array(c[0], pa.int64()), "piece": pa.array(c[1], pa.int32()), "start": pa.array(c[2], pa.int64()), "length": pa.array(c[3], pa.int64()), "ids_crc32": pa.array(c[4], pa.int64()), "task": pa.array(np.full(len(rows), task), pa.int64()), "rank": pa.array(c[5], pa.int64())})

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bucket_of, key_bounds, n_parts, open_fs, scratch
-from .tokens import batches, encoder
+from .tokens import encoder
 
 MAGIC = b"SLTOKEN1"
 FOOTER = struct.Struct("<QQ8s")
@@ -102,8 +102,7 @@ def train_dictionary(docs: DataFrame, text: str, key: str, path: str, sample: in
 
     def ids(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            texts = b.column(0).to_pylist()
-            yield pa.record_batch({"ids": pa.array([serialise(x, width)[: 1 << 16] for lo, hi in batches(texts) for x in encoder(path).encode(texts[lo:hi])], pa.binary())})
+            yield pa.record_batch({"ids": pa.array([serialise(x, width)[: 1 << 16] for x in encoder(path).encode(b.column(0).to_pylist())], pa.binary())})
 
     got = [r.ids for r in picked.mapInArrow(ids, "ids binary").collect() if r.ids]
     if len(got) < 16:
@@ -137,12 +136,14 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, key:
         width = 2 if max(enc.vocab_size, end_id + 1) <= 1 << 16 else 4
         z = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(dictionary), write_checksum=False) if dictionary else zstandard.ZstdCompressor(level=level)
         for b in it:
-            texts = b.column("text").to_pylist()
             keys = b.column("key")
             at = np.searchsorted(bounds, keys.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), side="left").astype(np.int32)
-            for lo, hi in batches(texts):
-                ids = [x + end for x in enc.encode(texts[lo:hi])]
-                yield pa.record_batch({"bucket": pa.array(at[lo:hi]), "key": keys.slice(lo, hi - lo), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "frame": pa.array([z.compress(serialise(x, width)) for x in ids], pa.binary())})
+            for lo, ids, off in enc.arrays(b.column("text")):
+                raw = ids.astype("<u2" if width == 2 else "<u4").tobytes()
+                n = len(off) - 1
+                ends = (off * width).tolist()
+                frames = [z.compress(raw[x:y] + end[:width]) for x, y in zip(ends[:-1], ends[1:], strict=True)]
+                yield pa.record_batch({"bucket": pa.array(at[lo : lo + n]), "key": keys.slice(lo, n), "n_tokens": pa.array(np.diff(off) + 1, pa.int64()), "frame": pa.array(frames, pa.binary())})
 
     def write(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)

@@ -148,7 +148,7 @@ class PieceEncoder:
     # ------------------------------------------------------------ whole texts
     def arrays(self, text: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For slices of a string column: (first row, ids of all its texts, offsets of each text's ids); null: none."""
-        for first, part in text_slices(text):
+        for first, part in text_slices(text, 1 << 20):
             yield (first, *self._slice(part))
 
     def _slice(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -204,16 +204,3 @@ def encoder(path: str, most: int = 3_000_000) -> PieceEncoder:
     if (path, most) not in _LOADED:
         _LOADED[path, most] = PieceEncoder(path, most)
     return _LOADED[path, most]
-
-
-def batches(texts: list, most_chars: int = 4 << 20):
-    """(start, end) ranges of texts with about most_chars characters in each."""
-    a = size = 0
-    for i, t in enumerate(texts):
-        n = len(t) if t else 0
-        if size and size + n > most_chars:
-            yield a, i
-            a, size = i, 0
-        size += n
-    if a < len(texts):
-        yield a, len(texts)

@@ -41,6 +41,12 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), 2)
 
 
+def op8_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import remove_repeats
+
+    return remove_repeats(documents(spark, sf_dir), digest=True)
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dup import near_duplicates
 

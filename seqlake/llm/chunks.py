@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import U64, open_fs, scratch
 
 #: Bytes of Arrow data in a chunk, about; a larger partition becomes several chunks.
-CHUNK_BYTES = 64 << 20
+CHUNK_BYTES = 16 << 20
 
 
 class Chunks:

@@ -35,6 +35,12 @@ def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(documents(spark, sf_dir))
 
 
+def op5_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .katz import lm_scores
+
+    return lm_scores(documents(spark, sf_dir))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 

@@ -184,7 +184,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = 35, digest
                 stay = np.flatnonzero(~lost) + f
                 cut = np.flatnonzero(np.diff(stay) > 1) + 1
                 runs = [r for r in np.split(stay, cut) if len(r)]
-                gap = [b"\n" if b"\n" in raw[w.end[x[-1]] : w.start[y[0]]] else b" " for x, y in zip(runs, runs[1:], strict=False)] + [b""]
+                gap = [b"\n" if b"\n" in raw[w.end[x[-1]] : w.start[y[0]]] else b" " for x, y in zip(runs, runs[1:], strict=False)] + [b""] * bool(runs)
                 texts[i] = b"".join(raw[w.start[r[0]] : w.end[r[-1]]] + g for r, g in zip(runs, gap, strict=True)).decode()
         k = rows.schema.get_field_index(text)
         return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if j == k else rows.column(j) for j in range(rows.num_columns)], schema=rows.schema)

@@ -71,6 +71,13 @@ class PieceEncoder:
     def _pieces(self, d: np.ndarray, starts: np.ndarray, letter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, end) of the pieces of the documents that begin at `starts`, in bytes."""
         n = len(d)
+        if self.kind == "spaces":  # before the first space of a run
+            begin = d == 32
+            begin[1:] &= d[:-1] != 32
+            begin[3:] &= ~((d[:-3] == 0xE2) & (d[1:-2] == 0x96) & (d[2:-1] == 0x81))  # nor after the marker itself
+            begin[starts[starts < n]] = True
+            at = np.flatnonzero(begin)
+            return at, np.append(at[1:], n)
         space, punct = _SPACE[d], _PUNCT[d]
         begin = np.zeros(n, bool)
         begin[1:] = (letter[:-1] & punct[1:]) | (punct[:-1] & letter[1:] & (d[:-1] != 39))
@@ -176,9 +183,9 @@ class PieceEncoder:
         if len(new):
             raw, a, b = d.tobytes(), at[where[new]], end[where[new]]
             ok = np.concatenate(([0], np.cumsum(letter)))
-            head = (d[a] == 32).astype(np.int64) if self.kind == "bytes" else np.zeros(len(a), np.int64)
+            head = (d[a] == 32).astype(np.int64) if self.kind != "words" else np.zeros(len(a), np.int64)
             # bytes: without a space before it, a word would run into the one before
-            plain = (ok[b] - ok[a] + head == b - a) & ((head == 1) & (b - a > 1) if self.kind == "bytes" else True)
+            plain = (ok[b] - ok[a] + head == b - a) & ((head == 1) & (b - a > 1) if self.kind != "words" else True)
             if self.kind == "words":  # capitals beyond ASCII go through the normaliser
                 caps = np.zeros(len(d), bool)
                 caps[1:] = (d[:-1] == 0xC3) & (d[1:] < 0x9F)

@@ -23,6 +23,12 @@ def op1_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"), 1)
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sentencepiece_ids import sentencepiece_ids
+
+    return sentencepiece_ids(documents(spark, sf_dir), tokenizer("piece_bpe_32k.model"))
+
+
 def op3_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import classify
 
@@ -41,6 +47,13 @@ def op5_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(documents(spark, sf_dir))
 
 
+def op6_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chroma import fingerprints, matches, render
+
+    media = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return matches(fingerprints(media, "vec_id", "embedding", render), lambda key: key % 50 == 0)
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 

@@ -6,7 +6,7 @@ members are joined to the smallest one only (a star), so candidates grow with th
 are confirmed on the full sets and joined into components. What a star can miss is then found exactly: in buckets that still
 hold several components, members of different components whose signatures and sizes allow the similarity are compared too,
 in blocks, and confirmed the same way. No bucket, group or candidate list has a cap. A pair at the threshold itself shares no
-band with a probability of about 3e-6.
+band with a probability of about 1e-6.
 
 Defined results: null texts and texts without words have no shingles and are linked with nothing; a text shorter than a
 shingle is one shingle; rows with equal keys are one document; a row with a null key is in the component of its class, or in
@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from .common import U64, Words, discard, mix, n_parts, staged, text_slices, window_hash
 from .components import components
 
-BINS, ROWS = 96, 4
-#: Bins that must agree (of 96) for a pair at similarity 0.8: more than four standard deviations below the mean.
-AGREE = 60
+BINS, ROWS = 270, 6
+#: Bins that must agree for a pair at similarity 0.8: more than four standard deviations below the mean of 216.
+AGREE = 188
 BLOCK = 512
 #: Up to so many candidate keys (8 bytes each) are broadcast to the readers of the texts; beyond, texts are joined by sorting.
 BROADCAST_KEYS = 2_000_000
@@ -53,12 +53,12 @@ def shingle_sets(text: pa.Array, k: int) -> Iterator[np.ndarray]:
 def signature(s: np.ndarray) -> np.ndarray:
     """One-permutation MinHash of a set: for each bin its smallest value; empty bins copy from others (optimal densification)."""
     g = mix(s ^ U64(0x5851F42D4C957F2D))
-    key = np.sort(((g % U64(BINS)) << U64(56)) | (g >> U64(8)))
-    at = np.searchsorted(key, np.arange(BINS, dtype=U64) << U64(56))
+    key = np.sort(((g % U64(BINS)) << U64(55)) | (g >> U64(9)))
+    at = np.searchsorted(key, np.arange(BINS, dtype=U64) << U64(55))
     nxt = np.append(at[1:], len(key))
     full = at < nxt
     out = np.zeros(BINS, U64)
-    out[full] = key[at[full]] & U64((1 << 56) - 1)
+    out[full] = key[at[full]] & U64((1 << 55) - 1)
     empty = np.flatnonzero(~full)
     for most in (16, 1024):
         if not len(empty):
@@ -81,7 +81,7 @@ def bands(sig: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """key, n (shingles), set_id, keys (bucket keys), sig (one byte of each bin) of every row; the last three null without shingles."""
+    """key, n (shingles), set_id, keys (bucket keys), sig (a byte of each bin, then 32 bits of each key) of every row; null without shingles."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -92,7 +92,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                     g = signature(s)
                     ids.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                     keys.append(bands(g))
-                    sigs.append((g & U64(255)).astype(np.uint8).tobytes())
+                    sigs.append((g & U64(255)).astype(np.uint8).tobytes() + keys[-1].astype("<u4").tobytes())
                 else:
                     ids.append(None), keys.append(None), sigs.append(None)
             yield pa.record_batch({"key": b.column("key"), "n": pa.array(n, pa.int64()), "set_id": pa.array(ids, pa.binary()), "keys": pa.array(keys, pa.list_(pa.int64())), "sig": pa.array(sigs, pa.binary())})
@@ -160,13 +160,16 @@ def across(members: DataFrame, reps: DataFrame, label: DataFrame, percent: int)
     left = open_.where("minor").select("bucket", F.col("block").alias("i"), every.alias("j"), F.lit(0).alias("side"), "rep", "comp", "size", "sig")
     right = open_.select("bucket", every.alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"), "rep", "comp", "size", "sig")
 
-    def compare(rows: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def compare(bucket: int, rows: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         side = np.array([r[0] for r in rows])
         rep, comp, size = (np.array([r[c] for r in rows], np.int64) for c in (1, 2, 3))
-        sig = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), BINS)
+        both = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), -1)
+        sig, keys = both[:, :BINS], np.ascontiguousarray(both[:, BINS:]).view("<u4")
+        band = int(np.flatnonzero(keys[0] == np.uint32(bucket & 0xFFFFFFFF))[0])
         y = np.flatnonzero(side == 1)
         for x in np.flatnonzero(side == 0):
             ok = y[(comp[y] != comp[x]) & (100 * np.minimum(size[y], size[x]) >= percent * np.maximum(size[y], size[x]))]
+            ok = ok[~(keys[ok, :band] == keys[x, :band]).any(1)]  # a pair is compared in its first common bucket only
             ok = ok[(sig[ok] == sig[x]).sum(1) >= AGREE]
             if len(ok):
                 yield np.minimum(rep[ok], rep[x]), np.maximum(rep[ok], rep[x])
@@ -175,7 +178,7 @@ def across(members: DataFrame, reps: DataFrame, label: DataFrame, percent: int)
         at, rows = None, []
 
         def flush():
-            pairs = list(compare(rows)) if rows else []
+            pairs = list(compare(at[0], rows)) if rows else []
             if pairs:
                 ab = np.unique(np.stack([np.concatenate(c) for c in zip(*pairs, strict=True)], 1), axis=0)
                 yield pa.record_batch({"a": pa.array(ab[:, 0]), "b": pa.array(ab[:, 1])})

@@ -23,17 +23,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, discard, mix, n_parts, staged, text_slices, window_hash
+from .common import U64, Words, discard, mix, n_parts, stage, staged, text_slices, window_hash
 from .components import components
 
 BINS, ROWS = 270, 6
-#: Bins that must agree for a pair at similarity 0.8: more than four standard deviations below the mean of 216.
-AGREE = 188
+#: Bins of the second signature, which only the comparison across components uses.
+MORE_BINS = 512
+#: Of all 782 bins this many agree at least in a pair at similarity 0.8: four standard deviations below the mean of 626.
+AGREE = 580
 BLOCK = 512
 #: Up to so many candidate keys (8 bytes each) are broadcast to the readers of the texts; beyond, texts are joined by sorting.
 BROADCAST_KEYS = 2_000_000
 
-_TRY = (mix(np.arange(BINS * 1024, dtype=U64) + U64(77)) % U64(BINS)).astype(np.int64).reshape(BINS, 1024)
+_TRY = {n: (mix(np.arange(n * 1024, dtype=U64) + U64(77)) % U64(n)).astype(np.int16).reshape(n, 1024) for n in (BINS, MORE_BINS)}
 
 
 def shingle_sets(text: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -50,22 +52,22 @@ def shingle_sets(text: pa.Array, k: int) -> Iterator[np.ndarray]:
                 yield h[:0]
 
 
-def signature(s: np.ndarray) -> np.ndarray:
+def signature(s: np.ndarray, bins: int = BINS, salt: int = 0x5851F42D4C957F2D) -> np.ndarray:
     """One-permutation MinHash of a set: for each bin its smallest value; empty bins copy from others (optimal densification)."""
-    g = mix(s ^ U64(0x5851F42D4C957F2D))
-    key = np.sort(((g % U64(BINS)) << U64(55)) | (g >> U64(9)))
-    at = np.searchsorted(key, np.arange(BINS, dtype=U64) << U64(55))
+    g = mix(s ^ U64(salt))
+    key = np.sort(((g % U64(bins)) << U64(54)) | (g >> U64(10)))
+    at = np.searchsorted(key, np.arange(bins, dtype=U64) << U64(54))
     nxt = np.append(at[1:], len(key))
     full = at < nxt
-    out = np.zeros(BINS, U64)
-    out[full] = key[at[full]] & U64((1 << 55) - 1)
+    out, tries = np.zeros(bins, U64), _TRY[bins]
+    out[full] = key[at[full]] & U64((1 << 54) - 1)
     empty = np.flatnonzero(~full)
     for most in (16, 1024):
         if not len(empty):
             break
-        hit = full[_TRY[empty, :most]]
+        hit = full[tries[empty, :most]]
         found = hit.any(1)
-        out[empty[found]] = out[_TRY[empty[found], hit[found].argmax(1)]]
+        out[empty[found]] = out[tries[empty[found], hit[found].argmax(1)]]
         empty = empty[~found]
     if len(empty):  # 1024 tries in vain: the first bin that has one
         out[empty] = out[np.flatnonzero(full)[0]]
@@ -148,12 +150,22 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def across(members: DataFrame, reps: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+def across(members: DataFrame, reps: DataFrame, sets: DataFrame, label: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of one bucket and different components that may reach the similarity, by their sizes and signatures."""
     named = members.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "hub", "rep", F.coalesce("label", "rep").alias("comp"))
     main = named.where("rep = hub").select("bucket", F.col("comp").alias("main")).distinct()
     state = named.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("bucket", "n")
-    open_ = named.join(state.join(main, "bucket"), "bucket").join(reps.select("rep", F.col("n").alias("size"), "sig"), "rep")
+    open_ = named.join(state.join(main, "bucket"), "bucket")
+    wanted = open_.select(F.col("rep").alias("key")).distinct()
+
+    def more(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            got = [(signature(np.frombuffer(s, U64), MORE_BINS, 0x2545F4914F6CDD1D) & U64(255)).astype(np.uint8).tobytes() for s in b.column("set").to_pylist()]
+            yield pa.record_batch({"rep": b.column("key"), "more": pa.array(got, pa.binary())})
+
+    second = sets.join(wanted, "key").select("key", "set").mapInArrow(more, "rep long, more binary").groupBy("rep").agg(F.min("more").alias("more"))
+    known = reps.join(second, "rep").select("rep", F.col("n").alias("size"), F.concat("sig", "more").alias("sig"))
+    open_ = open_.join(known, "rep")
     open_ = open_.withColumn("minor", F.col("comp") != F.col("main"))
     open_ = open_.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -164,7 +176,8 @@ def across(members: DataFrame, reps: DataFrame, label: DataFrame, percent: int)
         side = np.array([r[0] for r in rows])
         rep, comp, size = (np.array([r[c] for r in rows], np.int64) for c in (1, 2, 3))
         both = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), -1)
-        sig, keys = both[:, :BINS], np.ascontiguousarray(both[:, BINS:]).view("<u4")
+        end = BINS + 4 * (BINS // ROWS)
+        sig, keys = np.hstack((both[:, :BINS], both[:, end:])), np.ascontiguousarray(both[:, BINS:end]).view("<u4")
         band = int(np.flatnonzero(keys[0] == np.uint32(bucket & 0xFFFFFFFF))[0])
         y = np.flatnonzero(side == 1)
         for x in np.flatnonzero(side == 0):
@@ -210,9 +223,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     sets, at_sets = staged(sets_of(docs, wanted, k), "sets")
     star, at_star = staged(confirmed(members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), sets, percent), "links")
     label = components(star)
-    rest, at_rest = staged(confirmed(across(members, reps, label, percent), sets, percent), "links")
-    if not rest.isEmpty():
-        label = components(star.unionByName(rest))
+    rest, at_rest = staged(confirmed(across(members, reps, sets, label, percent), sets, percent), "links")
+    if not rest.isEmpty():  # components of the few labels that the rest joins
+        named = lambda df, c: df.join(label.select(F.col("node").alias(c), F.col("label").alias("l" + c)), c, "left")
+        few = named(named(rest, "a"), "b").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a <> b")
+        over, at_over = staged(components(few), "labels")
+        ends = star.unionByName(rest).select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        label = ends.join(label, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+        label = stage(label.join(over.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+        discard(spark, at_over)
     for path in (at_reps, at_members, at_sets, at_star, at_rest):
         discard(spark, path)
     named = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("set_id").alias("class"), F.coalesce("label", "rep").alias("comp"))

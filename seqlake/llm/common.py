@@ -170,7 +170,7 @@ def window_hash(h: np.ndarray, k: int) -> np.ndarray:
     return mix((s[k:] - s[:-k]) * cached_powers(MULT_INV, n - k + 1) + U64(k))
 
 
-def text_slices(text: pa.Array, most: int = 4 << 20):
+def text_slices(text: pa.Array, most: int = 1 << 20):
     """(first row, slice) pieces of a string column of about `most` bytes; a longer text is a piece of its own."""
     n = len(text)
     if not n:

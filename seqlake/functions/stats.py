@@ -31,16 +31,6 @@ def nearest(sorted_values: Column, q: float) -> Column:
     return F.element_at(sorted_values, F.bround(F.lit(q) * (F.size(sorted_values) - 1)).cast("int") + 1)
 
 
-def trimmed(values: Column, lo: float, hi: float) -> Column:
-    """The values between two nearest-rank percentiles, both included."""
-    s = F.array_sort(values)
-    return F.filter(s, lambda x: (x >= nearest(s, lo)) & (x <= nearest(s, hi)))
-
-
-def mean_of(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x.cast("double")) / F.size(values)
-
-
 def category(length: Column, leaf: Column, rebuilt: Column, weak: int = 1000, full: int = 3000, weak_leaves: bool = False) -> Column:
     """Node category by its number of k-mers (F17): 0 weak, 1 small, 2 full; o1 and o2 where the node was rebuilt.
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import mean_of, nearest, trimmed, without_singletons
+from ..functions.stats import without_singletons
 
 
 def read_counts(kmers: DataFrame) -> DataFrame:
@@ -97,11 +97,26 @@ def passing(cov: DataFrame, by: str, least: float = 0.7) -> DataFrame:
     return cov.withColumn("top", top).where(F.when(F.col("top") > least, F.col("cov") > least).otherwise(F.lit(True))).drop("top")
 
 
+def trimmed_stats(df: DataFrame, by: str, value: str, lo: float, hi: float) -> DataFrame:
+    """(by, p_lo, p_hi, n, total) of the values between two nearest-rank percentiles, both included.
+
+    Works on how often each value occurs: ranks are running sums over a group's distinct values, so no group is collected."""
+    h = df.where(F.col(value).isNotNull()).groupBy(by, F.col(value).alias("v")).agg(F.count("*").alias("m"))
+    w = Window.partitionBy(by)
+    h = h.withColumn("upto", F.sum("m").over(w.orderBy("v"))).withColumn("all", F.sum("m").over(w))
+    at = lambda q: F.min(F.when(F.col("upto") > F.bround(F.lit(q) * (F.col("all") - 1)), F.col("v"))).over(w)
+    h = h.withColumn("p_lo", at(lo)).withColumn("p_hi", at(hi)).where("v between p_lo and p_hi")
+    return h.groupBy(by).agg(F.first("p_lo").alias("p_lo"), F.first("p_hi").alias("p_hi"), F.sum("m").alias("n"), F.sum(F.col("v") * F.col("m")).alias("total"))
+
+
+def _positive(l2: DataFrame) -> DataFrame:
+    y = without_singletons(F.col("cnt"))
+    return l2.select("strain", F.when(y > 0, y).alias("y"))
+
+
 def dominance(l2: DataFrame, lo: float = 0.05, hi: float = 0.95) -> DataFrame:
     """(strain, score): sum of counts without those outside two percentiles of the strain's positive counts."""
-    y = without_singletons(F.col("cnt"))
-    x = l2.groupBy("strain").agg(F.collect_list(F.when(y > 0, y)).alias("ys"))
-    return x.select("strain", F.aggregate(trimmed(F.col("ys"), lo, hi), F.lit(0).cast("long"), lambda a, v: a + v).alias("score"))
+    return trimmed_stats(_positive(l2), "strain", "y", lo, hi).select("strain", F.col("total").alias("score"))
 
 
 def unexplained(l2: DataFrame, used: DataFrame) -> DataFrame:
@@ -120,18 +135,10 @@ def remaining_coverage(l2: DataFrame, dominant: DataFrame) -> DataFrame:
 
 def average_depth(l2: DataFrame) -> DataFrame:
     """(strain, depth): mean of the middle half of the positive counts."""
-    y = without_singletons(F.col("cnt"))
-    x = l2.groupBy("strain").agg(F.collect_list(F.when(y > 0, y)).alias("ys")).where(F.size("ys") > 0)
-    return x.select("strain", mean_of(trimmed(F.col("ys"), 0.25, 0.75)).alias("depth"))
+    return trimmed_stats(_positive(l2), "strain", "y", 0.25, 0.75).select("strain", (F.col("total") / F.col("n")).alias("depth"))
 
 
 def exclusive_counts(counts: DataFrame, cluster_kmer: DataFrame, detected: DataFrame) -> DataFrame:
     """(kmer, cnt): counts of k-mers of exactly one detected cluster, others 0."""
     n = cluster_kmer.join(detected, "cluster", "left_semi").groupBy("kmer").agg(F.countDistinct("cluster").alias("n"))
     return counts.join(n, "kmer").select("kmer", F.when(F.col("n") == 1, F.col("cnt")).otherwise(F.lit(0).cast("long")).alias("cnt"))
-
-
-def percentiles(df: DataFrame, by: str, value: str, *qs: float) -> DataFrame:
-    """Nearest-rank percentiles of each group."""
-    x = df.groupBy(by).agg(F.array_sort(F.collect_list(value)).alias("v"))
-    return x.select(by, *(nearest(F.col("v"), q).alias(f"p{round(100 * q)}") for q in qs))

@@ -224,14 +224,14 @@ TRIM = "v AS (SELECT user_id, list_sort(list(value)) AS v FROM events GROUP BY 1
 
 @query("WITH " + TRIM.format(lo=0.25, hi=0.75) + " SELECT user_id, round(list_avg(list_filter(v, lambda x: x >= lo AND x <= hi)), 6) AS m FROM b")
 def f10_iqr_trim(s, d):
-    x = v.table(s, d, "events").groupBy("user_id").agg(F.collect_list("value").alias("v"))
-    return x.select("user_id", r6(st.mean_of(st.trimmed(F.col("v"), 0.25, 0.75)), "m"))
+    x = pf.trimmed_stats(v.table(s, d, "events"), "user_id", "value", 0.25, 0.75)
+    return x.select("user_id", r6(F.col("total") / F.col("n"), "m"))
 
 
 @query("WITH " + TRIM.format(lo=0.05, hi=0.95) + " SELECT user_id, len(list_filter(v, lambda x: x >= lo AND x <= hi))::BIGINT AS n, lo AS p5, hi AS p95 FROM b")
 def f11_p5_p95_trim(s, d):
-    x = v.table(s, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list("value")).alias("v"))
-    return x.select("user_id", F.size(st.trimmed(F.col("v"), 0.05, 0.95)).cast("long").alias("n"), st.nearest(F.col("v"), 0.05).alias("p5"), st.nearest(F.col("v"), 0.95).alias("p95"))
+    x = pf.trimmed_stats(v.table(s, d, "events"), "user_id", "value", 0.05, 0.95)
+    return x.select("user_id", "n", F.col("p_lo").alias("p5"), F.col("p_hi").alias("p95"))
 
 
 @query("SELECT event_type, count(*) AS n FROM events JOIN (SELECT event_type, avg(value) AS mu, stddev_pop(value) AS sd FROM events GROUP BY 1) USING (event_type) WHERE value BETWEEN mu - 1.5 * sd AND mu + 1.5 * sd GROUP BY 1")

@@ -26,6 +26,16 @@ class BuildConfig:
     drop_last: bool = False
 
 
+#: Tables of an index; any of them may be empty.
+SCHEMAS = {
+    "cluster": "cluster long, strain long",
+    "node": "id long, parent long, is_leaf boolean, length long, rebuilt boolean",
+    "node_kmer": "kmer string, node long",
+    "l2": "strain long, kmer string, cluster long",
+    "cluster_kmer": "cluster long, kmer string",
+}
+
+
 @dataclass
 class Index:
     cluster: DataFrame  # cluster, strain
@@ -45,8 +55,8 @@ class Index:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Index:
-        read = lambda t: spark.read.parquet(f"{path}/{t}")
-        return cls(read("cluster"), read("node"), read("node_kmer"), read("l2"), read("cluster_kmer"), BuildConfig(**read("manifest").first().asDict()))
+        read = lambda t: spark.read.schema(SCHEMAS[t]).parquet(f"{path}/{t}")
+        return cls(*map(read, SCHEMAS), BuildConfig(**spark.read.parquet(f"{path}/manifest").first().asDict()))
 
 
 def occurrences(genomes: DataFrame, cfg: BuildConfig) -> DataFrame:

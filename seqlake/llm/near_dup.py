@@ -52,6 +52,13 @@ def shingle_sets(text: pa.Array, k: int) -> Iterator[np.ndarray]:
                 yield h[:0]
 
 
+def in_small_batches(it: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most `rows`, so that what is made of a batch stays small."""
+    for b in it:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def signature(s: np.ndarray, bins: int = BINS, salt: int = 0x5851F42D4C957F2D) -> np.ndarray:
     """One-permutation MinHash of a set: for each bin its smallest value; empty bins copy from others (optimal densification)."""
     g = mix(s ^ U64(salt))
@@ -86,7 +93,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     """key, n (shingles), set_id, keys (bucket keys), sig (a byte of each bin, then 32 bits of each key) of every row; null without shingles."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in in_small_batches(it):
             n, ids, keys, sigs = [], [], [], []
             for s in shingle_sets(b.column("text"), k):
                 n.append(len(s))
@@ -106,7 +113,7 @@ def sets_of(docs: DataFrame, keys: DataFrame, k: int) -> DataFrame:
     """key, set (ascending 64-bit hashes) of the documents whose key is among keys."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in in_small_batches(it):
             yield pa.record_batch({"key": b.column("key"), "set": pa.array([s.tobytes() for s in shingle_sets(b.column("text"), k)], pa.binary())})
 
     few = keys.count() <= BROADCAST_KEYS
@@ -127,7 +134,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, hubs_ = None, []
-        for batch in it:
+        for batch in in_small_batches(it):
             got = []
             for a, part, b, s in zip(*(batch.column(c).to_pylist() for c in ("a", "part", "b", "set")), strict=True):
                 x = np.frombuffer(s, U64)
@@ -155,11 +162,11 @@ def across(members: DataFrame, reps: DataFrame, sets: DataFrame, label: DataFram
     named = members.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "hub", "rep", F.coalesce("label", "rep").alias("comp"))
     main = named.where("rep = hub").select("bucket", F.col("comp").alias("main")).distinct()
     state = named.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("bucket", "n")
-    open_ = named.join(state.join(main, "bucket"), "bucket")
+    open_, _ = staged(named.join(state.join(main, "bucket"), "bucket"), "open")
     wanted = open_.select(F.col("rep").alias("key")).distinct()
 
     def more(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in in_small_batches(it):
             got = [(signature(np.frombuffer(s, U64), MORE_BINS, 0x2545F4914F6CDD1D) & U64(255)).astype(np.uint8).tobytes() for s in b.column("set").to_pylist()]
             yield pa.record_batch({"rep": b.column("key"), "more": pa.array(got, pa.binary())})
 
@@ -196,7 +203,7 @@ def across(members: DataFrame, reps: DataFrame, sets: DataFrame, label: DataFram
                 ab = np.unique(np.stack([np.concatenate(c) for c in zip(*pairs, strict=True)], 1), axis=0)
                 yield pa.record_batch({"a": pa.array(ab[:, 0]), "b": pa.array(ab[:, 1])})
 
-        for batch in it:
+        for batch in in_small_batches(it):
             for *where, side, rep, comp, size, sig in zip(*(batch.column(c).to_pylist() for c in ("bucket", "i", "j", "side", "rep", "comp", "size", "sig")), strict=True):
                 if where != at:
                     yield from flush()
@@ -221,9 +228,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     members, at_members = staged(rows.join(hubs, "bucket"), "members")
     wanted = members.select(F.col("rep").alias("key")).distinct()
     sets, at_sets = staged(sets_of(docs, wanted, k), "sets")
-    star, at_star = staged(confirmed(members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), sets, percent), "links")
+    # candidates are read several times: written once
+    near, at_near = staged(members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
+    star, at_star = staged(confirmed(near, sets, percent), "links")
     label = components(star)
-    rest, at_rest = staged(confirmed(across(members, reps, sets, label, percent), sets, percent), "links")
+    far, at_far = staged(across(members, reps, sets, label, percent), "pairs")
+    rest, at_rest = staged(confirmed(far, sets, percent), "links")
     if not rest.isEmpty():  # components of the few labels that the rest joins
         named = lambda df, c: df.join(label.select(F.col("node").alias(c), F.col("label").alias("l" + c)), c, "left")
         few = named(named(rest, "a"), "b").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a <> b")
@@ -232,7 +242,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
         label = ends.join(label, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
         label = stage(label.join(over.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
         discard(spark, at_over)
-    for path in (at_reps, at_members, at_sets, at_star, at_rest):
+    for path in (at_reps, at_members, at_sets, at_near, at_star, at_far, at_rest):
         discard(spark, path)
     named = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("set_id").alias("class"), F.coalesce("label", "rep").alias("comp"))
     out = sigs.join(named, F.col("set_id") == F.col("class"), "left")

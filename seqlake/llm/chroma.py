@@ -7,9 +7,10 @@ which their integers agree in the upper bits, and judged by the share of differi
 The tables here hold no audio, so the query renders each embedding as a recording by a fixed rule (`render`); the operator
 itself takes any column of samples.
 
-Defined results: a null, empty or too short recording has an empty fingerprint, which matches nothing; recordings with equal
-fingerprints are one class, named by its smallest key, and are compared once; null keys are left out of the search; repeated
-rows are members of their class; ties between offsets go to the smallest absolute one, then the smaller.
+Defined results: a null, empty or too short recording has an empty fingerprint, which matches nothing and has no class;
+recordings with equal fingerprints are one class, named by its smallest key, and are compared once, `members` naming the class of
+every row; null keys are left out of the search; repeated rows are members of their class; ties between offsets go to the
+smallest absolute one, then the smaller.
 """
 
 from __future__ import annotations
@@ -124,6 +125,16 @@ def fingerprints(media: DataFrame, key: str, samples: str, decode=None) -> DataF
     return media.select(F.col(key).cast("long").alias("key"), F.col(samples).alias("x")).mapInArrow(run, "key long, fingerprint binary")
 
 
+def members(prints: DataFrame) -> DataFrame:
+    """key, class_id, copies of every row with a key: the class that stands for it in `matches`, null where there is no fingerprint.
+
+    Rows travel by the SHA-256 of their fingerprint, and a class is a row and not a list, so that its size has no bound.
+    """
+    rows = prints.where("key is not null").select("key", F.when(F.length("fingerprint") > 0, F.unhex(F.sha2("fingerprint", 256))).alias("digest"))
+    classes = rows.where("digest is not null").groupBy("digest").agg(F.min("key").alias("class_id"), F.count("*").alias("copies"))
+    return rows.join(classes, "digest", "left").select("key", "class_id", "copies")
+
+
 def matches(prints: DataFrame, query, block: int = 512) -> DataFrame:
     """query_id, match_id, copies, offset, overlap, bit_error: classes that a class with a row of the query set aligns with.
 

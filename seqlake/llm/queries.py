@@ -48,10 +48,13 @@ def op5_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .chroma import fingerprints, matches, render
+    """Rows with query_id: classes that match; rows with row_id: the class (match_id) of every recording."""
+    from .chroma import fingerprints, matches, members, render
+    from .common import stage
 
-    media = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return matches(fingerprints(media, "vec_id", "embedding", render), lambda key: key % 50 == 0)
+    prints = stage(fingerprints(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding", render), "prints")
+    rows = members(prints).selectExpr("key AS row_id", "class_id AS match_id", "copies")
+    return matches(prints, lambda key: key % 50 == 0).unionByName(rows, allowMissingColumns=True)
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -276,6 +276,20 @@ def test_chroma_search_equals_all_pairs(spark):
     assert set(got) == want and got[0, 0].copies == 2 and got[0, 0].bit_error == 0
 
 
+def test_chroma_query_names_every_row(spark, tmp_path):
+    from seqlake.llm import queries
+
+    rng = np.random.default_rng(5)
+    a, b, c = ((rng.standard_normal(64) / 8).tolist() for _ in range(3))
+    rows = [(7, a), (50, a), (100, a), (8, b), (150, b), (150, b), (9, c), (200, None), (None, a)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = queries.op6_chroma_fingerprints(spark, str(tmp_path)).collect()
+    classes = sorted((r.row_id, r.match_id, r.copies) for r in got if r.row_id not in (None, 200))
+    assert classes == [(7, 7, 3), (8, 8, 3), (9, 9, 1), (50, 7, 3), (100, 7, 3), (150, 8, 3), (150, 8, 3)]
+    assert [(r.match_id, r.copies) for r in got if r.row_id == 200] == [(None, None)]
+    assert {(7, 7), (8, 8)} <= {(r.query_id, r.match_id) for r in got if r.query_id is not None}
+
+
 # ---------------------------------------------------------------- 7
 @settings(max_examples=80, deadline=None)
 @given(st.dictionaries(st.integers(1, 20), st.integers(1, 6), max_size=8))

@@ -27,8 +27,10 @@ from .common import n_parts, staged
 RATE, FRAME, HOP = 5512, 1024, 256
 WIDTH = 8  # positions that a filter spans at most
 KEY_SHIFT = np.uint32(12)
-#: Most bits (share) that may differ in a match, and the least positions that must overlap, and integers in common.
-MOST_ERROR, LEAST_OVERLAP, LEAST_SHARED = 0.2, 16, 4
+#: Most bits (share) that may differ in a match, and the least positions that must overlap, and integers in common (one vote).
+MOST_ERROR, LEAST_OVERLAP, LEAST_SHARED = 0.2, 16, 1
+#: Votes or positions that are held at once; a recording with more votes is aligned pair by pair.
+PIECE = 1 << 20
 
 
 def filters() -> list[tuple[int, int, int, int]]:
@@ -106,6 +108,49 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, float] | None:
     return off, n, int(np.bitwise_count(x[:n] ^ y[:n]).sum()) / (32 * n) if n else 1.0
 
 
+class Block:
+    """Queries, all aligned with one recording at a time: the same results as `align`."""
+
+    def __init__(self, prints: list[np.ndarray]):
+        self.prints, self.size = prints, np.array([len(p) for p in prints])
+        self.flat, self.start, self.longest = np.concatenate(prints), np.cumsum(self.size) - self.size, int(self.size.max())
+        keys = self.flat >> KEY_SHIFT
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.of = keys[order], np.repeat(np.arange(len(prints)), self.size)[order]
+        self.pos = order - self.start[self.of]
+
+    def align(self, x: np.ndarray) -> list[tuple[int, int, int, float]]:
+        """(query, offset, overlap, share of differing bits) of the queries with a vote that x matches."""
+        lo, hi = (np.searchsorted(self.keys, x >> KEY_SHIFT, side) for side in ("left", "right"))
+        n, least = hi - lo, min(LEAST_OVERLAP, len(x))
+        if n.sum() > PIECE:
+            ours = np.unique(np.concatenate([self.of[a:b] for a, b in set(zip(lo.tolist(), hi.tolist(), strict=True))]))
+            got = ((int(j), align(self.prints[j], x)) for j in ours)
+            return [(j, *m) for j, m in got if m[1] >= least and m[2] <= MOST_ERROR]
+        at = spread(lo, n)
+        width = self.longest + len(x)
+        code, votes = np.unique(self.of[at] * width + np.repeat(np.arange(len(x)), n) - self.pos[at] + self.longest, return_counts=True)
+        j, off = code // width, code % width - self.longest
+        order = np.lexsort((off, np.abs(off), -votes, j))
+        best = order[np.flatnonzero(np.diff(j[order], prepend=-1))]
+        j, off = j[best], off[best]
+        skip = np.maximum(0, -off)
+        n = np.minimum(self.size[j] - skip, len(x) - np.maximum(0, off))
+        j, off, skip, n = (v[n >= least] for v in (j, off, skip, n))
+        out = []
+        for p in np.split(np.arange(len(n)), np.flatnonzero(np.diff(np.cumsum(n) // PIECE)) + 1):
+            if len(p):
+                bits = np.bitwise_count(self.flat[spread(self.start[j[p]] + skip[p], n[p])] ^ x[spread(np.maximum(0, off[p]), n[p])])
+                error = np.add.reduceat(bits, np.cumsum(n[p]) - n[p], dtype=np.int64) / (32 * n[p])
+                out += [(int(j[p[i]]), int(off[p[i]]), int(n[p[i]]), float(error[i])) for i in np.flatnonzero(error <= MOST_ERROR)]
+        return out
+
+
+def spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first[i], first[i] + 1, ... of n[i] numbers, one i after the other."""
+    return np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
 def render(values: np.ndarray, step: int = 512) -> np.ndarray:
     """A recording made from a vector: one note for each component, as high as its value among three octaves, with an overtone."""
     v = np.nan_to_num(np.asarray(values, float))
@@ -138,7 +183,7 @@ def members(prints: DataFrame) -> DataFrame:
 def matches(prints: DataFrame, query, block: int = 512) -> DataFrame:
     """query_id, match_id, copies, offset, overlap, bit_error: classes that a class with a row of the query set aligns with.
 
-    A match agrees in the upper bits of LEAST_SHARED distinct integers at least. Blocks of queries (bounded) meet all classes,
+    Every pair with one vote, an integer whose upper bits are equal, is aligned and judged by its bits alone. Blocks of queries (bounded) meet all classes,
     which are dealt over partitions and streamed past the block's inverted index; only matches leave a task.
     """
     n = n_parts(prints.sparkSession)
@@ -160,19 +205,8 @@ def matches(prints: DataFrame, query, block: int = 512) -> DataFrame:
                     queries.append((i, x))
                 elif queries:
                     if index is None:
-                        keys = [np.unique(q >> KEY_SHIFT) for _, q in queries]
-                        of = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-                        keys = np.concatenate(keys)
-                        order = np.argsort(keys, kind="stable")
-                        index = keys[order], of[order]
-                    own = np.unique(x >> KEY_SHIFT)
-                    lo, hi = np.searchsorted(index[0], own, "left"), np.searchsorted(index[0], own, "right")
-                    hit = np.repeat(lo - np.cumsum(hi - lo) + (hi - lo), hi - lo) + np.arange((hi - lo).sum())
-                    votes = np.bincount(index[1][hit], minlength=len(queries))
-                    for j in np.flatnonzero(votes >= min(LEAST_SHARED, len(own))):
-                        m = align(queries[j][1], x)
-                        if m and m[1] >= min(LEAST_OVERLAP, len(x)) and m[2] <= MOST_ERROR:
-                            out.append((queries[j][0], i, copies, *m))
+                        index = Block([q for _, q in queries])
+                    out += [(queries[j][0], i, copies, *m) for j, *m in index.align(x)]
             c = list(zip(*out, strict=True)) or [[]] * 6
             kinds = (*[pa.int64()] * 5, pa.float64())
             yield pa.record_batch([pa.array(v, k) for v, k in zip(c, kinds, strict=True)], names=["query_id", "match_id", "copies", "offset", "overlap", "bit_error"])

@@ -276,6 +276,48 @@ def test_chroma_search_equals_all_pairs(spark):
     assert set(got) == want and got[0, 0].copies == 2 and got[0, 0].bit_error == 0
 
 
+def test_chroma_block_equals_align_of_every_pair(monkeypatch):
+    rng = np.random.default_rng(8)
+    draw = lambda n: rng.integers(0, 6, n).astype(np.uint32) << chroma.KEY_SHIFT | rng.integers(0, 8, n).astype(np.uint32)
+    prints = [draw(n) for n in (1, 5, 15, 16, 17, 40, 90, 90)] + [np.full(60, 77, np.uint32)]
+    prints += [prints[6][20:], np.concatenate((draw(9), prints[6]))]
+    for piece in (chroma.PIECE, 300, 1):
+        monkeypatch.setattr(chroma, "PIECE", piece)
+        block = chroma.Block(prints)
+        for x in prints:
+            got = sorted(block.align(x))
+            pairs = [(j, chroma.align(q, x)) for j, q in enumerate(prints)]
+            assert got == [(j, *m) for j, m in pairs if m and m[1] >= min(chroma.LEAST_OVERLAP, len(x)) and m[2] <= chroma.MOST_ERROR]
+
+
+def noisy(f, error, rng):
+    bits = (rng.random((len(f), 32)) < error) @ (1 << np.arange(32, dtype=np.uint64))
+    return f ^ bits.astype(np.uint32)
+
+
+def judged_by_bits(a, b):
+    """Whether some offset has enough overlap and few enough differing bits; votes are not asked."""
+    for off in range(1 - len(a), len(b)):
+        x, y = (a[: len(b) - off], b[off:]) if off >= 0 else (a[-off:], b)
+        n = min(len(x), len(y))
+        if n >= min(chroma.LEAST_OVERLAP, len(b)) and np.bitwise_count(x[:n] ^ y[:n]).sum() <= chroma.MOST_ERROR * 32 * n:
+            return True
+    return False
+
+
+def test_chroma_recall_of_noisy_copies(spark):
+    rng = np.random.default_rng(9)
+    base = [chroma.fingerprint(chroma.render(rng.standard_normal(64) / 8)) for _ in range(40)]
+    few = 0
+    for error, least in ((0.05, 1.0), (0.1, 1.0), (0.15, 0.9)):
+        prints = [(2 * i, f) for i, f in enumerate(base)] + [(2 * i + 1, noisy(f, error, rng)) for i, f in enumerate(base)]
+        got = {(r.query_id, r.match_id) for r in chroma.matches(spark.createDataFrame([(i, f.astype("<u4").tobytes()) for i, f in prints], "key long, fingerprint binary"), lambda k: k % 2 == 0).collect()}
+        want = {(i, j) for i, a in prints if i % 2 == 0 for j, b in prints if judged_by_bits(a, b)}
+        assert got <= want and len(got) >= least * len(want)
+        few += sum(0 < len(np.intersect1d(dict(prints)[i] >> chroma.KEY_SHIFT, dict(prints)[j] >> chroma.KEY_SHIFT)) < 4 for i, j in got)
+    assert few  # found with fewer than four integers in common
+
+
 def test_chroma_query_names_every_row(spark, tmp_path):
     from seqlake.llm import queries
 

@@ -74,6 +74,19 @@ def snp_kmer(row: Column, index: Column, k: int) -> Column:
     return F.when(~mid.isin("-", "N") & (F.length(out) == k), out)
 
 
+def snp_kmers(df: DataFrame, k: int, row: str = "row") -> DataFrame:
+    """A row (column, kmer) for every column of `row` without gap or N: what `snp_kmer` gives there.
+
+    No side of a k-mer is longer than k - 1 bases, so each column reads that much of the row without its gaps, not all of it."""
+    rest, at = [c for c in df.columns if c != row], F.greatest(F.col("pos") - F.lit(k - 1), F.lit(0))
+    letters = F.split(F.col(row), "")
+    bases = F.filter(F.sequence(F.lit(0), F.length(row) - 1), lambda c: F.get(F.col("letters"), c) != "-")
+    x = df.where(F.length(row) > 0).select(*rest, F.replace(F.col(row), F.lit("-"), F.lit("")).alias("bases"), letters.alias("letters"), row)
+    x = x.select(*rest, "bases", F.posexplode(bases).alias("pos", "column"))
+    x = x.select(*rest, "column", F.substring(F.col("bases"), at + 1, F.lit(2 * k - 1)).alias("near"), (F.col("pos") - at).alias("mid"))
+    return x.where(F.substring(F.col("near"), F.col("mid") + 1, F.lit(1)) != "N").select(*rest, "column", snp_kmer(F.col("near"), F.col("mid"), k).alias("kmer"))
+
+
 def only_acgt(kmer: Column) -> Column:
     """F2; its negation is F3."""
     return kmer.rlike("^[ACGT]+$")

@@ -119,9 +119,11 @@ def p5_canonical(s, d):
 
 @query()
 def p6_encode2bit(s, d):
-    x = v.genome(s, d).where(F.length("seq") >= K).select("strain", F.substring("seq", 1, K).alias("kmer"))
-    x = x.select("strain", "kmer", S.encode(F.col("kmer")).alias("code"))
-    return x.select("strain", "kmer", "code", S.decode(F.col("code"), K).alias("back"))
+    """Every k-mer encoded and decoded: how many there are, how many come back, all codes' xor; and the first one."""
+    x = S.kmers(v.genome(s, d).withColumn("first", F.substring("seq", 1, K)), K).select("strain", "first", "kmer", S.encode(F.col("kmer")).alias("code"))
+    x = x.groupBy("strain", F.col("first").alias("kmer")).agg(F.count("*").alias("n"), F.count_if(F.col("kmer") == S.decode(F.col("code"), K)).alias("n_back"), F.bit_xor("code").alias("codes"))
+    x = x.withColumn("code", S.encode(F.col("kmer")))
+    return x.select("strain", "n", "n_back", "codes", "kmer", "code", S.decode(F.col("code"), K).alias("back"))
 
 
 @query(sql("genome", "SELECT strain, CASE WHEN strain % 2 = 1 THEN reverse(translate(substr(seq, 11, 50),'ACGT','TGCA')) ELSE substr(seq, 11, 50) END AS part FROM genome"))
@@ -129,6 +131,14 @@ def p7_block_sequence(s, d):
     return v.genome(s, d).select("strain", S.block_sequence(F.col("seq"), F.lit(10), F.lit(60), F.when(F.col("strain") % 2 == 1, "-").otherwise("+")).alias("part"))
 
 
+@query()
+def p7_whole_genomes(s, d):
+    """Whole genomes in blocks of 50, every other one turned round."""
+    x = v.genome(s, d).where("length(seq) > 0").select("strain", "seq", F.explode(F.sequence(F.lit(0), F.length("seq") - 1, F.lit(50))).alias("start"))
+    x = x.withColumn("end", F.least(F.col("start") + 50, F.length("seq"))).withColumn("strand", F.when((F.col("strain") + F.col("start") / 50) % 2 == 1, "-").otherwise("+"))
+    return x.select("strain", "start", "end", "strand", S.block_sequence(F.col("seq"), F.col("start"), F.col("end"), F.col("strand")).alias("part"))
+
+
 @query(sql("contigs", "SELECT strain, string_agg(seq, repeat('N', 100) ORDER BY contig, seq) AS seq FROM contigs GROUP BY 1"))
 def p8_concat_contigs(s, d):
     return S.connect(v.contigs(s, d), "strain", "contig")
@@ -164,6 +174,13 @@ def p14_snp_kmer(s, d):
     return g.select("strain", S.snp_kmer(F.col("row"), F.lit(40), K).alias("kmer"))
 
 
+@query()
+def p14_whole_rows(s, d):
+    """The SNP k-mers of all columns of all rows, by strain."""
+    g = v.genome(s, d).select("strain", F.replace(F.replace("seq", F.lit("AC"), F.lit("A-")), F.lit("TT"), F.lit("TN")).alias("row"))
+    return S.snp_kmers(g, K).groupBy("strain").agg(F.count("*").alias("n_columns"), F.count("kmer").alias("n_kmers"), F.bit_xor(F.xxhash64("column", "kmer")).alias("rows_hash"))
+
+
 @query(sql("contigs", "SELECT strain, sum(length(seq))::BIGINT AS n FROM contigs GROUP BY 1"))
 def p15_strip_n(s, d):
     return S.connect(v.contigs(s, d), "strain", "contig").select("strain", F.length(S.strip_n(F.col("seq"))).cast("long").alias("n"))

@@ -1,11 +1,15 @@
 """Every query with SQL equals it on the smallest tables; the others run and hold what they must."""
 
+import functools
+import operator
 import os
 
 import duckdb
 import pytest
 
-from seqlake.plans.queries import ORACLE, QUERIES
+from seqlake.functions import sequence as S
+from seqlake.plans.queries import ORACLE, QUERIES, K
+from seqlake.plans.views import SQL
 
 D = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(D), reason="no tables")
@@ -39,3 +43,40 @@ def test_query(spark, con, name):
 
 def test_codes_decode(spark):
     assert all(r.kmer == r.back for r in QUERIES["p6_encode2bit"](spark, D).collect())
+
+
+@pytest.fixture(scope="module")
+def genome(con):
+    return dict(con.sql(f"WITH {SQL['genome']} SELECT strain, seq FROM genome").fetchall())
+
+
+def test_all_kmers_are_encoded(spark, genome):
+    got = {r.strain: r for r in QUERIES["p6_encode2bit"](spark, D).collect()}
+    assert {i: r.n for i, r in got.items()} == {i: len(x) - K + 1 for i, x in genome.items() if len(x) >= K}
+    assert all(r.n == r.n_back for r in got.values())
+    for i, r in list(got.items())[:20]:
+        codes = [int("".join(str("AGCT".index(c)) for c in genome[i][j : j + K]), 4) for j in range(r.n)]
+        assert r.codes == functools.reduce(operator.xor, codes)
+
+
+def test_blocks_hold_whole_genomes(spark, genome):
+    parts = {}
+    for r in sorted(QUERIES["p7_whole_genomes"](spark, D).collect()):
+        assert r.strand == "+-"[(r.strain + r.start // 50) % 2] and len(r.part) == r.end - r.start
+        parts[r.strain] = parts.get(r.strain, "") + (r.part if r.strand == "+" else r.part[::-1].translate(str.maketrans("ACGT", "TGCA")))
+    assert parts == {i: x for i, x in genome.items() if x}
+
+
+def snp(row, c):
+    left, right = row[:c].replace("-", "").split("N")[-1], row[c + 1 :].replace("-", "").split("N")[0]
+    n = min(len(left), K // 2 + max(0, K // 2 - len(right)))
+    return left[len(left) - n :] + row[c] + right[: K - 1 - n] if n + len(right) >= K - 1 else None
+
+
+def test_snp_kmers_of_all_columns(spark, genome):
+    rows = {i: x.replace("AC", "A-").replace("TT", "TN")[:400] for i, x in list(genome.items())[:40]}
+    rows |= {-1: "", -2: "-" * 90, -3: "AC-GT" * 20 + "-" * 70 + "ACGTA" * 8, -4: "N".join("ACG" * n for n in (5, 10, 11, 40)), -5: "ACGTACGTA-CGTACGTACGTACGTACGTAGG"}
+    got = S.snp_kmers(spark.createDataFrame(list(rows.items()), "strain long, row string"), K).collect()
+    assert sorted((r.strain, r.column, r.kmer or "") for r in got) == sorted((i, c, snp(x, c) or "") for i, x in rows.items() for c in range(len(x)) if x[c] not in "-N")
+    n = {r.strain: r.n_columns for r in QUERIES["p14_whole_rows"](spark, D).collect()}
+    assert n == {i: k for i, x in genome.items() if (k := sum(c in "ACGT" for c in x.replace("AC", "A-").replace("TT", "TN")))}

@@ -321,6 +321,26 @@ def j3_anti(s, d):
     return pf.exclusive(x.where("strain % 5 = 0"), x.where("strain % 5 = 1")).select("strain", "kmer")
 
 
+def _genome_inc(s, d):
+    return S.kmers(v.genome(s, d), K).select("strain", "kmer").distinct()
+
+
+def _by_strain(x):
+    return x.groupBy("strain").agg(F.count("*").alias("n_kmers"), F.bit_xor(F.xxhash64("kmer")).alias("kmers_hash"))
+
+
+def _sides(x):
+    """Two sides that hold all strains: the even and the odd ones."""
+    return x.where("strain % 2 = 0"), x.where("strain % 2 <> 0")
+
+
+@query()
+def j3_whole_anti(s, d):
+    """K-mers of all genomes that the other side lacks, both ways."""
+    a, b = _sides(_genome_inc(s, d))
+    return _by_strain(pf.exclusive(a, b).unionByName(pf.exclusive(b, a)))
+
+
 SHARED = "SELECT a.strain AS a, b.strain AS b, count(*) AS shared FROM inc a JOIN inc b ON a.kmer = b.kmer AND a.strain < b.strain GROUP BY ALL"
 
 
@@ -439,6 +459,35 @@ def a9_block_kinds(s, d):
     return ks.block_kinds(_rare(s, d).select(F.col("kmer").alias("block"), "strain"), 7, 0.5)
 
 
+# The same over whole tables: A5 to A7 over the k-mers of all genomes, of which many are unique, A8 and A9 over all incidences.
+@query()
+def a5_whole_unique(s, d):
+    return _by_strain(ks.unique_kmers(_genome_inc(s, d)))
+
+
+@query()
+def a6_whole_unique_cap(s, d):
+    return ks.capped(ks.unique_kmers(_genome_inc(s, d)), "strain", 20, F.col("kmer"))
+
+
+@query()
+def a7_whole_partial_block(s, d):
+    x = _genome_inc(s, d)
+    return ks.confined(x, x.withColumn("block", F.col("strain") % 3)).groupBy("block", "n_strains").agg(F.count("*").alias("n_kmers"), F.bit_xor(F.xxhash64("kmer")).alias("kmers_hash"))
+
+
+@query()
+def a8_whole_global_block(s, d):
+    x = v.inc(s, d)
+    return ks.discriminating(x, x.select("strain").distinct().count())
+
+
+@query()
+def a9_whole_block_kinds(s, d):
+    x = v.inc(s, d)
+    return ks.block_kinds(x.select(F.col("kmer").alias("block"), "strain"), x.select("strain").distinct().count(), 0.5)
+
+
 METRICS = "x AS (SELECT node, nk.kmer, coalesce(cnt, 0) AS cnt FROM nk LEFT JOIN cnts USING (kmer)), md AS (SELECT node, median(cnt) AS m FROM x WHERE cnt > 0 GROUP BY 1), me AS (SELECT node, count(*) AS length, count(*) FILTER (WHERE cnt > 0 AND cnt < {f} * m) AS covered, avg(cnt) FILTER (WHERE cnt > 0 AND cnt < {f} * m) AS ab FROM x LEFT JOIN md USING (node) GROUP BY 1)"
 
 
@@ -642,6 +691,18 @@ def u6_intersection(s, d):
     return x.where("strain = 1").select("kmer").intersect(x.where("strain = 2").select("kmer"))
 
 
+@query()
+def u5_whole_union(s, d):
+    a, b = _sides(v.inc(s, d).select("strain", "kmer"))
+    return a.select("kmer").unionByName(b.select("kmer")).distinct()
+
+
+@query()
+def u6_whole_intersection(s, d):
+    a, b = _sides(v.inc(s, d).select("strain", "kmer"))
+    return a.select("kmer").intersect(b.select("kmer"))
+
+
 # ---------------------------------------------------------------- clusters and trees
 LINK = "+sh AS (SELECT a.user_id AS a, b.user_id AS b, abs(a.m - b.m) AS dist FROM u a JOIN u b ON a.user_id < b.user_id)"
 USERS = "u AS (SELECT user_id, avg(value) AS m FROM events GROUP BY 1)"

@@ -3,6 +3,7 @@
 import functools
 import operator
 import os
+from collections import Counter
 
 import duckdb
 import pytest
@@ -80,3 +81,38 @@ def test_snp_kmers_of_all_columns(spark, genome):
     assert sorted((r.strain, r.column, r.kmer or "") for r in got) == sorted((i, c, snp(x, c) or "") for i, x in rows.items() for c in range(len(x)) if x[c] not in "-N")
     n = {r.strain: r.n_columns for r in QUERIES["p14_whole_rows"](spark, D).collect()}
     assert n == {i: k for i, x in genome.items() if (k := sum(c in "ACGT" for c in x.replace("AC", "A-").replace("TT", "TN")))}
+
+
+def strains_by_kmer(pairs):
+    out = {}
+    for i, k in pairs:
+        out.setdefault(k, set()).add(i)
+    return out
+
+
+def test_unique_and_exclusive_kmers_of_all_genomes(spark, genome):
+    of = strains_by_kmer((i, x[j : j + K]) for i, x in genome.items() for j in range(len(x) - K + 1))
+    unique, exclusive, confined = {}, Counter(), Counter()
+    for k, who in of.items():
+        if len(who) == 1:
+            unique.setdefault(min(who), []).append(k)
+        if len({i % 2 for i in who}) == 1:
+            exclusive.update(who)
+        if len(who) > 1 and len({i % 3 for i in who}) == 1:
+            confined[min(who) % 3, len(who)] += 1
+    got = {name: QUERIES[name](spark, D).collect() for name in ("a5_whole_unique", "a6_whole_unique_cap", "a7_whole_partial_block", "j3_whole_anti")}
+    assert {r.strain: r.n_kmers for r in got["a5_whole_unique"]} == {i: len(k) for i, k in unique.items()}
+    assert sorted((r.strain, r.kmer) for r in got["a6_whole_unique_cap"]) == sorted((i, k) for i, ks in unique.items() for k in sorted(ks)[:20])
+    assert {(r.block, r.n_strains): r.n_kmers for r in got["a7_whole_partial_block"]} == confined
+    assert {r.strain: r.n_kmers for r in got["j3_whole_anti"]} == exclusive
+
+
+def test_sets_of_all_incidences(spark, con):
+    of = strains_by_kmer(con.sql(f"WITH {SQL['inc']} SELECT strain, kmer FROM inc").fetchall())
+    n = len(set().union(*of.values()))
+    assert {(r.kmer, r.n_strains) for r in QUERIES["a8_whole_global_block"](spark, D).collect()} == {(k, len(w)) for k, w in of.items() if 1 < len(w) < n}
+    partial = sorted((len(w), k) for k, w in of.items() if len(w) < n)
+    used = {k for _, k in partial[: len(partial) // 2]} | {k for k, w in of.items() if len(w) == n}
+    assert {(r.block, r.n_strains, r.kind, r.used) for r in QUERIES["a9_whole_block_kinds"](spark, D).collect()} == {(k, len(w), "global" if len(w) == n else "partial", k in used) for k, w in of.items()}
+    assert {r.kmer for r in QUERIES["u5_whole_union"](spark, D).collect()} == set(of)
+    assert sorted(r.kmer for r in QUERIES["u6_whole_intersection"](spark, D).collect()) == sorted(k for k, w in of.items() if len({i % 2 for i in w}) == 2)

@@ -6,6 +6,7 @@ All nodes' metrics come from one distributed pass (profiles.node_metrics); the w
 from __future__ import annotations
 
 import math
+import statistics
 from collections import deque
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -54,13 +55,11 @@ def noise_probability(n: int, least: int, p: float = 0.005) -> float:
 
 def poisson_quantiles(mean: float, n: int) -> list[int]:
     """Poisson values at the middle of n equal shares: the reproducible form of n sorted draws (M4)."""
-    out, k, term = [], 0, math.exp(-mean)
-    at = term
+    out, k, at = [], 0, math.exp(-mean)
     for i in range(n):
         while at < (i + 0.5) / n and k < 10 * mean + 50:
             k += 1
-            term *= mean / k
-            at += term
+            at += math.exp(k * math.log(mean) - mean - math.lgamma(k + 1)) if mean > 0 else 0.0
         out.append(k)
     return out
 
@@ -75,10 +74,29 @@ def corrected_profile(counts: list[int], shared: list[bool], ab: float, least: i
     return own + taken
 
 
+def corrected(rows: list[tuple[int, frozenset[int]]], leaves: list[Node], least: int = 1000) -> tuple[str, int, float, float]:
+    """(category, length, cov, ab) of a rebuilt node after M3 or M4. rows: count of each of its k-mers, and the leaves that have it.
+
+    After M3 the node counts as one that was not rebuilt. M4 takes the accepted leaves one by one, the most abundant first."""
+    ids = {n.id for n in leaves}
+    own = [c for c, of in rows if not ids & of]
+    if len(own) >= max(1, least):
+        good = [c for c in own if c > 0]
+        good = [c for c in good if c < 100 * statistics.median(good)]
+        return "1" if len(own) < 3 * least else "2", len(own), len(good) / len(own), statistics.fmean(good) if good else 0.0
+    left = [c for c, _ in rows]
+    for n in sorted(leaves, key=lambda n: (-n.ab, -n.id)):
+        at = sorted((i for i, (_, of) in enumerate(rows) if n.id in of and left[i] > 0), key=lambda i: left[i])
+        for i, taken in zip(at, poisson_quantiles(n.ab, len(at)), strict=True):
+            left[i] = max(0, left[i] - taken)
+    good = [c for c in left if c > 0]
+    return "o1" if len(rows) < 3 * least else "o2", len(rows), len(good) / len(rows) if rows else 0.0, statistics.fmean(good) if good else 0.0
+
+
 class Search:
-    """One search; nodes by id. correct(node, accepted leaves) gives (length, cov, ab) of a rebuilt node after M3/M4."""
+    """One search; nodes by id. correct(node, accepted leaves) gives (category, length, cov, ab) of a rebuilt node after M3/M4."""
 
-    def __init__(self, nodes: dict[int, Node], preset: Preset, correct: Callable[[Node, list[int]], tuple[int, float, float]] | None = None):
+    def __init__(self, nodes: dict[int, Node], preset: Preset, correct: Callable[[Node, list[Node]], tuple[str, int, float, float]] | None = None):
         self.nodes, self.preset, self.correct = nodes, preset, correct
         self.accepted: list[int] = []
         self.rejected: list[int] = []
@@ -135,8 +153,8 @@ class Search:
                 if n.children:
                     queue.append(n.children)
             elif n.category[0] == "o" and self.accepted and self.correct:
-                n.length, n.cov, n.ab = self.correct(n, self.accepted)
-                flagged = not weak
+                n.category, n.length, n.cov, n.ab = self.correct(n, [self.nodes[i] for i in self.accepted])
+                flagged = flagged or not weak
             elif n.category[0] == "o":
                 n.category = n.category[1]
             if n.ab < self.preset.ab:
@@ -174,7 +192,7 @@ class Search:
             whole = x.ab + y.ab
             if whole:
                 x.ab, y.ab = ab * x.ab / whole, ab * y.ab / whole
-        else:
+        elif "0" in kinds or kinds in ({"o1", "o2"}, {"o1", "2"}, {"o2", "2"}):
             low, high = (x, y) if x.category in ("0", "o1") or y.category == "2" else (y, x)
             low.ab = max(0.0, ab - high.ab)
 

@@ -131,7 +131,7 @@ def counts_of(reads: DataFrame, cfg: BuildConfig) -> DataFrame:
 
 
 def find_clusters(index: Index, counts: DataFrame, level: int = 0) -> list[tree_search.Found]:
-    """L1: metrics of all nodes in one pass, then the walk."""
+    """L1: metrics of all nodes in one pass, then the walk; rebuilt nodes are corrected for accepted leaves when it comes to them."""
     metrics = {r.node: r for r in profiles.node_metrics(index.node_kmer, counts).collect()}  # one row a node
     rows = index.node.collect()
 
@@ -148,7 +148,12 @@ def find_clusters(index: Index, counts: DataFrame, level: int = 0) -> list[tree_
             out[r.id] = tree_search.Node(r.id, r.parent, tuple(sorted(kids.get(r.id, []))), f"o{base}" if r.rebuilt and base != "0" else base, r.length, m.cov if m else 0.0, m.ab if m else 0.0)
         return out
 
-    return tree_search.search(make, level)
+    def correct(node: tree_search.Node, leaves: list[tree_search.Node]) -> tuple[str, int, float, float]:
+        of = index.cluster_kmer.where(F.col("cluster").isin([n.id for n in leaves])).groupBy("kmer").agg(F.collect_set("cluster").alias("leaves"))
+        x = profiles.probe(index.node_kmer.where(F.col("node") == node.id), counts).join(of, "kmer", "left").orderBy("kmer")
+        return tree_search.corrected([(r.cnt, frozenset(r.leaves or ())) for r in x.collect()], leaves, index.config.mink)  # maxk rows at most
+
+    return tree_search.search(make, level, correct)
 
 
 def identify(index: Index, reads: DataFrame, level: int = 0, scan: dominance.ScanConfig = dominance.ScanConfig()) -> DataFrame:

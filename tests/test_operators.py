@@ -209,6 +209,30 @@ def test_profile_correction():
     assert q == sorted(q) and abs(np.mean(q) - 4) < 0.05
 
 
+def test_correction_of_rebuilt_nodes():
+    leaves = [ts.Node(1, 9, (), "2", ab=10.0), ts.Node(2, 9, (), "2", ab=900.0)]
+    a, both, none = frozenset([1]), frozenset([1, 2]), frozenset()
+    assert ts.corrected([(4, none)] * 6 + [(0, none)] * 6 + [(9, a)] * 5, leaves, 10) == ("1", 12, 0.5, 4.0)
+    category, n, cov, ab = ts.corrected([(910, both)] * 20, leaves, 10)
+    assert (category, n) == ("o1", 20) and cov < 0.8 and 0 < ab < 60
+    q = ts.poisson_quantiles(900.0, 101)
+    assert abs(np.mean(q) - 900) < 3 and abs(np.std(q) - 30) < 3
+
+
+def test_identify_corrects_for_accepted_leaves(spark):
+    from seqlake.plans import index as ix
+
+    leaf, rest = [f"a{i}" for i in range(40)], [f"d{i}" for i in range(40)]
+    kmers = {9: [f"r{i}" for i in range(40)], 1: leaf, 8: [f"c{i}" for i in range(40)], 3: leaf[:12] + [f"b{i}" for i in range(12)], 4: rest}
+    depth = dict.fromkeys(kmers[9], 15) | dict.fromkeys(leaf, 10) | dict.fromkeys(kmers[8] + rest, 5)
+    node = spark.createDataFrame([(i, p, i < 8, len(kmers[i]), i == 3) for i, p in ((9, None), (1, 9), (8, 9), (3, 8), (4, 8))], ix.SCHEMAS["node"])
+    node_kmer = spark.createDataFrame([(k, i) for i, x in kmers.items() for k in x], ix.SCHEMAS["node_kmer"])
+    cluster_kmer = spark.createDataFrame([(i, k) for i in (1, 3, 4) for k in kmers[i]], ix.SCHEMAS["cluster_kmer"])
+    index = ix.Index(None, node, node_kmer, None, cluster_kmer, ix.BuildConfig(mink=10))
+    counts = spark.createDataFrame(list(depth.items()), "kmer string, cnt long")
+    assert {f.cluster for f in ix.find_clusters(index, counts)} == {1, 4}
+
+
 # ---------------------------------------------------------------- strains
 def mixture(seed=0, weights=(3, 0, 1, 0, 0, 0)):
     r = np.random.default_rng(seed)

@@ -452,6 +452,18 @@ def test_signature_agreement_follows_similarity():
     assert (near_dup.signature(u[:3]) == near_dup.signature(u[:3])).all()
 
 
+def test_signatures_of_small_sets_at_the_threshold_agree():
+    """The cut of the comparison across components stays clear of pairs at similarity 0.8."""
+    rng = np.random.default_rng(3)
+    sig = lambda x: np.concatenate([near_dup.signature(np.unique(x), *a) & near_dup.U64(255) for a in ((), (near_dup.MORE_BINS, 0x9E3779B97F4A7C15))])
+    for n in (5, 25, 100):
+        agree = []
+        for _ in range(400):
+            x = rng.integers(0, 2**63, n, dtype=np.uint64)
+            agree.append((sig(x[: n * 9 // 10]) == sig(np.concatenate((x[: n * 8 // 10], x[n * 9 // 10 :])))).sum())
+        assert np.mean(agree) - 4.9 * np.std(agree) > near_dup.AGREE
+
+
 # ---------------------------------------------------------------- 10
 import re  # noqa: E402
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import tempfile
 import uuid
 
@@ -17,13 +19,22 @@ _own_root: list[str] = []
 
 # ---------------------------------------------------------------- shared folder
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (unset, as in tests) one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir, with the scheme of Hadoop's default store if it names none.
+
+    Unset, a local session gets a folder of our own; a cluster has none that is shared, so it must name one.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if not _own_root:
             _own_root.append("file://" + tempfile.mkdtemp(prefix="seqlake-"))
         root = _own_root[0]
-    return root if "://" in root or root.startswith("file:") else "file://" + root
+    if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", root):
+        return root.rstrip("/")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    at = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return "file://" + at[5:] if re.match(r"file:/(?!/)", at) else at
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -53,8 +64,19 @@ def n_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Schemes of Hadoop's connectors, and what pyarrow calls the same stores.
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs", "gcs": "gs"}
+
+
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri)
+    """(file system, path in it) of a folder or file that Python workers open themselves."""
+    scheme, _, rest = uri.partition(":")
+    if scheme == "dbfs":
+        return pafs.LocalFileSystem(), "/dbfs/" + rest.lstrip("/")
+    try:
+        return pafs.FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}:{rest}")
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError) as e:
+        raise ValueError(f"{uri}: Python workers cannot open this store; name another in spark.checkpoint.dir") from e
 
 
 # ---------------------------------------------------------------- ordered buckets
@@ -149,15 +171,51 @@ class Words:
         return len(self.start)
 
 
-def span_hash(d: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans that do not overlap and ascend; gaps are left out."""
-    if not len(start):
+#: Low bytes of a lane that belong to a span with so many bytes left.
+_LOW = np.array([(1 << 8 * i) - 1 for i in range(9)], U64)
+#: Longer spans are hashed by BLAKE2b.
+LANE_BYTES = 32
+
+
+def lanes(d: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place of d on, as one number."""
+    p = np.zeros(len(d) + 8, np.uint8)
+    p[: len(d)] = d
+    return np.ndarray((len(d) + 1,), "<u8", p, 0, (1,))
+
+
+def span_hash(d: np.ndarray, start: np.ndarray, end: np.ndarray, view: np.ndarray | None = None) -> np.ndarray:
+    """64-bit hashes of byte spans: eight bytes at a time through the finaliser, which depends on all before; long ones by BLAKE2b.
+
+    Spans of equal length up to eight bytes have equal hashes only if they are equal.
+    """
+    n = end - start
+    if not len(n):
         return np.zeros(0, U64)
-    length = end - start
-    at = np.repeat(start - np.concatenate(([0], np.cumsum(length)[:-1])), length) + np.arange(int(length.sum()))
-    rel = at - np.repeat(start, length)
-    v = (d[at].astype(U64) + U64(1)) * cached_powers(MULT, int(length.max()) + 1)[rel]
-    return mix(np.add.reduceat(v, np.concatenate(([0], np.cumsum(length)[:-1]))) + length.astype(U64))
+    v = lanes(d) if view is None else view
+    h = mix(mix(n.astype(U64) * MULT + U64(1)) ^ (v[start] & _LOW[np.minimum(n, 8)]))
+    i, at = np.flatnonzero((n > 8) & (n <= LANE_BYTES)), 8
+    while len(i):
+        left = n[i] - at
+        h[i] = mix(h[i] ^ (v[start[i] + at] & _LOW[np.minimum(left, 8)]))
+        i, at = i[left > 8], at + 8
+    for j in np.flatnonzero(n > LANE_BYTES).tolist():
+        h[j] = int.from_bytes(hashlib.blake2b(d[start[j] : end[j]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
+def equal_spans(d: np.ndarray, v: np.ndarray, start: np.ndarray, n: np.ndarray, e: np.ndarray, w: np.ndarray, at: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Which spans of d (n bytes from start) are those of e (m bytes from at), byte by byte, given that their hashes are equal. v, w: lanes."""
+    same = n == m
+    i = np.flatnonzero(same & (n > 8))
+    for k in i[n[i] > 64].tolist():
+        same[k] = d[start[k] : start[k] + n[k]].tobytes() == e[at[k] : at[k] + n[k]].tobytes()
+    i, b = i[n[i] <= 64], 0
+    while len(i):
+        left = n[i] - b
+        same[i] &= ((v[start[i] + b] ^ w[at[i] + b]) & _LOW[np.minimum(left, 8)]) == 0
+        i, b = i[left > 8], b + 8
+    return same
 
 
 def window_hash(h: np.ndarray, k: int) -> np.ndarray:

@@ -21,8 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64
-from .tokens import PieceEncoder
+from .tokens import MEMO_BYTES, PieceEncoder
 
 MARK = "▁"
 #: Kinds of pieces, and of models, as the format numbers them.
@@ -122,19 +121,14 @@ class Model:
 class SentenceEncoder(PieceEncoder):
     """ids as the SentencePiece library gives them, on the tokenizers library."""
 
-    def __init__(self, path: str, most: int = 3_000_000):
-        import os
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # on a cluster Spark's tasks are the threads
+    def __init__(self, path: str, most: int = MEMO_BYTES, threads: int = 2):
         self.model = m = Model.read(path)
         inside = any(MARK in p[1:] and set(p) != {MARK} for p in m.pieces)
         # cut texts start with the prefix already
         self.kind = "spaces" if m.model_type == BPE and not inside and not m.charsmap and not m.remove_extra and m.escape else None
-        self.tok = m.tokenizer(prefix=False if self.kind else None)
-        self.vocab_size, self.lean = len(m.pieces), None
+        self._start(m.tokenizer(prefix=False if self.kind else None), most, threads)
+        self.vocab_size = len(m.pieces)
         self.edge = np.array([p.startswith(MARK) for p in m.pieces])
-        self.most, self.store, self.used = most, np.zeros(1 << 16, np.uint32), 0
-        self.hash, self.at, self.size = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.table = m.bytes_of()
 
     def arrays(self, text: pa.Array):

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bucket_of, key_bounds, n_parts, open_fs, scratch
-from .tokens import encoder
+from .tokens import encoder, vocabulary
 
 MAGIC = b"SLTOKEN1"
 FOOTER = struct.Struct("<QQ8s")
@@ -92,24 +92,35 @@ class ShardReader:
         return ids_of(self.zstd.decompress(self.file.read_at(b - a, a)), self.width)
 
 
-def train_dictionary(docs: DataFrame, text: str, key: str, path: str, sample: int = 400, size: int = 65_536) -> bytes:
-    """Shared dictionary from at most `sample` documents (64 KiB of ids of each), picked by a hash of their key.
+#: The dictionary learns from at most so many documents, and from so many bytes of each.
+SAMPLE, SAMPLE_BYTES, SAMPLE_PIECE = 400, 1 << 16, 1 << 12
 
-    It only affects how well frames compress, never what they hold. Fewer than 16 documents: no dictionary.
+
+def samples(raw: bytes) -> list[bytes]:
+    """Pieces of a document's ids for training: all of them, or as many as the bound allows, evenly from its beginning to its end."""
+    n = max(1, -(-len(raw) // SAMPLE_PIECE))
+    at = np.unique(np.linspace(0, n - 1, min(n, SAMPLE_BYTES // SAMPLE_PIECE)).astype(np.int64))
+    return [raw[i * SAMPLE_PIECE : (i + 1) * SAMPLE_PIECE] for i in at.tolist()]
+
+
+def train_dictionary(docs: DataFrame, text: str, key: str, path: str, width: int, sample: int = SAMPLE, size: int = 65_536) -> bytes:
+    """Shared dictionary from the documents with the smallest hashes of their keys, whatever the order of files; see SAMPLE.
+
+    It only affects how well frames compress, never what they hold. Where zstandard can't make one (too little or too uniform
+    a sample), frames have no dictionary.
     """
-    width = 2 if encoder(path).vocab_size <= 1 << 16 else 4
-    picked = docs.where(F.pmod(F.xxhash64(key), F.lit(8)) == 0).select(text).limit(sample)
+    spark = docs.sparkSession
+    keys = docs.select(key).where(F.col(key).isNotNull()).distinct().orderBy(F.xxhash64(key), key).limit(sample).collect()
+    picked = docs.join(F.broadcast(spark.createDataFrame(keys, f"{key} long")), key).select(text).limit(sample)  # equal keys: any of them
 
     def ids(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            yield pa.record_batch({"ids": pa.array([serialise(x, width)[: 1 << 16] for x in encoder(path).encode(b.column(0).to_pylist())], pa.binary())})
+            yield pa.record_batch({"ids": pa.array([samples(serialise(x, width)) for x in encoder(path).encode(b.column(0).to_pylist())], pa.list_(pa.binary()))})
 
-    got = [r.ids for r in picked.mapInArrow(ids, "ids binary").collect() if r.ids]
-    if len(got) < 16:
-        return b""
+    got = [bytes(x) for r in picked.mapInArrow(ids, "ids array<binary>").collect() for x in r.ids if x]  # bounded by SAMPLE and SAMPLE_BYTES
     try:
-        return zstandard.train_dictionary(size, [bytes(x) for x in got]).as_bytes()
-    except zstandard.ZstdError:  # samples too small or all alike
+        return zstandard.train_dictionary(size, sorted(got)).as_bytes()
+    except (zstandard.ZstdError, ValueError):
         return b""
 
 
@@ -123,17 +134,17 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, key:
     spark = docs.sparkSession
     docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     bounds = key_bounds(docs, "key", n_parts(spark))
-    dictionary = train_dictionary(docs, "text", "key", tokenizer)
+    width = 2 if max(vocabulary(tokenizer), end_id + 1) <= 1 << 16 else 4
+    dictionary = train_dictionary(docs, "text", "key", tokenizer, width)
     digest = hashlib.sha256(dictionary).digest()
     fs, top = open_fs(folder)
     fs.create_dir(top, recursive=True)
     with fs.open_output_stream(f"{top}/dictionary-{digest.hex()[:16]}.bin") as f:
         f.write(dictionary)
-    end = struct.pack("<I", end_id)
+    end = struct.pack("<I", end_id)[:width]
 
     def encode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        width = 2 if max(enc.vocab_size, end_id + 1) <= 1 << 16 else 4
         z = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(dictionary), write_checksum=False) if dictionary else zstandard.ZstdCompressor(level=level)
         for b in it:
             keys = b.column("key")
@@ -142,18 +153,18 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, key:
                 raw = ids.astype("<u2" if width == 2 else "<u4").tobytes()
                 n = len(off) - 1
                 ends = (off * width).tolist()
-                frames = [z.compress(raw[x:y] + end[:width]) for x, y in zip(ends[:-1], ends[1:], strict=True)]
+                frames = [z.compress(raw[x:y] + end) for x, y in zip(ends[:-1], ends[1:], strict=True)]
                 yield pa.record_batch({"bucket": pa.array(at[lo : lo + n]), "key": keys.slice(lo, n), "n_tokens": pa.array(np.diff(off) + 1, pa.int64()), "frame": pa.array(frames, pa.binary())})
 
     def write(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
-        width, done, now = 2 if max(enc.vocab_size, end_id + 1) <= 1 << 16 else 4, [], None
-        for b in it:
-            for bucket, k, n, frame in zip(*(b.column(c).to_pylist() for c in ("bucket", "key", "n_tokens", "frame")), strict=True):
-                if now is None or now.shard != bucket:
-                    done += [now.close()] if now else []
-                    now = ShardWriter(folder, bucket, width, digest)
-                now.add(k, n, frame)
+        done, now = [], None
+        for whole in it:
+            for b in (whole.slice(i, 500) for i in range(0, whole.num_rows, 500)):
+                for bucket, k, n, frame in zip(*(b.column(c).to_pylist() for c in ("bucket", "key", "n_tokens", "frame")), strict=True):
+                    if now is None or now.shard != bucket:
+                        done += [now.close()] if now else []
+                        now = ShardWriter(folder, bucket, width, digest)
+                    now.add(k, n, frame)
         done += [now.close()] if now else []
         yield pa.RecordBatch.from_pylist(done, pa.schema([("shard", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
@@ -171,8 +182,11 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, key:
     return spark.createDataFrame(out, "shard long, path string, n_docs long, n_tokens long, start long"), dictionary
 
 
-def read_tokens(manifest: DataFrame, dictionary: bytes) -> DataFrame:
-    """key, start (ids before the document), ids (little-endian unsigned 32-bit) of every document, from the shard files."""
+def read_tokens(manifest: DataFrame, dictionary: bytes, key: str = "key", digest: bool = False) -> DataFrame:
+    """key, start (ids before the document), ids (little-endian unsigned 32-bit) of every document, from the shard files.
+
+    digest: n_tokens and ids_crc32 in place of the ids, taken by the worker that reads them.
+    """
 
     def read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -182,25 +196,20 @@ def read_tokens(manifest: DataFrame, dictionary: bytes) -> DataFrame:
                 for lo in range(0, len(shard), 512):
                     hi = min(len(shard), lo + 512)
                     keys = [None if k == np.iinfo(np.int64).min else k for k in shard.keys[lo:hi].tolist()]
-                    yield pa.record_batch({"key": pa.array(keys, pa.int64()), "start": pa.array(starts[lo:hi], pa.int64()), "ids": pa.array([shard.ids(i).tobytes() for i in range(lo, hi)], pa.binary())})
+                    ids = (shard.ids(i).tobytes() for i in range(lo, hi))
+                    if digest:
+                        n, crc = zip(*((len(x) // 4, zlib.crc32(x)) for x in ids), strict=True)
+                        what = {"n_tokens": pa.array(n, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())}
+                    else:
+                        what = {"ids": pa.array(list(ids), pa.binary())}
+                    yield pa.record_batch({key: pa.array(keys, pa.int64()), "start": pa.array(starts[lo:hi], pa.int64()), **what})
 
     n = max(1, manifest.count())
-    return manifest.repartition(n).mapInArrow(read, "key long, start long, ids binary")
-
-
-def digests(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, start, n_tokens, ids_crc32 of documents read back."""
-
-    def crc(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            ids = b.column("ids").to_pylist()
-            yield pa.record_batch({key: b.column("key"), "start": b.column("start"), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids_crc32": pa.array([zlib.crc32(x) for x in ids], pa.int64())})
-
-    return tokens.mapInArrow(crc, f"{key} long, start long, n_tokens long, ids_crc32 long")
+    return manifest.repartition(n).mapInArrow(read, f"{key} long, start long, " + ("n_tokens long, ids_crc32 long" if digest else "ids binary"))
 
 
 def token_binary(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None) -> DataFrame:
     """Write docs as token shards and return what reads back: doc_id, start, n_tokens, ids_crc32."""
     spark: SparkSession = docs.sparkSession
     manifest, dictionary = write_tokens(docs, folder or scratch(spark, "tokens"), tokenizer, end_id)
-    return digests(read_tokens(manifest, dictionary))
+    return read_tokens(manifest, dictionary, "doc_id", digest=True)

@@ -13,11 +13,12 @@ import pytest
 import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from seqlake.llm import chroma, fingerprints, katz, near_dup, packing, pii, quality, repeats, tokens
 from seqlake.llm import sentencepiece_ids as spi
 from seqlake.llm import token_binary as tb
-from seqlake.llm.common import Words, window_hash
+from seqlake.llm.common import Words, equal_spans, lanes, span_hash, window_hash
 
 from . import brute
 
@@ -89,11 +90,13 @@ def test_token_shards_read_back(spark, table, tmp_path):
     docs = frame(spark, table)
     folder = f"file://{tmp_path}/t"
     manifest, dictionary = tb.write_tokens(docs, folder, WORD, 1)
-    got = by_id(tb.digests(tb.read_tokens(manifest, dictionary)))
-    enc, start = tokens.encoder(WORD).tok, 0
+    got = by_id(tb.read_tokens(manifest, dictionary, "doc_id", digest=True))
+    whole = by_id(tb.read_tokens(manifest, dictionary), "key")
+    enc, start = Tokenizer.from_file(WORD), 0
     for i, t in sorted(table):
         ids = np.array([*enc.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
         assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes()))
+        assert whole[i].ids == ids.tobytes() and whole[i].start == start
         start += len(ids)
     shard = tb.ShardReader(manifest.orderBy("shard").first().path, dictionary)
     first = sorted(table)[0][1]
@@ -379,7 +382,7 @@ def test_dominance_never_costs_a_sequence(items):
 
 def test_packing_a_table(spark, table):
     got = packing.pack(frame(spark, table + [(7777, "again " * 900)]), BYTE, 2, 256).collect()
-    enc, want = tokens.encoder(BYTE).tok, []
+    enc, want = Tokenizer.from_file(BYTE), []
     for i, t in table + [(7777, "again " * 900)]:
         ids = np.array([*enc.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
         want += [(i, k, a, n, zlib.crc32(ids[a : a + n].tobytes())) for k, (a, n) in enumerate(packing.cut(len(ids), 256))]

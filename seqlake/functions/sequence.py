@@ -1,9 +1,14 @@
-"""Column expressions over nucleotide sequences: all stay in the JVM's generated code."""
+"""Nucleotide sequences: column expressions that stay in the JVM's generated code, and k-mers as strings or as two-bit codes."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Nucleotide codes and their complements, in both cases.
 CODES = "ACGTUMRWSYKVHDBNacgtumrwsykvhdbn"
@@ -17,12 +22,102 @@ def revcomp(seq: Column) -> Column:
     return F.reverse(F.translate(seq, CODES, COMPLEMENTS))
 
 
-def kmers(df: DataFrame, k: int, seq: str = "seq", drop_last: bool = False) -> DataFrame:
-    """A row (pos, kmer) for every position of seq (P2); drop_last leaves out the last one (P3). Shorter sequences have none."""
-    last = F.length(seq) - (k if drop_last else k - 1)
-    at = F.explode(F.sequence(F.lit(1), last)).alias("pos")
+#: Letters of a slice. A substring is found by walking from the start, so k-mers are taken within short slices.
+SLICE = 128
+
+
+def slices(df: DataFrame, k: int, seq: str = "seq") -> DataFrame:
+    """Rows (first, part): pieces of seq whose k-mers, all pieces together, are those of seq; first is the place before a piece.
+
+    One pass of a pattern cuts the sequence, and each piece takes the k - 1 letters that follow it: time is linear in the length.
+    """
+    size, rest = max(SLICE, k), [c for c in df.columns if c != seq]
+    x = df.where(F.length(seq) >= k).select(*rest, F.regexp_extract_all(F.col(seq), F.lit(f"(?s).{{1,{size}}}"), F.lit(0)).alias("_p"))
+    joined = F.transform("_p", lambda p, i: F.concat(p, F.coalesce(F.substring(F.get(F.col("_p"), i + 1), 1, k - 1), F.lit(""))))
+    x = x.select(*rest, F.posexplode(joined).alias("_i", "part"))
+    return x.where(F.length("part") >= k).select(*rest, (F.col("_i").cast("long") * size).alias("first"), "part")
+
+
+def kmers(df: DataFrame, k: int, seq: str = "seq", drop_last: bool = False, strand: str = "given") -> DataFrame:
+    """A row (pos, kmer) for every position of seq (P2); drop_last leaves out the last one (P3). Shorter sequences have none.
+
+    strand: given, both (a row more for each reverse complement, P4) or canonical (the smaller of the two, P5)."""
+    rest = [c for c in df.columns if c != seq]
+    if drop_last:
+        df = df.withColumn(seq, F.substring(F.col(seq), F.lit(1), F.length(seq) - 1))
+    x = slices(df, k, seq)
+    n = F.length("part") - (k - 1)
+    own = F.substring(F.col("part"), F.col("_j"), F.lit(k))
+    if strand != "given":  # a slice is turned round once, and its k-mers are read from the other end
+        x = x.withColumn("_back", revcomp(F.col("part")))
+    x = x.select(*x.columns, F.explode(F.sequence(F.lit(1), n)).alias("_j"), n.alias("_n"))
+    if strand != "given":
+        other = F.substring(F.col("_back"), F.col("_n") + 1 - F.col("_j"), F.lit(k))
+        own = F.least(own, other) if strand == "canonical" else F.explode(F.array(own, other))
+    return x.select(*rest, (F.col("first") + F.col("_j")).alias("pos"), own.alias("kmer"))
+
+
+#: Two-bit digits by byte (4: no base), and the largest k that fits a long.
+_DIGIT = np.full(256, 4, np.uint8)
+_DIGIT[np.frombuffer(BASES.encode(), np.uint8)] = _DIGIT[np.frombuffer(BASES.lower().encode(), np.uint8)] = range(4)
+MOST_K = 31
+
+
+def codes_of(text: bytes, k: int, strand: str = "given") -> np.ndarray:
+    """Two-bit codes (`encode`) of the k-mers of text that are all ACGT; canonical is the one whose letters sort first."""
+    d = _DIGIT[np.frombuffer(text, np.uint8)]
+    n = len(d) - k + 1
+    if n < 1:
+        return np.zeros(0, np.int64)
+
+    def windows(x: np.ndarray) -> np.ndarray:
+        """x[i], ..., x[i + k - 1] as one number, for every i, by doubling."""
+        out, have, width = np.zeros(n, np.uint64), 0, 1
+        power = x.astype(np.uint64)  # codes of `width` digits from each place
+        for bit in range(k.bit_length()):
+            if k >> bit & 1:
+                out = (out << np.uint64(2 * width)) | power[have : have + n]
+                have += width
+            power = (power[: len(power) - width] << np.uint64(2 * width)) | power[width:]
+            width *= 2
+        return out
+
+    bad = np.concatenate(([0], np.cumsum(d == 4)))
+    good = np.flatnonzero(bad[k:] == bad[:-k])
+    own = windows(d & 3)
+    if strand != "given":
+        # digits A 0, G 1, C 2, T 3: the complement of x is 3 - x. Letters sort as A, C, G, T
+        other = windows((3 - (d & 3))[::-1])[::-1]
+        if strand == "both":
+            return np.concatenate((own[good], other[good])).astype(np.int64)
+        swap = np.array([0, 2, 1, 3], np.uint8)
+        first, second = windows(swap[d & 3]), windows(swap[3 - (d & 3)][::-1])[::-1]
+        own = np.where(first <= second, own, other)
+    return own[good].astype(np.int64)
+
+
+def kmer_codes(df: DataFrame, k: int, seq: str = "seq", drop_last: bool = False, strand: str = "given") -> DataFrame:
+    """A row (kmer) for every ACGT k-mer of seq, as a long (`encode`): eight bytes to shuffle in place of k. k up to 31.
+
+    Codes of a whole sequence are computed at once, in time linear in its length, and leave it in bounded batches."""
+    if k > MOST_K:
+        raise ValueError(f"k-mers of more than {MOST_K} letters don't fit a long")
     rest = [c for c in df.columns if c != seq]
-    return df.where(last >= 1).select(*rest, seq, at).select(*rest, F.col("pos").cast("long").alias("pos"), F.substring(F.col(seq), F.col("pos"), F.lit(k)).alias("kmer"))
+    fields = [f for f in df.schema.fields if f.name != seq]
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            got = []
+            for t in b.column(seq).to_pylist():
+                t = (t or "").encode("latin-1", "replace")
+                got.append(codes_of(t[:-1] if drop_last else t, k, strand))
+            n = np.array([len(x) for x in got])
+            codes, row = np.concatenate(got) if got else np.zeros(0, np.int64), np.repeat(np.arange(len(got)), n)
+            for i in range(0, len(codes), 1 << 18):
+                part = pa.array(row[i : i + (1 << 18)])
+                yield pa.record_batch([*(b.column(c).take(part) for c in rest), pa.array(codes[i : i + (1 << 18)])], names=[*rest, "kmer"])
+
+    return df.select(*rest, F.col(seq)).mapInArrow(run, T.StructType([*fields, T.StructField("kmer", T.LongType())]))
 
 
 def both_strands(df: DataFrame, kmer: str = "kmer") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,15 +48,14 @@ def exist_evidence(abundance: Column, coverage: Column) -> Column:
 
 
 def binomial_tail(n: Column, least: Column, p: float = 0.005) -> Column:
-    """P(X >= least) for X ~ Bin(n, p), by the recurrence of its terms (M2)."""
-    term0 = F.struct(F.pow(F.lit(1 - p), n).alias("t"), F.lit(0.0).alias("s"))
-    ratio = p / (1 - p)
+    """P(X >= least) for X ~ Bin(n, p), by the recurrence of the logarithms of its terms, which no n makes vanish (M2)."""
+    ratio = math.log(p / (1 - p))
     step = F.aggregate(
         F.sequence(F.lit(0), F.greatest(least - 1, F.lit(0))),
-        term0,
-        lambda a, i: F.struct((a["t"] * (n - i) / (i + 1) * ratio).alias("t"), (a["s"] + a["t"]).alias("s")),
+        F.struct((n * math.log1p(-p)).cast("double").alias("t"), F.lit(0.0).alias("s")),
+        lambda a, i: F.struct((a["t"] + F.log(F.greatest(n - i, F.lit(0)) / (i + 1)) + ratio).alias("t"), (a["s"] + F.exp(a["t"])).alias("s")),
     )
-    return F.when(least <= 0, F.lit(1.0)).otherwise(1 - step["s"])
+    return F.when(least <= 0, F.lit(1.0)).when(least > n, F.lit(0.0)).otherwise(F.greatest(1 - step["s"], F.lit(0.0)))
 
 
 def keep_both(x: Column, y: Column) -> Column:

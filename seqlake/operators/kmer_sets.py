@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import discard, staged
+
 
 def multiplicity(occurrences: DataFrame, by: str = "cluster") -> DataFrame:
     """How often each k-mer occurs in each cluster, every occurrence counted (A1)."""
@@ -51,11 +53,20 @@ def discriminating(inc: DataFrame, n_strains: int) -> DataFrame:
     return inc.groupBy("kmer").agg(F.countDistinct("strain").alias("n_strains")).where((F.col("n_strains") > 1) & (F.col("n_strains") < n_strains))
 
 
-def block_kinds(blocks: DataFrame, n_strains: int, share: float = 1.0) -> DataFrame:
-    """global or partial for each block; of the partial ones, the share with the fewest strains is used (A9). blocks: block, strain."""
-    n = blocks.groupBy("block").agg(F.countDistinct("strain").alias("n_strains")).withColumn("kind", F.when(F.col("n_strains") == n_strains, "global").otherwise("partial"))
-    rank = F.row_number().over(Window.partitionBy("kind").orderBy("n_strains", "block"))
-    many = F.count("*").over(Window.partitionBy("kind"))
+def block_kinds(blocks: DataFrame, n_strains: int | Column, share: float = 1.0, by: str | None = None) -> DataFrame:
+    """global or partial for each block; of the partial ones, the share with the fewest strains is used (A9). blocks: block, strain
+    and (by, and what n_strains names) a group in which blocks compete."""
+    all_ = F.max(n_strains if isinstance(n_strains, Column) else F.lit(n_strains))
+    n = blocks.groupBy("block", *([by] if by else [])).agg(F.countDistinct("strain").alias("n_strains"), all_.alias("_all"))
+    n = n.withColumn("kind", F.when(F.col("n_strains") == F.col("_all"), "global").otherwise("partial"))
+    group = [*([by] if by else []), "kind"]
+    # few strains are a few values: ranks among blocks of equal size are found apart, so that a kind need not sort in one task
+    rank = F.row_number().over(Window.partitionBy(*group, "n_strains").orderBy("block"))
+    sizes = n.groupBy(*group, "n_strains").agg(F.count("*").alias("_m"))
+    w = Window.partitionBy(*group)
+    sizes = sizes.select(*group, "n_strains", (F.sum("_m").over(w.orderBy("n_strains")) - F.col("_m")).alias("_before"), F.sum("_m").over(w).alias("_many"))
+    n = n.withColumn("_rank", rank).join(sizes, [*group, "n_strains"])
+    rank, many = F.col("_rank") + F.col("_before"), F.col("_many")
     return n.select("block", "n_strains", "kind", ((F.col("kind") == "global") | (rank <= F.floor(share * many))).alias("used"))
 
 
@@ -64,17 +75,69 @@ def patterns(inc: DataFrame) -> DataFrame:
     return incidence(inc).groupBy(F.col("strains").alias("pattern")).agg(F.count("*").alias("n_kmers"))
 
 
+def union(a: DataFrame, b: DataFrame) -> DataFrame:
+    """K-mers of either."""
+    return a.select("kmer").unionByName(b.select("kmer")).distinct()
+
+
+def intersection(a: DataFrame, b: DataFrame) -> DataFrame:
+    """K-mers of both."""
+    return a.select("kmer").intersect(b.select("kmer"))
+
+
+def chunked(df: DataFrame, by: str, order: str, n: int) -> DataFrame:
+    """Rows of each `by` dealt to n chunks of equal size, in an order (P13): chunk counts from 1."""
+    return df.withColumn("chunk", F.ntile(n).over(Window.partitionBy(by).orderBy(order)).cast("long"))
+
+
+def total_frequency(inc: DataFrame, by: str = "strain") -> DataFrame:
+    """(by, total): counts of all its k-mers."""
+    return inc.groupBy(by).agg(F.sum("cnt").alias("total"))
+
+
+def long_blocks(parts: DataFrame, least: int = 50) -> DataFrame:
+    """(block, n, longest): blocks of at least two strains with a part of at least `least` letters (F15). parts: block, strain, length."""
+    x = parts.groupBy("block").agg(F.count("*").alias("n"), F.max("length").alias("longest"), F.countDistinct("strain").alias("strains"))
+    return x.where((F.col("longest") >= least) & (F.col("strains") >= 2)).drop("strains")
+
+
+def snp_columns(cells: DataFrame, gaps: float = 0.1, gap: str = "N") -> DataFrame:
+    """(col, n): columns of aligned rows with few gaps and more than one base (F16). cells: col, base, a row for each sequence."""
+    base = F.col("base")
+    x = cells.groupBy("col").agg(F.count("*").alias("n"), F.count_if(base == gap).alias("gaps"), F.countDistinct(F.when(base != gap, base)).alias("kinds"))
+    return x.where((F.col("gaps") <= F.floor(gaps * F.col("n"))) & (F.col("kinds") > 1)).select("col", "n")
+
+
 # ---------------------------------------------------------------- tree
+def depths(nodes: DataFrame) -> DataFrame:
+    """(id, depth), the root at 0."""
+    return closure(nodes).groupBy(F.col("node").alias("id")).agg(F.max("up").cast("long").alias("depth"))
+
+
+def paths(nodes: DataFrame) -> DataFrame:
+    """(id, path): ids from the root down to each node, joined by slashes."""
+    steps = F.array_sort(F.collect_list(F.struct((-F.col("up")).alias("o"), F.col("ancestor").cast("string").alias("a"))))
+    return closure(nodes).groupBy(F.col("node").alias("id")).agg(F.array_join(F.transform(steps, lambda x: x["a"]), "/").alias("path"))
+
+
 def closure(nodes: DataFrame) -> DataFrame:
-    """(node, ancestor, up): every node with itself and all nodes above it (J9). nodes: id, parent (null at the root)."""
-    spark, name = nodes.sparkSession, f"closure_nodes_{abs(hash(nodes.semanticHash()))}"
-    nodes.createOrReplaceTempView(name)
-    return spark.sql(f"""
-        WITH RECURSIVE up(node, ancestor, up) MAX RECURSION LEVEL 1000 AS (
-            SELECT id, id, 0 FROM {name}
-            UNION ALL
-            SELECT u.node, n.parent, u.up + 1 FROM up u JOIN {name} n ON u.ancestor = n.id WHERE n.parent IS NOT NULL)
-        SELECT node, ancestor, up FROM up""")
+    """(node, ancestor, up): every node with itself and all nodes above it (J9). nodes: id, parent (null at the root).
+
+    Pointers are doubled: after round i all ancestors up to 2^i above are known, so rounds grow with the logarithm of the depth."""
+    spark = nodes.sparkSession
+    hop, at_hop = staged(nodes.where("parent is not null").select(F.col("id").alias("node"), F.col("parent").alias("ancestor")), "hops")
+    known, at = staged(nodes.select(F.col("id").alias("node"), F.col("id").alias("ancestor"), F.lit(0).alias("up")), "closure")
+    step = 1
+    while not hop.isEmpty():
+        mid = hop.withColumnRenamed("ancestor", "mid")
+        further = mid.join(known.select(F.col("node").alias("mid"), "ancestor", "up"), "mid").select("node", "ancestor", (F.col("up") + step).alias("up"))
+        known, new_at = staged(known.unionByName(further), "closure")
+        hop, new_hop = staged(mid.join(hop.select(F.col("node").alias("mid"), "ancestor"), "mid").select("node", "ancestor"), "hops")
+        discard(spark, at, at_hop)
+        at, at_hop, step = new_at, new_hop, 2 * step
+        if step > 1 << 40:
+            raise ValueError("a node is above itself")
+    return known
 
 
 def siblings(nodes: DataFrame) -> DataFrame:

@@ -72,8 +72,13 @@ def accepted(weighted: DataFrame, cutoff: float) -> DataFrame:
 
 
 def share(value: Column, *by: str) -> Column:
-    """A13, M12."""
-    return value / F.sum(value).over(Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1)))
+    """Share of a value within its group."""
+    return value / F.sum(value).over(Window.partitionBy(*by))
+
+
+def shares(df: DataFrame, value: str, name: str) -> DataFrame:
+    """df with the share of a value in the sum of all rows (A13): one aggregate and a row that is broadcast, no window of one task."""
+    return df.join(F.broadcast(df.agg(F.sum(value).alias("_whole")))).withColumn(name, F.col(value) / F.col("_whole")).drop("_whole")
 
 
 def geometric_scores(metrics: DataFrame, paths: DataFrame) -> DataFrame:

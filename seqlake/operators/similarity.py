@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import discard, staged
 from .kmer_sets import patterns
 
 
@@ -21,13 +25,31 @@ def shared(inc: DataFrame, key: str = "strain") -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.sum("n_kmers").alias("shared"))
 
 
-def jaccard(inc: DataFrame, key: str = "strain") -> DataFrame:
-    """(a, b, shared, jaccard) of all pairs with a common k-mer, exact."""
+def jaccard(inc: DataFrame, key: str = "strain", least: float = 0.0) -> DataFrame:
+    """(a, b, shared, jaccard) of all pairs with a common k-mer, exact (J5), or of those that reach `least` only.
+
+    With a least similarity, a strain puts forward only its rarest k-mers: two sets that reach it share one of the
+    n - ceil(least * n) + 1 first of each in any common order. So common k-mers are never paired; the pairs found are
+    then counted on the whole sets."""
     inc = inc.select(F.col(key).alias("strain"), "kmer").distinct()
     n = inc.groupBy("strain").agg(F.count("*").alias("n"))
-    s = shared(inc)
-    s = s.join(n.select(F.col("strain").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("strain").alias("b"), F.col("n").alias("nb")), "b")
-    return s.select("a", "b", "shared", (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("jaccard"))
+    if least > 0:
+        freq = inc.groupBy("kmer").agg(F.count("*").alias("f")).where("f > 1")
+        rank = F.row_number().over(Window.partitionBy("strain").orderBy("f", "kmer"))
+        many = inc.join(freq, "kmer").withColumn("rank", rank).join(n, "strain")
+        # k-mers of one strain alone come first in the order and pair with none: they count as ranks that are used up
+        alone = many.groupBy("strain").agg((F.first("n") - F.count("*")).alias("alone"))
+        head = many.join(alone, "strain").where(F.col("rank") + F.col("alone") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1)
+        pairs = shared(head.select("strain", "kmer")).select("a", "b")
+        pairs = pairs.join(n.select(F.col("strain").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("strain").alias("b"), F.col("n").alias("nb")), "b")
+        pairs = pairs.where(F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9)
+        both = pairs.join(inc.withColumnRenamed("strain", "a"), "a").join(inc.withColumnRenamed("strain", "b"), ["b", "kmer"])
+        s = both.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
+    else:
+        s = shared(inc)
+        s = s.join(n.select(F.col("strain").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("strain").alias("b"), F.col("n").alias("nb")), "b")
+    out = s.select("a", "b", "shared", (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("jaccard"))
+    return out.where(F.col("jaccard") >= least) if least > 0 else out
 
 
 def jaccard_sketched(inc: DataFrame, pairs: DataFrame, lg_k: int = 12) -> DataFrame:
@@ -44,26 +66,25 @@ def nearest_neighbour(pairs: DataFrame) -> DataFrame:
     return both.groupBy("a").agg(best).select("a", F.col("m.b").alias("b"), F.col("m.similarity").alias("similarity"))
 
 
-def single_linkage(items: DataFrame, pairs: DataFrame, least: float = 0.95, checkpoint=None) -> DataFrame:
+def single_linkage(items: DataFrame, pairs: DataFrame, least: float = 0.95) -> DataFrame:
     """(strain, cluster) by single linkage at a similarity: components of the pairs that reach it, named by their smallest item.
 
     Labels take the smallest neighbour's label and then jump to its label, so rounds grow with the logarithm of a chain. Each
-    round is cut from its lineage by checkpoint() in the shared folder."""
+    round is a table of the shared folder, and the one before it is deleted."""
     spark = items.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
     e = pairs.where(F.col("similarity") >= least).select("a", "b")
-    e = e.union(e.select("b", "a")).checkpoint()
-    label = items.select("strain", F.col("strain").alias("cluster")).checkpoint()
+    e, at_edges = staged(e.union(e.select("b", "a")), "edges")
+    label, at = staged(items.select("strain", F.col("strain").alias("cluster")), "labels")
     while True:
         near = e.join(label.select(F.col("strain").alias("b"), "cluster"), "b").groupBy("a").agg(F.min("cluster").alias("near"))
         step = label.join(near, F.col("strain") == F.col("a"), "left").select("strain", F.col("cluster").alias("was"), F.least("cluster", F.coalesce("near", "cluster")).alias("mid"))
         jump = step.join(label.select(F.col("strain").alias("mid"), F.col("cluster").alias("beyond")), "mid")
-        new = jump.select("strain", "was", F.least("mid", "beyond").alias("cluster")).checkpoint()
-        label = new.select("strain", "cluster")
-        if new.where("was <> cluster").isEmpty():
+        new, new_at = staged(jump.select("strain", "was", F.least("mid", "beyond").alias("cluster")), "labels")
+        done = new.where("was <> cluster").isEmpty()
+        discard(spark, at)
+        label, at = new.select("strain", "cluster"), new_at
+        if done:
+            discard(spark, at_edges)
             return label
 
 
@@ -89,6 +110,7 @@ def complete_linkage(items: DataFrame, pairs: DataFrame, least: float = 0.99) ->
     spans two. Missing pairs have similarity 0."""
     comp = single_linkage(items, pairs, least)
     inner = pairs.where(F.col("similarity") >= least).join(comp.select(F.col("strain").alias("a"), "cluster"), "a").select("cluster", "a", "b", "similarity")
+    # bounded by the largest single-linkage component at the same similarity: 8 bytes for each pair of its members
     alone = comp.select("cluster", F.col("strain").alias("a"), F.col("strain").alias("b"), F.lit(1.0).alias("similarity"))
 
     def cut(g: pd.DataFrame) -> pd.DataFrame:
@@ -131,11 +153,23 @@ def reassigned(cluster: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFra
 
 
 def hamming(inc: DataFrame) -> DataFrame:
-    """(a, b, distance): k-mers in which two strains differ, over the k-mers of a (A23), from patterns."""
+    """(a, b, distance, back): k-mers in which two strains differ, over the k-mers of a, and over those of b (A23), from patterns."""
     n = inc.groupBy("strain").agg(F.countDistinct("kmer").alias("n"))
     s = shared(inc.distinct())
     s = s.join(n.select(F.col("strain").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("strain").alias("b"), F.col("n").alias("nb")), "b")
-    return s.select("a", "b", ((F.col("na") + F.col("nb") - 2 * F.col("shared")) / F.col("na")).alias("distance"))
+    differ = F.col("na") + F.col("nb") - 2 * F.col("shared")
+    return s.select("a", "b", (differ / F.col("na")).alias("distance"), (differ / F.col("nb")).alias("back"))
+
+
+def near_identical(inc: DataFrame, most: float = 0.01) -> DataFrame:
+    """(cluster, strain, rep): strains of a cluster whose k-mers differ by at most a share of the later one's, grouped by complete
+    linkage (C3), and the member with the most k-mers (T4). inc: cluster, strain, kmer, of strains that have one cluster each."""
+    own = inc.select("strain", F.struct("cluster", "kmer").alias("kmer")).distinct()
+    pairs = hamming(own).select("a", "b", (1 - F.col("back")).alias("similarity"))
+    group = complete_linkage(own.select("strain").distinct(), pairs, 1 - most)
+    reps = largest_member(group, own.groupBy("strain").agg(F.count("*").alias("n"))).select("cluster", "rep")
+    of = inc.select("cluster", "strain").distinct()
+    return of.join(group.join(reps, "cluster").select("strain", "rep"), "strain").select("cluster", "strain", "rep")
 
 
 def largest_member(cluster: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -152,6 +186,36 @@ def overlap_matrix(inc: DataFrame, cluster: DataFrame) -> DataFrame:
     return x.select("cluster", "kmer", F.explode("cs").alias("other_cluster")).where("cluster <> other_cluster")
 
 
+def spanning_forest(pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b, similarity) that single linkage needs: every partition keeps the edges of its own maximum spanning forest,
+    as the forest of all pairs is the forest of those forests. At most one row a cluster and partition is left."""
+
+    def forest(rows: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.setdefault(x, x) != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        kept = []
+        for a, b, s in sorted(rows, key=lambda r: (-r[2], r[0], r[1])):
+            x, y = find(a), find(b)
+            if x != y:
+                root[y] = x
+                kept.append((a, b, s))
+        return kept
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[tuple[int, int, float]] = []
+        for b in it:
+            kept = forest(kept + list(zip(*(b.column(c).to_pylist() for c in ("a", "b", "similarity")), strict=True)))
+        c = list(zip(*kept, strict=True)) or [[]] * 3
+        yield pa.record_batch([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.float64())], names=["a", "b", "similarity"])
+
+    return pairs.select(F.col("a").cast("long"), F.col("b").cast("long"), F.col("similarity").cast("double")).mapInArrow(run, "a long, b long, similarity double")
+
+
 def dendrogram(clusters: list[int], pairs: list[tuple[int, int, float]]) -> list[tuple[int, int | None]]:
     """(id, parent) of the binary tree of single linkage (C4): clusters joined by falling similarity, new ids counted up from the largest.
 

@@ -50,7 +50,16 @@ class Found:
 
 def noise_probability(n: int, least: int, p: float = 0.005) -> float:
     """P(X >= least), X ~ Bin(n, p) (M2)."""
-    return 1 - sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(least))
+    if least > n:
+        return 0.0
+    log = lambda i: math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)
+    if least <= n * p:
+        return 1 - math.fsum(math.exp(log(i)) for i in range(least))
+    terms, i = [], least  # beyond the mean they fall faster than a geometric series
+    while i <= n and (not terms or terms[-1] > 1e-18 * terms[0]):
+        terms.append(math.exp(log(i)))
+        i += 1
+    return math.fsum(terms)
 
 
 def poisson_quantiles(mean: float, n: int) -> list[int]:

@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.sequence import both_strands, canonical, kmers, only_acgt
+from ..functions.sequence import MOST_K, kmer_codes, kmers, only_acgt
+from ..functions.stats import category
+from ..operators import blocks as bl
 from ..operators import dominance, kmer_sets, profiles, reports, similarity, tree_search
+from ..runtime import discard, stage, staged
 
 
 @dataclass(frozen=True)
 class BuildConfig:
-    """Settings of a build. strand: both keeps a k-mer and its reverse complement, canonical the smaller of them."""
+    """Settings of a build. strand: both keeps a k-mer and its reverse complement, canonical the smaller of them.
+
+    unique_cap: most k-mers that only one strain of a cluster has, a strain (A6). share: part of the partial blocks that is
+    used (A9). recluster: distance up to which strains of a cluster count as one (C3). memory: thresholds of the memory mode
+    (F18), which overlap matrices with canonical k-mers go with (J8)."""
 
     k: int = 31
     alpha: float = 0.8
@@ -24,15 +31,24 @@ class BuildConfig:
     similarity: float = 0.95
     strand: str = "canonical"
     drop_last: bool = False
+    share: float = 1.0
+    recluster: float = 0.01
+    memory: bool = False
+
+    @property
+    def least(self) -> int:
+        """K-mers below which a node is weak, and from which on a corrected node stands for itself (M3)."""
+        return self.mink // 2 if self.memory else self.mink
 
 
-#: Tables of an index; any of them may be empty.
+#: Tables of an index; any of them may be empty. K-mers of up to 31 letters are two-bit codes (longs).
 SCHEMAS = {
     "cluster": "cluster long, strain long",
     "node": "id long, parent long, is_leaf boolean, length long, rebuilt boolean",
     "node_kmer": "kmer string, node long",
     "l2": "strain long, kmer string, cluster long",
     "cluster_kmer": "cluster long, kmer string",
+    "twin": "cluster long, strain long, rep long",
 }
 
 
@@ -41,33 +57,39 @@ class Index:
     cluster: DataFrame  # cluster, strain
     node: DataFrame  # id, parent, is_leaf, length, rebuilt
     node_kmer: DataFrame  # node, kmer
-    l2: DataFrame  # cluster, strain, kmer
+    l2: DataFrame  # cluster, strain, kmer: of one strain for each group of twins
     cluster_kmer: DataFrame  # cluster, kmer
     config: BuildConfig
+    twin: DataFrame | None = None  # cluster, strain, rep: strains that l2 does not tell apart
 
     def write(self, path: str) -> None:
+        spark = self.cluster.sparkSession
         self.cluster.write.parquet(f"{path}/cluster")
         self.node.write.parquet(f"{path}/node")
-        self.node_kmer.write.partitionBy("node").parquet(f"{path}/node_kmer")
-        self.l2.write.partitionBy("cluster").parquet(f"{path}/l2")
+        # a node has maxk k-mers at most: one file; a cluster has any number
+        self.node_kmer.repartition("node").write.partitionBy("node").parquet(f"{path}/node_kmer")
+        self.l2.repartition(F.col("cluster"), F.pmod(F.xxhash64("kmer"), F.lit(8))).write.partitionBy("cluster").parquet(f"{path}/l2")
         self.cluster_kmer.write.parquet(f"{path}/cluster_kmer")
-        self.cluster.sparkSession.createDataFrame([asdict(self.config)]).write.parquet(f"{path}/manifest")
+        (self.twin if self.twin is not None else spark.createDataFrame([], SCHEMAS["twin"])).write.parquet(f"{path}/twin")
+        spark.createDataFrame([asdict(self.config)]).write.parquet(f"{path}/manifest")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Index:
-        read = lambda t: spark.read.schema(SCHEMAS[t]).parquet(f"{path}/{t}")
-        return cls(*map(read, SCHEMAS), BuildConfig(**spark.read.parquet(f"{path}/manifest").first().asDict()))
+        cfg = BuildConfig(**spark.read.parquet(f"{path}/manifest").first().asDict())
+        read = lambda t: spark.read.schema(SCHEMAS[t].replace("kmer string", "kmer long" if cfg.k <= MOST_K else "kmer string")).parquet(f"{path}/{t}")
+        return cls(*map(read, list(SCHEMAS)[:5]), cfg, read("twin"))
 
 
 def occurrences(genomes: DataFrame, cfg: BuildConfig) -> DataFrame:
-    """(strain, kmer) of every position, upper-cased and ACGT only."""
-    x = kmers(genomes.select("strain", F.upper("seq").alias("seq")), cfg.k, drop_last=cfg.drop_last)
-    x = x.where(only_acgt(F.col("kmer"))).select("strain", "kmer")
-    return both_strands(x) if cfg.strand == "both" else x.withColumn("kmer", canonical(F.col("kmer")))
+    """(strain, kmer) of every position, upper-cased and ACGT only: two-bit codes where they fit a long."""
+    x = genomes.select("strain", F.upper("seq").alias("seq"))
+    if cfg.k <= MOST_K:
+        return kmer_codes(x, cfg.k, drop_last=cfg.drop_last, strand=cfg.strand)
+    return kmers(x, cfg.k, drop_last=cfg.drop_last, strand=cfg.strand).where(only_acgt(F.col("kmer"))).select("strain", "kmer")
 
 
 def cluster_genomes(inc: DataFrame, similarity_: float) -> DataFrame:
-    pairs = similarity.jaccard(inc).select("a", "b", F.col("jaccard").alias("similarity"))
+    pairs = similarity.jaccard(inc, least=similarity_).select("a", "b", F.col("jaccard").alias("similarity"))
     return similarity.single_linkage(inc.select("strain").distinct(), pairs, similarity_)
 
 
@@ -88,21 +110,22 @@ def repaired(mult: DataFrame, cluster: DataFrame, sims: DataFrame, cfg: BuildCon
         if best.isEmpty():
             return cluster
         merged = similarity.single_linkage(sizes.select(F.col("cluster").alias("strain")), best, 1.0).withColumnRenamed("cluster", "to")
-        cluster = cluster.join(merged.withColumnRenamed("strain", "cluster"), "cluster").select("strain", F.col("to").alias("cluster")).checkpoint()
+        cluster = stage(cluster.join(merged.withColumnRenamed("strain", "cluster"), "cluster").select("strain", F.col("to").alias("cluster")), "clusters")
 
 
-def build_index(genomes: DataFrame, cfg: BuildConfig = BuildConfig(), custom: DataFrame | None = None) -> Index:
-    """Index of genomes(strain long, seq). custom: cluster, strain in place of single linkage."""
+def build_index(genomes: DataFrame, cfg: BuildConfig = BuildConfig(), custom: DataFrame | None = None, blocks: DataFrame | None = None) -> Index:
+    """Index of genomes(strain long, seq). custom: cluster, strain in place of single linkage. blocks: block, strain, strand,
+    start, end of colinear blocks; without them every genome is a block of its own."""
     spark = genomes.sparkSession
-    mult = occurrences(genomes, cfg).groupBy("strain", "kmer").agg(F.count("*").alias("mult"))
+    mult, at_mult = staged(occurrences(genomes, cfg).groupBy("strain", "kmer").agg(F.count("*").alias("mult")), "mult")
     inc = mult.select("strain", "kmer")
-    sims = similarity.jaccard(inc).select("a", "b", F.col("jaccard").alias("similarity"))
+    sims, at_sims = staged(similarity.jaccard(inc).select("a", "b", F.col("jaccard").alias("similarity")), "similarity")
     cluster = custom if custom is not None else similarity.single_linkage(inc.select("strain").distinct(), sims, cfg.similarity)
-    cluster = repaired(mult, cluster, sims, cfg)
+    cluster = stage(repaired(mult, cluster, sims, cfg), "clusters")
     ids = sorted(r.cluster for r in cluster.select("cluster").distinct().collect())  # clusters: a small table
     near = sims.join(cluster.select(F.col("strain").alias("a"), F.col("cluster").alias("ca")), "a").join(cluster.select(F.col("strain").alias("b"), F.col("cluster").alias("cb")), "b").where("ca <> cb")
-    near = near.groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.max("similarity").alias("s"))
-    tree = similarity.dendrogram(ids, [(r.a, r.b, r.s) for r in near.collect()])
+    near = near.groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.max("similarity").alias("similarity"))
+    tree = similarity.dendrogram(ids, [(r.a, r.b, r.similarity) for r in similarity.spanning_forest(near).collect()])
     nodes = spark.createDataFrame([(i, p, i in set(ids)) for i, p in tree], "id long, parent long, is_leaf boolean")
     sizes = cluster.groupBy("cluster").agg(F.count("*").alias("n"))
     by = mult.join(cluster, "strain").groupBy("cluster", "kmer").agg(F.sum("mult").alias("mult"))
@@ -119,11 +142,30 @@ def build_index(genomes: DataFrame, cfg: BuildConfig = BuildConfig(), custom: Da
     node_kmer = node_kmer.join(short, "node", "left_anti").unionByName(new.select("node", "kmer"))
     length = node_kmer.groupBy(F.col("node").alias("id")).agg(F.count("*").alias("length"))
     node = nodes.join(length, "id", "left").join(short.select(F.col("node").alias("id"), F.lit(True).alias("rebuilt")), "id", "left").select("id", "parent", "is_leaf", F.coalesce("length", F.lit(0).cast("long")).alias("length"), F.coalesce("rebuilt", F.lit(False)).alias("rebuilt"))
-    # strains of a cluster are told apart by the k-mers that some but not all of them have
-    own = inc.join(cluster, "strain")
-    of = own.groupBy("cluster", "kmer").agg(F.count("*").alias("m")).join(sizes, "cluster").where("m < n").select("cluster", "kmer")
-    l2 = own.join(of, ["cluster", "kmer"]).select("cluster", "strain", "kmer")
-    return Index(cluster, node, node_kmer, l2, cluster_kmer.select("cluster", "kmer"), cfg)
+    l2, twin = strain_kmers(genomes, inc.join(cluster, "strain"), cluster, cfg, blocks)
+    out = Index(cluster, stage(node, "nodes"), stage(node_kmer, "node-kmers"), stage(l2, "strain-kmers"), stage(cluster_kmer.select("cluster", "kmer"), "cluster-kmers"), cfg, twin)
+    discard(spark, at_mult, at_sims)
+    return out
+
+
+def strain_kmers(genomes: DataFrame, own: DataFrame, cluster: DataFrame, cfg: BuildConfig, blocks: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(l2: cluster, strain, kmer; twin: cluster, strain, rep): the k-mers that tell the strains of a cluster apart.
+
+    They are those of one strain alone, up to a cap (A5, A6), and those of some but not all strains (A8), which with blocks
+    must lie in one block of all strains, or in a partial block and in no strain outside it (A7, A9). Strains that these
+    k-mers hardly tell apart are one, and the one with the most stays (A23, C3, T4)."""
+    n = cluster.groupBy("cluster").agg(F.count("*").alias("size"))
+    own = own.select("cluster", "strain", "kmer").distinct()
+    have = own.groupBy("cluster", "kmer").agg(F.count("*").alias("m"), F.min("strain").alias("only"))
+    unique = have.join(n, "cluster").where("m = 1 and size > 1").select("cluster", F.col("only").alias("strain"), "kmer")
+    unique = kmer_sets.capped(unique, "strain", cfg.unique_cap, F.col("kmer"))
+    if blocks is None:
+        some = have.join(n, "cluster").where("m > 1 and m < size").select("cluster", "kmer")
+    else:
+        some = bl.block_kmers(genomes, cluster, blocks, own, cfg.share, lambda g: occurrences(g, cfg))
+    l2, at = staged(unique.unionByName(own.join(some, ["cluster", "kmer"], "left_semi").select("cluster", "strain", "kmer")).distinct(), "l2")
+    twin = stage(similarity.near_identical(l2, cfg.recluster), "twins")
+    return l2.join(twin.select(F.col("rep").alias("strain")).distinct(), "strain", "left_semi").select("cluster", "strain", "kmer"), twin
 
 
 def counts_of(reads: DataFrame, cfg: BuildConfig) -> DataFrame:
@@ -132,8 +174,9 @@ def counts_of(reads: DataFrame, cfg: BuildConfig) -> DataFrame:
 
 def find_clusters(index: Index, counts: DataFrame, level: int = 0) -> list[tree_search.Found]:
     """L1: metrics of all nodes in one pass, then the walk; rebuilt nodes are corrected for accepted leaves when it comes to them."""
+    cfg = index.config
     metrics = {r.node: r for r in profiles.node_metrics(index.node_kmer, counts).collect()}  # one row a node
-    rows = index.node.collect()
+    rows = index.node.withColumn("category", category(F.col("length"), F.col("is_leaf"), F.col("rebuilt"), cfg.least, 3 * cfg.least, cfg.memory)).collect()
 
     def make() -> dict[int, tree_search.Node]:
         kids: dict[int, list[int]] = {}
@@ -142,41 +185,56 @@ def find_clusters(index: Index, counts: DataFrame, level: int = 0) -> list[tree_
                 kids.setdefault(r.parent, []).append(r.id)
         out = {}
         for r in rows:
-            small = 0 if r.length < index.config.mink else 1 if r.length < 3 * index.config.mink else 2
-            base = str(max(small, 1) if r.is_leaf else small)
             m = metrics.get(r.id)
-            out[r.id] = tree_search.Node(r.id, r.parent, tuple(sorted(kids.get(r.id, []))), f"o{base}" if r.rebuilt and base != "0" else base, r.length, m.cov if m else 0.0, m.ab if m else 0.0)
+            out[r.id] = tree_search.Node(r.id, r.parent, tuple(sorted(kids.get(r.id, []))), r.category, r.length, m.cov if m else 0.0, m.ab if m else 0.0)
         return out
 
     def correct(node: tree_search.Node, leaves: list[tree_search.Node]) -> tuple[str, int, float, float]:
         of = index.cluster_kmer.where(F.col("cluster").isin([n.id for n in leaves])).groupBy("kmer").agg(F.collect_set("cluster").alias("leaves"))
         x = profiles.probe(index.node_kmer.where(F.col("node") == node.id), counts).join(of, "kmer", "left").orderBy("kmer")
-        return tree_search.corrected([(r.cnt, frozenset(r.leaves or ())) for r in x.collect()], leaves, index.config.mink)  # maxk rows at most
+        return tree_search.corrected([(r.cnt, frozenset(r.leaves or ())) for r in x.collect()], leaves, cfg.least)  # maxk rows at most
 
     return tree_search.search(make, level, correct)
 
 
-def identify(index: Index, reads: DataFrame, level: int = 0, scan: dominance.ScanConfig = dominance.ScanConfig()) -> DataFrame:
-    """Report of the strains in reads(seq): id, cluster, strain, depth, relative_abundance."""
+@dataclass
+class Report:
+    """What identify says of a sample: strains of clusters of several (K1) and of one (K3), and all of them by their share (K2)."""
+
+    strains: DataFrame
+    singles: DataFrame
+    merged: DataFrame
+
+
+def report(index: Index, reads: DataFrame, level: int = 0, scan: dominance.ScanConfig = dominance.ScanConfig()) -> Report:
+    """Reports of the strains in reads(seq)."""
     spark = reads.sparkSession
-    counts = counts_of(reads, index.config).persist()
+    counts, at = staged(counts_of(reads, index.config), "counts")
     found = find_clusters(index, counts, level)
-    detected = spark.createDataFrame([(f.cluster, f.ab, f.cov) for f in found], "cluster long, cls_ab double, cls_cov double")
-    member = index.cluster.join(detected, "cluster")
+    detected = spark.createDataFrame([(f.cluster, f.ab, f.cov, f.covered, f.total) for f in found], "cluster long, cls_ab double, cls_cov double, cls_covered double, cls_total long")
+    member = index.cluster.join(F.broadcast(detected), "cluster")  # one row a cluster found
     size = index.cluster.groupBy("cluster").agg(F.count("*").alias("size"))
-    singles = member.join(size, "cluster").where("size = 1").select("cluster", "strain", F.col("cls_ab").alias("depth"))
+    single = member.join(size, "cluster").where("size = 1")
+    singles = reports.single_report(single.select("cluster", "strain", F.col("cls_ab").alias("depth"), F.col("cls_cov").alias("cov"), F.col("cls_covered").cast("long").alias("covered"), F.col("cls_total").alias("total")))
     l2 = index.l2.join(F.broadcast(detected.select("cluster")), "cluster", "left_semi")
     own = profiles.exclusive_counts(counts, index.cluster_kmer, detected.select("cluster"))
-    strains = reports.strain_report(dominance.detect(l2, counts, own, scan), detected.select("cluster", "cls_ab"))
-    return reports.merged_report(singles, strains)
+    strains = stage(reports.strain_report(dominance.detect(l2, counts, own, scan), detected.select("cluster", "cls_ab"), scan.is_extra), "strains")
+    singles = stage(singles, "singles")
+    discard(spark, at)
+    return Report(strains, singles, reports.merged_report(singles.select("cluster", "strain", "depth", "cov", "covered", "total"), strains))
+
+
+def identify(index: Index, reads: DataFrame, level: int = 0, scan: dominance.ScanConfig = dominance.ScanConfig()) -> DataFrame:
+    """Merged report of the strains in reads(seq): id, cluster, strain, depth, relative_abundance and what it rests on."""
+    return report(index, reads, level, scan).merged
 
 
-def cluster_probabilities(index: Index, counts: DataFrame) -> DataFrame:
-    """Low-depth ranking (M8): (cluster, probability, n_strains, strains)."""
+def cluster_probabilities(index: Index, counts: DataFrame, least: int = 1000) -> DataFrame:
+    """Low-depth ranking (M8): (cluster, probability, n_strains, strains), from nodes of at least `least` k-mers."""
     from ..functions.stats import log_scale
 
     m = profiles.node_metrics(index.node_kmer, counts)
-    x = m.select("node", F.when(F.col("length") >= 1000, log_scale(F.col("cov"))).alias("x"))
+    x = m.select("node", F.when(F.col("length") >= least, log_scale(F.col("cov"))).alias("x"))
     up = kmer_sets.closure(index.node.select("id", "parent"))
     paths = up.join(index.node.where("is_leaf").select(F.col("id").alias("node")), "node", "left_semi").select(F.col("node").alias("leaf"), F.col("ancestor").alias("node"))
     return reports.probability_report(profiles.geometric_scores(x, paths).select(F.col("leaf").alias("cluster"), F.col("score").alias("probability")), index.cluster)
@@ -184,12 +242,29 @@ def cluster_probabilities(index: Index, counts: DataFrame) -> DataFrame:
 
 def subsample(genomes: DataFrame, cfg: BuildConfig = BuildConfig(), least: float = 0.99) -> DataFrame:
     """(cluster, rep): one representative of each complete-linkage cluster at a similarity."""
-    inc = occurrences(genomes, cfg).distinct()
-    pairs = similarity.jaccard(inc).select("a", "b", F.col("jaccard").alias("similarity"))
-    cluster = similarity.complete_linkage(inc.select("strain").distinct(), pairs, least)
-    return similarity.medoids(cluster, pairs.select("a", "b", (1 - F.col("similarity")).alias("distance")))
+    inc, at = staged(occurrences(genomes, cfg).distinct(), "incidence")
+    pairs = stage(similarity.jaccard(inc, least=least).select("a", "b", F.col("jaccard").alias("similarity")), "similarity")
+    cluster = stage(similarity.complete_linkage(inc.select("strain").distinct(), pairs, least), "clusters")
+    out = stage(similarity.medoids(cluster, pairs.select("a", "b", (1 - F.col("similarity")).alias("distance"))), "representatives")
+    discard(genomes.sparkSession, at)
+    return out
 
 
 def short_contigs(genomes: DataFrame, clusters: DataFrame, below: int = 100_000) -> DataFrame:
     """Contigs of detected clusters that may be plasmids (F4, M15): the genomes of a second, smaller index (mink 500)."""
     return genomes.join(clusters, "strain", "left_semi").where(F.length("seq") < below)
+
+
+def plasmids(index: Index, reads: DataFrame, contigs: DataFrame | None = None, genomes: DataFrame | None = None, level: int = 0, below: int = 100_000, mink: int = 500) -> Report | None:
+    """Plasmids of the clusters of several strains that reads hold (M15): a second index of their short contigs (contigs: strain,
+    seq), or of genomes of the user's own, and a second search. None where there is nothing to index."""
+    if genomes is None:
+        found = index.cluster.sparkSession.createDataFrame([(f.cluster,) for f in find_clusters(index, counts_of(reads, index.config), level)], "cluster long")
+        size = index.cluster.groupBy("cluster").agg(F.count("*").alias("size")).where("size > 1")
+        wanted = index.cluster.join(found, "cluster", "left_semi").join(size, "cluster", "left_semi").select("strain")
+        genomes = short_contigs(contigs, wanted, below)
+    genomes = genomes.where(F.length("seq") >= index.config.k)
+    if genomes.isEmpty():
+        return None
+    second = build_index(genomes.select("strain", "seq"), replace(index.config, mink=mink))
+    return report(second, reads, level)

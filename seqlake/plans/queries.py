@@ -13,6 +13,7 @@ from ..operators import kmer_sets as ks
 from ..operators import profiles as pf
 from ..operators import reports as rp
 from ..operators import similarity as sm
+from ..runtime import stage
 from ..sources import readers, writers
 from . import views as v
 from .views import sql
@@ -108,35 +109,36 @@ def p3_kmers_drop_last(s, d):
 
 @query(sql("genome", f"+{KM} SELECT strain, 2 * count(*) AS n, min(least(kmer, reverse(translate(kmer,'ACGT','TGCA')))) AS least_kmer FROM km GROUP BY 1"))
 def p4_both_strands(s, d):
-    return S.both_strands(S.kmers(v.genome(s, d), K)).groupBy("strain").agg(F.count("*").alias("n"), F.min("kmer").alias("least_kmer"))
+    return S.kmers(v.genome(s, d), K, strand="both").groupBy("strain").agg(F.count("*").alias("n"), F.min("kmer").alias("least_kmer"))
 
 
 @query(sql("genome", f"+{KM} SELECT strain, max(CASE WHEN kmer < rc THEN kmer ELSE rc END) AS top, count(*) AS n FROM (SELECT strain, kmer, reverse(translate(kmer,'ACGT','TGCA')) AS rc FROM km) GROUP BY 1"))
 def p5_canonical(s, d):
-    x = S.kmers(v.genome(s, d), K).select("strain", S.canonical(F.col("kmer")).alias("kmer"))
-    return x.groupBy("strain").agg(F.max("kmer").alias("top"), F.count("*").alias("n"))
+    return S.kmers(v.genome(s, d), K, strand="canonical").groupBy("strain").agg(F.max("kmer").alias("top"), F.count("*").alias("n"))
 
 
-@query()
+CODE = f"list_sum(list_transform(range(1, {K + 1}), lambda x: (instr('AGCT', kmer[x]) - 1)::BIGINT << (2 * ({K} - x))))::BIGINT"
+
+
+@query(sql("genome", f"+{KM}, co AS (SELECT strain, pos, kmer, {CODE} AS code FROM km) SELECT strain, count(*) AS n, count(*) AS n_back, bit_xor(code) AS codes, min(code) AS least_code FROM co GROUP BY 1"))
 def p6_encode2bit(s, d):
-    """Every k-mer encoded and decoded: how many there are, how many come back, all codes' xor; and the first one."""
-    x = S.kmers(v.genome(s, d).withColumn("first", F.substring("seq", 1, K)), K).select("strain", "first", "kmer", S.encode(F.col("kmer")).alias("code"))
-    x = x.groupBy("strain", F.col("first").alias("kmer")).agg(F.count("*").alias("n"), F.count_if(F.col("kmer") == S.decode(F.col("code"), K)).alias("n_back"), F.bit_xor("code").alias("codes"))
-    x = x.withColumn("code", S.encode(F.col("kmer")))
-    return x.select("strain", "n", "n_back", "codes", "kmer", "code", S.decode(F.col("code"), K).alias("back"))
+    """Every k-mer encoded and decoded: how many there are, how many come back, and all codes' xor."""
+    x = S.kmers(v.genome(s, d), K).select("strain", "kmer", S.encode(F.col("kmer")).alias("code"))
+    return x.groupBy("strain").agg(F.count("*").alias("n"), F.count_if(F.col("kmer") == S.decode(F.col("code"), K)).alias("n_back"), F.bit_xor("code").alias("codes"), F.min("code").alias("least_code"))
 
 
-@query(sql("genome", "SELECT strain, CASE WHEN strain % 2 = 1 THEN reverse(translate(substr(seq, 11, 50),'ACGT','TGCA')) ELSE substr(seq, 11, 50) END AS part FROM genome"))
-def p7_block_sequence(s, d):
-    return v.genome(s, d).select("strain", S.block_sequence(F.col("seq"), F.lit(10), F.lit(60), F.when(F.col("strain") % 2 == 1, "-").otherwise("+")).alias("part"))
+@query(sql("genome", f"+{KM}, co AS (SELECT strain, {CODE} AS code FROM km) SELECT strain, count(*) AS n, bit_xor(code) AS codes FROM co GROUP BY 1"))
+def p6_codes(s, d):
+    """The same codes without the strings."""
+    return S.kmer_codes(v.genome(s, d), K).groupBy("strain").agg(F.count("*").alias("n"), F.bit_xor("kmer").alias("codes"))
 
 
-@query()
-def p7_whole_genomes(s, d):
+@query(sql("genome", "+b AS (SELECT strain, seq, unnest(range(0, length(seq), 50))::INT AS start FROM genome), c AS (SELECT strain, start, least(start + 50, length(seq))::INT AS \"end\", CASE WHEN (strain + start // 50) % 2 = 1 THEN '-' ELSE '+' END AS strand, substr(seq, start + 1, 50) AS part FROM b) SELECT strain, start, \"end\", strand, CASE strand WHEN '-' THEN reverse(translate(part,'ACGT','TGCA')) ELSE part END AS part FROM c"))
+def p7_block_sequence(s, d):
     """Whole genomes in blocks of 50, every other one turned round."""
-    x = v.genome(s, d).where("length(seq) > 0").select("strain", "seq", F.explode(F.sequence(F.lit(0), F.length("seq") - 1, F.lit(50))).alias("start"))
-    x = x.withColumn("end", F.least(F.col("start") + 50, F.length("seq"))).withColumn("strand", F.when((F.col("strain") + F.col("start") / 50) % 2 == 1, "-").otherwise("+"))
-    return x.select("strain", "start", "end", "strand", S.block_sequence(F.col("seq"), F.col("start"), F.col("end"), F.col("strand")).alias("part"))
+    x = v.genome(s, d).where("length(seq) > 0").select("strain", F.posexplode(F.regexp_extract_all(F.col("seq"), F.lit("(.{1,50})"))).alias("i", "seq"))
+    x = x.select("strain", "seq", (F.col("i") * 50).alias("start"), (F.col("i") * 50 + F.length("seq")).alias("end"), F.when((F.col("strain") + F.col("i")) % 2 == 1, "-").otherwise("+").alias("strand"))
+    return x.select("strain", "start", "end", "strand", S.block_sequence(F.col("seq"), F.lit(0), F.length("seq"), F.col("strand")).alias("part"))
 
 
 @query(sql("contigs", "SELECT strain, string_agg(seq, repeat('N', 100) ORDER BY contig, seq) AS seq FROM contigs GROUP BY 1"))
@@ -163,22 +165,23 @@ def p12_percent(s, d):
 
 @query("SELECT p_partkey AS kmer, ntile(7) OVER (PARTITION BY p_brand ORDER BY p_partkey)::BIGINT AS chunk FROM part")
 def p13_chunks(s, d):
-    from pyspark.sql import Window
+    return ks.chunked(v.table(s, d, "part").select(F.col("p_partkey").alias("kmer"), "p_brand"), "p_brand", "kmer", 7).select("kmer", "chunk")
 
-    return v.table(s, d, "part").select(F.col("p_partkey").alias("kmer"), F.ntile(7).over(Window.partitionBy("p_brand").orderBy("p_partkey")).cast("long").alias("chunk"))
 
-
-@query(sql("genome", "+g AS (SELECT strain, replace(replace(substr(seq,1,80),'AC','A-'),'TT','TN') AS row_ FROM genome WHERE length(seq) >= 41), p AS (SELECT strain, substr(row_,41,1) AS mid, list_last(string_split(replace(substr(row_,1,40),'-',''),'N')) AS l, string_split(replace(substr(row_,42),'-',''),'N')[1] AS r FROM g), q AS (SELECT *, least(length(l), 15 + greatest(0, 15 - length(r))) AS nl FROM p) SELECT strain, CASE WHEN mid NOT IN ('-','N') AND nl + least(length(r), 30 - nl) = 30 THEN right(l, nl::BIGINT) || mid || left(r, (30 - nl)::BIGINT) END AS kmer FROM q"))
-def p14_snp_kmer(s, d):
-    g = v.genome(s, d).where("length(seq) >= 41").select("strain", F.replace(F.replace(F.substring("seq", 1, 80), F.lit("AC"), F.lit("A-")), F.lit("TT"), F.lit("TN")).alias("row"))
-    return g.select("strain", S.snp_kmer(F.col("row"), F.lit(40), K).alias("kmer"))
+SNP = (
+    "+g AS (SELECT strain, replace(replace(replace(seq,'AC','A-'),'TT','TN'),'-','') AS b FROM genome), c AS (SELECT strain, unnest(range(1, length(b) + 1)) AS i, b FROM g), "
+    "p AS (SELECT strain, b[i] AS mid, list_last(string_split(substr(b, greatest(1, i - 30), least(i - 1, 30)),'N')) AS l, string_split(substr(b, i + 1, 30),'N')[1] AS r FROM c WHERE b[i] <> 'N'), "
+    "q AS (SELECT *, least(length(l), 15 + greatest(0, 15 - length(r))) AS nl FROM p), "
+    "k AS (SELECT strain, CASE WHEN nl + least(length(r), 30 - nl) = 30 THEN right(l, nl::BIGINT) || mid || left(r, (30 - nl)::BIGINT) END AS kmer FROM q) "
+    "SELECT strain, count(*) AS n_columns, count(kmer) AS n_kmers, min(kmer) AS first_kmer, max(kmer) AS last_kmer FROM k GROUP BY 1"
+)
 
 
-@query()
-def p14_whole_rows(s, d):
+@query(sql("genome", SNP))
+def p14_snp_kmer(s, d):
     """The SNP k-mers of all columns of all rows, by strain."""
     g = v.genome(s, d).select("strain", F.replace(F.replace("seq", F.lit("AC"), F.lit("A-")), F.lit("TT"), F.lit("TN")).alias("row"))
-    return S.snp_kmers(g, K).groupBy("strain").agg(F.count("*").alias("n_columns"), F.count("kmer").alias("n_kmers"), F.bit_xor(F.xxhash64("column", "kmer")).alias("rows_hash"))
+    return S.snp_kmers(g, K).groupBy("strain").agg(F.count("*").alias("n_columns"), F.count("kmer").alias("n_kmers"), F.min("kmer").alias("first_kmer"), F.max("kmer").alias("last_kmer"))
 
 
 @query(sql("contigs", "SELECT strain, sum(length(seq))::BIGINT AS n FROM contigs GROUP BY 1"))
@@ -275,14 +278,13 @@ def f14_evidence(s, d):
 
 @query("SELECT l_orderkey AS block, count(*) AS n, max(l_quantity)::BIGINT AS longest FROM lineitem GROUP BY 1 HAVING max(l_quantity) >= 25 AND count(DISTINCT l_suppkey) >= 2")
 def f15_block_length(s, d):
-    x = v.table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("block")).agg(F.count("*").alias("n"), F.max("l_quantity").cast("long").alias("longest"), F.countDistinct("l_suppkey").alias("m"))
-    return x.where("longest >= 25 and m >= 2").drop("m")
+    x = v.table(s, d, "lineitem").select(F.col("l_orderkey").alias("block"), F.col("l_suppkey").alias("strain"), F.col("l_quantity").cast("long").alias("length"))
+    return ks.long_blocks(x, 25)
 
 
 @query("SELECT l_partkey AS col, count(*) AS n FROM lineitem GROUP BY 1 HAVING sum(CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END) <= floor(0.4 * count(*)) AND count(DISTINCT CASE WHEN l_returnflag <> 'N' THEN l_returnflag END) > 1")
 def f16_snp_columns(s, d):
-    x = v.table(s, d, "lineitem").groupBy(F.col("l_partkey").alias("col")).agg(F.count("*").alias("n"), F.count_if(F.col("l_returnflag") == "N").alias("gaps"), F.countDistinct(F.when(F.col("l_returnflag") != "N", F.col("l_returnflag"))).alias("kinds"))
-    return x.where((F.col("gaps") <= F.floor(0.4 * F.col("n"))) & (F.col("kinds") > 1)).select("col", "n")
+    return ks.snp_columns(v.table(s, d, "lineitem").select(F.col("l_partkey").alias("col"), F.col("l_returnflag").alias("base")), 0.4)
 
 
 def _category(oracle_weak, oracle_full, weak_leaf):
@@ -315,14 +317,15 @@ def j2_semi(s, d):
     return pf.matched(*v.node_counts(s, d)).select("node", "kmer")
 
 
-@query(sql("inc", "SELECT strain, kmer FROM inc WHERE strain % 5 = 0 AND kmer NOT IN (SELECT kmer FROM inc WHERE strain % 5 = 1)"))
+@query(sql("oi", "SELECT strain, kmer FROM oi a WHERE kmer NOT IN (SELECT kmer FROM oi b WHERE b.strain % 2 <> a.strain % 2)"))
 def j3_anti(s, d):
-    x = v.inc(s, d)
-    return pf.exclusive(x.where("strain % 5 = 0"), x.where("strain % 5 = 1")).select("strain", "kmer")
+    """K-mers (orders) of the even strains that no odd one has, and the other way round."""
+    a, b = _sides(v.order_inc(s, d))
+    return pf.exclusive(a, b).unionByName(pf.exclusive(b, a)).select("strain", "kmer")
 
 
 def _genome_inc(s, d):
-    return S.kmers(v.genome(s, d), K).select("strain", "kmer").distinct()
+    return S.kmer_codes(v.genome(s, d), K).distinct()
 
 
 def _by_strain(x):
@@ -360,7 +363,7 @@ def j5_genome_jaccard(s, d):
     from .index import BuildConfig
     from .index import occurrences as occ
 
-    return sm.jaccard(occ(v.genome(s, d), BuildConfig())).where("jaccard >= 0.95").select("a", "b", "shared", r6(F.col("jaccard"), "jaccard"))
+    return sm.jaccard(occ(v.genome(s, d), BuildConfig()), least=0.95).select("a", "b", "shared", r6(F.col("jaccard"), "jaccard"))
 
 
 @query(sql("inc cl", "SELECT strain, kmer, cluster FROM inc JOIN cl USING (strain)"))
@@ -423,43 +426,37 @@ def a4_incidence(s, d):
     return ks.incidence(v.inc(s, d)).select("kmer", "n_strains", F.array_join(F.transform("strains", lambda x: x.cast("string")), ",").alias("strains"))
 
 
-RARE = "rare AS (SELECT DISTINCT l_suppkey % 7 AS strain, l_partkey AS kmer FROM lineitem WHERE l_quantity >= 47)"
-
-
-def _rare(s, d):
-    return v.occurrences(s, d).where("q >= 47").select((F.col("strain") % 7).alias("strain"), "kmer").distinct()
-
-
-@query(f"WITH {RARE} SELECT strain, kmer FROM rare a WHERE NOT EXISTS (SELECT 1 FROM rare b WHERE b.kmer = a.kmer AND b.strain <> a.strain)")
+@query(sql("oi", "SELECT min(strain) AS strain, kmer FROM oi GROUP BY kmer HAVING count(*) = 1"))
 def a5_unique(s, d):
-    return ks.unique_kmers(_rare(s, d))
+    return ks.unique_kmers(v.order_inc(s, d)).select("strain", "kmer")
 
 
-@query(f"WITH {RARE}, u AS (SELECT min(strain) AS strain, kmer FROM rare GROUP BY kmer HAVING count(*) = 1) SELECT strain, kmer FROM u QUALIFY row_number() OVER (PARTITION BY strain ORDER BY kmer) <= 20")
+@query(sql("oi", "+u AS (SELECT min(strain) AS strain, kmer FROM oi GROUP BY kmer HAVING count(*) = 1) SELECT strain, kmer FROM u QUALIFY row_number() OVER (PARTITION BY strain ORDER BY kmer) <= 20"))
 def a6_unique_cap(s, d):
-    return ks.capped(ks.unique_kmers(_rare(s, d)), "strain", 20, F.col("kmer"))
-
+    return ks.capped(ks.unique_kmers(v.order_inc(s, d)), "strain", 20, F.col("kmer")).select("strain", "kmer")
 
-BLOCKS = "bi AS (SELECT DISTINCT strain % 3 AS block, strain, kmer FROM rare)"
 
-
-@query(f"WITH {RARE}, {BLOCKS}, t AS (SELECT kmer, count(DISTINCT strain) AS n FROM rare GROUP BY 1) SELECT block, kmer, any_value(n)::BIGINT AS n_strains FROM bi JOIN t USING (kmer) GROUP BY ALL HAVING count(DISTINCT strain) = any_value(n) AND any_value(n) >= 2")
+@query(sql("oi", "+t AS (SELECT kmer, count(*) AS n, count(DISTINCT strain % 3) AS b, min(strain % 3) AS block FROM oi GROUP BY 1) SELECT block, kmer, n AS n_strains FROM t WHERE b = 1 AND n >= 2"))
 def a7_partial_block(s, d):
-    x = _rare(s, d)
+    x = v.order_inc(s, d)
     return ks.confined(x, x.withColumn("block", F.col("strain") % 3))
 
 
-@query(f"WITH {RARE} SELECT kmer, count(*) AS n_strains FROM rare GROUP BY 1 HAVING count(*) BETWEEN 2 AND 6")
+@query(sql("oi", "SELECT kmer, count(*) AS n_strains FROM oi GROUP BY 1 HAVING count(*) >= 2 AND count(*) < (SELECT count(DISTINCT strain) FROM oi)"))
 def a8_global_block(s, d):
-    return ks.discriminating(_rare(s, d), 7)
+    x = v.order_inc(s, d)
+    return ks.discriminating(x, x.select("strain").distinct().count())
 
 
-@query(f"WITH {RARE}, b AS (SELECT kmer AS block, count(*) AS n_strains FROM rare GROUP BY 1), k AS (SELECT *, CASE WHEN n_strains = 7 THEN 'global' ELSE 'partial' END AS kind FROM b) SELECT block, n_strains, kind, kind = 'global' OR row_number() OVER (PARTITION BY kind ORDER BY n_strains, block) <= floor(0.5 * count(*) OVER (PARTITION BY kind)) AS used FROM k")
+@query("WITH b AS (SELECT l_partkey AS block, count(DISTINCT n_regionkey) AS n_strains FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1), k AS (SELECT *, CASE WHEN n_strains = 5 THEN 'global' ELSE 'partial' END AS kind FROM b) SELECT block, n_strains, kind, kind = 'global' OR row_number() OVER (PARTITION BY kind ORDER BY n_strains, block) <= floor(0.5 * count(*) OVER (PARTITION BY kind)) AS used FROM k")
 def a9_block_kinds(s, d):
-    return ks.block_kinds(_rare(s, d).select(F.col("kmer").alias("block"), "strain"), 7, 0.5)
+    """Parts as blocks, in the regions that supply them."""
+    n = v.table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("cluster"), F.col("n_regionkey").alias("region"))
+    x = v.occurrences(s, d).join(v.cluster(s, d), "strain").join(n, "cluster")
+    return ks.block_kinds(x.select(F.col("kmer").alias("block"), F.col("region").alias("strain")), 5, 0.5)
 
 
-# The same over whole tables: A5 to A7 over the k-mers of all genomes, of which many are unique, A8 and A9 over all incidences.
+# A5 to A7 over the k-mers of all genomes, of which many are unique.
 @query()
 def a5_whole_unique(s, d):
     return _by_strain(ks.unique_kmers(_genome_inc(s, d)))
@@ -476,18 +473,6 @@ def a7_whole_partial_block(s, d):
     return ks.confined(x, x.withColumn("block", F.col("strain") % 3)).groupBy("block", "n_strains").agg(F.count("*").alias("n_kmers"), F.bit_xor(F.xxhash64("kmer")).alias("kmers_hash"))
 
 
-@query()
-def a8_whole_global_block(s, d):
-    x = v.inc(s, d)
-    return ks.discriminating(x, x.select("strain").distinct().count())
-
-
-@query()
-def a9_whole_block_kinds(s, d):
-    x = v.inc(s, d)
-    return ks.block_kinds(x.select(F.col("kmer").alias("block"), "strain"), x.select("strain").distinct().count(), 0.5)
-
-
 METRICS = "x AS (SELECT node, nk.kmer, coalesce(cnt, 0) AS cnt FROM nk LEFT JOIN cnts USING (kmer)), md AS (SELECT node, median(cnt) AS m FROM x WHERE cnt > 0 GROUP BY 1), me AS (SELECT node, count(*) AS length, count(*) FILTER (WHERE cnt > 0 AND cnt < {f} * m) AS covered, avg(cnt) FILTER (WHERE cnt > 0 AND cnt < {f} * m) AS ab FROM x LEFT JOIN md USING (node) GROUP BY 1)"
 
 
@@ -519,7 +504,7 @@ def a12_weighted_path(s, d):
 @query(sql("inc cl", "SELECT cluster, round(sum(cnt)::DOUBLE / (SELECT sum(cnt) FROM inc), 6) AS cls_per FROM inc JOIN cl USING (strain) GROUP BY 1"))
 def a13_rel_abundance(s, d):
     x = v.inc(s, d).join(v.cluster(s, d), "strain").groupBy("cluster").agg(F.sum("cnt").alias("ab"))
-    return x.select("cluster", r6(pf.share(F.col("ab")), "cls_per"))
+    return pf.shares(x, "ab", "cls_per").select("cluster", r6(F.col("cls_per"), "cls_per"))
 
 
 @query(sql("inc", "SELECT strain, sum(CASE WHEN cnt > 1 THEN 1 ELSE 0 END)::BIGINT AS covered, count(*) AS total, round(sum(CASE WHEN cnt > 1 THEN 1 ELSE 0 END)::DOUBLE / count(*), 6) AS cov FROM inc GROUP BY 1"))
@@ -552,16 +537,15 @@ def a18_avg_depth(s, d):
     return pf.average_depth(v.inc(s, d)).select("strain", r6(F.col("depth"), "depth"))
 
 
-@query(sql("cnts ck", "SELECT kmer, (CASE WHEN count(DISTINCT cluster) = 1 THEN any_value(cnt) ELSE 0 END)::BIGINT AS cnt FROM cnts JOIN ck USING (kmer) WHERE cluster < 3 GROUP BY 1"))
+@query(sql("ok", "+cnt AS (SELECT l_orderkey AS kmer, sum(l_quantity)::BIGINT AS cnt FROM lineitem GROUP BY 1) SELECT kmer, (CASE WHEN count(DISTINCT cluster) = 1 THEN any_value(cnt) ELSE 0 END)::BIGINT AS cnt FROM cnt JOIN ck USING (kmer) GROUP BY 1"))
 def a19_exclusive(s, d):
-    _, counts = v.node_counts(s, d)
-    det = v.cluster(s, d).select("cluster").distinct().where("cluster < 3")
-    return pf.exclusive_counts(counts, v.cluster_kmer(s, d), det)
+    counts = v.table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("kmer")).agg(F.sum("l_quantity").cast("long").alias("cnt"))
+    return pf.exclusive_counts(counts, v.order_kmer(s, d), v.cluster(s, d).select("cluster").distinct())
 
 
 @query(sql("inc", "SELECT strain, sum(cnt)::BIGINT AS total FROM inc GROUP BY 1"))
 def a20_total_frequency(s, d):
-    return v.inc(s, d).groupBy("strain").agg(F.sum("cnt").alias("total"))
+    return ks.total_frequency(v.inc(s, d))
 
 
 DIST = f"sh AS ({SHARED}), n AS (SELECT strain, count(*) AS n FROM inc GROUP BY 1), di AS (SELECT a, b, 1 - shared::DOUBLE / (x.n + y.n - shared) AS distance FROM sh JOIN n x ON x.strain = a JOIN n y ON y.strain = b), dd AS (SELECT a, b, distance FROM di UNION ALL SELECT b, a, distance FROM di)"
@@ -576,9 +560,9 @@ def p9_distance(s, d):
     return _dist(s, d).select("a", "b", r6(F.col("distance"), "distance"))
 
 
-@query(sql("inc cl", f"+{DIST} SELECT x.cluster, a AS strain, round(avg(distance), 6) AS mean_d, round(min(distance), 6) AS min_d, round(max(distance), 6) AS max_d FROM dd JOIN cl x ON x.strain = a JOIN cl y ON y.strain = b WHERE x.cluster = y.cluster GROUP BY ALL"))
+@query(sql("inc rg", f"+{DIST} SELECT x.cluster, a AS strain, round(avg(distance), 6) AS mean_d, round(min(distance), 6) AS min_d, round(max(distance), 6) AS max_d FROM dd JOIN cl x ON x.strain = a JOIN cl y ON y.strain = b WHERE x.cluster = y.cluster GROUP BY ALL"))
 def a21_medoid_stats(s, d):
-    return sm.medoid_stats(v.cluster(s, d), _dist(s, d)).select("cluster", "strain", r6(F.col("mean_d"), "mean_d"), r6(F.col("min_d"), "min_d"), r6(F.col("max_d"), "max_d"))
+    return sm.medoid_stats(v.region(s, d), _dist(s, d)).select("cluster", "strain", r6(F.col("mean_d"), "mean_d"), r6(F.col("min_d"), "min_d"), r6(F.col("max_d"), "max_d"))
 
 
 @query(sql("ck leaves", f"+{LEAFM}, sc AS (SELECT node, CASE WHEN cov / 10 > 0.05 THEN 1.0 ELSE log10(18 * cov + 1) END AS x FROM lm) SELECT leaf, round(CASE WHEN min(x) = 0 THEN 0 ELSE exp(avg(ln(CASE WHEN x > 0 THEN x END))) END, 6)::DOUBLE AS score FROM pa JOIN sc USING (node) GROUP BY 1"))
@@ -609,14 +593,14 @@ def t1_rank(s, d):
 MEDOID = f"{DIST}, ms AS (SELECT x.cluster, a AS strain, avg(distance) AS m FROM dd JOIN cl x ON x.strain = a JOIN cl y ON y.strain = b WHERE x.cluster = y.cluster GROUP BY ALL), sz AS (SELECT cluster, count(*) AS size FROM cl GROUP BY 1), re AS (SELECT cluster, strain AS rep FROM cl JOIN sz USING (cluster) LEFT JOIN ms USING (cluster, strain) QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY CASE WHEN size >= 3 THEN round(m, 12) ELSE 0 END, strain) = 1)"
 
 
-@query(sql("inc cl", f"+{MEDOID} SELECT * FROM re"))
+@query(sql("inc rg", f"+{MEDOID} SELECT * FROM re"))
 def t2_medoid(s, d):
-    return sm.medoids(v.cluster(s, d), _dist(s, d))
+    return sm.medoids(v.region(s, d), _dist(s, d))
 
 
-@query(sql("inc cl", f"+{MEDOID} SELECT strain, cl.cluster AS old, re.cluster AS new FROM cl JOIN dd ON a = strain JOIN re ON rep = b WHERE strain NOT IN (SELECT rep FROM re) QUALIFY row_number() OVER (PARTITION BY strain ORDER BY round(distance, 12), re.cluster) = 1"))
+@query(sql("inc rg", f"+{MEDOID} SELECT strain, cl.cluster AS old, re.cluster AS new FROM cl JOIN dd ON a = strain JOIN re ON rep = b WHERE strain NOT IN (SELECT rep FROM re) QUALIFY row_number() OVER (PARTITION BY strain ORDER BY round(distance, 12), re.cluster) = 1"))
 def t3_reassign(s, d):
-    c, p = v.cluster(s, d), _dist(s, d)
+    c, p = v.region(s, d), stage(_dist(s, d), "distances")
     return sm.reassigned(c, sm.medoids(c, p), p)
 
 
@@ -647,12 +631,23 @@ def _leaf_core(s, d):
     return _core(s, d).where("is_core").select((F.col("cluster") + 32).alias("leaf"), "kmer")
 
 
+def _orders(s, d):
+    """Orders as k-mers of nations: core where a fiftieth of a nation's suppliers, rounded up, has them."""
+    sizes = v.cluster(s, d).groupBy("cluster").agg(F.count("*").alias("n"))
+    return ks.core(v.order_kmer(s, d), sizes, 0.02).withColumn("cluster", F.col("cluster") + 32)
+
+
+def _order_core(s, d):
+    return _orders(s, d).where("is_core").select(F.col("cluster").alias("leaf"), "kmer")
+
+
 def _leaves(s, d):
     up = ks.closure(v.nodes(s, d))
     return up.where("node >= 32").select(F.col("ancestor").alias("node"), F.col("node").alias("leaf"))
 
 
 NL = "nl AS (SELECT node, 32 + leaf AS leaf FROM leaves), cc AS (SELECT 32 + cluster AS leaf, kmer FROM co WHERE is_core)"
+ORDER_CORE = CORE.replace("0.8", "0.02")
 CI = f"{CORE}, {NL}, nn AS (SELECT node, count(*) AS many FROM nl GROUP BY 1), ci AS (SELECT node, kmer FROM nl JOIN cc USING (leaf) JOIN nn USING (node) GROUP BY node, kmer, many HAVING count(*) = many)"
 
 
@@ -671,36 +666,21 @@ def u3_parent_factor(s, d):
     return ks.factored(ks.core_intersection(_leaf_core(s, d), _leaves(s, d)), v.nodes(s, d))
 
 
-@query(sql("ck cl leaves", f"+{CI}, al AS (SELECT DISTINCT node, kmer FROM nl JOIN ck ON ck.cluster + 32 = nl.leaf) SELECT node, kmer FROM ci WHERE NOT EXISTS (SELECT 1 FROM al WHERE al.kmer = ci.kmer AND al.node <> ci.node AND floor(log2(al.node)) = floor(log2(ci.node)))"))
+@query(sql("ok cl leaves", f"+{CI.replace(CORE, ORDER_CORE)}, al AS (SELECT DISTINCT node, kmer FROM nl JOIN ck ON ck.cluster + 32 = nl.leaf) SELECT node, kmer FROM ci WHERE NOT EXISTS (SELECT 1 FROM al WHERE al.kmer = ci.kmer AND al.node <> ci.node AND floor(log2(al.node)) = floor(log2(ci.node)))"))
 def u4_same_depth_diff(s, d):
     leaves = _leaves(s, d)
-    everything = leaves.join(v.cluster_kmer(s, d).select((F.col("cluster") + 32).alias("leaf"), "kmer"), "leaf").select("node", "kmer").distinct()
-    depth = ks.closure(v.nodes(s, d)).groupBy(F.col("node").alias("id")).agg(F.max("up").alias("depth"))
-    return ks.same_depth_difference(ks.core_intersection(_leaf_core(s, d), leaves), everything, depth)
+    everything = leaves.join(v.order_kmer(s, d).select((F.col("cluster") + 32).alias("leaf"), "kmer"), "leaf").select("node", "kmer").distinct()
+    return ks.same_depth_difference(ks.core_intersection(_order_core(s, d), leaves), everything, ks.depths(v.nodes(s, d)))
 
 
-@query(sql("inc", "SELECT DISTINCT kmer FROM inc WHERE strain IN (1, 2)"))
+@query(sql("oi", "SELECT DISTINCT kmer FROM oi"))
 def u5_union(s, d):
-    x = v.inc(s, d)
-    return x.where("strain = 1").select("kmer").unionByName(x.where("strain = 2").select("kmer")).distinct()
+    return ks.union(*_sides(v.order_inc(s, d)))
 
 
-@query(sql("inc", "SELECT kmer FROM inc WHERE strain IN (1, 2) GROUP BY 1 HAVING count(*) = 2"))
+@query(sql("oi", "SELECT kmer FROM oi GROUP BY 1 HAVING count(DISTINCT strain % 2) = 2"))
 def u6_intersection(s, d):
-    x = v.inc(s, d)
-    return x.where("strain = 1").select("kmer").intersect(x.where("strain = 2").select("kmer"))
-
-
-@query()
-def u5_whole_union(s, d):
-    a, b = _sides(v.inc(s, d).select("strain", "kmer"))
-    return a.select("kmer").unionByName(b.select("kmer")).distinct()
-
-
-@query()
-def u6_whole_intersection(s, d):
-    a, b = _sides(v.inc(s, d).select("strain", "kmer"))
-    return a.select("kmer").intersect(b.select("kmer"))
+    return ks.intersection(*_sides(v.order_inc(s, d)))
 
 
 # ---------------------------------------------------------------- clusters and trees
@@ -710,7 +690,7 @@ USERS = "u AS (SELECT user_id, avg(value) AS m FROM events GROUP BY 1)"
 
 @query(sql("inc", "+" + DIST.replace("sh AS", "sh AS", 1) + ", e AS (SELECT a, b FROM dd WHERE distance <= (SELECT quantile_cont(distance, 0.004) FROM di)), r(x, y) AS (SELECT strain, strain FROM n UNION SELECT r.x, e.b FROM r JOIN e ON e.a = r.y) SELECT x AS strain, min(y) AS cluster FROM r GROUP BY 1").replace("WITH ", "WITH RECURSIVE ", 1))
 def c1_single_linkage(s, d):
-    p = _dist(s, d).checkpoint() if s.sparkContext.getCheckpointDir() else _dist(s, d)
+    p = stage(_dist(s, d), "distances")
     cut = p.agg(F.expr("percentile(distance, 0.004)").alias("h"))
     e = p.join(F.broadcast(cut)).select("a", "b", F.when(F.col("distance") <= F.col("h"), 1.0).otherwise(0.0).alias("similarity"))
     return sm.single_linkage(v.inc(s, d).select("strain").distinct(), e, 1.0)
@@ -724,16 +704,15 @@ def c2_complete_linkage(s, d):
 
 @query(sql("nodes", "SELECT id, floor(log2(id))::BIGINT AS depth FROM nodes"))
 def c5_node_depth(s, d):
-    return ks.closure(v.nodes(s, d)).groupBy(F.col("node").alias("id")).agg(F.max("up").cast("long").alias("depth"))
+    return ks.depths(v.nodes(s, d))
 
 
-NS = "+n AS (SELECT cluster, count(*) AS n FROM cl GROUP BY 1), oc AS (SELECT kmer, list_sort(list(cluster + 32)) AS ls FROM ck JOIN n USING (cluster) GROUP BY 1 HAVING bool_and(mult >= 0.8 * n)), nd AS (SELECT max(node) AS node, ls FROM (SELECT node, list_sort(list(32 + leaf)) AS ls FROM leaves GROUP BY 1) GROUP BY ls) SELECT node, kmer FROM oc JOIN nd USING (ls)"
+NS = "+n AS (SELECT cluster, count(*) AS n FROM cl GROUP BY 1), oc AS (SELECT kmer, list_sort(list(cluster + 32)) AS ls FROM ck JOIN n USING (cluster) GROUP BY 1 HAVING bool_and(mult >= 0.02 * n)), nd AS (SELECT max(node) AS node, ls FROM (SELECT node, list_sort(list(32 + leaf)) AS ls FROM leaves GROUP BY 1) GROUP BY ls) SELECT node, kmer FROM oc JOIN nd USING (ls)"
 
 
-@query(sql("ck cl leaves", NS))
+@query(sql("ok cl leaves", NS))
 def c7_node_sets(s, d):
-    c = _core(s, d).withColumn("cluster", F.col("cluster") + 32)
-    return ks.node_sets(c, _leaves(s, d))
+    return ks.node_sets(_orders(s, d), _leaves(s, d))
 
 
 @query(sql("nodes", "SELECT id, row_number() OVER (ORDER BY id < 32, id) AS new_id FROM nodes"))
@@ -743,21 +722,19 @@ def c9_renumber(s, d):
 
 @query(sql("nodes", "SELECT id AS leaf, id >> 5 || '/' || (id >> 4) || '/' || (id >> 3) || '/' || (id >> 2) || '/' || (id >> 1) || '/' || id AS path FROM nodes WHERE id >= 32"))
 def c10_paths(s, d):
-    up = ks.closure(v.nodes(s, d)).where("node >= 32")
-    steps = F.array_sort(F.collect_list(F.struct((-F.col("up")).alias("o"), F.col("ancestor").cast("string").alias("a"))))
-    return up.groupBy(F.col("node").alias("leaf")).agg(F.array_join(F.transform(steps, lambda x: x["a"]), "/").alias("path"))
+    return ks.paths(v.nodes(s, d)).where("id >= 32").select(F.col("id").alias("leaf"), "path")
 
 
 # ---------------------------------------------------------------- models and reports
-@query()
+@query("WITH c AS (SELECT l_orderkey, count(*) FILTER (WHERE l_returnflag = 'A') AS x, sum(l_quantity)::BIGINT AS y FROM lineitem GROUP BY 1), p AS (SELECT *, x + y AS n, least(x, y) AS least_ FROM c) SELECT l_orderkey, x, y, CASE WHEN least_ <= 0 THEN 1 ELSE 1 - list_sum(list_transform(range(0, least_), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.005) + (n - i) * ln(0.995)))) END < 0.05 AS both FROM p")
 def m2_binomial_siblings(s, d):
     x = v.table(s, d, "lineitem").groupBy("l_orderkey").agg(F.count_if(F.col("l_returnflag") == "A").alias("x"), F.sum("l_quantity").cast("long").alias("y"))
     return x.select("l_orderkey", "x", "y", st.keep_both(F.col("x"), F.col("y")).alias("both"))
 
 
-@query(sql("ck leaves", f"+{LEAFM}, w AS (SELECT leaf, sum(ab * cov * length) / sum(cov * length) AS w_ab, sum(cov * length) / sum(length) AS w_cov FROM pa JOIN lm USING (node) GROUP BY 1) SELECT leaf FROM w WHERE w_cov >= 0.4 AND w_ab > 1"))
+@query(sql("ck leaves", f"+{LEAFM}, w AS (SELECT leaf, sum(ab * cov * length) / sum(cov * length) AS w_ab, sum(cov * length) / sum(length) AS w_cov FROM pa JOIN lm USING (node) GROUP BY 1) SELECT leaf FROM w WHERE w_cov >= 0.222 AND w_ab > 1"))
 def m6_accepted(s, d):
-    return pf.accepted(pf.path_weighted(*_leaf_metrics(s, d)), 0.4).select("leaf")
+    return pf.accepted(pf.path_weighted(*_leaf_metrics(s, d)), 0.222).select("leaf")
 
 
 @query(sql("ck cl leaves", f"+{LEAFM}, sc AS (SELECT node, CASE WHEN cov / 10 > 0.05 THEN 1.0 ELSE log10(18 * cov + 1) END AS x FROM lm WHERE length >= 100), ge AS (SELECT leaf - 32 AS cluster, round(CASE WHEN min(x) = 0 THEN 0 ELSE exp(avg(ln(CASE WHEN x > 0 THEN x END))) END, 6)::DOUBLE AS probability FROM pa JOIN sc USING (node) GROUP BY 1) SELECT cluster, probability, count(*) AS n_strains, string_agg(strain::VARCHAR, ',' ORDER BY strain) AS strains FROM ge JOIN cl USING (cluster) GROUP BY ALL"))
@@ -783,14 +760,28 @@ def m12_abundance_norm(s, d):
     return x.select("cluster", "strain", r6(pf.share(F.col("c"), "cluster"), "abundance"))
 
 
-@query(sql("inc cl", "+t AS (SELECT cluster, strain, sum(cnt)::DOUBLE AS c FROM inc JOIN cl USING (strain) GROUP BY ALL), g AS (SELECT cluster, sum(c) AS w FROM t GROUP BY 1) SELECT cluster, strain, row_number() OVER (PARTITION BY cluster ORDER BY c DESC, strain) AS strain_rank, round(c / w, 6) AS abundance, round(c / w * 10, 6) AS final_depth FROM t JOIN g USING (cluster)"))
+FOUND = "t AS (SELECT cluster, strain, sum(cnt)::DOUBLE AS c, count(*) AS total, count(*) FILTER (WHERE cnt > 25) AS covered, count(*) FILTER (WHERE cnt > 50) AS valid FROM inc JOIN cl USING (strain) GROUP BY ALL), g AS (SELECT *, c / sum(c) OVER (PARTITION BY cluster) AS ab, covered / total AS cov FROM t)"
+REPORT = "cluster, strain, row_number() OVER (PARTITION BY cluster ORDER BY ab DESC, strain) AS strain_rank, round(ab, 6) AS abundance, c AS model_depth, round(ab * 10, 6) AS final_depth, round(cov, 6) AS cov, covered, total, valid, round(valid / covered, 6) AS remain, CASE WHEN ab > 0.02 AND cov > 0.7 THEN '*' END AS exist_evidence"
+
+
+def _found(s, d):
+    x = v.inc(s, d).join(v.cluster(s, d), "strain").groupBy("cluster", "strain").agg(F.sum("cnt").cast("double").alias("depth"), F.count("*").alias("total"), F.count_if(F.col("cnt") > 25).alias("covered"), F.count_if(F.col("cnt") > 50).alias("valid"))
+    return x.withColumn("abundance", pf.share(F.col("depth"), "cluster")).withColumn("cov", F.col("covered") / F.col("total")).withColumn("remain", F.col("valid") / F.col("covered"))
+
+
+def _strain_report(s, d, extra=False):
+    out = rp.strain_report(_found(s, d), v.cluster(s, d).select("cluster").distinct().withColumn("cls_ab", F.lit(10.0)), extra)
+    return out.select("cluster", "strain", "strain_rank", r6(F.col("abundance"), "abundance"), "model_depth", r6(F.col("final_depth"), "final_depth"), r6(F.col("cov"), "cov"), "covered", "total", "valid", r6(F.col("remain"), "remain"), "exist_evidence", *(["note"] if extra else []))
+
+
+@query(sql("inc cl", f"+{FOUND} SELECT {REPORT} FROM g"))
 def k1_strain_report(s, d):
-    x = v.inc(s, d).join(v.cluster(s, d), "strain").groupBy("cluster", "strain").agg(F.sum("cnt").cast("double").alias("depth"))
-    x = x.withColumn("abundance", pf.share(F.col("depth"), "cluster"))
-    for c in ("cov", "covered", "total", "valid", "remain"):
-        x = x.withColumn(c, F.lit(0.0))
-    out = rp.strain_report(x, v.cluster(s, d).select("cluster").distinct().withColumn("cls_ab", F.lit(10.0)))
-    return out.select("cluster", "strain", "strain_rank", r6(F.col("abundance"), "abundance"), r6(F.col("final_depth"), "final_depth"))
+    return _strain_report(s, d)
+
+
+@query(sql("inc cl", f"+{FOUND} SELECT {REPORT}, CASE WHEN ab > 0.02 AND cov > 0.7 THEN '' ELSE ' (With_ExtraRegion_covered)' END AS note FROM g"))
+def m14_extra_regions(s, d):
+    return _strain_report(s, d, True)
 
 
 @query(sql("inc cl", "+t AS (SELECT cluster, strain, sum(cnt)::DOUBLE AS c FROM inc JOIN cl USING (strain) GROUP BY ALL), n AS (SELECT cluster, count(*) AS n FROM t GROUP BY 1), x AS (SELECT cluster, strain, CASE WHEN n = 1 OR cluster < 5 THEN c ELSE c * 2 END AS depth FROM t JOIN n USING (cluster)) SELECT row_number() OVER (ORDER BY depth DESC, strain) AS id, cluster, strain, depth, round(depth / (SELECT sum(depth) FROM x), 6) AS relative_abundance FROM x"))
@@ -803,6 +794,6 @@ def k2_merge_report(s, d):
 @query(sql("genome", f"+{KM}, u AS (SELECT kmer, count(*) AS n, min(strain) AS strain FROM km GROUP BY 1 HAVING min(strain) = max(strain)) SELECT strain, count(*) AS total, sum(CASE WHEN n > 1 THEN 1 ELSE 0 END)::BIGINT AS covered, round(avg(n), 6)::DOUBLE AS depth FROM u GROUP BY 1"))
 def g1_unique_kmer_report(s, d):
     """Genomes to unique 31-mers, and those counted back: the smallest whole answer."""
-    km = S.kmers(v.genome(s, d), K)
+    km = S.kmer_codes(v.genome(s, d), K)
     u = km.groupBy("kmer").agg(F.count("*").alias("n"), F.min("strain").alias("strain"), F.max("strain").alias("last")).where("strain = last")
     return u.groupBy("strain").agg(F.count("*").alias("total"), F.count_if(F.col("n") > 1).alias("covered"), r6(F.avg("n"), "depth"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import spread_out
+
 # The letters of a text as bases.
 LETTERS, BASES_OF = "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC"
 
@@ -18,11 +20,11 @@ def bases(text: Column) -> Column:
 
 
 def genome(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select(F.col("doc_id").alias("strain"), bases(F.coalesce("text", F.lit(""))).alias("seq"))
+    return spread_out(table(spark, d, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("strain"), bases(F.coalesce("text", F.lit(""))).alias("seq"))
 
 
 def contigs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "conversations").select(F.col("conv_id").alias("strain"), F.col("turn").alias("contig"), bases(F.coalesce("text", F.lit(""))).alias("seq"))
+    return spread_out(table(spark, d, "conversations").select("conv_id", "turn", "text")).select(F.col("conv_id").alias("strain"), F.col("turn").alias("contig"), bases(F.coalesce("text", F.lit(""))).alias("seq"))
 
 
 def inc(spark: SparkSession, d: str) -> DataFrame:
@@ -39,6 +41,22 @@ def cluster(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "supplier").select(F.col("s_suppkey").alias("strain"), F.col("s_nationkey").cast("long").alias("cluster"))
 
 
+def region(spark: SparkSession, d: str) -> DataFrame:
+    """strain = supplier, cluster = one of five groups of nations."""
+    return cluster(spark, d).withColumn("cluster", F.col("cluster") % 5)
+
+
+def order_inc(spark: SparkSession, d: str) -> DataFrame:
+    """strain = supplier, kmer = order: k-mers of one strain or a few."""
+    return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("strain"), F.col("l_orderkey").alias("kmer")).distinct()
+
+
+def order_kmer(spark: SparkSession, d: str) -> DataFrame:
+    """cluster, kmer, mult with orders as k-mers, many of which few nations supply."""
+    x = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("strain"), F.col("l_orderkey").alias("kmer"))
+    return x.join(cluster(spark, d), "strain").groupBy("cluster", "kmer").agg(F.count("*").alias("mult"))
+
+
 def cluster_kmer(spark: SparkSession, d: str) -> DataFrame:
     """cluster, kmer, mult."""
     return occurrences(spark, d).join(cluster(spark, d), "strain").groupBy("cluster", "kmer").agg(F.count("*").alias("mult"))
@@ -64,7 +82,10 @@ SQL = {
     "contigs": f"contigs AS (SELECT conv_id AS strain, turn AS contig, translate(regexp_replace(lower(coalesce(text,'')),'[^a-z]','','g'),'{LETTERS}','{BASES_OF}') AS seq FROM conversations)",
     "inc": "inc AS (SELECT l_suppkey AS strain, l_partkey AS kmer, CAST(sum(l_quantity) AS BIGINT) AS cnt FROM lineitem GROUP BY ALL)",
     "cl": "cl AS (SELECT s_suppkey AS strain, CAST(s_nationkey AS BIGINT) AS cluster FROM supplier)",
+    "rg": "cl AS (SELECT s_suppkey AS strain, CAST(s_nationkey % 5 AS BIGINT) AS cluster FROM supplier)",
     "ck": "ck AS (SELECT CAST(s_nationkey AS BIGINT) AS cluster, l_partkey AS kmer, count(*) AS mult FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL)",
+    "oi": "oi AS (SELECT DISTINCT l_suppkey AS strain, l_orderkey AS kmer FROM lineitem)",
+    "ok": "ck AS (SELECT CAST(s_nationkey AS BIGINT) AS cluster, l_orderkey AS kmer, count(*) AS mult FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL)",
     "nodes": "nodes AS (SELECT DISTINCT (n_nationkey + 32)::BIGINT >> i AS id FROM nation, range(0, 6) t(i))",
     "leaves": "leaves AS (SELECT DISTINCT ((n_nationkey + 32)::BIGINT >> i) AS node, n_nationkey::BIGINT AS leaf FROM nation, range(0, 6) t(i))",
     "nk": "nk AS (SELECT p_brand AS node, p_partkey AS kmer FROM part)",

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,24 +40,85 @@ def fastq_records(df: DataFrame, text: str = "value") -> DataFrame:
     return x.select(*rest, F.substring_index(F.substring(line(0), 2, 1 << 30), " ", 1).alias("read_id"), line(1).alias("seq"), line(3).alias("qual"))
 
 
+def read_fastq(spark: SparkSession, path: str) -> DataFrame:
+    """(read_id, seq, qual) of FASTQ files of any size, plain or .gz, four lines a record.
+
+    Lines are streamed split by split; how many lines come before a split of its file, one row a split, says which line of a record
+    it begins with. Records that two splits share, one a split at most, are put together by a small aggregate. A plain file is read
+    by as many tasks as it has splits, a .gz file by one."""
+    lines = spark.read.text(path).select("_metadata.file_path", "_metadata.file_block_start", "value")
+    size: dict[str, list[tuple[int, int]]] = {}
+    for r in lines.groupBy("file_path", "file_block_start").agg(F.count("*").alias("n")).collect():
+        size.setdefault(r.file_path, []).append((r.file_block_start, r.n))
+    first = {}
+    for file, splits in size.items():
+        at = 0
+        for start, n in sorted(splits):
+            first[file, start] = at
+            at += n
+    before = spark.sparkContext.broadcast(first)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, number, open_ = None, 0, []
+        for b in it:
+            whole: list[tuple[str, str, str]] = []
+            part: list[tuple[str, int, int, str]] = []
+            for file, start, line in zip(*(b.column(c).to_pylist() for c in ("file_path", "file_block_start", "value")), strict=True):
+                if (file, start) != now:
+                    part += open_
+                    now, number, open_ = (file, start), before.value[file, start], []
+                open_.append((file, number // 4, number % 4, line.rstrip("\r")))
+                number += 1
+                if number % 4 == 0:
+                    if len(open_) == 4:
+                        whole.append((open_[0][3], open_[1][3], open_[3][3]))
+                    else:
+                        part += open_
+                    open_ = []
+            yield rows(whole, part)
+        yield rows([], open_)
+
+    def rows(whole: list, part: list) -> pa.RecordBatch:
+        all_ = [(None, None, None, None, *w) for w in whole] + [(*p, None, None, None) for p in part]
+        cols = list(zip(*all_, strict=True)) or [[]] * 7
+        kinds = (pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string())
+        return pa.record_batch([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], names=["file", "record", "line", "text", "head", "seq", "qual"])
+
+    got = lines.mapInArrow(run, "file string, record long, line int, text string, head string, seq string, qual string")
+    line = lambda i: F.max(F.when(F.col("line") == i, F.col("text")))
+    cut = got.where("record is not null").groupBy("file", "record").agg(line(0).alias("head"), line(1).alias("seq"), line(3).alias("qual"), F.count("*").alias("n")).where("n = 4")
+    out = got.where("record is null").select("head", "seq", "qual").unionByName(cut.select("head", "seq", "qual"))
+    return out.select(F.substring_index(F.substring(F.col("head"), 2, 1 << 30), " ", 1).alias("read_id"), "seq", "qual")
+
+
 def read_reads(spark: SparkSession, sample: str, *paths: str) -> DataFrame:
     """reads(sample, mate, read_id, seq, qual) of one file, or two of a pair, plain or .gz."""
     out = None
     for mate, path in enumerate(paths, 1):
-        one = fastq_records(spark.read.text(path, wholetext=True)).select(F.lit(sample).alias("sample"), F.lit(mate).alias("mate"), "read_id", "seq", "qual")
+        one = read_fastq(spark, path).select(F.lit(sample).alias("sample"), F.lit(mate).alias("mate"), "read_id", "seq", "qual")
         out = one if out is None else out.unionByName(one)
     return out
 
 
-def matrix_pairs(spark: SparkSession, path: str) -> DataFrame:
-    """pair(a, b, value) of a square tab-separated matrix whose first line names the columns."""
-    lines = spark.read.text(path, wholetext=True).select(F.split(F.rtrim("value"), "\n").alias("l"))
-    x = lines.select(F.split(F.element_at("l", 1), "\t").alias("names"), F.posexplode(F.slice("l", 2, 1 << 30)).alias("i", "row"))
+def matrix_text(df: DataFrame, text: str = "value") -> DataFrame:
+    """pair(a, b, value) of square tab-separated matrices whose first line names the columns (S5), one a row."""
+    x = df.select(F.split(F.rtrim(text), "\n").alias("l"))
+    x = x.select(F.split(F.element_at("l", 1), "\t").alias("names"), F.posexplode(F.slice("l", 2, 1 << 30)).alias("i", "row"))
     x = x.select("names", F.split("row", "\t").alias("cells"))
     x = x.select("names", F.element_at("cells", 1).alias("a"), F.posexplode(F.slice("cells", 2, 1 << 30)).alias("j", "v"))
     return x.select(strain_name(F.col("a")).alias("a"), strain_name(F.element_at(F.col("names"), F.col("j") + 2)).alias("b"), F.col("v").cast("double").alias("value"))
 
 
+def matrix_pairs(spark: SparkSession, path: str) -> DataFrame:
+    return matrix_text(spark.read.text(path, wholetext=True))
+
+
+def id_matrix(rows: DataFrame, ids: DataFrame, row: str = "row", text: str = "value") -> DataFrame:
+    """(row, kmer) of a sparse matrix in text and its id list (S9). rows: a line of positions, with spaces, for each row; ids: pos, kmer."""
+    at = rows.select(row, F.explode(F.split(F.trim(F.col(text)), r"\s+")).alias("pos")).where("pos <> ''").withColumn("pos", F.col("pos").cast("long"))
+    return at.join(ids.select("pos", "kmer"), "pos").select(row, "kmer")
+
+
 def cluster_lines(df: DataFrame, text: str = "value") -> DataFrame:
     """cluster(cluster, strain) of lines id, size, member list (S6; a clustering of the user's own is read the same way, S7)."""
     p = F.split(F.col(text), "\t")

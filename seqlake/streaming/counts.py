@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.sequence import canonical, kmers, only_acgt
+from ..functions.sequence import MOST_K, kmer_codes, kmers, only_acgt
 
 
 def streamed_counts(reads: DataFrame, k: int) -> DataFrame:
     """(kmer, cnt) over a stream of reads(seq), for complete or update mode. State is one row a canonical k-mer."""
-    x = kmers(reads.select("seq"), k).select(canonical(F.upper("kmer")).alias("kmer"))
-    return x.where(only_acgt(F.col("kmer"))).groupBy("kmer").agg(F.count("*").alias("cnt"))
+    x = reads.select(F.upper("seq").alias("seq"))
+    x = kmer_codes(x, k, strand="canonical") if k <= MOST_K else kmers(x, k, strand="canonical").where(only_acgt(F.col("kmer")))
+    return x.groupBy("kmer").agg(F.count("*").alias("cnt"))
 
 
 def read_stream(spark: SparkSession, path: str) -> DataFrame:

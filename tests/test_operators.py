@@ -41,6 +41,36 @@ def test_kmers_of_short_and_long_sequences(spark):
     assert rows(S.both_strands(S.kmers(g, 5))) == [(1, 1, "ACGTA"), (1, 1, "TACGT")]
 
 
+@pytest.mark.parametrize("k", [5, 31])
+@pytest.mark.parametrize("strand", ["given", "both", "canonical"])
+def test_kmers_and_codes_equal_every_position(spark, k, strand):
+    r = random.Random(k)
+    t = "".join(r.choice("ACGTN" if i % 90 == 0 else "ACGT") for i in range(700))
+    texts = {1: t, 2: t[:128], 3: t[:129], 4: t[:159], 5: "ACGT", 6: "", 7: t[1:290]}
+    g = spark.createDataFrame([*texts.items(), (8, None)], "strain long, seq string")
+    turn = lambda x: x[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    for drop in (False, True):
+        want = []
+        for i, x in texts.items():
+            for j in range(len(x) - k + 1 - drop):
+                a, b = x[j : j + k], turn(x[j : j + k])
+                want += [(i, j + 1, a)] if strand == "given" else [(i, j + 1, min(a, b))] if strand == "canonical" else [(i, j + 1, a), (i, j + 1, b)]
+        assert rows(S.kmers(g, k, drop_last=drop, strand=strand).select("strain", "pos", "kmer")) == sorted(want)
+        codes = [(i, int("".join(str("AGCT".index(c)) for c in x), 4)) for i, _, x in want if "N" not in x]
+        assert rows(S.kmer_codes(g, k, drop_last=drop, strand=strand)) == sorted(codes)
+
+
+def test_long_sequences_take_linear_time(spark):
+    import time
+
+    t = "".join(random.Random(1).choices("ACGT", k=320_000))
+    g = spark.createDataFrame([(1, t)], "strain long, seq string")
+    S.kmers(g.limit(1), 31).count()
+    began = time.time()
+    assert S.kmers(g, 31, strand="canonical").agg(F.max("kmer"), F.count("*")).first()[1] == len(t) - 30
+    assert time.time() - began < 10  # a walk from the start for each k-mer takes minutes
+
+
 def test_two_bit_codes_round_trip(spark):
     r = random.Random(1)
     k = ["".join(r.choice("ACGT") for _ in range(31)) for _ in range(50)] + ["A" * 31, "T" * 31]
@@ -72,7 +102,37 @@ def test_binomial_tail(spark):
     assert both(9, 1) and not both(10, 1) and both(69, 2) and not both(70, 2)
 
 
+def test_noise_of_deep_samples(spark):
+    assert 0 <= ts.noise_probability(3000, 1400) < 1e-300 and ts.noise_probability(10**7, 3) > 0.999 and ts.noise_probability(5, 6) == 0
+    for n, m in ((40, 0), (40, 1), (400, 2), (900, 9)):
+        direct = 1 - sum(math.comb(n, i) * 0.005**i * 0.995 ** (n - i) for i in range(m))
+        assert math.isclose(ts.noise_probability(n, m), direct, abs_tol=1e-12)
+    x = spark.createDataFrame([(3000, 1400), (400_000, 2100), (5, 6), (5, 5)], "n long, m long")
+    for n, m, p in x.select("n", "m", stats.binomial_tail(F.col("n"), F.col("m"))).collect():
+        assert math.isclose(p, ts.noise_probability(n, m), abs_tol=1e-9)
+
+
 # ---------------------------------------------------------------- files
+def test_fastq_in_many_splits(spark, tmp_path):
+    """Records that lie across splits are whole, each once; blank and cut ends give none."""
+    r = random.Random(2)
+    reads = [(f"q{i}", "".join(r.choices("ACGT", k=r.randint(1, 90)))) for i in range(500)]
+    text = "".join(f"@{n} x\n{x}\n+\n{'@' * len(x)}\n" for n, x in reads)
+    (tmp_path / "a.fq").write_text(text)
+    (tmp_path / "b.fq").write_text("@only\r\nACGT\r\n+\r\nIIII\r\n@cut\nAC")
+    with gzip.open(tmp_path / "c.fq.gz", "wt") as f:
+        f.write("@zip\nGG\n+\nII\n\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("700", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            got = readers.read_fastq(spark, str(tmp_path))
+            assert size == "128m" or got.rdd.getNumPartitions() > 20
+            assert rows(got) == sorted([(n, x, "@" * len(x)) for n, x in reads] + [("only", "ACGT", "IIII"), ("zip", "GG", "II")])
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_fasta_fastq_and_tables(spark, tmp_path):
     g = tmp_path / "g"
     g.mkdir()
@@ -160,6 +220,53 @@ def test_dendrogram_and_node_sets(spark):
     assert rows(got) == [(1, "one"), (5, "left"), (7, "all")]
 
 
+def test_closure_of_a_long_chain(spark):
+    n = 1500
+    nodes = spark.createDataFrame([(i, i + 1 if i < n else None) for i in range(1, n + 1)], "id long, parent long")
+    up = ks.closure(nodes)
+    assert up.count() == n * (n + 1) // 2 and up.agg(F.max("up")).first()[0] == n - 1
+    assert up.where("ancestor - node <> up").isEmpty() and ks.depths(nodes).where(f"depth <> {n} - id").isEmpty()
+
+
+def test_jaccard_with_a_threshold_is_that_of_all_pairs(spark):
+    for seed in range(3):
+        data, inc = random_inc(spark, 10, 40, seed)
+        twin = inc.unionByName(inc.where("kmer <> 7").select((F.col("strain") + 100).alias("strain"), "kmer"))
+        every = rows(sm.jaccard(twin))
+        for least in (0.3, 0.9, 1.0):
+            assert rows(sm.jaccard(twin, least=least)) == [x for x in every if x[3] >= least]
+
+
+def test_spanning_forest_gives_the_same_dendrogram(spark):
+    r = random.Random(4)
+    pairs = [(a, b, r.random()) for a in range(12) for b in range(a + 1, 12) if r.random() < 0.6]
+    got = sm.spanning_forest(spark.createDataFrame(pairs, "a long, b long, similarity double").repartition(5)).collect()
+    assert len(got) <= 5 * 11 and sm.dendrogram(list(range(12)), [tuple(x) for x in got]) == sm.dendrogram(list(range(12)), pairs)
+
+
+def test_complete_linkage_equals_a_plain_version(spark):
+    r = random.Random(6)
+    for _ in range(3):
+        pairs = {(a, b): r.choice((0.5, 0.9, 0.93, 0.96, 1.0)) for a in range(9) for b in range(a + 1, 9)}
+        groups = [[i] for i in range(9)]
+        while True:
+            far = lambda x, y: max(1 - pairs[min(i, j), max(i, j)] for i in x for j in y)
+            d, x, y = min(((far(x, y), x, y) for n, x in enumerate(groups) for y in groups[n + 1 :]), key=lambda t: (t[0], min(t[1]), min(t[2])), default=(2, 0, 0))
+            if d > 0.1 + 1e-12:
+                break
+            groups = sorted([g for g in groups if g not in (x, y)] + [x + y], key=min)
+        items = spark.createDataFrame([(i,) for i in range(9)], "strain long")
+        got = sm.complete_linkage(items, spark.createDataFrame([(a, b, s) for (a, b), s in pairs.items()], "a long, b long, similarity double"), 0.9)
+        assert rows(got) == sorted((i, min(g)) for g in groups for i in g)
+
+
+def test_near_identical_strains_are_one(spark):
+    k = {1: range(100), 2: range(1, 100), 3: range(50, 160), 4: range(1000, 1100)}
+    inc = spark.createDataFrame([(1 if s < 4 else 2, s, x) for s, xs in k.items() for x in xs], "cluster long, strain long, kmer long")
+    assert rows(sm.near_identical(inc, 0.011)) == [(1, 1, 1), (1, 2, 1), (1, 3, 3), (2, 4, 4)]
+    assert rows(sm.near_identical(inc, 0.005)) == [(1, 1, 1), (1, 2, 2), (1, 3, 3), (2, 4, 4)]
+
+
 def test_medoids_and_reassignment(spark):
     c = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 2), (5, 2), (6, 3)], "strain long, cluster long")
     d = {(1, 2): 0.1, (2, 3): 0.1, (1, 3): 0.3, (4, 5): 0.2, (5, 6): 0.05}
@@ -318,6 +425,51 @@ def test_subsample_keeps_one_of_twins(spark, genomes):
     assert {r.rep for r in ix.subsample(g, CFG, 0.98).collect()} == {1, 3, 4}
 
 
+def test_strain_kmers_caps_blocks_and_twins(spark, genomes):
+    g = spark.createDataFrame([(1, genomes[1]), (2, genomes[2]), (3, genomes[1][:2500] + genomes[3][:1500])], "strain long, seq string")
+    cluster = spark.createDataFrame([(1, 1), (2, 1), (3, 1)], "strain long, cluster long")
+    own = ix.occurrences(g, CFG).distinct().join(cluster, "strain")
+    of = {}
+    for c, k in own.select("strain", "kmer").collect():
+        of.setdefault(k, set()).add(c)
+    l2, twin = ix.strain_kmers(g, own, cluster, ix.BuildConfig(recluster=0.0))
+    assert {(r.strain, r.kmer) for r in l2.collect()} == {(s, k) for k, w in of.items() if len(w) < 3 for s in w} and twin.where("strain <> rep").isEmpty()
+    few, _ = ix.strain_kmers(g, own, cluster, ix.BuildConfig(unique_cap=5, recluster=0.0))
+    alone = [x for x in rows(few.select("strain", "kmer")) if len(of[x[1]]) == 1]
+    assert alone == sorted((s, k) for s in (1, 2, 3) for k in sorted(k for k, w in of.items() if w == {s})[:5])
+    # a partial block of strains 1 and 2 from 2400 on: k-mers within it that strain 3 has not
+    blocks = spark.createDataFrame([("p", 1, "+", 2400, 4000), ("p", 2, "+", 2400, 4000), ("g", 1, "+", 0, 600), ("g", 2, "+", 0, 600), ("g", 3, "+", 0, 600)], "block string, strain long, strand string, start long, end long")
+    inside = {x for x in S.codes_of(genomes[1][2400:].encode(), 31, "canonical").tolist() if of[x] == {1, 2}}
+    for share, kept in ((1.0, inside), (0.0, set())):
+        got, _ = ix.strain_kmers(g, own, cluster, ix.BuildConfig(unique_cap=0, share=share, recluster=0.0), blocks)
+        assert {(r.strain, r.kmer) for r in got.collect()} == {(1, k) for k in kept}  # which do not tell 1 from 2
+
+
+def test_memory_mode_halves_the_thresholds(spark):
+    cfg = ix.BuildConfig(memory=True)
+    assert (cfg.least, ix.BuildConfig().least) == (500, 1000)
+    x = spark.createDataFrame([(499, True), (500, True), (1500, False)], "n long, leaf boolean")
+    assert [r[0] for r in x.select(stats.category(F.col("n"), F.col("leaf"), F.lit(False), cfg.least, 3 * cfg.least, True)).collect()] == ["0", "1", "2"]
+
+
+def test_two_related_strains_and_their_depths(spark, genomes):
+    """Two clusters and, within one, two strains: depths come out within a tenth."""
+    r = random.Random(5)
+    base = genomes[1]
+    other = "".join(c if r.random() > 0.02 else r.choice("ACGT") for c in base)
+    g = spark.createDataFrame([(1, base), (2, other), (3, genomes[3])], "strain long, seq string")
+    cfg = ix.BuildConfig(mink=50, similarity=0.3)
+    index = ix.build_index(g, cfg)
+    assert index.cluster.select("cluster").distinct().count() == 2
+    ring = lambda x, depth: reads_of(x + x[:199], depth, 200)
+    reads = spark.createDataFrame(ring(base, 20) + ring(other, 10) + ring(genomes[3], 10), "seq string")
+    got = ix.report(index, reads, scan=dm.ScanConfig(least_new=100))
+    depth = {x.strain: x.model_depth for x in got.strains.collect()}
+    per_kmer = lambda d: d * (200 - 30) / 200
+    assert math.isclose(depth[1], per_kmer(20), rel_tol=0.1) and math.isclose(depth[2], per_kmer(10), rel_tol=0.1)
+    assert {x.strain for x in got.merged.collect()} == {1, 2, 3} and got.strains.where("total < covered or cov > 1").isEmpty()
+
+
 def test_short_contigs(spark):
     g = spark.createDataFrame([(1, "A" * 10), (1, "A" * 200), (2, "A")], "strain long, seq string")
     assert ix.short_contigs(g, spark.createDataFrame([(1,)], "strain long"), 100).count() == 1

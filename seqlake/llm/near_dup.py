@@ -4,9 +4,12 @@ Every distinct shingle set is a class (equal sets are found by a hash of the who
 BINS bins fills its empty bins from others by a fixed hash sequence; bands of ROWS bins make bucket keys. In each bucket all
 members are joined to the smallest one only (a star), so candidates grow with the members and not with their square; they
 are confirmed on the full sets and joined into components. What a star can miss is then looked for: in buckets that still
-hold several components, members of different components whose signatures and sizes allow the similarity are compared too,
-in blocks, and confirmed the same way. No bucket, group or candidate list has a cap. A pair at the threshold itself shares no
-band with a probability of about 1e-6, and the signatures rule it out (AGREE) with one below that: no filter is free of loss.
+hold several components, the members outside the smallest one's component are compared with all, in blocks. Sets of up to SMALL
+shingles are compared as they are (by 32 bits of each hash, which can only add pairs), larger ones by a longer signature;
+pairs that pass are confirmed on the full sets. No bucket, group or candidate list has a cap.
+
+What can be lost: a pair at the threshold itself shares no band with a probability of about 1e-6, and a pair of sets above SMALL
+shingles falls below AGREE with less than that.
 
 Defined results: null texts and texts without words have no shingles and are linked with nothing; a text shorter than a
 shingle is one shingle; rows with equal keys are one document; a row with a null key is in the component of its class, or in
@@ -25,18 +28,29 @@ from pyspark.sql import functions as F
 
 from .common import U64, Words, discard, mix, n_parts, stage, staged, text_slices, window_hash
 from .components import components
+from .tokens import spread
 
 BINS, ROWS = 270, 6
 #: Bins of the second signature, which only the comparison across components uses.
 MORE_BINS = 512
-#: Of all 782 bins this many agree at least in a pair at similarity 0.8. The mean is 626; bins copied from others widen the spread of
-#: small sets (simulated standard deviation 10.0 at 1,000 shingles, 12.7 at 100, 15.2 at 5), so this is 5.7 of them below it or more.
-AGREE = 540
+#: Sets of up to so many shingles are compared whole. A set at the threshold of one above it has at least LEAST_LARGE.
+SMALL, LEAST_LARGE = 400, 320
+#: Of all 782 bins this many agree at least in a pair of larger sets at similarity 0.8. The mean is 626, the standard deviation
+#: 10 at 1,000 shingles and 11.5 at 320, so this is 5.7 of them below it or more.
+AGREE = 560
 BLOCK = 512
-#: Up to so many candidate keys (8 bytes each) are broadcast to the readers of the texts; beyond, texts are joined by sorting.
-BROADCAST_KEYS = 2_000_000
+#: Bits of the filter of candidate keys that readers of the texts get: 8 MB whatever the data. Where it fills up, sets of documents that
+#: are no candidates are written too, and found by no join.
+FILTER_BITS = 1 << 26
+_TRIES = 1024
+
+
+def tries(bins: int, of: np.ndarray, turn: int) -> np.ndarray:
+    """The turn-th thousand bins that empty bins copy from, in order."""
+    return (mix(of.astype(U64)[:, None] * U64(_TRIES) + np.arange(_TRIES, dtype=U64) + (U64(turn) << U64(32)) + U64(77)) % U64(bins)).astype(np.int64)
+
 
-_TRY = {n: (mix(np.arange(n * 1024, dtype=U64) + U64(77)) % U64(n)).astype(np.int16).reshape(n, 1024) for n in (BINS, MORE_BINS)}
+_FIRST = {n: tries(n, np.arange(n), 0) for n in (BINS, MORE_BINS)}
 
 
 def shingle_sets(text: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -67,18 +81,17 @@ def signature(s: np.ndarray, bins: int = BINS, salt: int = 0x5851F42D4C957F2D) -
     at = np.searchsorted(key, np.arange(bins, dtype=U64) << U64(54))
     nxt = np.append(at[1:], len(key))
     full = at < nxt
-    out, tries = np.zeros(bins, U64), _TRY[bins]
+    out = np.zeros(bins, U64)
     out[full] = key[at[full]] & U64((1 << 54) - 1)
-    empty = np.flatnonzero(~full)
-    for most in (16, 1024):
-        if not len(empty):
-            break
-        hit = full[tries[empty, :most]]
+    empty, turn = np.flatnonzero(~full), 0
+    while len(empty) and len(s):
+        look = _FIRST[bins][empty] if not turn else tries(bins, empty, turn)
+        hit = full[look[:, :16]] if not turn else full[look]
+        if not turn and not hit.any(1).all():
+            hit = full[look]
         found = hit.any(1)
-        out[empty[found]] = out[tries[empty[found], hit[found].argmax(1)]]
-        empty = empty[~found]
-    if len(empty):  # 1024 tries in vain: the first bin that has one
-        out[empty] = out[np.flatnonzero(full)[0]]
+        out[empty[found]] = out[look[found, hit[found].argmax(1)]]
+        empty, turn = empty[~found], turn + 1
     return out
 
 
@@ -110,25 +123,36 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "key long, n long, set_id binary, keys array<long>, sig binary")
 
 
+def key_filter(keys: DataFrame) -> DataFrame:
+    """(part, bits): a filter of FILTER_BITS bits that knows every key, in rows of 4 KB."""
+    at = F.pmod(F.xxhash64("key"), F.lit(FILTER_BITS)).alias("at")
+    return keys.select(at).groupBy(F.floor(F.col("at") / 32768).alias("part")).agg(F.expr("bitmap_construct_agg(at % 32768)").alias("bits"))
+
+
 def sets_of(docs: DataFrame, keys: DataFrame, k: int) -> DataFrame:
-    """key, set (ascending 64-bit hashes) of the documents whose key is among keys."""
+    """key, set (ascending 64-bit hashes) of the documents whose key is among keys, and of few others."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in in_small_batches(it):
             yield pa.record_batch({"key": b.column("key"), "set": pa.array([s.tobytes() for s in shingle_sets(b.column("text"), k)], pa.binary())})
 
-    few = keys.count() <= BROADCAST_KEYS
-    return docs.join(F.broadcast(keys) if few else keys, "key", "left_semi").mapInArrow(run, "key long, set binary")
+    at = F.pmod(F.xxhash64("key"), F.lit(FILTER_BITS))
+    held = docs.withColumn("_at", at).withColumn("part", F.floor(F.col("_at") / 32768)).join(F.broadcast(key_filter(keys)), "part")
+    byte = F.conv(F.hex(F.expr("substring(bits, cast((_at % 32768) / 8 as int) + 1, 1)")), 16, 10).cast("int")
+    held = held.where(F.expr("_at is not null") & (F.call_function("getbit", byte, (F.col("_at") % 8).cast("int")) == 1))
+    return held.select("key", "text").mapInArrow(run, "key long, set binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of pairs (a, b) whose sets have 100 * intersection >= percent * union.
 
-    The set of each b goes to its a once. Many b of one a are dealt over parts, each of which gets a copy of a's set, and a
-    part is read as a stream, so that no star has to fit in a task.
+    The set of each b goes to its a once. Of an a with many b they are dealt over parts, each of which gets a copy of a's set,
+    and a part is read as a stream, so that no star has to fit in a task.
     """
-    sizes = pairs.groupBy("a").agg((F.count("*") / 256 + 1).cast("int").alias("parts"))
-    dealt = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
+    parts = n_parts(pairs.sparkSession)
+    # an a with more than a quarter of a partition's share of all b: four a partition at most, few enough to broadcast
+    hot = pairs.groupBy("a").agg(F.count("*").alias("many")).where(F.col("many") > max(1, pairs.count() // (4 * parts))).select("a", F.lit(True).alias("hot"))
+    dealt = pairs.join(F.broadcast(hot), "a", "left").select("a", "b", F.when(F.col("hot"), F.pmod(F.xxhash64("b"), F.lit(parts))).otherwise(F.lit(0).cast("long")).alias("part"))
     # rows with equal keys are one document, which has the links of each of its texts
     members = dealt.join(sets.withColumnRenamed("key", "b"), "b").select("a", "part", "b", "set")
     hubs = dealt.select("a", "part").distinct().join(sets.withColumnRenamed("key", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "set")
@@ -154,46 +178,60 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             c = list(zip(*got, strict=True)) or [[], []]
             yield pa.record_batch({"a": pa.array(c[0], pa.int64()), "b": pa.array(c[1], pa.int64())})
 
-    rows = members.unionByName(hubs).repartition(n_parts(pairs.sparkSession), "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    rows = members.unionByName(hubs).repartition(parts, "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
     return rows.mapInArrow(run, "a long, b long")
 
 
 def across(members: DataFrame, reps: DataFrame, sets: DataFrame, label: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of one bucket and different components that may reach the similarity, by their sizes and signatures."""
+    """Pairs (a, b) of one bucket and different components that may reach the similarity."""
     named = members.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "hub", "rep", F.coalesce("label", "rep").alias("comp"))
     main = named.where("rep = hub").select("bucket", F.col("comp").alias("main")).distinct()
     state = named.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("bucket", "n")
-    open_, _ = staged(named.join(state.join(main, "bucket"), "bucket"), "open")
+    open_, at_open = staged(named.join(state.join(main, "bucket"), "bucket"), "open")
     wanted = open_.select(F.col("rep").alias("key")).distinct()
 
     def more(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in in_small_batches(it):
-            got = [(signature(np.frombuffer(s, U64), MORE_BINS, 0x2545F4914F6CDD1D) & U64(255)).astype(np.uint8).tobytes() for s in b.column("set").to_pylist()]
-            yield pa.record_batch({"rep": b.column("key"), "more": pa.array(got, pa.binary())})
-
-    second = sets.join(wanted, "key").select("key", "set").mapInArrow(more, "rep long, more binary").groupBy("rep").agg(F.min("more").alias("more"))
-    known = reps.join(second, "rep").select("rep", F.col("n").alias("size"), F.concat("sig", "more").alias("sig"))
-    open_ = open_.join(known, "rep")
-    open_ = open_.withColumn("minor", F.col("comp") != F.col("main"))
-    open_ = open_.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+            small, large = [], []
+            for raw in b.column("set").to_pylist():
+                x = np.frombuffer(raw, U64)
+                small.append(np.unique((mix(x) >> U64(32)).astype("<u4")).tobytes() if len(x) <= SMALL else b"")
+                large.append((signature(x, MORE_BINS, 0x2545F4914F6CDD1D) & U64(255)).astype(np.uint8).tobytes() if len(x) >= LEAST_LARGE else b"")
+            yield pa.record_batch({"rep": b.column("key"), "small": pa.array(small, pa.binary()), "more": pa.array(large, pa.binary())})
+
+    second = sets.join(wanted, "key").select("key", "set").mapInArrow(more, "rep long, small binary, more binary").groupBy("rep").agg(F.min("small").alias("small"), F.min("more").alias("more"))
+    first = F.expr(f"substring(sig, 1, {BINS})")
+    known = reps.join(second, "rep").select("rep", F.col("n").alias("size"), F.expr(f"substring(sig, {BINS + 1}, {4 * (BINS // ROWS)})").alias("keys"), "small", F.when(F.length("more") > 0, F.concat(first, "more")).otherwise(F.col("more")).alias("large"))
+    rows, at_rows = staged(open_.join(known, "rep").withColumn("minor", F.col("comp") != F.col("main")), "open")
+    rows = rows.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = open_.where("minor").select("bucket", F.col("block").alias("i"), every.alias("j"), F.lit(0).alias("side"), "rep", "comp", "size", "sig")
-    right = open_.select("bucket", every.alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"), "rep", "comp", "size", "sig")
+    left = rows.where("minor").select("bucket", F.col("block").alias("i"), every.alias("j"), F.lit(0).alias("side"), "rep", "comp", "size", "keys", "small", "large")
+    right = rows.select("bucket", every.alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"), "rep", "comp", "size", "keys", "small", "large")
 
     def compare(bucket: int, rows: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         side = np.array([r[0] for r in rows])
         rep, comp, size = (np.array([r[c] for r in rows], np.int64) for c in (1, 2, 3))
-        both = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), -1)
-        end = BINS + 4 * (BINS // ROWS)
-        sig, keys = np.hstack((both[:, :BINS], both[:, end:])), np.ascontiguousarray(both[:, BINS:end]).view("<u4")
+        keys = np.frombuffer(b"".join(r[4] for r in rows), "<u4").reshape(len(rows), -1)
         band = int(np.flatnonzero(keys[0] == np.uint32(bucket & 0xFFFFFFFF))[0])
         y = np.flatnonzero(side == 1)
-        for x in np.flatnonzero(side == 0):
-            ok = y[(comp[y] != comp[x]) & (100 * np.minimum(size[y], size[x]) >= percent * np.maximum(size[y], size[x]))]
-            ok = ok[~(keys[ok, :band] == keys[x, :band]).any(1)]  # a pair is compared in its first common bucket only
-            ok = ok[(sig[ok] == sig[x]).sum(1) >= AGREE]
-            if len(ok):
-                yield np.minimum(rep[ok], rep[x]), np.maximum(rep[ok], rep[x])
+        sets = {i: np.frombuffer(rows[i][5], "<u4") for i in range(len(rows)) if rows[i][5]}
+        inverted = Inverted([sets.get(i, _NO_SET) for i in y.tolist()])
+        large = {i: np.frombuffer(rows[i][6], np.uint8) for i in range(len(rows)) if rows[i][6]}
+        big = np.array([i for i in y.tolist() if i in large], np.int64)
+        sigs = np.stack([large[i] for i in big.tolist()]) if len(big) else None
+        for x in np.flatnonzero(side == 0).tolist():
+            ok = np.zeros(len(rows), bool)
+            if x in sets:
+                both = inverted.common(sets[x])
+                ok[y] = 100 * both >= percent * (len(sets[x]) + inverted.size - both)
+                ok[y] &= inverted.size > 0
+            if x in large and len(big):
+                ok[big] |= ((size[big] > SMALL) | (size[x] > SMALL)) & ((sigs == large[x]).sum(1) >= AGREE)
+            ok &= (comp != comp[x]) & (100 * np.minimum(size, size[x]) >= percent * np.maximum(size, size[x]))
+            i = np.flatnonzero(ok)
+            i = i[~(keys[i, :band] == keys[x, :band]).any(1)]  # a pair is compared in its first common bucket only
+            if len(i):
+                yield np.minimum(rep[i], rep[x]), np.maximum(rep[i], rep[x])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, rows = None, []
@@ -205,15 +243,41 @@ def across(members: DataFrame, reps: DataFrame, sets: DataFrame, label: DataFram
                 yield pa.record_batch({"a": pa.array(ab[:, 0]), "b": pa.array(ab[:, 1])})
 
         for batch in in_small_batches(it):
-            for *where, side, rep, comp, size, sig in zip(*(batch.column(c).to_pylist() for c in ("bucket", "i", "j", "side", "rep", "comp", "size", "sig")), strict=True):
+            for *where, side, rep, comp, size, keys, small, large in zip(*(batch.column(c).to_pylist() for c in ("bucket", "i", "j", "side", "rep", "comp", "size", "keys", "small", "large")), strict=True):
                 if where != at:
                     yield from flush()
                     at, rows = where, []
-                rows.append((side, rep, comp, size, sig))
+                rows.append((side, rep, comp, size, keys, small, large))
         yield from flush()
 
     rows = left.unionByName(right).repartition(n_parts(members.sparkSession), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    out = stage(rows.mapInArrow(run, "a long, b long").distinct(), "pairs")
+    discard(members.sparkSession, at_open)
+    discard(members.sparkSession, at_rows)
+    return out
+
+
+_NO_SET = np.zeros(0, np.uint32)
+
+
+class Inverted:
+    """Sets by their elements, to count what each has in common with another."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.size = np.array([len(x) for x in sets], np.int64)
+        flat = np.concatenate([*sets, _NO_SET])
+        order = np.argsort(flat, kind="stable")
+        self.of = np.repeat(np.arange(len(sets)), self.size)[order]
+        self.value, self.first = np.unique(flat[order], return_index=True)
+        self.first = np.append(self.first, len(flat))
+
+    def common(self, x: np.ndarray) -> np.ndarray:
+        if not len(self.value):
+            return np.zeros(len(self.size), np.int64)
+        i = np.searchsorted(self.value, x)
+        i[i == len(self.value)] = 0
+        i = i[self.value[i] == x]
+        return np.bincount(self.of[spread(self.first[i], self.first[i + 1] - self.first[i])], minlength=len(self.size))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -221,7 +285,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     spark = docs.sparkSession
     docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     sigs, _ = staged(signatures(docs, k), "signatures")
-    classes = sigs.where("set_id is not null").groupBy("set_id").agg(F.min("key").alias("rep"))
+    classes, at_classes = staged(sigs.where("set_id is not null").groupBy("set_id").agg(F.min("key").alias("rep"), F.count("*").alias("copies")), "classes")
     # one row a class; its smallest key has it. (set, key) is even over partitions however many copies a class has
     reps, at_reps = staged(sigs.join(classes, (sigs.set_id == classes.set_id) & (sigs.key == classes.rep)).select("rep", "n", "keys", "sig").dropDuplicates(["rep", "n", "sig"]), "classes")
     rows = reps.select(F.explode("keys").alias("bucket"), "rep")
@@ -233,7 +297,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     near, at_near = staged(members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
     star, at_star = staged(confirmed(near, sets, percent), "links")
     label = components(star)
-    far, at_far = staged(across(members, reps, sets, label, percent), "pairs")
+    far = across(members, reps, sets, label, percent)
     rest, at_rest = staged(confirmed(far, sets, percent), "links")
     if not rest.isEmpty():  # components of the few labels that the rest joins
         named = lambda df, c: df.join(label.select(F.col("node").alias(c), F.col("label").alias("l" + c)), c, "left")
@@ -243,9 +307,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
         label = ends.join(label, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
         label = stage(label.join(over.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
         discard(spark, at_over)
-    for path in (at_reps, at_members, at_sets, at_near, at_star, at_far, at_rest):
+    for path in (at_reps, at_members, at_sets, at_near, at_star, at_rest):
         discard(spark, path)
-    named = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("set_id").alias("class"), F.coalesce("label", "rep").alias("comp"))
-    out = sigs.join(named, F.col("set_id") == F.col("class"), "left")
+    named = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("set_id").alias("class"), "copies", F.coalesce("label", "rep").alias("comp"))
+    # classes of many copies are dealt over all partitions. Those with more than their share of a quarter of a partition are
+    # four a partition at most: few enough to broadcast
+    parts = n_parts(spark)
+    much = max(1, sigs.count() // (4 * parts))
+    hot = classes.where(F.col("copies") > much).select(F.col("set_id").alias("hot"))
+    salted = sigs.join(F.broadcast(hot), F.col("set_id") == F.col("hot"), "left").withColumn("salt", F.when(F.col("hot").isNotNull(), F.pmod(F.xxhash64("key"), F.lit(parts))).otherwise(F.lit(0))).drop("hot")
+    each = F.explode(F.when(F.col("copies") > much, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0))))
+    named = named.select("class", "comp", each.alias("at"))
+    out = salted.select("key", "n", "set_id", "salt").join(named, (F.col("set_id") == F.col("class")) & (F.col("salt") == F.col("at")), "left")
     comp = F.when(F.col("set_id").isNull(), F.col("key")).otherwise(F.col("comp"))
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(F.col("key") == comp, F.lit(False)).alias("kept"))

@@ -455,11 +455,11 @@ def test_signature_agreement_follows_similarity():
     assert (near_dup.signature(u[:3]) == near_dup.signature(u[:3])).all()
 
 
-def test_signatures_of_small_sets_at_the_threshold_agree():
+def test_signatures_of_large_sets_at_the_threshold_agree():
     """The cut of the comparison across components stays clear of pairs at similarity 0.8."""
     rng = np.random.default_rng(3)
     sig = lambda x: np.concatenate([near_dup.signature(np.unique(x), *a) & near_dup.U64(255) for a in ((), (near_dup.MORE_BINS, 0x9E3779B97F4A7C15))])
-    for n in (5, 25, 100):
+    for n in (320, 420, 1000):
         agree = []
         for _ in range(400):
             x = rng.integers(0, 2**63, n, dtype=np.uint64)
@@ -467,6 +467,47 @@ def test_signatures_of_small_sets_at_the_threshold_agree():
         assert np.mean(agree) - 4.9 * np.std(agree) > near_dup.AGREE
 
 
+def test_densification_ends_for_any_set():
+    for n in (1, 2, 3):
+        x = near_dup.signature(np.arange(n, dtype=np.uint64) * near_dup.U64(977))
+        assert 1 <= len(set(x.tolist())) <= n
+    assert not near_dup.signature(np.zeros(0, np.uint64)).any()
+
+
+def test_inverted_sets_count_what_is_common():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 60, n)).astype(np.uint32) for n in (0, 5, 30, 80)]
+    index = near_dup.Inverted(sets)
+    for x in sets:
+        assert index.common(x).tolist() == [len(np.intersect1d(x, y)) for y in sets]
+
+
+def test_key_filter_knows_every_key(spark):
+    docs = spark.createDataFrame([(i, f"w{i} a b c d") for i in [*range(-50, 3000), None]], "key long, text string")
+    keys = spark.createDataFrame([(i,) for i in [*range(-50, 0), *range(5, 3000, 7)]], "key long")
+    got = {r.key for r in near_dup.sets_of(docs, keys, 4).collect()}
+    assert {r.key for r in keys.collect()} <= got and len(got) < 600 and None not in got
+
+
+def test_recall_of_pairs_at_the_threshold(spark):
+    """Pairs at similarity 0.8 to 0.82, of small and large sets, each in a crowd that shares its buckets: all are found."""
+    rng = random.Random(12)
+    rows, want = [], 0
+    for g in range(120):
+        n = rng.choice((30, 90, 200, 600))
+        base = [f"g{g}w{i}" for i in range(n)]
+        for j in range(4):
+            d = list(base)
+            d[j * 3 % n] = f"x{j}"  # 4 or fewer shingles are lost, each side
+            cut = int(n * rng.uniform(0.02, 0.09))
+            d[n - cut :] = [f"y{g}.{j}.{i}" for i in range(cut)]
+            rows.append((1000 * g + j, " ".join(d)))
+    want = brute.components(rows, 4)
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(frame(spark, rows), k=4).collect()}
+    pairs = {i for i in want if want[i] != i}
+    assert len(pairs) > 60 and got == want
+
+
 # ---------------------------------------------------------------- 10
 import re  # noqa: E402
 

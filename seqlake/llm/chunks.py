@@ -1,8 +1,9 @@
 """Documents in chunk files of the shared folder, and questions that chunks put to hash partitions.
 
 Where a document's result needs facts about all documents (does this hash occur elsewhere, how often does this word occur), a
-chunk sends each of its distinct hashes once, sorted and packed by partition, and gets the answers back in the same order. So
-texts never move, a hash costs eight bytes a chunk however often it occurs there, and no key is hot: a chunk sends it once.
+chunk sends each of its distinct hashes once, packed by partition, and gets the answers back in the same order. So texts never
+move, a hash costs eight bytes a chunk however often it occurs there, and there are never more rows than hashes. Partitions are
+as many as the bytes of all chunks ask for, so that what one of them holds at a time does not grow with the corpus.
 """
 
 from __future__ import annotations
@@ -15,16 +16,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, open_fs, scratch
+from .common import U64, n_parts, open_fs, scratch, stage
 
-#: Bytes of Arrow data in a chunk, about; a larger partition becomes several chunks.
-CHUNK_BYTES = 16 << 20
+#: Bytes of Arrow data in a chunk, about; a larger partition becomes several chunks. And those for each hash partition.
+CHUNK_BYTES, PART_BYTES = 16 << 20, 24 << 20
+
+
+def in_pieces(it: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about `most` bytes."""
+    for b in it:
+        step = max(1, b.num_rows * most // max(1, b.nbytes))
+        for at in range(0, b.num_rows, step):
+            yield b.slice(at, step)
 
 
 class Chunks:
-    """Chunk files: spark, files (chunk, path), how many, and the folder."""
+    """Chunk files: spark, files (chunk, path; a table of the shared folder), n (how many), parts (hash partitions), and the folder."""
 
-    def __init__(self, docs: DataFrame, name: str):
+    def __init__(self, docs: DataFrame, name: str, most: int = CHUNK_BYTES):
         spark = docs.sparkSession
         self.spark, self.folder, self.schema = spark, scratch(spark, name), docs.schema
         folder = self.folder
@@ -32,29 +41,37 @@ class Chunks:
         fs.create_dir(top, recursive=True)
 
         def write(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
+
             fs, top = open_fs(folder)
             out = sink = None
-            size, done = 0, []
-            for b in it:
+            size, done, sizes = 0, [], []
+            for b in in_pieces(it, most // 4):
                 if b.num_rows:
                     if out is None:
                         path = f"chunk-{uuid.uuid4().hex}.arrow"
                         done.append(f"{folder}/{path}")
+                        sizes.append(0)
                         sink = fs.open_output_stream(f"{top}/{path}")
                         out = pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd"))
                     out.write_batch(b)
                     size += b.nbytes
-                    if size >= CHUNK_BYTES:
+                    sizes[-1] = size
+                    if size >= most:
                         out.close(), sink.close()
                         out, size = None, 0
             if out is not None:
                 out.close(), sink.close()
-            yield pa.record_batch({"path": pa.array(done, pa.string())})
-
-        # one short row for each chunk: those of the tasks that counted
-        paths = sorted(r.path for r in docs.mapInArrow(write, "path string").collect())
-        self.n = max(1, len(paths))
-        self.files = spark.createDataFrame(list(enumerate(paths)), "chunk int, path string")
+            task = np.full(len(done), TaskContext.get().partitionId())
+            yield pa.record_batch({"task": pa.array(task, pa.int32()), "at": pa.array(np.arange(len(done)), pa.int32()), "path": pa.array(done, pa.string()), "size": pa.array(sizes, pa.int64())})
+
+        # the list of files is a table too: those of the tasks that counted. The driver sees one row a task
+        files = stage(docs.mapInArrow(write, "task int, at int, path string, size long"), name + "-files")
+        tasks = sorted((r.task, r.n, r.size) for r in files.groupBy("task").agg(F.count("*").alias("n"), F.sum("size").alias("size")).collect())
+        self.n = max(1, sum(n for _, n, _ in tasks))
+        self.parts = max(n_parts(spark), -(-sum(size for *_, size in tasks) // PART_BYTES))
+        first = spark.createDataFrame(list(zip([t for t, *_ in tasks], np.cumsum([0, *(n for _, n, _ in tasks)]).tolist(), strict=False)), "task int, first int")
+        self.files = files.join(F.broadcast(first), "task").select((F.col("first") + F.col("at")).alias("chunk"), "path")  # a row a task
 
     def each(self, f: Callable[[int, str], Iterator[pa.RecordBatch]], schema) -> DataFrame:
         """f(chunk, path) of every chunk."""

@@ -1,10 +1,11 @@
 """Operator 8: removal of passages that recur, by repeated-phrase automata.
 
-A window is `window` consecutive words. Recurring passages are found in two rounds of questions between chunks of documents
+A window is `window` consecutive words. Recurring passages are confirmed in two rounds of questions between chunks of documents
 and hash partitions: first the winnowed anchors (the smallest hash of the k-grams of each window, so that equal windows have
-equal anchors), then the windows around anchors that recur. Confirmed passages, cut into phrases of bounded length, are
-compiled into Aho-Corasick automata over word numbers, one for each shard of documents, and all documents of the shard are
-streamed through it to locate every occurrence; the words that occurrences cover are removed.
+equal anchors), then the windows around anchors that recur. Confirmed passages are cut into phrases of a window's length, which
+go to shards by their hash: a shard holds the distinct phrases, in their own words, of the whole corpus. Every chunk is given the
+phrases of all shards that it may hold, compiles them into Aho-Corasick automata of at most SHARD phrases, and streams all its
+documents through them; the words that occurrences cover, compared word by word, are removed.
 
 Defined results: null text has no words and stays null; documents shorter than a window keep all; a window that recurs within
 one document counts; of repeated rows all lose their windows; an empty table gives none; other columns pass unchanged.
@@ -18,15 +19,17 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .chunks import QUESTION, Chunks, ask, in_order, questions, read_chunk, split
-from .common import U64, Words, n_parts, text_slices, window_hash
+from .common import U64, Words, text_slices, window_hash
 
 GRAM = 10
-PHRASE = 70
+#: Phrases in an automaton.
+SHARD = 10_000
 
 
 def anchors(h: np.ndarray, doc: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -89,28 +92,77 @@ def member(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
     return sorted_[i] == x
 
 
-def locate(words: Words, starts: np.ndarray, window: int) -> np.ndarray:
-    """Mask of the words in occurrences of the passages whose windows begin at `starts`, by an automaton of their phrases."""
-    gone = np.zeros(len(words), bool)
+def phrase_starts(starts: np.ndarray, doc: np.ndarray, window: int) -> np.ndarray:
+    """First words of phrases that cover the passages whose windows begin at `starts`: one after the other, and the last window."""
     if not len(starts):
-        return gone
-    _, number = np.unique(words.hash, return_inverse=True)
-    ids = number.tolist()
-    cut = np.flatnonzero((np.diff(starts) > 1) | (words.doc[starts[1:]] != words.doc[starts[:-1]])) + 1
-    auto = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        return starts
+    cut = np.flatnonzero((np.diff(starts) > 1) | (doc[starts[1:]] != doc[starts[:-1]])) + 1
+    out = []
     for a, b in zip(np.concatenate(([0], cut)), np.append(cut, len(starts)), strict=True):
-        lo, hi = int(starts[a]), int(starts[b - 1]) + window  # a passage: consecutive windows
-        for s in [*range(lo, hi - PHRASE, PHRASE), max(lo, hi - PHRASE)]:
-            e = min(hi, s + PHRASE)
-            auto.add_word(tuple(ids[s:e]), e - s)
-    auto.make_automaton()
-    cover = np.zeros(len(words) + 1, np.int64)
-    for f, n in zip(words.first.tolist(), words.count.tolist(), strict=True):
-        if n >= window:
-            for end, size in auto.iter(tuple(ids[f : f + n])):
-                cover[f + end + 1 - size] += 1
-                cover[f + end + 1] -= 1
-    return np.cumsum(cover[:-1]) > 0
+        lo, last = int(starts[a]), int(starts[b - 1])
+        out += [*range(lo, last, window), last]
+    return np.array(out, np.int64)
+
+
+class Automata:
+    """Phrases (words with single spaces) compiled over word numbers."""
+
+    def __init__(self, phrases: list[bytes]):
+        self.phrases, self.shards = phrases, []
+        flat = b"\n".join(phrases)
+        w = Words(pa.array([flat], pa.large_binary()).view(pa.large_string()))
+        size = np.array([p.count(b" ") + 1 for p in phrases], np.int64)
+        self.least = int(size.min()) if len(size) else 0
+        self.gram = min(GRAM, self.least)
+        of = np.repeat(np.arange(len(phrases)), size)
+        grams = window_hash(w.hash, self.gram) if len(size) else np.zeros(0, U64)
+        self.grams = np.unique(grams[of[: len(grams)] == of[len(of) - len(grams) :]])
+        self.words, number = np.unique(w.hash, return_inverse=True)
+        self.base = int(np.sqrt(len(self.words) + 1)) + 1
+        letters, at = self.letters(number + 1), 0
+        for i in range(0, len(phrases), SHARD):
+            auto = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+            for k in range(i, min(i + SHARD, len(phrases))):
+                n = int(size[k])
+                key = tuple(letters[2 * at : 2 * (at + n)])
+                auto.add_word(key, (n, [*auto.get(key, (n, []))[1], k]))  # phrases whose words have equal hashes
+                at += n
+            auto.make_automaton()
+            self.shards.append(auto)
+
+    def letters(self, ids: np.ndarray) -> list[int]:
+        """Two letters for each word number, of alphabets apart: a node then has few children, which the library searches one by one."""
+        out = np.empty(2 * len(ids), np.int64)
+        out[::2], out[1::2] = ids // self.base, self.base + 1 + ids % self.base
+        return out.tolist()
+
+    def stretches(self, words: Words) -> Iterator[tuple[int, int]]:
+        """(first word, words) of the parts of documents that can hold a phrase: all their grams are grams of phrases."""
+        ok = member(self.grams, window_hash(words.hash, self.gram))
+        ok &= words.doc[: len(ok)] == words.doc[self.gram - 1 :]
+        of = np.concatenate(([0], np.where(ok, words.doc[: len(ok)] + 1, 0), [0]))
+        edge = np.flatnonzero(np.diff(of))
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            if of[a + 1] and b - a >= self.least - self.gram + 1:
+                yield a, b - a + self.gram - 1
+
+    def locate(self, words: Words) -> np.ndarray:
+        """Mask of the words in occurrences of the phrases."""
+        cover = np.zeros(len(words) + 1, np.int64)
+        if len(self.words) and len(words):
+            i = np.searchsorted(self.words, words.hash)
+            i[i == len(self.words)] = 0
+            letters = self.letters(np.where(self.words[i] == words.hash, i + 1, 0))
+            raw, start, end = words.data.tobytes(), words.start, words.end
+            for f, n in self.stretches(words):
+                text = tuple(letters[2 * f : 2 * (f + n)])
+                for auto in self.shards:
+                    for last, (size, which) in auto.iter(text):
+                        a = f + last // 2 + 1 - size
+                        if b" ".join(raw[start[a] : end[a + size - 1]].split()) in [self.phrases[k] for k in which]:
+                            cover[a] += 1
+                            cover[a + size] -= 1
+        return np.cumsum(cover[:-1]) > 0
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", window: int = 35, digest: bool = False, key: str = "doc_id") -> DataFrame:
@@ -118,11 +170,10 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = 35, digest
 
     A changed text keeps the white space between words that stay side by side; removed stretches leave one space or line end.
     """
-    spark = docs.sparkSession
     if digest:
         docs = docs.select(F.col(key).cast("long").alias(key), F.col(text).alias(text))
     chunks = Chunks(docs, "repeats")
-    parts = n_parts(spark)
+    parts = chunks.parts
     gram = min(GRAM, window)
 
     def anchor_questions(chunk: int, path: str) -> Iterator[pa.RecordBatch]:
@@ -151,16 +202,27 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = 35, digest
         u, many = candidates(path, answers)
         yield from questions(chunk, u, parts, many)
 
-    def confirmed(chunk: int, path: str, answers: list[bytes]) -> Iterator[pa.RecordBatch]:
-        hashes = []
-        for r in answers:  # each answer holds the confirmed hashes themselves
-            hashes.append(np.frombuffer(r, U64))
-        good = np.sort(np.concatenate(hashes)) if hashes else np.zeros(0, U64)
-        for b, first, part in _texts(path, text):
+    def phrases_told(chunk: int, path: str, answers: list[bytes]) -> Iterator[pa.RecordBatch]:
+        """The chunk's phrases to their shards; the answers hold the hashes of its windows that recur."""
+        good = np.sort(np.concatenate([np.zeros(0, U64), *(np.frombuffer(r, U64) for r in answers)]))
+        told: dict[int, dict[bytes, int]] = {}
+        for _, _, part in _texts(path, text):
             w = Words(part)
             at, _, _ = anchors(w.hash, w.doc, window, gram)
-            win = window_hash(w.hash, window)
-            gone = locate(w, at[member(good, win[at])], window) if len(at) else np.zeros(len(w), bool)
+            if len(at):
+                win, raw = window_hash(w.hash, window), w.data.tobytes()
+                for a in phrase_starts(at[member(good, win[at])], w.doc, window).tolist():
+                    phrase = b" ".join(raw[w.start[a] : w.end[a + window - 1]].split())
+                    told.setdefault(int(win[a] % U64(parts)), {})[phrase] = int(win[a])
+        rows = [(chunk, p, np.array(list(x.values()), U64).tobytes(), _shut(list(x))) for p, x in told.items()]
+        c = list(zip(*rows, strict=True)) or [[]] * 4
+        yield pa.record_batch({"chunk": pa.array(c[0], pa.int32()), "part": pa.array(c[1], pa.int32()), "hashes": pa.array(c[2], pa.binary()), "extra": pa.array(c[3], pa.binary())})
+
+    def located(chunk: int, path: str, answers: list[bytes]) -> Iterator[pa.RecordBatch]:
+        automata = Automata(sorted({x for a in answers for x in _opened(a)}))
+        for b, first, part in _texts(path, text):
+            w = Words(part)
+            gone = automata.locate(w)
             rows = b.slice(first, len(part))
             yield digests(rows, w, gone) if digest else rewritten(rows, w, gone)
 
@@ -192,7 +254,25 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = 35, digest
     recurring = ask(chunks.each(anchor_questions, QUESTION), parts, _recur)
     windows = ask(chunks.answered(recurring, window_questions, QUESTION), parts, _kept)
     schema = T.StructType([T.StructField(key, T.LongType()), *(T.StructField(c, T.LongType()) for c in ("n_words", "n_removed")), T.StructField("kept_sha256", T.StringType())]) if digest else docs.schema
-    return chunks.answered(windows, confirmed, schema)
+    shards = ask(chunks.answered(windows, phrases_told, QUESTION), parts, _shard)
+    return chunks.answered(shards, located, schema)
+
+
+def _shut(phrases: list[bytes]) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(b"\n".join(phrases))
+
+
+def _opened(raw: bytes) -> list[bytes]:
+    return zstandard.ZstdDecompressor().decompress(raw).split(b"\n")
+
+
+def _shard(hashes: list[np.ndarray], extras: list[bytes]) -> list[bytes]:
+    """To each question the shard's phrases, of whatever chunk, that have its hashes."""
+    held: dict[int, set[bytes]] = {}
+    for h, x in zip(hashes, extras, strict=True):
+        for i, phrase in zip(h.tolist(), _opened(x), strict=True):
+            held.setdefault(i, set()).add(phrase)
+    return [_shut([p for i in dict.fromkeys(h.tolist()) for p in held[i]]) for h in hashes]
 
 
 def _kept(hashes: list[np.ndarray], extras: list[bytes]) -> list[bytes]:

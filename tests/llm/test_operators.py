@@ -412,6 +412,33 @@ def test_repeats_equal_brute_force(spark, table):
             assert (out[i].n_words, out[i].n_removed, out[i].kept_sha256) == (len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest())
 
 
+def test_repeats_are_found_by_the_automata_alone():
+    """What is removed is what automata of the phrases find, and an empty one finds nothing."""
+    v = [f"w{i}" for i in range(400)]
+    a, b = " ".join(v[:90]), " ".join(v[40:130])
+    w = Words(pa.array([a + " x " + b, " ".join(v[300:380]), b]))
+    phrases = [" ".join(v[i : i + 35]).encode() for i in (0, 35, 55, 95)]
+    gone = repeats.Automata(phrases).locate(w)
+    assert gone[:90].all() and not gone[90:106].any() and gone[106:141].all() and not gone[141:146].any() and gone[146:181].all() and not gone[181:261].any()
+    assert not repeats.Automata([]).locate(w).any()
+    odd = Words(pa.array(["p q r s"]))
+    odd.hash[:] = 7  # words of equal hashes are told apart by their letters
+    two = repeats.Automata([b"p q"])
+    two.words, two.grams = np.array([7], np.uint64), window_hash(odd.hash, 2)[:1]
+    two.shards[0] = repeats.ahocorasick.Automaton(repeats.ahocorasick.STORE_ANY, repeats.ahocorasick.KEY_SEQUENCE)
+    two.base = 2
+    two.shards[0].add_word(tuple(two.letters(np.array([1, 1]))), (2, [0]))
+    two.shards[0].make_automaton()
+    assert two.locate(odd).tolist() == [True, True, False, False]
+
+
+def test_phrases_cover_passages():
+    doc = np.zeros(200, int)
+    starts = np.array([0, 1, 2, 50, 51, 120])
+    assert repeats.phrase_starts(starts, doc, 35).tolist() == [0, 2, 50, 51, 120]
+    assert repeats.phrase_starts(np.arange(80), doc, 35).tolist() == [0, 35, 70, 79] and not len(repeats.phrase_starts(starts[:0], doc, 35))
+
+
 def test_repeats_keep_columns_and_clean_texts(spark, table):
     out = by_id(repeats.remove_repeats(frame(spark, table)))
     for (i, t), (w, gone) in zip(table, brute.repeated([t for _, t in table], 35), strict=True):

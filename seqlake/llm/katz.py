@@ -2,13 +2,16 @@
 
 Good-Turing discounts come from the counts of counts of the whole training corpus; the mass that they free in a context goes
 to its unseen words, with a backoff weight that makes the context sum to one exactly. Unigrams are discounted the same way,
-and their free mass belongs to the one unknown word. The counts lie in packed tables, one row for each order and hash
-partition of contexts. Chunks of documents put one question for each distinct word, and then for each distinct bigram, to the
-partition that holds it, and evaluate the model token by token: the bigram if it was seen, else the weight of its context
-times the unigram.
+and their free mass belongs to the one unknown word. The counts lie in packed tables, partitioned by hashes of words and of
+contexts. Chunks of documents put one question for each distinct word, and then for each distinct bigram, to the partition that
+holds it, and evaluate the model token by token: the bigram if it was seen, else the weight of its context times the unigram.
+
+A frequent context (the begin of a text, a common word) is dealt over all partitions by the word that follows; each sums its
+part, and the sums of such contexts, at most four a partition, go to all chunks.
 
 Defined results: null text is empty, its only token is the end; a null key counts as an empty one; with no training document
-every token has the base probability of an unknown word, and so has the model; repeated rows are counted and scored each.
+every token has the base probability of an unknown word, and so has the model; repeated rows are counted and scored each;
+other columns are not carried.
 """
 
 from __future__ import annotations
@@ -24,9 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import Chunks, dealt, read_chunk
-from .common import U64, Words, n_parts, staged, text_slices
+from .common import U64, Words, mix, staged, text_slices
 
 K = 5
+#: Bytes of Arrow data in a chunk: its distinct bigrams take about ten times as much while it is worked on.
+CHUNK = 14 << 20
 END, BEGIN = U64(0x0E4D), U64(0xBE61)
 ROWS = "kind string, chunk int, part int, answer binary"
 
@@ -46,17 +51,6 @@ def unpacked(b: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-def six(h: np.ndarray) -> np.ndarray:
-    """The low six bytes of each hash."""
-    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-
-
-def from_six(b: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(b) // 6, 8), np.uint8)
-    out[:, :6] = b.reshape(-1, 6)
-    return out.reshape(-1).view("<u8")
-
-
 def discounts(n: np.ndarray) -> np.ndarray:
     """Good-Turing discounts of counts 0..K (of 0: 1) from n, how many have count 1..K+1; absolute discounts where they don't exist."""
     out = np.ones(K + 1)
@@ -139,13 +133,8 @@ class Chunk:
             self.pairs, number = np.unique((before << U64(32)) | self.word, return_inverse=True)
             self.pair = number.astype(np.uint32)
             self.pair_counts = np.bincount(self.pair[train], minlength=len(self.pairs)).astype("<u4")
-            self.context = (self.pairs >> U64(32)).astype(np.int64)
-            self.follower = (self.pairs & U64(0xFFFFFFFF)).astype(np.int64)
-
-    def contexts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(number, hash, first pair) of the distinct contexts, in the order of pairs."""
-        c, at = np.unique(self.context, return_index=True)
-        return c, np.append(self.words, BEGIN)[c], at
+            self.context = (self.pairs >> U64(32)).astype(np.int32)
+            self.follower = (self.pairs & U64(0xFFFFFFFF)).astype(np.int32)
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -180,8 +169,8 @@ def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus:
     The model learns from the documents whose crc32(key as text) modulo `modulus` is not `held`.
     """
     spark = docs.sparkSession
-    chunks = Chunks(docs.select(F.col(key).cast("long").alias(key), F.col(text).alias(text)), "corpus")
-    parts = n_parts(spark)
+    chunks = Chunks(docs.select(F.col(key).cast("long").alias(key), F.col(text).alias(text)), "corpus", CHUNK)
+    parts = chunks.parts
 
     def load(path: str, bigrams: bool) -> Chunk:
         return Chunk(path, key, text, modulus, held, bigrams)
@@ -197,8 +186,7 @@ def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus:
         u, back = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
         total = np.zeros(len(u), np.int64)
         np.add.at(total, back, np.concatenate([g[1] for g in got]).astype(np.int64))
-        part = rows[0][1]
-        yield [("stats", -1, part, histogram(total).tobytes()), ("table", -1, part, packed(u[total > 0], total[total > 0]))]
+        yield [("stats", -1, rows[0][1], histogram(total).tobytes())]
         answers, i = total[back], 0
         for (chunk, p, _), g in zip(rows, got, strict=True):
             yield [("answer", chunk, p, packed(answers[i : i + len(g[0])]))]
@@ -216,28 +204,38 @@ def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus:
         return out, len(some)
 
     # ---- bigrams
-    def shares(c: Chunk):
-        """For each partition that gets some: (partition, its contexts, their first pairs and how many, the pairs)."""
-        number, h, at = c.contexts()
-        size = np.diff(np.append(at, len(c.pairs)))
-        part = (h % U64(parts)).astype(np.int64)
-        for p in np.unique(part):
-            i = np.flatnonzero(part == p)
-            pairs = np.repeat(at[i] - np.cumsum(size[i]) + size[i], size[i]) + np.arange(size[i].sum())
-            yield int(p), i, h[i], size[i], pairs
+    # a context that occurs more often than a fourth of a partition's even share is dealt by its followers
+    often = train_tokens // (4 * parts)
+
+    def shares(c: Chunk, known: np.ndarray):
+        """For each partition that gets some: (partition, its contexts, whether they are frequent, how many pairs of each, the pairs)."""
+        h = np.append(c.words, BEGIN)
+        much = np.append(known > often, True)
+        part = (h % U64(parts)).astype(np.int32)[c.context]
+        i = np.flatnonzero(much[c.context])
+        part[i] = (mix(h[c.context[i]] * U64(3) + c.words[c.follower[i]]) % U64(parts)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        some, at = np.unique(part[order], return_index=True)
+        for p, a, b in zip(some.tolist(), at, np.append(at[1:], len(order)), strict=True):
+            pairs = order[a:b]  # ascending, so by context
+            context, size = np.unique(c.context[pairs], return_counts=True)
+            yield p, h[context], much[context], size, pairs
 
     def pairs_asked(chunk: int, path: str, answers: list[bytes]) -> Iterator[pa.RecordBatch]:
         c = load(path, True)
         known, _ = word_counts(c, answers)
-        for p, _, h, size, pairs in shares(c):
+        for p, h, much, size, pairs in shares(c, known):
             f = c.follower[pairs]
-            yield _rows([("ask", chunk, p + parts, packed(h, size.astype("<u4"), six(c.words[f]), c.pair_counts[pairs], known[f]))])
+            yield _rows([("ask", chunk, p + parts, packed(h, much.astype("u1"), size.astype("<u4"), c.words[f], c.pair_counts[pairs], np.minimum(known[f], 2**32 - 1).astype("<u4") if train_tokens < 2**32 else known[f]))])
+
+    wide = "<u4" if train_tokens < 2**32 else "<i8"
 
     def pairs_judged(rows: list[tuple]) -> Iterator[list[tuple]]:
-        got = [unpacked(r[2], "<u8", "<u4", "u1", "<u4", "<i8") for r in rows]
-        context = np.concatenate([np.repeat(g[0], g[1]) for g in got])
-        word = np.concatenate([from_six(g[2]) for g in got])
-        count, known = np.concatenate([g[3] for g in got]).astype(np.int64), np.concatenate([g[4] for g in got])
+        got = [unpacked(r[2], "<u8", "u1", "<u4", "<u8", "<u4", wide) for r in rows]
+        context = np.concatenate([np.repeat(g[0], g[2]) for g in got])
+        much = np.concatenate([np.repeat(g[1], g[2]) for g in got]).astype(bool)
+        word = np.concatenate([g[3] for g in got])
+        count, known = np.concatenate([g[4] for g in got]).astype(np.int64), np.concatenate([g[5] for g in got]).astype(np.int64)
         order = np.lexsort((word, context))
         context, word = context[order], word[order]
         new = np.ones(len(order), bool)
@@ -249,22 +247,33 @@ def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus:
         u = own[first]
         total, seen = np.add.reduceat(pair, first), np.add.reduceat(mass, first)
         small = np.stack([np.add.reduceat((pair == r).astype(np.int64), first) for r in range(1, K + 1)], 1)
-        part = rows[0][1]
-        keep = pair > 0
-        of, runs = np.unique(own[keep], return_counts=True)
-        yield [("stats", -1, part, histogram(pair).tobytes()), ("table", -1, part, packed(of, runs.astype("<u4"), six(word[at][keep]), pair[keep]))]
+        often_ = much[order][at][first]
+        yield [("stats", -1, rows[0][1], histogram(pair).tobytes()), ("often", -1, rows[0][1], packed(u[often_], total[often_], small[often_], seen[often_]))]
         answers = np.empty(len(order), np.int64)
         answers[order] = pair[np.cumsum(new) - 1]
         i = 0
         for (chunk, p, _), g in zip(rows, got, strict=True):
-            n = int(g[1].sum())
-            j = np.searchsorted(u, g[0])
-            yield [("answer", chunk, p, packed(answers[i : i + n], total[j], small[j].T, seen[j]))]
+            n = int(g[2].sum())
+            j = np.searchsorted(u, g[0][g[1] == 0])
+            yield [("answer", chunk, p, packed(answers[i : i + n], total[j], small[j], seen[j]))]
             i += n
 
+    def sums(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for raw in b.column("answer").to_pylist():
+                u, total, small, seen = unpacked(raw, "<u8", "<i8", "<i8", "<f8")
+                yield pa.record_batch([pa.array(u.view(np.int64)), pa.array(total), pa.array(seen), *(pa.array(x) for x in np.ascontiguousarray(small.reshape(-1, K).T))], names=["context", "total", "seen", *(f"n{r}" for r in range(1, K + 1))])
+
     answer = lambda df: df.where("kind = 'answer'").select("chunk", "part", "answer")
     twos, _ = staged(_judged(chunks.answered(answer(ones), pairs_asked, ROWS), parts, pairs_judged), "bigrams")
     d = discounts(_stats(twos)[: K + 1])
+    # four contexts a partition at most, and the begin
+    names = ["total", "seen", *(f"n{r}" for r in range(1, K + 1))]
+    frequent = twos.where("kind = 'often'").select("answer").mapInArrow(sums, "context long, total long, seen double, " + ", ".join(f"n{r} long" for r in range(1, K + 1)))
+    rows = frequent.groupBy("context").agg(*(F.sum(c).alias(c) for c in names)).collect()
+    table = np.array([r.context for r in rows], np.int64).view(U64)
+    by = np.argsort(table)
+    common = spark.sparkContext.broadcast((table[by], *(np.array([r[c] for r in rows], float if c == "seen" else np.int64)[by] for c in names)))
 
     # ---- scores
     def scored(chunk: int, path: str, answers: list[bytes]) -> Iterator[pa.RecordBatch]:
@@ -273,9 +282,14 @@ def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus:
         n = len(c.keys)
         low = np.log10(uni.p(known)) if train_tokens else np.zeros(len(known))
         value = np.empty(len(c.pairs))
-        for (_, _, _, size, pairs), a in zip(shares(c), answers[used:], strict=True):
-            count, total, small, seen = unpacked(a, "<i8", "<i8", "<i8", "<f8")
-            scale, weight = context_weights(total, small.reshape(K, -1).T, seen, d)
+        words, all_total, all_seen, *all_small = common.value
+        for (_, h, much, size, pairs), a in zip(shares(c, known), answers[used:], strict=True):
+            count, some_total, some_small, some_seen = unpacked(a, "<i8", "<i8", "<i8", "<f8")
+            total, seen, small = np.empty(len(h), np.int64), np.empty(len(h)), np.empty((len(h), K), np.int64)
+            total[~much], seen[~much], small[~much] = some_total, some_seen, some_small.reshape(-1, K)
+            j = np.searchsorted(words, h[much])
+            total[much], seen[much], small[much] = all_total[j], all_seen[j], np.stack([x[j] for x in all_small], 1)
+            scale, weight = context_weights(total, small, seen, d)
             of = np.repeat(np.arange(len(size)), size)
             with np.errstate(divide="ignore", invalid="ignore"):
                 high = np.log10(d[np.minimum(count, K) * (count <= K)] * count * scale[of])

@@ -99,7 +99,8 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 
 
 def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, w: int = W) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_hashes of every document."""
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_hashes, positions, hashes of every
+    document: with the last two, ascending by position, any common passage of w + k - 1 code points can be found and placed."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, before, before_set = None, "", np.zeros(0, U64)
@@ -109,16 +110,18 @@ def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text",
                 pos, h = winnow(code_points(t), k, w)
                 own = np.unique(h)
                 if not guard:
-                    assert at == bucket
+                    if at != bucket:  # every bucket begins with its guard
+                        raise RuntimeError(f"bucket {at} has no guard")
                     changed = edit(t, before)
                     e_pos, e_h = (pos, h) if changed == t else winnow(code_points(changed), k, w)
-                    out.append((i, len(t), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), digest(pos, h), digest(e_pos, e_h), likeness(own, np.unique(e_h)), likeness(own, before_set), len(h)))
+                    out.append((i, len(t), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), digest(pos, h), digest(e_pos, e_h), likeness(own, np.unique(e_h)), likeness(own, before_set), len(h), pos, h.view(np.int64)))
                 bucket, before, before_set = at, t, own
-            c = list(zip(*out, strict=True)) or [[]] * 8
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64())
-            yield pa.record_batch([pa.array(x, kind) for x, kind in zip(c, kinds, strict=True)], names=["key", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_hashes"])
+            c = list(zip(*out, strict=True)) or [[]] * 10
+            longs = pa.list_(pa.int64())
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), longs, longs)
+            yield pa.record_batch([pa.array(x, kind) for x, kind in zip(c, kinds, strict=True)], names=["key", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_hashes", "positions", "hashes"])
 
-    return with_next(docs, key, text).mapInArrow(run, f"{key} long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_hashes long".replace(key, "key", 1)).withColumnRenamed("key", key)
+    return with_next(docs, key, text).mapInArrow(run, f"{key} long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_hashes long, positions array<long>, hashes array<long>".replace(key, "key", 1)).withColumnRenamed("key", key)
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, w: int = W) -> DataFrame:

@@ -96,7 +96,9 @@ def ftrl(rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = 4, alpha:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> np.ndarray:
-    """Weights learned from labels (key, label) and the texts of docs, on one executor, from `sample` documents at most."""
+    """Weights learned from labels (key, label) and the texts of docs, on one executor, from `sample` documents at most.
+
+    Documents are scanned and their features taken where they lie; only those of the sample move to the task that learns."""
     spark = docs.sparkSession
     # two-step: the bounded choice is made on keys and labels alone, and only its texts are read on
     picked = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.round(F.avg(label)).cast("int").alias("label"))
@@ -123,7 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
         rows = [(y, np.append(np.frombuffer(i, "<i4"), bias), np.append(np.frombuffer(x, "<f4"), 1.0)) for _, i, y, x in got]
         yield pa.record_batch({"w": pa.array([pickle.dumps(ftrl(rows))], pa.binary())})
 
-    return pickle.loads(rows.mapInArrow(extract, "key long, label int, i binary, x binary").coalesce(1).mapInArrow(learn, "w binary").first().w)
+    return pickle.loads(rows.mapInArrow(extract, "key long, label int, i binary, x binary").repartition(1).mapInArrow(learn, "w binary").first().w)
 
 
 def score(docs: DataFrame, weights: np.ndarray, text: str = "text", name: str = "score") -> DataFrame:

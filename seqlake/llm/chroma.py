@@ -19,10 +19,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import n_parts, staged
+from .chunks import in_pieces
+from .common import n_parts, open_fs, scratch, staged
+from .tokens import spread
 
 RATE, FRAME, HOP = 5512, 1024, 256
 WIDTH = 8  # positions that a filter spans at most
@@ -146,11 +150,6 @@ class Block:
         return out
 
 
-def spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """first[i], first[i] + 1, ... of n[i] numbers, one i after the other."""
-    return np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
-
-
 def render(values: np.ndarray, step: int = 512) -> np.ndarray:
     """A recording made from a vector: one note for each component, as high as its value among three octaves, with an overtone."""
     v = np.nan_to_num(np.asarray(values, float))
@@ -183,33 +182,34 @@ def members(prints: DataFrame) -> DataFrame:
 def matches(prints: DataFrame, query, block: int = 512) -> DataFrame:
     """query_id, match_id, copies, offset, overlap, bit_error: classes that a class with a row of the query set aligns with.
 
-    Every pair with one vote, an integer whose upper bits are equal, is aligned and judged by its bits alone. Blocks of queries (bounded) meet all classes,
-    which are dealt over partitions and streamed past the block's inverted index; only matches leave a task.
+    Every pair with one vote, an integer whose upper bits are equal, is aligned and judged by its bits alone. The queries are
+    a table of files of `block` rows in the shared folder; all classes, dealt over partitions, are streamed past the inverted index
+    of one file after the other. So nothing is copied in a shuffle, a task holds one block and one batch, and only matches leave it.
     """
-    n = n_parts(prints.sparkSession)
+    spark = prints.sparkSession
     rows = prints.where("key is not null and length(fingerprint) > 0")
     classes, _ = staged(rows.groupBy("fingerprint").agg(F.min("key").alias("id"), F.count("*").alias("copies"), F.max(query(F.col("key"))).alias("asked")), "classes")
-    blocks = max(1, -(-classes.where("asked").count() // block))
-    left = classes.where("asked").select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("slice"), F.lit(0).alias("side"), "id", "copies", "fingerprint")
-    right = classes.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("slice"), F.lit(1).alias("side"), "id", "copies", "fingerprint")
+    folder = scratch(spark, "queries")
+    asked = classes.where("asked").select("id", "fingerprint")
+    asked.repartition(n_parts(spark), "id").write.option("maxRecordsPerFile", block).parquet(folder)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, queries, index = None, [], None
-        for b in it:
-            out = []
-            for block_, slice_, side, i, copies, f in zip(*(b.column(c).to_pylist() for c in ("block", "slice", "side", "id", "copies", "fingerprint")), strict=True):
-                if (block_, slice_) != at:
-                    at, queries, index = (block_, slice_), [], None
-                x = np.frombuffer(f, "<u4")
-                if side == 0:
-                    queries.append((i, x))
-                elif queries:
-                    if index is None:
-                        index = Block([q for _, q in queries])
-                    out += [(queries[j][0], i, copies, *m) for j, *m in index.align(x)]
-            c = list(zip(*out, strict=True)) or [[]] * 6
-            kinds = (*[pa.int64()] * 5, pa.float64())
-            yield pa.record_batch([pa.array(v, k) for v, k in zip(c, kinds, strict=True)], names=["query_id", "match_id", "copies", "offset", "overlap", "bit_error"])
-
-    rows = left.unionByName(right).repartition(max(n, blocks), "block", "slice").sortWithinPartitions("block", "slice", "side")
+        fs, top = open_fs(folder)
+        files = sorted(f.path for f in fs.get_file_info(pafs.FileSelector(top)) if f.base_name.startswith("part-"))  # of the tasks that counted
+        for batch in in_pieces(it, 1 << 20):
+            ids, copies = batch.column("id").to_pylist(), batch.column("copies").to_pylist()
+            ours = [np.frombuffer(f, "<u4") for f in batch.column("fingerprint").to_pylist()]
+            for file in files:
+                with fs.open_input_file(file) as f:
+                    table = pq.ParquetFile(f).read(use_threads=False)
+                if not table.num_rows:
+                    continue
+                names = table.column("id").to_pylist()
+                index = Block([np.frombuffer(x, "<u4") for x in table.column("fingerprint").to_pylist()])
+                out = [(names[j], i, n, *m) for i, n, x in zip(ids, copies, ours, strict=True) for j, *m in index.align(x)]
+                c = list(zip(*out, strict=True)) or [[]] * 6
+                kinds = (*[pa.int64()] * 5, pa.float64())
+                yield pa.record_batch([pa.array(v, k) for v, k in zip(c, kinds, strict=True)], names=["query_id", "match_id", "copies", "offset", "overlap", "bit_error"])
+
+    rows = classes.select("id", "copies", "fingerprint").repartition(n_parts(spark), "id")
     return rows.mapInArrow(run, "query_id long, match_id long, copies long, offset long, overlap long, bit_error double")

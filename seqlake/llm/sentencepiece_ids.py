@@ -2,10 +2,12 @@
 
 The model file is read as a protobuf; its normaliser, metaspace marker, pieces with their scores (unigram scores, or the merge
 order that BPE scores stand for) and byte fallback are rebuilt as a tokenizer. Where no piece has a marker inside, texts are
-cut before the spaces and each distinct piece is encoded once.
+cut before the spaces and each distinct piece is encoded once; new pieces go to the library in batches that its threads share. All
+ids are held against those of the SentencePiece library.
 
-Defined results: null and empty texts have no ids and decode to the empty text; repeated rows are encoded each; an empty table
-gives none; other columns are not carried. Texts that hold characters outside the vocabulary fall back to bytes.
+Defined results: null and empty texts have no ids and decode to the empty text; a null key stays null; repeated rows are encoded
+each; of pieces with equal scores the library's choice counts; an empty table gives none; other columns, whatever their names,
+are not carried. Texts that hold characters outside the vocabulary fall back to bytes.
 """
 
 from __future__ import annotations
@@ -153,8 +155,21 @@ def sentence_encoder(path: str) -> SentenceEncoder:
     return _LOADED[path]
 
 
-def sentencepiece_ids(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
-    """key, n_tokens, ids_crc32 (of little-endian unsigned 32-bit ids), round_trip (decoding gives the text back), and the ids if asked."""
+_LIBRARY: dict[str, object] = {}
+
+
+def parity(path: str, texts: list[str], ids: list[np.ndarray], threads: int) -> list[bool]:
+    """Are the ids those of the SentencePiece library?"""
+    if path not in _LIBRARY:
+        import sentencepiece
+
+        _LIBRARY[path] = sentencepiece.SentencePieceProcessor(model_file=path)
+    return [np.array_equal(x, np.array(y, np.uint32)) for x, y in zip(ids, _LIBRARY[path].encode(texts, num_threads=threads), strict=True)]
+
+
+def sentencepiece_ids(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", with_ids: bool = False, threads: int = 2) -> DataFrame:
+    """key, n_tokens, ids_crc32 (of little-endian unsigned 32-bit ids), round_trip (decoding gives the text back), parity (the ids are
+    those of the SentencePiece library, which reads each text too), and the ids if asked."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = sentence_encoder(model)
@@ -162,11 +177,12 @@ def sentencepiece_ids(docs: DataFrame, model: str, key: str = "doc_id", text: st
             keys, texts = b.column("key"), b.column("text")
             for first, ids, off in enc.arrays(texts):
                 own = [ids[a:z] for a, z in zip(off[:-1], off[1:], strict=True)]
-                same = [enc.decode(x) == (t or "") for x, t in zip(own, texts.slice(first, len(own)).to_pylist(), strict=True)]
-                cols = {"key": keys.slice(first, len(own)), "n_tokens": pa.array(np.diff(off), pa.int64()), "ids_crc32": pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in own], pa.int64()), "round_trip": pa.array(same)}
+                read = [t or "" for t in texts.slice(first, len(own)).to_pylist()]
+                same = [enc.decode(x) == t for x, t in zip(own, read, strict=True)]
+                cols = {"key": keys.slice(first, len(own)), "n_tokens": pa.array(np.diff(off), pa.int64()), "ids_crc32": pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in own], pa.int64()), "round_trip": pa.array(same), "parity": pa.array(parity(model, read, own, threads))}
                 if with_ids:
                     cols["ids"] = pa.array([x.astype(np.int32) for x in own], pa.list_(pa.int32()))
                 yield pa.record_batch(cols)
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "key long, n_tokens long, ids_crc32 long, round_trip boolean" + ", ids array<int>" * with_ids).withColumnRenamed("key", key)
+    return rows.mapInArrow(run, "key long, n_tokens long, ids_crc32 long, round_trip boolean, parity boolean" + ", ids array<int>" * with_ids).withColumnRenamed("key", key)

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -133,6 +134,51 @@ def test_sentencepiece_parity(spark, table):
     assert all(rows[i].n_tokens == len(sp.encode(t or "")) and rows[i].round_trip for i, t in table)
 
 
+def varint(n):
+    return bytes([n]) if n < 128 else bytes([n & 127 | 128]) + varint(n >> 7)
+
+
+def field(number, value):
+    if isinstance(value, float):
+        return varint(number << 3 | 5) + struct.pack("<f", value)
+    if isinstance(value, int):
+        return varint(number << 3) + varint(value)
+    return varint(number << 3 | 2) + varint(len(value)) + value
+
+
+def unigram_model(path):
+    """A model file of the unigram kind, written field by field: pieces with scores, byte fallback, no normalisation map."""
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [(f"<0x{i:02X}>", 0.0, 6) for i in range(256)]
+    words = ["▁", "a", "b", "c", "ab", "bc", "abc", "▁a", "▁ab", "ca", "cab", "▁cab", "é", "▁the", "the", "t", "h", "e", "he"]
+    pieces += [(w, -1.5 - 0.37 * i, 1) for i, w in enumerate(words)]
+    out = b"".join(field(1, field(1, p.encode()) + field(2, s) + field(3, k)) for p, s, k in pieces)
+    out += field(2, field(3, 1) + field(35, 1) + field(40, 0) + field(41, 1) + field(42, 2) + field(43, (1 << 64) - 1))
+    out += field(3, field(1, b"identity") + field(2, b"") + field(3, 1) + field(4, 1) + field(5, 1))
+    path.write_bytes(out)
+    return str(path)
+
+
+def test_unigram_models_have_the_librarys_ids(spark, tmp_path, table):
+    import sentencepiece
+
+    path = unigram_model(tmp_path / "u.model")
+    sp, enc = sentencepiece.SentencePieceProcessor(model_file=path), spi.SentenceEncoder(path)
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abc thé😀") for _ in range(rng.randint(0, 40))) for _ in range(300)] + ["", " ", "abcab the cab", "x  y", " a "]
+    want = sp.encode(texts)
+    got = [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)]
+    assert got == want and [enc.decode(np.array(g, int)) for g in got] == sp.decode(want)
+    rows = by_id(spi.sentencepiece_ids(frame(spark, list(enumerate(texts))), path))
+    assert all(rows[i].n_tokens == len(x) and rows[i].parity for i, x in enumerate(want))
+
+
+def test_sentencepiece_of_nothing_nulls_and_clashing_names(spark):
+    assert spi.sentencepiece_ids(frame(spark, []), PIECE).count() == 0
+    docs = spark.createDataFrame([(None, "a b", 1), (1, None, 2), (1, None, 2)], "doc_id long, text string, n_tokens int")
+    got = spi.sentencepiece_ids(docs, PIECE).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens, r.parity) for r in got) == [(0, 2, True), (1, 0, True), (1, 0, True)]
+
+
 # ---------------------------------------------------------------- 3
 def test_quality_separates_and_handles_odd_rows(spark, table):
     rng = random.Random(5)

@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import re
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -13,53 +10,10 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-U64 = np.uint64
-_own_root: list[str] = []
-
+from ..runtime import discard, scratch, stage, staged  # noqa: F401
 
+U64 = np.uint64
 # ---------------------------------------------------------------- shared folder
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, with the scheme of Hadoop's default store if it names none.
-
-    Unset, a local session gets a folder of our own; a cluster has none that is shared, so it must name one.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        if not _own_root:
-            _own_root.append("file://" + tempfile.mkdtemp(prefix="seqlake-"))
-        root = _own_root[0]
-    if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", root):
-        return root.rstrip("/")
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    at = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
-    return "file://" + at[5:] if re.match(r"file:/(?!/)", at) else at
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back: cuts lineage and survives the loss of executors."""
-    return staged(df, name)[0]
-
-
-def staged(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def discard(spark: SparkSession, path: str) -> None:
-    """Delete a folder of the shared store that no result needs any more."""
-    jvm, sc = spark.sparkContext._jvm, spark.sparkContext._jsc
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(sc.hadoopConfiguration()).delete(p, True)
-
-
 def n_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -623,6 +623,43 @@ def test_tagger_held_out_accuracy():
     got = pii.tagged_spans([t for t, _ in test], p)
     hit = sum(len(set(a) & set(b)) for a, (_, b) in zip(got, test, strict=True))
     assert hit / sum(len(b) for _, b in test) > 0.7 and hit / sum(map(len, got)) > 0.7
+    sure = pii.tagged_spans([t for t, _ in test], p, accept=pii.ACCEPT)
+    right = sum(len(set(a) & set(b)) for a, (_, b) in zip(sure, test, strict=True))
+    assert right / sum(map(len, sure)) > 0.9 and right > 0.5 * hit
+
+
+def test_decoding_equals_all_paths(monkeypatch):
+    """Viterbi and certainty against every sequence of three tags; overlapping windows against one mean of their scores."""
+    import itertools
+
+    monkeypatch.setattr(pii, "TAGS", 3)
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 6):
+        s, tr = rng.standard_normal((n, 3)), rng.standard_normal((3, 3))
+        paths = list(itertools.product(range(3), repeat=n))
+        score = np.array([sum(s[i, y] for i, y in enumerate(x)) + sum(tr[a, b] for a, b in itertools.pairwise(x)) for x in paths])
+        assert tuple(pii.viterbi(s, tr)) == paths[int(score.argmax())]
+        share = np.exp(score) / np.exp(score).sum()
+        want = min(sum(q for q, x in zip(share, paths, strict=True) if x[i] > 0) for i in range(n))
+        assert math.isclose(pii.certainty(s, tr, [("email", 5, 5 + n)], 5)[0], want, rel_tol=1e-9)
+
+
+def test_windows_are_reconciled_over_the_text():
+    p, word = pii.train(), "lorem ipsum dolor sit "
+    text = word * 4 + "call (312) 555-3490 now " + word * 9 + "card 4111.1111.1111.1111 or " + word * 3 + "ann at example dot com, " + word
+    n = len(text)
+    total, weight = np.zeros((n, pii.TAGS)), np.zeros((n, 1))
+    for a in range(0, n, pii.STRIDE):
+        ids = np.zeros((pii.WINDOW, 1), int)
+        x = pii.char_ids(text)[a : a + pii.WINDOW]
+        ids[: len(x), 0] = x
+        s, m = pii.emissions(p, ids)[: len(x), 0], len(x)
+        near = np.minimum(np.arange(pii.WINDOW) + 1, pii.WINDOW - np.arange(pii.WINDOW))[:m, None]
+        total[a : a + m] += s * near
+        weight[a : a + m] += near
+    plain = pii.spans_of(pii.viterbi(total / weight, p["t"]), 0)
+    got = pii.tagged_spans([text], p)[0]
+    assert {s for s in got if s[0] != "email"} == {s for s in plain if s[0] != "email"} and len(got) >= 2
 
 
 def test_pii_table_and_redaction(spark, table):

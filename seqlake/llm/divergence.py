@@ -1,6 +1,6 @@
 r"""How the sources of a language differ in their words: wide term vectors, compared entry by entry.
 
-Counts are one aggregate by (lang, source, term), combined before the shuffle; a second puts each term of a language into an array
+Tasks count terms by (lang, source) in Arrow batches, and one aggregate, combined before its shuffle, sums them; a second puts each term of a language into an array
 indexed by source. Array functions turn the array into probabilities (scaled, exact integers) and emit what the term adds to each
 pair of sources; these contributions are summed where they arise, so a task sends on one row a pair, whatever its terms. An array has
 as many entries as its language has sources, and the result has a row for every two of them, so sources, unlike terms and documents,
@@ -13,21 +13,76 @@ repeated rows are documents of their own. An empty table gives no rows. Other co
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import equal_spans, lanes, span_hash, stage, text_slices
 
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Not part of any term: marks the entries that count documents.
-ONCE = "#"
-
-
-def terms(text: Column) -> Column:
-    """All terms of a text, A-Z lower-cased. Where every character is one byte, lower() does just that."""
-    low = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
-    return F.regexp_extract_all(low, F.lit(TERM), F.lit(0))
+#: The same by bytes of UTF-8.
+_INSIDE = np.array([chr(b).isalpha() or b >= 128 for b in range(256)])
+#: Bytes of text that are counted at once; a longer text is counted alone.
+SLICE = 4 << 20
+
+
+def count_terms(lang: pa.Array, source: pa.Array, text: pa.Array) -> pa.RecordBatch:
+    """(lang, source, term, n, docs): occurrences of each term in these documents of a group, and how many of them have it.
+
+    Terms are runs of bytes, as a character beyond ASCII is made of bytes that all count. None of the columns has nulls."""
+    lang, source, text = lang.dictionary_encode(), source.dictionary_encode(), text.cast(pa.large_string())
+    n = len(text)
+    group = lang.indices.to_numpy().astype(np.int64) * max(1, len(source.dictionary)) + source.indices.to_numpy()
+    off = np.frombuffer(text.buffers()[1], np.int64, n + 1, text.offset * 8)
+    buf = text.buffers()[2]
+    d = np.frombuffer(buf, np.uint8, off[-1] - off[0], off[0]) if off[-1] > off[0] else np.zeros(0, np.uint8)
+    off = off - off[0]
+    d = d + ((d >= 65) & (d <= 90)).astype(np.uint8) * np.uint8(32)
+    inside = _INSIDE[d]
+    begins, ends = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1]
+    ends[:-1] &= ~inside[1:]
+    edge = off[1:-1][(off[1:-1] > 0) & (off[1:-1] < len(d))]
+    begins[edge], ends[edge - 1] = inside[edge], inside[edge - 1]
+    start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    doc = np.searchsorted(off, start, side="right") - 1
+    lane = lanes(d)
+    h = span_hash(d, start, end, lane)
+    at = np.argsort(h, kind="stable")
+    at = at[np.argsort(group[doc][at], kind="stable")] if len(np.unique(group)) > 1 else at  # by group, hash and document
+    start, end, doc, h = start[at], end[at], doc[at], h[at]
+    g = group[doc]
+    new = np.ones(len(h), bool)
+    same = (h[1:] == h[:-1]) & (g[1:] == g[:-1])
+    # equal hashes of different words: they are told apart where they meet
+    same[same] = equal_spans(d, lane, start[1:][same], (end - start)[1:][same], d, lane, start[:-1][same], (end - start)[:-1][same])
+    new[1:] = ~same
+    once = new.copy()
+    once[1:] |= doc[1:] != doc[:-1]
+    first = np.flatnonzero(new)
+    size = (end - start)[first]
+    take = np.repeat(start[first] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    spans = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(np.append(0, np.cumsum(size)).astype(np.int64)), pa.py_buffer(d[take]))
+    of = lambda x, k: x.dictionary.take(pa.array(k)).cast(pa.string())
+    many, with_it = (np.add.reduceat(x.astype(np.int64), first) if len(first) else np.zeros(0, np.int64) for x in (np.ones(len(h)), once))
+    k = max(1, len(source.dictionary))
+    return pa.record_batch([of(lang, g[first] // k), of(source, g[first] % k), spans.cast(pa.string()), pa.array(many), pa.array(with_it)], names=["lang", "source", "term", "n", "docs"])
+
+
+def counted(docs: DataFrame) -> DataFrame:
+    """(lang, source, term, n, docs) of all documents: counts of one batch each, then summed by Spark before and after the shuffle."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            b = b.sort_by([("lang", "ascending"), ("source", "ascending")])  # few slices for each group
+            for i, text in text_slices(b.column("text"), SLICE):
+                yield count_terms(b.column("lang").slice(i, len(text)), b.column("source").slice(i, len(text)), text)
+
+    x = docs.select("lang", "source", "text").mapInArrow(run, "lang string, source string, term string, n long, docs long")
+    return x.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def scaled(count: Column, total: Column, n_terms: Column) -> Column:
@@ -38,14 +93,9 @@ def scaled(count: Column, total: Column, n_terms: Column) -> Column:
 
 def wide_terms(docs: DataFrame, groups: DataFrame, least: int) -> DataFrame:
     """(lang, term, counts): occurrences by source, in the order of groups.idx, of terms in at least `least` documents of a language."""
-    words = docs.select("lang", "source", terms(F.col("text")).alias("w"))
-    both = F.concat("w", F.transform(F.array_distinct("w"), lambda x: F.concat(F.lit(ONCE), x)))
-    n = words.select("lang", "source", F.explode(both).alias("key")).groupBy("lang", "source", "key").agg(F.count("*").alias("n"))
-    n = n.join(groups.select("lang", "source", "idx", "n_sources"), ["lang", "source"])
-    once = F.startswith("key", F.lit(ONCE))
-    n = n.select("lang", "idx", "n_sources", F.when(once, F.substring("key", 2, 1 << 30)).otherwise(F.col("key")).alias("term"), "n", once.alias("once"))
-    entries = F.sort_array(F.collect_list(F.when(~F.col("once"), F.struct("idx", "n")))).alias("e")
-    x = n.groupBy("lang", "term").agg(F.sum(F.when(F.col("once"), F.col("n"))).alias("docs"), F.first("n_sources").alias("s"), entries).where(F.col("docs") >= least)
+    n = counted(docs).join(groups.select("lang", "source", "idx", "n_sources"), ["lang", "source"])
+    entries = F.sort_array(F.collect_list(F.struct("idx", "n"))).alias("e")
+    x = n.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.first("n_sources").alias("s"), entries).where(F.col("docs") >= least)
     zeros = lambda k: F.array_repeat(F.lit(0).cast("long"), k)
     # each entry after the zeros of the sources between it and the one before
     filled = F.flatten(F.transform("e", lambda e, k: F.concat(zeros(e["idx"] - F.when(k > 0, F.get("e", k - 1)["idx"]).otherwise(F.lit(-1)) - 1), F.array(e["n"]))))

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import string
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -119,7 +120,7 @@ DOC = "doc_id long, text string, lang string, source string, term string, counts
 
 def plain_divergence(docs, least, top):
     word = re.compile(divergence.TERM)
-    low = str.maketrans(divergence.UPPER, divergence.LOWER)
+    low = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
     docs = [(word.findall((t or "").translate(low)), g or "", s or "") for t, g, s in docs]
     out = set()
     for g in {d[1] for d in docs}:

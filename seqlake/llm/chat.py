@@ -60,20 +60,30 @@ def _met(left: DataFrame, right: DataFrame, at: str, how: str = "left") -> DataF
     return left.join(right, F.col("tree").eqNullSafe(F.col("_tree")) & (F.col(at) == F.col("_id")), how)
 
 
+def _all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def climbed(links: DataFrame) -> tuple[list[DataFrame], DataFrame]:
-    """(tables of (tree, id, up): up is 2^k steps above; (tree, id, n, total): messages and score from the root down to each).
+    """(tables of (tree, id, up): up is 2^k steps above, rows only where there is one; (tree, id, n, total): messages and score from the
+    root down to each). A round asks for the messages that have not reached their root yet, no others.
 
     links: tree, id, parent, score, one row a message."""
     there = links.select(F.col("tree").alias("_tree"), F.col("id").alias("_id"))
     known = _met(links, there, "parent").select("tree", "id", F.col("_id").alias("up"), F.lit(1).cast("long").alias("n"), F.coalesce("score", F.lit(0.0)).cast("double").alias("total"))
     known = stage(known, "links")
-    hops, many = [known.select("tree", "id", "up")], known.count()
-    while not known.where("up is not null").isEmpty() and 2 ** (len(hops) - 1) <= many:  # beyond, a row that still goes up is on a cycle
-        above = known.select(F.col("tree").alias("_tree"), F.col("id").alias("_id"), F.col("up").alias("far"), F.col("n").alias("more"), F.col("total").alias("rest"))
-        known = _met(known, above, "up").select("tree", "id", F.col("far").alias("up"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"), (F.col("total") + F.coalesce("rest", F.lit(0.0))).alias("total"))
-        known = stage(known, "links")
-        hops.append(known.select("tree", "id", "up"))
-    return hops, known.where("up is null").select("tree", "id", "n", "total")
+    live, done, hops, many = known.where("up is not null"), [known.where("up is null")], [], known.count()
+    while not live.isEmpty() and 2 ** len(hops) <= many:  # beyond, a row that still goes up is on a cycle
+        hops.append(live.select("tree", "id", "up"))
+        above = _all([*done, live]).select(F.col("tree").alias("_tree"), F.col("id").alias("_id"), F.col("up").alias("far"), F.col("n").alias("more"), F.col("total").alias("rest"))
+        further = _met(live, above, "up", "inner").select("tree", "id", F.col("far").alias("up"), (F.col("n") + F.col("more")).alias("n"), (F.col("total") + F.col("rest")).alias("total"))
+        further = stage(further, "links")
+        live = further.where("up is not null")
+        done.append(further.where("up is null"))
+    return hops, _all(done).select("tree", "id", "n", "total")
 
 
 def best_branches(links: DataFrame, top: DataFrame, best: int | None) -> DataFrame:
@@ -90,12 +100,12 @@ def branch_paths(messages: DataFrame, best: int | None = 1) -> DataFrame:
     links = messages.select("tree", "id", "parent", "score")
     hops, top = climbed(links)
     chosen = stage(best_branches(links, top, best), "branches")
-    path = chosen.select("tree", "leaf", "rank", "score", "n", F.col("leaf").alias("id"), F.lit(0).cast("long").alias("off"))
+    parts = [chosen.select("tree", "leaf", "rank", "score", "n", F.col("leaf").alias("id"), F.lit(0).cast("long").alias("off"))]
     for k, hop in enumerate(hops):
-        above = hop.where("up is not null").select(F.col("tree").alias("_tree"), F.col("id").alias("_id"), "up")
-        more = _met(path, above, "id", "inner").select("tree", "leaf", "rank", "score", "n", F.col("up").alias("id"), (F.col("off") + 2**k).alias("off"))
-        path = stage(path.unionByName(more), "paths")
-    return path.select("tree", "leaf", "rank", "score", (F.col("n") - 1 - F.col("off")).alias("pos"), "id")
+        above = hop.select(F.col("tree").alias("_tree"), F.col("id").alias("_id"), "up")
+        more = _met(_all(parts), above, "id", "inner").select("tree", "leaf", "rank", "score", "n", F.col("up").alias("id"), (F.col("off") + 2**k).alias("off"))
+        parts.append(stage(more, "paths"))
+    return _all(parts).select("tree", "leaf", "rank", "score", (F.col("n") - 1 - F.col("off")).alias("pos"), "id")
 
 
 def one_of_each(messages: DataFrame) -> DataFrame:

@@ -46,10 +46,10 @@ def identify(spark: SparkSession, a: argparse.Namespace) -> None:
     write_reports(ix.report(index, reads.select("seq"), a.level, scan), names, a.output)
     if a.plasmids == 1:  # short contigs of the genomes that the index was built of
         contigs = readers.read_genomes(spark, a.genomes).withColumnRenamed("strain", "name").join(names, "name").select("strain", "seq")
-        second, named = ix.plasmids(index, reads.select("seq"), contigs, level=a.level), names
+        second, named = ix.plasmids(index, reads.select("seq"), contigs, level=a.level, scan=scan), names
     elif a.plasmids == 2:  # sequences of the user's own
         own, named = named_genomes(spark, a.genomes)
-        second = ix.plasmids(index, reads.select("seq"), genomes=own.select("strain", "seq"), level=a.level)
+        second = ix.plasmids(index, reads.select("seq"), genomes=own.select("strain", "seq"), level=a.level, scan=scan)
     else:
         second = None
     if second:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -96,8 +96,9 @@ def codes_of(text: bytes, k: int, strand: str = "given") -> np.ndarray:
     return own[good].astype(np.int64)
 
 
-def kmer_codes(df: DataFrame, k: int, seq: str = "seq", drop_last: bool = False, strand: str = "given") -> DataFrame:
+def kmer_codes(df: DataFrame, k: int, seq: str = "seq", drop_last: bool = False, strand: str = "given", keep: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """A row (kmer) for every ACGT k-mer of seq, as a long (`encode`): eight bytes to shuffle in place of k. k up to 31.
+    keep: which codes go on (a mask), asked before any leaves the task.
 
     Codes of a whole sequence are computed at once, in time linear in its length, and leave it in bounded batches."""
     if k > MOST_K:
@@ -110,7 +111,8 @@ def kmer_codes(df: DataFrame, k: int, seq: str = "seq", drop_last: bool = False,
             got = []
             for t in b.column(seq).to_pylist():
                 t = (t or "").encode("latin-1", "replace")
-                got.append(codes_of(t[:-1] if drop_last else t, k, strand))
+                codes = codes_of(t[:-1] if drop_last else t, k, strand)
+                got.append(codes[keep(codes)] if keep else codes)
             n = np.array([len(x) for x in got])
             codes, row = np.concatenate(got) if got else np.zeros(0, np.int64), np.repeat(np.arange(len(got)), n)
             for i in range(0, len(codes), 1 << 18):

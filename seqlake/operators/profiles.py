@@ -59,6 +59,15 @@ def node_metrics(node_kmer: DataFrame, counts: DataFrame, factor: float = 100.0)
     return out.select("node", "length", "covered", (F.col("covered") / F.col("length")).alias("cov"), F.coalesce("ab", F.lit(0.0)).alias("ab"))
 
 
+def sample_metrics(node_kmer: DataFrame, counts: DataFrame, factor: float = 100.0) -> DataFrame:
+    """(sample, node, covered, mean) of every node of which a sample has k-mers (A10, A11): k-mers found and their mean count, without
+    outliers. counts: sample, kmer, cnt."""
+    w = Window.partitionBy("sample", "node")
+    x = node_kmer.join(counts.where("cnt > 0"), "kmer").select("sample", "node", "cnt", F.median("cnt").over(w).alias("med"))
+    x = x.where(F.col("cnt") < factor * F.col("med"))
+    return x.groupBy("sample", "node").agg(F.count("*").alias("covered"), F.avg("cnt").alias("mean"))
+
+
 def path_weighted(metrics: DataFrame, paths: DataFrame) -> DataFrame:
     """(leaf, w_ab, w_cov) over each leaf's path (A12). paths: leaf, node; metrics: node, length, cov, ab."""
     w = F.col("cov") * F.col("length")
@@ -144,6 +153,7 @@ def average_depth(l2: DataFrame) -> DataFrame:
 
 
 def exclusive_counts(counts: DataFrame, cluster_kmer: DataFrame, detected: DataFrame) -> DataFrame:
-    """(kmer, cnt): counts of k-mers of exactly one detected cluster, others 0."""
-    n = cluster_kmer.join(detected, "cluster", "left_semi").groupBy("kmer").agg(F.countDistinct("cluster").alias("n"))
-    return counts.join(n, "kmer").select("kmer", F.when(F.col("n") == 1, F.col("cnt")).otherwise(F.lit(0).cast("long")).alias("cnt"))
+    """(kmer, cnt): counts of k-mers of exactly one detected cluster, others 0 (A19); by sample where detected has samples."""
+    by = ["sample", "kmer"] if "sample" in detected.columns else ["kmer"]
+    n = cluster_kmer.join(detected.distinct(), "cluster").groupBy(*by).agg(F.countDistinct("cluster").alias("n"))
+    return counts.join(n, by).select(*by, F.when(F.col("n") == 1, F.col("cnt")).otherwise(F.lit(0).cast("long")).alias("cnt"))

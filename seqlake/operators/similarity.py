@@ -10,48 +10,114 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import discard, staged
-from .kmer_sets import patterns
+from ..runtime import discard, stage, staged
 
 
-def shared(inc: DataFrame, key: str = "strain") -> DataFrame:
-    """(a, b, shared) for pairs a < b with a common k-mer.
+def pattern_incidence(inc: DataFrame, key: str = "strain") -> DataFrame:
+    """(strain, p, q, f, n): each strain's patterns. A pattern is the set of strains that have a k-mer; f strains have it, n k-mers occur
+    in just that set, and p, q, the exclusive or of two hashes of its strains, stand for it.
 
-    K-mers are collapsed to the sets of strains that have them first, so a k-mer of all strains is not joined with itself
-    once for each of its occurrences."""
-    p = patterns(inc.select(F.col(key).alias("strain"), "kmer"))
-    left = p.select("pattern", "n_kmers", F.posexplode("pattern").alias("i", "a"))
-    pairs = left.select("a", "n_kmers", F.explode(F.slice("pattern", F.col("i") + 2, F.size("pattern"))).alias("b"))
-    return pairs.groupBy("a", "b").agg(F.sum("n_kmers").alias("shared"))
+    So no set of strains is built for a k-mer: two longs are aggregated, and one k-mer for each pattern finds its strains again."""
+    x = inc.select(F.col(key).alias("strain"), "kmer").distinct()
+    of = x.groupBy("kmer").agg(F.bit_xor(F.xxhash64("strain")).alias("p"), F.bit_xor(F.xxhash64("strain", F.lit(1))).alias("q"), F.count("*").alias("f"))
+    one = of.groupBy("p", "q", "f").agg(F.count("*").alias("n"), F.min("kmer").alias("kmer"))
+    return x.join(one, "kmer").select("strain", "p", "q", "f", "n")
 
 
-def jaccard(inc: DataFrame, key: str = "strain", least: float = 0.0) -> DataFrame:
-    """(a, b, shared, jaccard) of all pairs with a common k-mer, exact (J5), or of those that reach `least` only.
+def _together(pat: DataFrame, apart: DataFrame | None = None) -> DataFrame:
+    """(a, b, n) for every pattern and two of its strains, a < b; of different clusters only where apart (strain, cluster) is given."""
+    x = pat.where("f > 1").withColumn("c", F.lit(0)) if apart is None else pat.where("f > 1").join(apart.select("strain", F.col("cluster").alias("c")), "strain")
+    g = x.groupBy("p", "q").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("strain", "c"))).alias("of"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+    g = g if apart is None else g.where("lo <> hi")
+    g = g.select("n", "of", F.posexplode("of").alias("i", "x"))
+    later = F.slice("of", F.col("i") + 2, F.size("of"))
+    if apart is not None:
+        later = F.filter(later, lambda y: y["c"] != F.col("x.c"))
+    return g.select(F.col("x.strain").alias("a"), "n", F.explode(later).alias("y")).select("a", F.col("y.strain").alias("b"), "n")
+
+
+def shared(inc: DataFrame, key: str = "strain") -> DataFrame:
+    """(a, b, shared) for pairs a < b with a common k-mer (J4), from patterns: a k-mer of all strains is not joined with itself."""
+    return _together(pattern_incidence(inc, key)).groupBy("a", "b").agg(F.sum("n").alias("shared"))
+
 
-    With a least similarity, a strain puts forward only its rarest k-mers: two sets that reach it share one of the
-    n - ceil(least * n) + 1 first of each in any common order. So common k-mers are never paired; the pairs found are
-    then counted on the whole sets."""
-    inc = inc.select(F.col(key).alias("strain"), "kmer").distinct()
-    n = inc.groupBy("strain").agg(F.count("*").alias("n"))
+def similar_pairs(pat: DataFrame, least: float, apart: DataFrame | None = None) -> DataFrame:
+    """(a, b, shared, na, nb, jaccard) of the pairs a < b that reach `least` (all with a common k-mer at 0), exact.
+
+    pat: as of pattern_incidence, read several times. With a least similarity, a strain puts forward only its rarest patterns: two sets
+    that reach it share one of the n - ceil(least * n) + 1 first k-mers of each in any common order. So common k-mers are never paired;
+    the pairs found are then counted over all patterns of both. apart: strain, cluster; pairs within a cluster are not looked at."""
+    n = pat.groupBy("strain").agg(F.sum("n").alias("size"))
+    na, nb = (n.select(F.col("strain").alias(x), F.col("size").alias(f"n{x}")) for x in "ab")
     if least > 0:
-        freq = inc.groupBy("kmer").agg(F.count("*").alias("f")).where("f > 1")
-        rank = F.row_number().over(Window.partitionBy("strain").orderBy("f", "kmer"))
-        many = inc.join(freq, "kmer").withColumn("rank", rank).join(n, "strain")
-        # k-mers of one strain alone come first in the order and pair with none: they count as ranks that are used up
-        alone = many.groupBy("strain").agg((F.first("n") - F.count("*")).alias("alone"))
-        head = many.join(alone, "strain").where(F.col("rank") + F.col("alone") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1)
-        pairs = shared(head.select("strain", "kmer")).select("a", "b")
-        pairs = pairs.join(n.select(F.col("strain").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("strain").alias("b"), F.col("n").alias("nb")), "b")
+        w = Window.partitionBy("strain")
+        size = F.sum("n").over(w)
+        before = F.sum("n").over(w.orderBy("f", "p", "q")) - F.col("n")
+        head = pat.withColumn("size", size).withColumn("before", before).where(F.col("before") <= F.col("size") - F.ceil(F.lit(least) * F.col("size") - 1e-9))
+        pairs = _together(head.select("strain", "p", "q", "f", "n"), apart).select("a", "b").distinct().join(na, "a").join(nb, "b")
         pairs = pairs.where(F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9)
-        both = pairs.join(inc.withColumnRenamed("strain", "a"), "a").join(inc.withColumnRenamed("strain", "b"), ["b", "kmer"])
-        s = both.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
+        both = pairs.join(pat.select(F.col("strain").alias("a"), "p", "q", "n"), "a").join(pat.select(F.col("strain").alias("b"), "p", "q"), ["b", "p", "q"])
+        s = both.groupBy("a", "b", "na", "nb").agg(F.sum("n").alias("shared"))
     else:
-        s = shared(inc)
-        s = s.join(n.select(F.col("strain").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("strain").alias("b"), F.col("n").alias("nb")), "b")
-    out = s.select("a", "b", "shared", (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("jaccard"))
+        s = _together(pat, apart).groupBy("a", "b").agg(F.sum("n").alias("shared")).join(na, "a").join(nb, "b")
+    out = s.select("a", "b", "shared", "na", "nb", (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("jaccard"))
     return out.where(F.col("jaccard") >= least) if least > 0 else out
 
 
+def jaccard(inc: DataFrame, key: str = "strain", least: float = 0.0) -> DataFrame:
+    """(a, b, shared, jaccard) of all pairs with a common k-mer, exact (J5), or of those that reach `least` only."""
+    pat = pattern_incidence(inc, key)
+    return similar_pairs(stage(pat, "patterns") if least > 0 else pat, least).select("a", "b", "shared", "jaccard")
+
+
+#: Similarities down to which pairs are looked for, one after the other, until all strains hang together.
+STEPS = (0.95, 0.8, 0.6, 0.4, 0.2, 0.05, 0.0)
+
+
+def best_edges(pairs: DataFrame, label: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges a, b, similarity; label strain, cluster): rounds of each cluster's best edge to another, until no pair leads out of one.
+
+    pairs: a, b, similarity. Of equal similarities the smaller (a, b) is better, so that the edges chosen make a forest. Clusters at
+    least halve in number each round in which all have an edge."""
+    pairs, at = staged(pairs, "pairs")
+    out: list[DataFrame] = []
+    while True:
+        x = pairs.join(label.select(F.col("strain").alias("a"), F.col("cluster").alias("ca")), "a").join(label.select(F.col("strain").alias("b"), F.col("cluster").alias("cb")), "b").where("ca <> cb")
+        m = F.struct("similarity", (-F.col("a")).alias("na"), (-F.col("b")).alias("nb"), "ca", "cb").alias("m")
+        best = x.select(F.col("ca").alias("c"), m).union(x.select(F.col("cb").alias("c"), m)).groupBy("c").agg(F.max("m").alias("m"))
+        best = stage(best.select((-F.col("m.na")).alias("a"), (-F.col("m.nb")).alias("b"), "m.similarity", "m.ca", "m.cb").distinct(), "edges")
+        if best.isEmpty():
+            discard(pairs.sparkSession, at)
+            edges = pairs.limit(0) if not out else out[0]
+            for e in out[1:]:
+                edges = edges.unionByName(e)
+            return edges.select("a", "b", "similarity"), label
+        out.append(best.select("a", "b", "similarity"))
+        ends = best.select(F.col("ca").alias("strain")).union(best.select("cb")).distinct()
+        merged = single_linkage(ends, best.select(F.col("ca").alias("a"), F.col("cb").alias("b"), F.lit(1.0).alias("similarity")), 1.0)
+        merged = merged.select(F.col("strain").alias("cluster"), F.col("cluster").alias("to"))
+        label = stage(label.join(merged, "cluster", "left").select("strain", F.coalesce("to", "cluster").alias("cluster")), "labels")
+
+
+def spanning_edges(inc: DataFrame, steps: tuple[float, ...] = STEPS) -> DataFrame:
+    """(a, b, similarity): a maximum spanning forest of all strains by Jaccard similarity, exact, without all pairs (J5 for C1, C4, C6).
+
+    Pairs are looked for down to one similarity after the other, and only between what does not hang together yet; so strains of one
+    cluster are never paired again further down, and nothing is looked for below the similarity at which all are one. The edges chosen
+    are those of single linkage, and the best edge out of any union of its clusters is among them."""
+    pat = stage(pattern_incidence(inc), "patterns")
+    label = stage(pat.select("strain", F.col("strain").alias("cluster")).distinct(), "labels")
+    out: DataFrame | None = None
+    for least in steps:
+        pairs = similar_pairs(pat, least, None if out is None else label).select("a", "b", F.col("jaccard").alias("similarity"))
+        edges, label = best_edges(pairs, label)
+        edges = stage(edges, "forest")
+        out = edges if out is None else out.unionByName(edges)
+        if label.select("cluster").distinct().limit(2).count() < 2:
+            break
+    return out
+
+
 def jaccard_sketched(inc: DataFrame, pairs: DataFrame, lg_k: int = 12) -> DataFrame:
     """Approximate jaccard of given pairs (a, b) from theta sketches, whose size is fixed (J5, for very large sets)."""
     sk = inc.groupBy("strain").agg(F.expr(f"theta_sketch_agg(kmer, {lg_k})").alias("s"))
@@ -165,7 +231,10 @@ def near_identical(inc: DataFrame, most: float = 0.01) -> DataFrame:
     """(cluster, strain, rep): strains of a cluster whose k-mers differ by at most a share of the later one's, grouped by complete
     linkage (C3), and the member with the most k-mers (T4). inc: cluster, strain, kmer, of strains that have one cluster each."""
     own = inc.select("strain", F.struct("cluster", "kmer").alias("kmer")).distinct()
-    pairs = hamming(own).select("a", "b", (1 - F.col("back")).alias("similarity"))
+    # k-mers that differ by `most` of the later one's are at most that part of the union: so much similarity at least
+    pairs = similar_pairs(stage(pattern_incidence(own), "patterns"), max(0.0, 1 - most))
+    back = (F.col("na") + F.col("nb") - 2 * F.col("shared")) / F.col("nb")
+    pairs = pairs.select("a", "b", (1 - back).alias("similarity"))
     group = complete_linkage(own.select("strain").distinct(), pairs, 1 - most)
     reps = largest_member(group, own.groupBy("strain").agg(F.count("*").alias("n"))).select("cluster", "rep")
     of = inc.select("cluster", "strain").distinct()

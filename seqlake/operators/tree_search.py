@@ -1,15 +1,24 @@
-"""Search of a cluster tree for the clusters that a sample holds.
+"""Search of a cluster tree for the clusters that samples hold (M1-M7, T9, T10), all samples at once, level by level.
 
-All nodes' metrics come from one distributed pass (profiles.node_metrics); the walk itself reads that small table on the driver.
+node: id, parent (null at the root), is_leaf, category, length; a binary tree. metrics: sample, node, covered (k-mers found, without
+outliers), mean (of their counts); rows only where something was found. The frontier holds (sample, node) pairs whose children are
+asked next; a level is one join with the tree, one with the metrics, and windows over two siblings. A node's unique path (C11) is not
+walked: the frontier carries its sums, as whether a sibling was reached is settled when its level ends. Leaves accepted on one level
+correct the rebuilt nodes of deeper ones, not each other.
 """
 
 from __future__ import annotations
 
-import math
-import statistics
-from collections import deque
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
+
+from ..functions.stats import keep_both, piecewise
+from ..runtime import discard, scratch, staged
+from .kmer_sets import closure
 
 
 @dataclass(frozen=True)
@@ -23,235 +32,173 @@ class Preset:
 
 #: Depth presets; a level is tried again with looser cutoffs if it finds nothing (M7).
 PRESETS = {0: (Preset(0.1, 0.4, 1), Preset(0.05, 0.05, 1)), 1: (Preset(0.01, 0.05, 1),), 2: (Preset(0.005, 0.01, 1),)}
-
-
-@dataclass
-class Node:
-    id: int
-    parent: int | None
-    children: tuple[int, ...]
-    category: str  # 0 weak, 1, 2; o1, o2 where rebuilt
-    length: int = 0
-    cov: float = 0.0
-    ab: float = 0.0
-    access: int = 0
-
-
-@dataclass
-class Found:
-    cluster: int
-    ab: float
-    cov: float
-    covered: float
-    total: int
-    share: float = 0.0
-    how: str = field(default="accepted")
-
-
-def noise_probability(n: int, least: int, p: float = 0.005) -> float:
-    """P(X >= least), X ~ Bin(n, p) (M2)."""
-    if least > n:
-        return 0.0
-    log = lambda i: math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)
-    if least <= n * p:
-        return 1 - math.fsum(math.exp(log(i)) for i in range(least))
-    terms, i = [], least  # beyond the mean they fall faster than a geometric series
-    while i <= n and (not terms or terms[-1] > 1e-18 * terms[0]):
-        terms.append(math.exp(log(i)))
-        i += 1
-    return math.fsum(terms)
-
-
-def poisson_quantiles(mean: float, n: int) -> list[int]:
-    """Poisson values at the middle of n equal shares: the reproducible form of n sorted draws (M4)."""
-    out, k, at = [], 0, math.exp(-mean)
-    for i in range(n):
-        while at < (i + 0.5) / n and k < 10 * mean + 50:
-            k += 1
-            at += math.exp(k * math.log(mean) - mean - math.lgamma(k + 1)) if mean > 0 else 0.0
-        out.append(k)
+#: Stands for the parent of the root.
+TOP = -(1 << 63)
+#: Coverage from which on a node vouches for what is below it (T10), and that the best rejected leaf must have.
+QUALIFIED, REJECTED = 0.95, 0.1
+#: K-mers of a path below which it says nothing of what is under it (M5).
+LEAST_PATH = 1000
+
+#: (nodes to correct: sample, node; accepted: sample, leaf, ab, path_ab) -> sample, node, category, length, covered, mean
+Correct = Callable[[DataFrame, DataFrame], DataFrame]
+SUMS = ("s_ab", "s_cov", "s_len")  # of a path: abundance by covered k-mers, covered k-mers, k-mers
+
+
+def _other(*columns: str) -> Column:
+    """Columns of the sibling, null where there is none."""
+    w = Window.partitionBy("sample", "parent").orderBy("node")
+    x = F.struct(*columns)
+    return F.coalesce(F.lead(x).over(w), F.lag(x).over(w))
+
+
+def _ratio(a: Column, b: Column) -> Column:
+    return F.when(b > 0, a / b).otherwise(F.lit(0.0))
+
+
+def evaluated(x: DataFrame, preset: Preset) -> DataFrame:
+    """x: frontier rows with category, length, covered, mean and fixed (was corrected: the category before). Adds cov, ab, kind."""
+    weak = F.col("category") == "0"
+    x = x.withColumn("length", F.when(weak, F.lit(0)).otherwise(F.col("length")).cast("long"))
+    x = x.withColumn("cov", F.when(F.col("length") > 0, F.col("covered") / F.col("length")).otherwise(F.lit(0.0)))
+    ab = piecewise(F.col("cov"), F.coalesce("fixed", "category"), F.col("mean"), preset.cov)
+    ab = F.when(weak | (F.col("length") == 0) | (ab < preset.ab), F.lit(0.0)).otherwise(ab)
+    x = x.withColumn("category", F.when(F.col("fixed").isNull() & F.startswith("category", F.lit("o")), F.substring("category", 2, 1)).otherwise(F.col("category")))
+    return x.withColumn("ab", ab).withColumn("kind", F.when(F.col("length") > 0, F.col("category")).otherwise(F.lit("0")))
+
+
+def shared_out(x: DataFrame, preset: Preset) -> DataFrame:
+    """Abundances of siblings one of which was corrected, from their parent's path (M5)."""
+    x = x.withColumn("o", _other("ab", "kind", "category", "fixed", "node"))
+    k, o, above = F.col("kind"), F.col("o.kind"), _ratio(F.col("s_ab"), F.col("s_cov"))
+    told = F.col("o").isNotNull() & (F.coalesce("fixed", "o.fixed")).isNotNull() & (F.col("category") != "0") & (F.col("o.category") != "0")
+    told = told & (F.col("s_len") >= LEAST_PATH) & (above > preset.ab)
+    alike = (k == o) & k.isin("o1", "o2")
+    mixed = (k == "0") | (o == "0") | F.concat(F.least(k, o), F.greatest(k, o)).isin("o1o2", "2o1", "2o2")
+    # the first of two is the one to be told if it may be; the second if the first may not
+    may = lambda a, b: a.isin("0", "o1") | (b == "2")
+    low = F.when(F.col("node") < F.col("o.node"), may(k, o)).otherwise(~may(o, k))
+    whole = F.col("ab") + F.col("o.ab")
+    ab = F.when(told & alike & (whole > 0), above * F.col("ab") / whole).when(told & ~alike & mixed & low, F.greatest(above - F.col("o.ab"), F.lit(0.0))).otherwise(F.col("ab"))
+    return x.withColumn("ab", ab).drop("o")
+
+
+def decided(x: DataFrame, preset: Preset) -> DataFrame:
+    """Adds kept, leaf results (accepted, path_ab, path_cov), reached, pushed, rank among the pushed, and the sums of the node's path."""
+    x = x.withColumn("r", F.bround("ab").cast("long")).withColumn("o", _other("r", "node"))
+    r, o = F.col("r"), F.col("o.r")
+    ahead = o.isNull() | (r > o) | ((r == o) & (F.col("node") > F.col("o.node")))
+    x = x.withColumn("ahead", ahead).withColumn("kept", (r > 0) & (F.col("category") != "0") & (F.col("ahead") | F.coalesce(keep_both(r, o), F.lit(False))))
+    x = x.withColumn("reached", F.col("kept") | (F.col("category") == "0")).withColumn("judged", F.col("kept") & F.col("is_leaf")).drop("o")
+    covered = F.col("cov") * F.col("length")
+    own = dict(zip(SUMS, (F.col("ab") * covered, covered, F.col("length").cast("double")), strict=True))
+
+    def tested(alone: Column) -> tuple[Column, Column, Column]:
+        a, c, n = (own[s] + F.when(alone, F.lit(0.0)).otherwise(F.col(s)) for s in SUMS)
+        ab, cov = _ratio(a, c), _ratio(c, n)
+        return ab, cov, F.col("judged") & (cov >= preset.path_cov) & (ab > 1)
+
+    # the one ahead is judged first; if it is rejected, the other's path goes on upwards
+    x = x.withColumn("o", _other("reached")).withColumn("good", tested(F.coalesce("o.reached", F.lit(False)))[2])
+    x = x.withColumn("o", _other("reached", "judged", "good"))
+    there = F.coalesce("o.reached", F.lit(False))
+    alone = F.when(F.col("ahead"), there).otherwise(there & ~(F.col("o.judged") & ~F.col("o.good")))
+    ab, cov, good = tested(alone)
+    x = x.withColumn("path_ab", ab).withColumn("path_cov", cov).withColumn("accepted", good)
+    x = x.withColumn("reached", F.col("reached") & (~F.col("judged") | F.col("accepted"))).withColumn("o", _other("reached"))
+    there = F.coalesce("o.reached", F.lit(False))
+    for s in SUMS:
+        x = x.withColumn(f"n_{s}", own[s] + F.when(there, F.lit(0.0)).otherwise(F.col(s)))
+    early = (F.col("category") == "0") | (F.col("length") == 0)
+    x = x.withColumn("pushed", ~F.col("is_leaf") & (F.col("kept") | early))
+    second = F.when(early, F.coalesce(F.col("node") > _other("node")["node"], F.lit(False))).otherwise(~F.col("ahead"))
+    x = x.withColumn("at", F.concat("at", (F.when(early, F.lit(0)).otherwise(F.lit(2)) + second.cast("int")).cast("string")))
+    return x.withColumn("qualified", (F.col("parent") != TOP) & (F.col("cov") >= QUALIFIED)).drop("o", "r", "good", "ahead")
+
+
+KEPT = ("sample", "parent", "node", "at", "is_leaf", "category", "length", "cov", "ab", "kept", "judged", "accepted", "path_ab", "path_cov", "qualified", "pushed", *(f"n_{s}" for s in SUMS))
+
+
+def walk(node: DataFrame, metrics: DataFrame, preset: Preset, correct: Correct | None = None) -> DataFrame:
+    """Every (sample, node) that the search asks, with what it decides there (KEPT). Written level by level."""
+    spark = node.sparkSession
+    tree, at_tree = staged(node.select(F.col("id").alias("node"), F.coalesce("parent", F.lit(TOP)).alias("parent"), "is_leaf", "category", "length"), "tree")
+    found, at_found = staged(metrics.select("sample", "node", F.col("covered").cast("double"), "mean"), "metrics")
+    zero = [F.lit(0.0).alias(s) for s in SUMS]
+    front = found.select("sample").distinct().select("sample", F.lit(TOP).alias("parent"), F.lit("").alias("at"), *zero)
+    base, depth, out = scratch(spark, "walk"), 0, None  # levels are folders of one table
+    while True:
+        x = front.join(tree, "parent").join(found, ["sample", "node"], "left")
+        x = x.withColumn("covered", F.coalesce("covered", F.lit(0.0))).withColumn("mean", F.coalesce("mean", F.lit(0.0)))
+        x = x.withColumn("fixed", F.lit(None).cast("string"))
+        leaves = out.where("accepted").select("sample", F.col("node").alias("leaf"), "ab", "path_ab") if out is not None and correct else None
+        if leaves is not None and not leaves.isEmpty():
+            todo = x.where(F.startswith("category", F.lit("o"))).select("sample", "node").join(leaves.select("sample").distinct(), "sample", "left_semi")
+            new = correct(todo, leaves).select("sample", "node", F.struct("category", "length", F.col("covered").cast("double").alias("covered"), "mean").alias("c"))
+            x = x.join(new, ["sample", "node"], "left").withColumn("fixed", F.when(F.col("c").isNotNull(), F.col("category")))
+            for c in ("category", "length", "covered", "mean"):
+                x = x.withColumn(c, F.when(F.col("c").isNotNull(), F.col(f"c.{c}")).otherwise(F.col(c)))
+        x = shared_out(evaluated(x, preset), preset) if leaves is not None else evaluated(x, preset)
+        level = decided(x, preset).select(*KEPT)
+        level.write.parquet(f"{base}/depth={depth}")
+        out = spark.read.schema(StructType([*level.schema.fields, StructField("depth", IntegerType())])).parquet(base)
+        level = spark.read.schema(level.schema).parquet(f"{base}/depth={depth}")
+        front = level.where("pushed").select("sample", F.col("node").alias("parent"), "at", *(F.col(f"n_{s}").alias(s) for s in SUMS))
+        if front.isEmpty():
+            discard(spark, at_tree, at_found)
+            return out
+        depth += 1
+
+
+def chosen(node: DataFrame, asked: DataFrame, up: DataFrame) -> DataFrame:
+    """(sample, leaf, how): accepted leaves; of samples without any the rejected leaf whose path is covered best (T9); else the best
+    covered leaf under the last well covered node (T10). up: closure of the tree."""
+    yes = asked.where("accepted").select("sample", F.col("node").alias("leaf"), F.lit("accepted").alias("how"))
+    no = asked.join(yes.select("sample").distinct(), "sample", "left_anti")
+    top = F.max(F.struct("path_cov", (-F.col("node")).alias("o"), "node")).alias("m")
+    best = no.where("judged").groupBy("sample").agg(top).where(F.col("m.path_cov") >= REJECTED).select("sample", F.col("m.node").alias("leaf"))
+    line = best.join(up.select(F.col("node").alias("leaf"), F.col("ancestor").alias("node")), "leaf").join(no.select("sample", "node", "ab", "cov", "length"), ["sample", "node"])
+    covered = F.col("cov") * F.col("length")
+    line = line.groupBy("sample", "leaf").agg(F.sum(F.col("ab") * covered).alias("a"), F.sum(covered).alias("c"), F.sum("length").alias("n"))
+    best = line.where((_ratio(F.col("c"), F.col("n")) >= REJECTED) & (_ratio(F.col("a"), F.col("c")) > 1)).select("sample", "leaf", F.lit("rejected").alias("how"))
+    rest = no.join(best.select("sample"), "sample", "left_anti")
+    last = rest.where("qualified").groupBy("sample").agg(F.max(F.struct("depth", F.substring(F.col("at"), F.lit(1), F.length("at") - 1).alias("at"), "node")).alias("m")).select("sample", F.col("m.node").alias("ancestor"))
+    under = rest.where("is_leaf").join(up.select("node", "ancestor"), "node").join(last, ["sample", "ancestor"])
+    under = under.groupBy("sample").agg(F.max(F.struct("cov", (-F.col("node")).alias("o"), "node")).alias("m")).select("sample", F.col("m.node").alias("leaf"), F.lit("qualified").alias("how"))
+    return yes.unionByName(best).unionByName(under)
+
+
+def unique_paths(node: DataFrame, on: DataFrame, leaves: DataFrame, up: DataFrame) -> DataFrame:
+    """(sample, leaf, node, up): each leaf and the nodes above it, up to the first whose sibling was reached (C11).
+
+    on: sample, node that were reached; leaves: sample, leaf."""
+    line = leaves.join(up.select(F.col("node").alias("leaf"), F.col("ancestor").alias("node"), "up"), "leaf")
+    kin = node.select(F.col("id").alias("node"), "parent")
+    kin = kin.join(kin.select(F.col("node").alias("sibling"), "parent"), "parent").where("node <> sibling").select("node", "sibling")
+    stop = line.join(kin, "node").join(on.select("sample", F.col("node").alias("sibling")).distinct(), ["sample", "sibling"], "left_semi")
+    stop = stop.groupBy("sample", "leaf").agg(F.min("up").alias("last"))
+    return line.join(stop, ["sample", "leaf"], "left").where(F.col("last").isNull() | (F.col("up") <= F.col("last"))).select("sample", "leaf", "node", "up")
+
+
+def results(node: DataFrame, asked: DataFrame) -> DataFrame:
+    """(sample, cluster, ab, cov, covered, total, share, how) of the chosen leaves, over their unique paths among chosen lines."""
+    up = closure(node.select("id", "parent"))
+    leaves = staged(chosen(node, asked, up), "chosen")[0]
+    on = leaves.join(up.select(F.col("node").alias("leaf"), F.col("ancestor").alias("node")), "leaf").select("sample", "node")
+    x = unique_paths(node, on, leaves.select("sample", "leaf"), up).join(asked.select("sample", "node", "ab", "cov", "length"), ["sample", "node"])
+    covered = F.col("cov") * F.col("length")
+    x = x.groupBy("sample", "leaf").agg(F.sum(F.col("ab") * covered).alias("a"), F.sum(covered).alias("covered"), F.sum("length").alias("total"))
+    x = x.join(leaves, ["sample", "leaf"]).select("sample", F.col("leaf").alias("cluster"), _ratio(F.col("a"), F.col("covered")).alias("ab"), _ratio(F.col("covered"), F.col("total")).alias("cov"), "covered", "total", "how")
+    whole = F.sum("ab").over(Window.partitionBy("sample"))
+    return x.withColumn("share", _ratio(F.col("ab"), whole)).select("sample", "cluster", "ab", "cov", "covered", "total", "share", "how")
+
+
+def search(node: DataFrame, metrics: DataFrame, presets: tuple[Preset, ...] = PRESETS[0], correct: Correct | None = None) -> DataFrame:
+    """What every sample holds; samples in which nothing is found are searched again with the next, looser preset (M7)."""
+    out: DataFrame | None = None
+    for preset in presets:
+        found = staged(results(node, walk(node, metrics, preset, correct)), "found")[0]
+        out = found if out is None else out.unionByName(found)
+        metrics = metrics.join(found.select("sample").distinct(), "sample", "left_anti")
+        if preset is not presets[-1] and metrics.isEmpty():
+            break
     return out
-
-
-def corrected_profile(counts: list[int], shared: list[bool], ab: float, least: int = 1000) -> list[int]:
-    """Counts of a node without what accepted leaves explain: their shared k-mers are dropped if `least` others remain (M3),
-    else the accepted abundance is taken off, value by value in order (M4)."""
-    own = [c for c, s in zip(counts, shared, strict=True) if not s]
-    if len(own) >= least:
-        return own
-    taken = [max(0, c - p) for c, p in zip(sorted(c for c, s in zip(counts, shared, strict=True) if s), poisson_quantiles(ab, sum(shared)), strict=True)]
-    return own + taken
-
-
-def corrected(rows: list[tuple[int, frozenset[int]]], leaves: list[Node], least: int = 1000) -> tuple[str, int, float, float]:
-    """(category, length, cov, ab) of a rebuilt node after M3 or M4. rows: count of each of its k-mers, and the leaves that have it.
-
-    After M3 the node counts as one that was not rebuilt. M4 takes the accepted leaves one by one, the most abundant first."""
-    ids = {n.id for n in leaves}
-    own = [c for c, of in rows if not ids & of]
-    if len(own) >= max(1, least):
-        good = [c for c in own if c > 0]
-        good = [c for c in good if c < 100 * statistics.median(good)]
-        return "1" if len(own) < 3 * least else "2", len(own), len(good) / len(own), statistics.fmean(good) if good else 0.0
-    left = [c for c, _ in rows]
-    for n in sorted(leaves, key=lambda n: (-n.ab, -n.id)):
-        at = sorted((i for i, (_, of) in enumerate(rows) if n.id in of and left[i] > 0), key=lambda i: left[i])
-        for i, taken in zip(at, poisson_quantiles(n.ab, len(at)), strict=True):
-            left[i] = max(0, left[i] - taken)
-    good = [c for c in left if c > 0]
-    return "o1" if len(rows) < 3 * least else "o2", len(rows), len(good) / len(rows) if rows else 0.0, statistics.fmean(good) if good else 0.0
-
-
-class Search:
-    """One search; nodes by id. correct(node, accepted leaves) gives (category, length, cov, ab) of a rebuilt node after M3/M4."""
-
-    def __init__(self, nodes: dict[int, Node], preset: Preset, correct: Callable[[Node, list[Node]], tuple[str, int, float, float]] | None = None):
-        self.nodes, self.preset, self.correct = nodes, preset, correct
-        self.accepted: list[int] = []
-        self.rejected: list[int] = []
-        self.qualified: list[int] = []
-
-    def sibling(self, n: Node) -> Node | None:
-        return next((self.nodes[c] for c in self.nodes[n.parent].children if c != n.id), None) if n.parent is not None else None
-
-    def unique_path(self, n: Node) -> list[Node]:
-        """n and the nodes above it, up to the first whose sibling was reached (C11)."""
-        out = [n]
-        while n.parent is not None:
-            s = self.sibling(n)
-            if s is not None and s.access in (1, 2):
-                break
-            n = self.nodes[n.parent]
-            out.append(n)
-        return out
-
-    def weighted(self, path: list[Node]) -> tuple[float, float, float, int]:
-        """(abundance, coverage, covered, k-mers) of a path."""
-        total = sum(x.length for x in path)
-        covered = sum(x.cov * x.length for x in path)
-        return (sum(x.ab * x.cov * x.length for x in path) / covered if covered else 0.0), (covered / total if total else 0.0), covered, total
-
-    def above(self, n: Node) -> tuple[float, int]:
-        path = self.unique_path(self.nodes[n.parent]) if n.parent is not None else []
-        ab, _, _, total = self.weighted(path)
-        return ab, total
-
-    def run(self) -> list[Found]:
-        root = next(n for n in self.nodes.values() if n.parent is None)
-        queue: deque[tuple[int, ...]] = deque([(root.id,)])
-        while queue:
-            group = [self.nodes[i] for i in queue.popleft()]
-            if len(group) == 1 and group[0] is root:
-                if root.category == "0" or (root.ab >= self.preset.ab and root.children):
-                    if root.category != "0":
-                        root.access = 1
-                    if root.children:
-                        queue.append(root.children)
-                elif root.ab >= self.preset.ab:
-                    self.leaf(root)
-                continue
-            self.pair(group, queue)
-        return self.result()
-
-    def pair(self, group: list[Node], queue: deque) -> None:
-        flagged = weak = False
-        for n in group:
-            if n.category == "0":
-                n.ab = n.cov = 0.0
-                n.length, n.access, weak = 0, 2, True
-                if n.children:
-                    queue.append(n.children)
-            elif n.category[0] == "o" and self.accepted and self.correct:
-                n.category, n.length, n.cov, n.ab = self.correct(n, [self.nodes[i] for i in self.accepted])
-                flagged = flagged or not weak
-            elif n.category[0] == "o":
-                n.category = n.category[1]
-            if n.ab < self.preset.ab:
-                n.ab = 0.0
-        if flagged and len(group) == 2:
-            self.shared_out(*group)
-        for n in group:
-            if n.cov >= 0.95:
-                self.qualified.append(n.id)
-        ab = [round(n.ab) for n in group]  # half to even
-        if not any(ab):
-            return
-        keep = group
-        if len(group) == 2 and not noise_probability(sum(ab), min(ab)) < 0.05:
-            keep = [group[0] if ab[0] > ab[1] else group[1]]
-        elif len(group) == 2 and min(ab) == 0:
-            keep = [n for n, x in zip(group, ab, strict=True) if x]
-        for n in keep:
-            if n.category == "0":
-                continue
-            n.access = 1
-            if n.children:
-                queue.append(n.children)
-        for n in keep:
-            if n.category != "0" and not n.children:
-                self.leaf(n)
-
-    def shared_out(self, x: Node, y: Node) -> None:
-        """Abundances of rebuilt siblings from what is above them (M5)."""
-        ab, total = self.above(x)
-        if total < 1000 or ab <= self.preset.ab:
-            return
-        kinds = {x.category, y.category}
-        if kinds in ({"o1"}, {"o2"}):
-            whole = x.ab + y.ab
-            if whole:
-                x.ab, y.ab = ab * x.ab / whole, ab * y.ab / whole
-        elif "0" in kinds or kinds in ({"o1", "o2"}, {"o1", "2"}, {"o2", "2"}):
-            low, high = (x, y) if x.category in ("0", "o1") or y.category == "2" else (y, x)
-            low.ab = max(0.0, ab - high.ab)
-
-    def leaf(self, n: Node) -> None:
-        ab, cov, _, _ = self.weighted(self.unique_path(n))
-        if cov >= self.preset.path_cov and ab > 1:  # M6
-            self.accepted.append(n.id)
-            while n is not None:
-                n.access = 1
-                n = self.nodes[n.parent] if n.parent is not None else None
-        else:
-            n.access = 0
-            self.rejected.append(n.id)
-
-    def result(self) -> list[Found]:
-        how, ids = "accepted", self.accepted
-        if not ids and self.rejected:  # T9: the best rejected leaf, if it is covered at all
-            best = max(self.rejected, key=lambda i: (self.nodes[i].cov, -i))
-            if self.nodes[best].cov >= 0.1:
-                how, ids = "rejected", [best]
-        if not ids and self.qualified:  # T10: the best leaf under the last well covered node
-            leaves = [n for n in self.nodes.values() if not n.children and self.qualified[-1] in self.line(n)]
-            if leaves:
-                how, ids = "qualified", [max(leaves, key=lambda n: (n.cov, -n.id)).id]
-        for n in self.nodes.values():
-            n.access = 0
-        for i in ids:
-            for j in self.line(self.nodes[i]):
-                self.nodes[j].access = 1
-        out = []
-        for i in ids:
-            ab, cov, covered, total = self.weighted(self.unique_path(self.nodes[i]))
-            out.append(Found(i, ab, cov, covered, total, how=how))
-        whole = sum(f.ab for f in out)
-        for f in out:
-            f.share = f.ab / whole if whole else 0.0  # A13
-        return out
-
-    def line(self, n: Node) -> list[int]:
-        out = [n.id]
-        while n.parent is not None:
-            n = self.nodes[n.parent]
-            out.append(n.id)
-        return out
-
-
-def search(make: Callable[[], dict[int, Node]], level: int = 0, correct=None) -> list[Found]:
-    """Search with the presets of a level, the next looser one where nothing is found (M7)."""
-    for preset in PRESETS[level]:
-        found = Search(make(), preset, correct).run()
-        if found:
-            return found
-    return []

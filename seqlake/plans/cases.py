@@ -17,7 +17,6 @@ from ..operators import kmer_sets as ks
 from ..operators import profiles as pf
 from ..operators import reports as rp
 from ..operators import similarity as sm
-from ..operators import tree_search as ts
 from ..runtime import scratch
 from ..sources import readers, writers
 from . import index as ix
@@ -155,15 +154,19 @@ def j5_jaccard_threshold(s, d):
     return sm.jaccard(v.order_inc(s, d), least=0.02).select("a", "b", "shared", q.r6(F.col("jaccard"), "jaccard"))
 
 
-@query("WITH n AS (SELECT count(*) AS n FROM nation) SELECT i::BIGINT AS id, CASE WHEN i = 0 THEN n ELSE n + i - 1 END::BIGINT AS parent FROM n, range(0, n) t(i) UNION ALL SELECT (n + i)::BIGINT, CASE WHEN i < n - 2 THEN n + i + 1 END::BIGINT FROM n, range(0, n - 1) t(i)")
+DENDROGRAM = """, ed AS (SELECT a, b, r, row_number() OVER (ORDER BY r) AS pos FROM fo), top AS (SELECT max(strain) AS most FROM sz),
+inside AS (SELECT pos, a AS strain FROM ed UNION SELECT pos, m7.b FROM ed JOIN m7 ON m7.a = ed.a AND m7.r <= ed.r)
+SELECT strain::BIGINT AS id, (most + min(pos))::BIGINT AS parent FROM sz JOIN ed ON strain IN (a, b), top GROUP BY strain, most
+UNION ALL SELECT most + i.pos, most + min(e.pos) FROM inside i LEFT JOIN ed e ON e.pos > i.pos AND i.strain IN (e.a, e.b), top GROUP BY i.pos, most"""
+
+
+@query(sql("oi", q.FOREST + DENDROGRAM))
 def c4_dendrogram(s, d):
-    """A chain of nations whose links weaken joins them one after the other."""
-    n = v.table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("a"))
-    pairs = n.where("a > 0").select((F.col("a") - 1).alias("x"), "a").select(F.col("x").alias("a"), F.col("a").alias("b"), (1 / F.col("a")).alias("similarity"))
-    weak = n.alias("p").join(n.alias("r"), F.col("p.a") + 1 < F.col("r.a")).select(F.col("p.a").alias("a"), F.col("r.a").alias("b"), F.lit(0.001).alias("similarity"))
-    forest = sm.spanning_forest(pairs.unionByName(weak))
-    tree = sm.dendrogram(sorted(r.a for r in n.collect()), [(r.a, r.b, r.similarity) for r in forest.collect()])
-    return s.createDataFrame(tree, "id long, parent long")
+    """The tree of single linkage of suppliers by their orders; its merges, one for each edge of the forest, are put in order on the driver."""
+    x = v.order_inc(s, d)
+    forest = sm.spanning_edges(x).collect()
+    ids = sorted(r.strain for r in x.select("strain").distinct().collect())
+    return s.createDataFrame(sm.dendrogram(ids, [(r.a, r.b, r.similarity) for r in forest]), "id long, parent long")
 
 
 def _weak(s):
@@ -191,108 +194,7 @@ def c8_rebuilt_sets(s, d):
     return ks.rebuilt_sets(sets, q._order_core(s, d), q._leaves(s, d), ks.depths(nodes), nodes.select(F.col("id").alias("node")), 25).select("node", "kmer", "n_overlap")
 
 
-# ---------------------------------------------------------------- search
-PARENTS = {7: None, 5: 7, 6: 7, 1: 5, 2: 5, 3: 6, 4: 6}
-NONE = (4000, 0.0, 0.0)
-
-
-def tree_of(metrics: dict[int, tuple[int, float, float]], categories: dict[int, str] | None = None) -> dict[int, ts.Node]:
-    kids: dict[int | None, list[int]] = {}
-    for i, p in PARENTS.items():
-        kids.setdefault(p, []).append(i)
-    return {i: ts.Node(i, p, tuple(sorted(kids.get(i, []))), (categories or {}).get(i, "2"), *metrics.get(i, NONE)) for i, p in PARENTS.items()}
-
-
-#: name -> (length, coverage, abundance of nodes; categories; presets)
-STRICT, RETRY = (ts.Preset(0.1, 0.9, 1),), ts.PRESETS[0]
-CASES = {
-    "one": ({7: (5000, 0.9, 9.0), 5: (4000, 0.9, 9.0), 1: (4000, 0.9, 9.0), 2: (4000, 0.01, 0.0)}, {}, RETRY),
-    "two": ({7: (10, 0.0, 0.0), 5: (10, 0.0, 0.0), 6: (4000, 0.8, 3.0), 1: (4000, 0.9, 6.0), 3: (4000, 0.8, 3.0)}, {7: "0", 5: "0"}, RETRY),
-    "rejected": ({7: (5000, 0.9, 9.0), 5: (4000, 0.2, 2.0), 1: (4000, 0.15, 2.0)}, {}, STRICT),
-    "qualified": ({7: (5000, 0.9, 9.0), 5: (4000, 0.96, 5.0), 2: (4000, 0.05, 0.0)}, {}, RETRY),
-    "retry": ({7: (5000, 0.06, 3.0), 5: (4000, 0.06, 3.0), 1: (4000, 0.06, 3.0)}, {}, RETRY),
-    "nothing": ({}, {}, RETRY),
-}
-FOUND = "case_name, cluster, how, ab, cov, share"
-
-
-def _searched(s: SparkSession, *names: str) -> DataFrame:
-    rows = []
-    for name in names:
-        metrics, categories, presets = CASES[name]
-        for preset in presets:
-            found = ts.Search(tree_of(metrics, categories), preset).run()
-            if found:
-                rows += [(name, f.cluster, f.how, round(f.ab, 6), round(f.cov, 6), round(f.share, 6)) for f in found]
-                break
-    return s.createDataFrame(rows, "case_name string, cluster long, how string, ab double, cov double, share double")
-
-
-@query(golden(FOUND, ("one", 1, "accepted", 9.0, 0.9, 1.0), ("two", 1, "accepted", 6.0, 0.9, 0.666667), ("two", 3, "accepted", 3.0, 0.8, 0.333333)))
-def m1_search(s, d):
-    """The walk with a clear leaf, and through weak nodes to two."""
-    return _searched(s, "one", "two", "nothing")
-
-
-@query(golden(FOUND, ("rejected", 1, "rejected", 7.338983, 0.453846, 1.0)))
-def t9_best_rejected(s, d):
-    return _searched(s, "rejected")
-
-
-@query(golden(FOUND, ("qualified", 2, "qualified", 6.990632, 0.656923, 1.0)))
-def t10_under_the_last_qualified(s, d):
-    return _searched(s, "qualified")
-
-
-@query(golden(FOUND, ("retry", 1, "accepted", 3.0, 0.06, 1.0)))
-def m7_looser_presets(s, d):
-    return _searched(s, "retry", "nothing")
-
-
-CORRECTED = "case_name, category, length, cov, ab"
-
-
-def _corrected(s: SparkSession, cases: dict[str, tuple]) -> DataFrame:
-    rows = [(name, *ts.corrected([(c, frozenset(of)) for c, of in x], [ts.Node(i, 9, (), "2", ab=ab) for i, ab in leaves.items()], least)) for name, (x, leaves, least) in cases.items()]
-    return s.createDataFrame(rows, "case_name string, category string, length long, cov double, ab double")
-
-
-@query(golden(CORRECTED, ("small", "1", 12, 0.5, 4.0), ("full", "2", 30, 1.0, 2.0)))
-def m3_overlap_dropped(s, d):
-    """K-mers of accepted leaves are dropped where enough others are left."""
-    return _corrected(s, {"small": ([(4, ())] * 6 + [(0, ())] * 6 + [(9, (1,))] * 5, {1: 10.0}, 10), "full": ([(2, ())] * 30 + [(50, (1,))], {1: 10.0}, 10)})
-
-
-# Poisson(1) has 0 up to 0.368, 1 up to 0.736, 2 up to 0.920: the middles of four shares are 0, 1, 1, 2. Poisson(0.1) has 0 up to 0.905.
-@query(golden(CORRECTED, ("one", "o1", 4, 1.0, 3.5), ("rare", "o1", 2, 1.0, 5.0)))
-def m4_overlap_subtracted(s, d):
-    """Else the accepted abundance is taken off, value by value."""
-    return _corrected(s, {"one": ([(c, (1,)) for c in (5, 3, 6, 4)], {1: 1.0}, 10), "rare": ([(4, (1,)), (6, (1,))], {1: 0.1}, 10)})
-
-
-@query(golden("case_name, x, y", ("o1 o1", 2.0, 4.0), ("o2 o2", 2.0, 4.0), ("o1 o2", 4.0, 2.0), ("0 2", 4.0, 2.0), ("1 2", 1.0, 2.0)))
-def m5_shared_out(s, d):
-    """Siblings of abundance 1 and 2 under a path of abundance 6."""
-    rows = []
-    for x, y in (("o1", "o1"), ("o2", "o2"), ("o1", "o2"), ("0", "2"), ("1", "2")):
-        nodes = tree_of({7: (2000, 0.5, 6.0), 5: (2000, 0.5, 6.0), 1: (4000, 0.5, 1.0), 2: (4000, 0.5, 2.0)}, {1: x, 2: y})
-        ts.Search(nodes, RETRY[0]).shared_out(nodes[1], nodes[2])
-        rows.append((f"{x} {y}", nodes[1].ab, nodes[2].ab))
-    return s.createDataFrame(rows, "case_name string, x double, y double")
-
-
-@query(sql("nodes", "+p AS (SELECT a.id AS leaf, u, a.id >> u AS id, EXISTS (SELECT 1 FROM nodes b WHERE b.id = xor(a.id >> u, 1) AND b.id > 1 AND b.id % 3 = 0) AS stop FROM nodes a, range(0, 6) t(u) WHERE a.id >= 32), e AS (SELECT leaf, coalesce(min(u) FILTER (WHERE stop), 5) AS last FROM p GROUP BY 1) SELECT leaf, string_agg(id::VARCHAR, '/' ORDER BY u) AS path FROM p JOIN e USING (leaf) WHERE u <= last GROUP BY 1"))
-def c11_unique_path(s, d):
-    """Paths of leaves of the nations' tree up to the first node whose sibling was reached: those whose id is divisible by 3."""
-    rows = v.nodes(s, d).collect()  # two nodes a nation
-    kids: dict[int, list[int]] = {}
-    for r in rows:
-        kids.setdefault(r.parent, []).append(r.id)
-    nodes = {r.id: ts.Node(r.id, r.parent, tuple(sorted(kids.get(r.id, []))), "2", access=int(r.id % 3 == 0)) for r in rows}
-    search = ts.Search(nodes, RETRY[0])
-    return s.createDataFrame([(i, "/".join(str(x.id) for x in search.unique_path(n))) for i, n in nodes.items() if i >= 32], "leaf long, path string")
-
-
+# ---------------------------------------------------------------- low depth
 M8 = "+nk AS (SELECT DISTINCT node, kmer FROM leaves JOIN ck ON leaf = cluster), " + q.METRICS.format(f=100) + ", sc AS (SELECT node, CASE WHEN cov > 0.05 THEN 1.0 ELSE log10(180 * cov + 1) END AS x FROM (SELECT node, covered::DOUBLE / length AS cov FROM me WHERE length >= 20)), pa AS (SELECT (n_nationkey + 32)::BIGINT AS leaf, (n_nationkey + 32)::BIGINT >> i AS node FROM nation, range(0, 6) t(i)), ge AS (SELECT leaf - 32 AS cluster, round(CASE WHEN min(x) = 0 THEN 0 ELSE exp(avg(ln(CASE WHEN x > 0 THEN x END))) END, 6)::DOUBLE AS probability FROM pa JOIN sc USING (node) GROUP BY 1) SELECT cluster, probability, count(*) AS n_strains, string_agg(strain::VARCHAR, ',' ORDER BY strain) AS strains FROM ge JOIN cl USING (cluster) GROUP BY ALL"
 
 

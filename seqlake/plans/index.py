@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,8 @@ from ..functions.sequence import MOST_K, kmer_codes, kmers, only_acgt
 from ..functions.stats import category
 from ..operators import blocks as bl
 from ..operators import dominance, kmer_sets, profiles, reports, similarity, tree_search
+from ..operators.corrections import corrected_nodes
+from ..operators.kmer_filter import kmer_filter
 from ..runtime import discard, stage, staged
 
 
@@ -80,12 +83,12 @@ class Index:
         return cls(*map(read, list(SCHEMAS)[:5]), cfg, read("twin"))
 
 
-def occurrences(genomes: DataFrame, cfg: BuildConfig) -> DataFrame:
-    """(strain, kmer) of every position, upper-cased and ACGT only: two-bit codes where they fit a long."""
-    x = genomes.select("strain", F.upper("seq").alias("seq"))
+def occurrences(genomes: DataFrame, cfg: BuildConfig, by: str = "strain", keep: Callable | None = None) -> DataFrame:
+    """(strain, kmer) of every position, upper-cased and ACGT only: two-bit codes where they fit a long. keep: see kmer_codes."""
+    x = genomes.select(by, F.upper("seq").alias("seq"))
     if cfg.k <= MOST_K:
-        return kmer_codes(x, cfg.k, drop_last=cfg.drop_last, strand=cfg.strand)
-    return kmers(x, cfg.k, drop_last=cfg.drop_last, strand=cfg.strand).where(only_acgt(F.col("kmer"))).select("strain", "kmer")
+        return kmer_codes(x, cfg.k, drop_last=cfg.drop_last, strand=cfg.strand, keep=keep)
+    return kmers(x, cfg.k, drop_last=cfg.drop_last, strand=cfg.strand).where(only_acgt(F.col("kmer"))).select(by, "kmer")
 
 
 def cluster_genomes(inc: DataFrame, similarity_: float) -> DataFrame:
@@ -119,7 +122,8 @@ def build_index(genomes: DataFrame, cfg: BuildConfig = BuildConfig(), custom: Da
     spark = genomes.sparkSession
     mult, at_mult = staged(occurrences(genomes, cfg).groupBy("strain", "kmer").agg(F.count("*").alias("mult")), "mult")
     inc = mult.select("strain", "kmer")
-    sims, at_sims = staged(similarity.jaccard(inc).select("a", "b", F.col("jaccard").alias("similarity")), "similarity")
+    # of all pairs only those of a maximum spanning forest: single linkage, the best edge out of a cluster and the tree need no others
+    sims, at_sims = staged(similarity.spanning_edges(inc), "similarity")
     cluster = custom if custom is not None else similarity.single_linkage(inc.select("strain").distinct(), sims, cfg.similarity)
     cluster = stage(repaired(mult, cluster, sims, cfg), "clusters")
     ids = sorted(r.cluster for r in cluster.select("cluster").distinct().collect())  # clusters: a small table
@@ -168,38 +172,40 @@ def strain_kmers(genomes: DataFrame, own: DataFrame, cluster: DataFrame, cfg: Bu
     return l2.join(twin.select(F.col("rep").alias("strain")).distinct(), "strain", "left_semi").select("cluster", "strain", "kmer"), twin
 
 
-def counts_of(reads: DataFrame, cfg: BuildConfig) -> DataFrame:
-    return profiles.read_counts(occurrences(reads.select(F.lit(0).cast("long").alias("strain"), "seq"), cfg).select("kmer"))
+def known_kmers(index: Index) -> DataFrame:
+    """The k-mers of an index: of its nodes and its clusters."""
+    return index.node_kmer.select("kmer").union(index.cluster_kmer.select("kmer")).distinct()
 
 
-def find_clusters(index: Index, counts: DataFrame, level: int = 0) -> list[tree_search.Found]:
-    """L1: metrics of all nodes in one pass, then the walk; rebuilt nodes are corrected for accepted leaves when it comes to them."""
-    cfg = index.config
-    metrics = {r.node: r for r in profiles.node_metrics(index.node_kmer, counts).collect()}  # one row a node
-    rows = index.node.withColumn("category", category(F.col("length"), F.col("is_leaf"), F.col("rebuilt"), cfg.least, 3 * cfg.least, cfg.memory)).collect()
+def counts_of(reads: DataFrame, cfg: BuildConfig, known: DataFrame | None = None) -> DataFrame:
+    """(sample, kmer, cnt) of reads(sample, seq), or (kmer, cnt) where reads have no sample. known: kmer, the only ones that are counted
+    (J1): most others are dropped before the shuffle by a bitmap, the rest by a semi-join of the counts."""
+    by = [c for c in ("sample",) if c in reads.columns]
+    x = reads.select(F.col(by[0]) if by else F.lit(0).cast("long").alias("sample"), "seq")
+    keep = None
+    if known is not None:
+        known = stage(known.select("kmer").distinct(), "known")
+        keep = kmer_filter(known) if cfg.k <= MOST_K else None
+    out = occurrences(x, cfg, "sample", keep).groupBy(*by, "kmer").agg(F.count("*").alias("cnt"))
+    return out if known is None else out.join(known, "kmer", "left_semi").select(*by, "kmer", "cnt")
+
 
-    def make() -> dict[int, tree_search.Node]:
-        kids: dict[int, list[int]] = {}
-        for r in rows:
-            if r.parent is not None:
-                kids.setdefault(r.parent, []).append(r.id)
-        out = {}
-        for r in rows:
-            m = metrics.get(r.id)
-            out[r.id] = tree_search.Node(r.id, r.parent, tuple(sorted(kids.get(r.id, []))), r.category, r.length, m.cov if m else 0.0, m.ab if m else 0.0)
-        return out
+def find_clusters(index: Index, counts: DataFrame, level: int = 0) -> DataFrame:
+    """L1: (sample, cluster, ab, cov, covered, total, share, how) of the clusters in every sample of counts(sample, kmer, cnt)."""
+    cfg = index.config
+    kind = category(F.col("length"), F.col("is_leaf"), F.col("rebuilt"), cfg.least, 3 * cfg.least, cfg.memory)
+    node = index.node.select("id", "parent", "is_leaf", "length", kind.alias("category"))
 
-    def correct(node: tree_search.Node, leaves: list[tree_search.Node]) -> tuple[str, int, float, float]:
-        of = index.cluster_kmer.where(F.col("cluster").isin([n.id for n in leaves])).groupBy("kmer").agg(F.collect_set("cluster").alias("leaves"))
-        x = profiles.probe(index.node_kmer.where(F.col("node") == node.id), counts).join(of, "kmer", "left").orderBy("kmer")
-        return tree_search.corrected([(r.cnt, frozenset(r.leaves or ())) for r in x.collect()], leaves, cfg.least)  # maxk rows at most
+    def correct(todo: DataFrame, leaves: DataFrame) -> DataFrame:
+        return corrected_nodes(todo, leaves, index.node_kmer, counts, index.cluster_kmer, cfg.least)
 
-    return tree_search.search(make, level, correct)
+    return tree_search.search(node, profiles.sample_metrics(index.node_kmer, counts), tree_search.PRESETS[level], correct)
 
 
 @dataclass
 class Report:
-    """What identify says of a sample: strains of clusters of several (K1) and of one (K3), and all of them by their share (K2)."""
+    """What identify says of a sample: strains of clusters of several (K1) and of one (K3), and all of them by their share (K2). With
+    a sample column where the reads have one."""
 
     strains: DataFrame
     singles: DataFrame
@@ -207,25 +213,26 @@ class Report:
 
 
 def report(index: Index, reads: DataFrame, level: int = 0, scan: dominance.ScanConfig = dominance.ScanConfig()) -> Report:
-    """Reports of the strains in reads(seq)."""
-    spark = reads.sparkSession
-    counts, at = staged(counts_of(reads, index.config), "counts")
+    """Reports of the strains in reads(seq), or in each sample of reads(sample, seq)."""
+    several = "sample" in reads.columns
+    counts, at = staged(counts_of(reads if several else reads.withColumn("sample", F.lit(0).cast("long")), index.config, known_kmers(index)), "counts")
     found = find_clusters(index, counts, level)
-    detected = spark.createDataFrame([(f.cluster, f.ab, f.cov, f.covered, f.total) for f in found], "cluster long, cls_ab double, cls_cov double, cls_covered double, cls_total long")
-    member = index.cluster.join(F.broadcast(detected), "cluster")  # one row a cluster found
+    detected = found.select("sample", "cluster", F.col("ab").alias("cls_ab"), F.col("cov").alias("cls_cov"), F.col("covered").alias("cls_covered"), F.col("total").alias("cls_total"))
     size = index.cluster.groupBy("cluster").agg(F.count("*").alias("size"))
-    single = member.join(size, "cluster").where("size = 1")
-    singles = reports.single_report(single.select("cluster", "strain", F.col("cls_ab").alias("depth"), F.col("cls_cov").alias("cov"), F.col("cls_covered").cast("long").alias("covered"), F.col("cls_total").alias("total")))
-    l2 = index.l2.join(F.broadcast(detected.select("cluster")), "cluster", "left_semi")
-    own = profiles.exclusive_counts(counts, index.cluster_kmer, detected.select("cluster"))
-    strains = stage(reports.strain_report(dominance.detect(l2, counts, own, scan), detected.select("cluster", "cls_ab"), scan.is_extra), "strains")
+    single = index.cluster.join(detected, "cluster").join(size, "cluster").where("size = 1")
+    singles = reports.single_report(single.select("sample", "cluster", "strain", F.col("cls_ab").alias("depth"), F.col("cls_cov").alias("cov"), F.col("cls_covered").cast("long").alias("covered"), F.col("cls_total").alias("total")))
+    l2 = index.l2.join(detected.select("sample", "cluster"), "cluster").select("sample", "cluster", "strain", "kmer")
+    own = profiles.exclusive_counts(counts, index.cluster_kmer, detected.select("sample", "cluster"))
+    strains = stage(reports.strain_report(dominance.detect(l2, counts, own, scan), detected.select("sample", "cluster", "cls_ab"), scan.is_extra), "strains")
     singles = stage(singles, "singles")
-    discard(spark, at)
-    return Report(strains, singles, reports.merged_report(singles.select("cluster", "strain", "depth", "cov", "covered", "total"), strains))
+    discard(reads.sparkSession, at)
+    merged = reports.merged_report(singles.select("sample", "cluster", "strain", "depth", "cov", "covered", "total"), strains)
+    return Report(strains, singles, merged) if several else Report(*(x.drop("sample") for x in (strains, singles, merged)))
 
 
 def identify(index: Index, reads: DataFrame, level: int = 0, scan: dominance.ScanConfig = dominance.ScanConfig()) -> DataFrame:
-    """Merged report of the strains in reads(seq): id, cluster, strain, depth, relative_abundance and what it rests on."""
+    """Merged report of the strains in reads(seq), or reads(sample, seq): id, cluster, strain, depth, relative_abundance and what it
+    rests on."""
     return report(index, reads, level, scan).merged
 
 
@@ -255,16 +262,20 @@ def short_contigs(genomes: DataFrame, clusters: DataFrame, below: int = 100_000)
     return genomes.join(clusters, "strain", "left_semi").where(F.length("seq") < below)
 
 
-def plasmids(index: Index, reads: DataFrame, contigs: DataFrame | None = None, genomes: DataFrame | None = None, level: int = 0, below: int = 100_000, mink: int = 500) -> Report | None:
+def plasmids(index: Index, reads: DataFrame, contigs: DataFrame | None = None, genomes: DataFrame | None = None, level: int = 0, below: int = 100_000, mink: int = 500, scan: dominance.ScanConfig = dominance.ScanConfig()) -> Report | None:
     """Plasmids of the clusters of several strains that reads hold (M15): a second index of their short contigs (contigs: strain,
-    seq), or of genomes of the user's own, and a second search. None where there is nothing to index."""
+    seq), or of genomes of the user's own, and a second search. None where there is nothing to index. A plasmid of a user's own is
+    wanted at 0.7 of its k-mers like any strain; one of the clusters found at any share of them (F13)."""
     if genomes is None:
-        found = index.cluster.sparkSession.createDataFrame([(f.cluster,) for f in find_clusters(index, counts_of(reads, index.config), level)], "cluster long")
+        several = reads if "sample" in reads.columns else reads.withColumn("sample", F.lit(0).cast("long"))
+        counts = stage(counts_of(several, index.config, index.node_kmer.select("kmer").union(index.cluster_kmer.select("kmer"))), "counts")
+        found = find_clusters(index, counts, level).select("cluster").distinct()
         size = index.cluster.groupBy("cluster").agg(F.count("*").alias("size")).where("size > 1")
         wanted = index.cluster.join(found, "cluster", "left_semi").join(size, "cluster", "left_semi").select("strain")
         genomes = short_contigs(contigs, wanted, below)
+        scan = replace(scan, coverage=0.0)
     genomes = genomes.where(F.length("seq") >= index.config.k)
     if genomes.isEmpty():
         return None
     second = build_index(genomes.select("strain", "seq"), replace(index.config, mink=mink))
-    return report(second, reads, level)
+    return report(second, reads, level, scan)

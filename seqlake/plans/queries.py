@@ -19,18 +19,26 @@ from . import views as v
 from .views import sql
 
 K = 31
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
 
 
-def query(oracle: str | None = None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLE[f.__name__] = oracle
-        return f
+def registry() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str], Callable]:
+    """(queries, their SQL, the decorator that enters both) of a module."""
+    queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+    oracle: dict[str, str] = {}
 
-    return keep
+    def query(text: str | None = None):
+        def keep(f):
+            queries[f.__name__] = f
+            if text:
+                oracle[f.__name__] = text
+            return f
+
+        return keep
+
+    return queries, oracle, query
+
+
+QUERIES, ORACLE, query = registry()
 
 
 def r6(c, name: str):
@@ -312,6 +320,19 @@ def j1_index_probe(s, d):
     return pf.probe(node_kmer, counts).select("node", "kmer", "cnt")
 
 
+FILTER_K = 11
+
+
+@query(sql("genome contigs", f"+known AS (SELECT DISTINCT substr(seq, i, {FILTER_K}) AS kmer FROM (SELECT seq, unnest(range(1, length(seq) - {FILTER_K - 2})) AS i FROM genome WHERE length(seq) >= {FILTER_K})), rk AS (SELECT strain, substr(seq, i, {FILTER_K}) AS kmer FROM (SELECT strain, seq, unnest(range(1, length(seq) - {FILTER_K - 2})) AS i FROM contigs WHERE length(seq) >= {FILTER_K})), ct AS (SELECT strain, kmer, count(*) AS cnt FROM rk SEMI JOIN known USING (kmer) GROUP BY ALL) SELECT strain AS sample, count(*) AS n_kmers, sum(cnt)::BIGINT AS total, sum(cnt * cnt)::BIGINT AS squares FROM ct GROUP BY 1"))
+def j1_read_filter(s, d):
+    """K-mers of conversations (samples) that occur in any document, counted behind a bitmap of the documents' k-mers."""
+    from .index import BuildConfig, counts_of, occurrences
+
+    cfg = BuildConfig(k=FILTER_K, strand="given")
+    counts = counts_of(v.contigs(s, d).select(F.col("strain").alias("sample"), "seq"), cfg, occurrences(v.genome(s, d), cfg))
+    return counts.groupBy("sample").agg(F.count("*").alias("n_kmers"), F.sum("cnt").alias("total"), F.sum(F.col("cnt") * F.col("cnt")).alias("squares"))
+
+
 @query(sql("nk cnts", "SELECT node, kmer FROM nk WHERE kmer IN (SELECT kmer FROM cnts WHERE cnt > 0)"))
 def j2_semi(s, d):
     return pf.matched(*v.node_counts(s, d)).select("node", "kmer")
@@ -366,6 +387,18 @@ def j5_genome_jaccard(s, d):
     return sm.jaccard(occ(v.genome(s, d), BuildConfig()), least=0.95).select("a", "b", "shared", r6(F.col("jaccard"), "jaccard"))
 
 
+# ranks of pairs, best first; the least worst rank on any path between two suppliers, by doubling; an edge of the forest is its own best path
+FOREST = "+sz AS (SELECT strain, count(*) AS n FROM oi GROUP BY 1), pr AS (SELECT a, b, shared / (na.n + nb.n - shared) AS j FROM (SELECT x.strain AS a, y.strain AS b, count(*)::DOUBLE AS shared FROM oi x JOIN oi y ON x.kmer = y.kmer AND x.strain < y.strain GROUP BY ALL) JOIN sz na ON na.strain = a JOIN sz nb ON nb.strain = b), rk AS (SELECT a, b, j, row_number() OVER (ORDER BY j DESC, a, b) AS r FROM pr), m0 AS (SELECT a, b, r FROM rk UNION ALL SELECT b, a, r FROM rk)"
+FOREST += "".join(f", m{k + 1} AS (SELECT a, b, min(r) AS r FROM (SELECT x.a, y.b, greatest(x.r, y.r) AS r FROM m{k} x JOIN m{k} y ON x.b = y.a UNION ALL SELECT * FROM m{k}) GROUP BY ALL)" for k in range(7))
+FOREST += ", fo AS (SELECT rk.a, rk.b, j, rk.r FROM rk JOIN m7 ON m7.a = rk.a AND m7.b = rk.b WHERE rk.r = m7.r)"
+
+
+@query(sql("oi", FOREST + " SELECT a, b, round(j, 6)::DOUBLE AS similarity FROM fo"))
+def j5_spanning_forest(s, d):
+    """The edges of single linkage of suppliers by their orders, without all pairs."""
+    return sm.spanning_edges(v.order_inc(s, d)).select("a", "b", r6(F.col("similarity"), "similarity"))
+
+
 @query(sql("inc cl", "SELECT strain, kmer, cluster FROM inc JOIN cl USING (strain)"))
 def j6_cluster_lookup(s, d):
     return v.inc(s, d).join(v.cluster(s, d), "strain").select("strain", "kmer", "cluster")

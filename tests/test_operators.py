@@ -13,14 +13,16 @@ from pyspark.sql import functions as F
 from seqlake.functions import sequence as S
 from seqlake.functions import stats
 from seqlake.operators import dominance as dm
+from seqlake.operators import kmer_filter as kf
 from seqlake.operators import kmer_sets as ks
 from seqlake.operators import profiles as pf
 from seqlake.operators import reports as rp
 from seqlake.operators import similarity as sm
-from seqlake.operators import tree_search as ts
 from seqlake.plans import index as ix
 from seqlake.sources import readers, writers
 
+from . import plain_search as ps
+
 
 def rows(df):
     return sorted(tuple(r) for r in df.collect())
@@ -97,19 +99,19 @@ def test_nearest_rank(spark, values, q):
 def test_binomial_tail(spark):
     x = spark.createDataFrame([(n, m) for n in (1, 10, 11, 71, 164, 500) for m in (0, 1, 2, 3) if m <= n], "n long, m long")
     for n, m, p in x.select("n", "m", stats.binomial_tail(F.col("n"), F.col("m"))).collect():
-        assert math.isclose(p, ts.noise_probability(n, m), abs_tol=1e-12)
-    both = lambda x, y: ts.noise_probability(x + y, min(x, y)) < 0.05
+        assert math.isclose(p, ps.noise_probability(n, m), abs_tol=1e-12)
+    both = lambda x, y: ps.noise_probability(x + y, min(x, y)) < 0.05
     assert both(9, 1) and not both(10, 1) and both(69, 2) and not both(70, 2)
 
 
 def test_noise_of_deep_samples(spark):
-    assert 0 <= ts.noise_probability(3000, 1400) < 1e-300 and ts.noise_probability(10**7, 3) > 0.999 and ts.noise_probability(5, 6) == 0
+    assert 0 <= ps.noise_probability(3000, 1400) < 1e-300 and ps.noise_probability(10**7, 3) > 0.999 and ps.noise_probability(5, 6) == 0
     for n, m in ((40, 0), (40, 1), (400, 2), (900, 9)):
         direct = 1 - sum(math.comb(n, i) * 0.005**i * 0.995 ** (n - i) for i in range(m))
-        assert math.isclose(ts.noise_probability(n, m), direct, abs_tol=1e-12)
+        assert math.isclose(ps.noise_probability(n, m), direct, abs_tol=1e-12)
     x = spark.createDataFrame([(3000, 1400), (400_000, 2100), (5, 6), (5, 5)], "n long, m long")
     for n, m, p in x.select("n", "m", stats.binomial_tail(F.col("n"), F.col("m"))).collect():
-        assert math.isclose(p, ts.noise_probability(n, m), abs_tol=1e-9)
+        assert math.isclose(p, ps.noise_probability(n, m), abs_tol=1e-9)
 
 
 # ---------------------------------------------------------------- files
@@ -244,6 +246,23 @@ def test_spanning_forest_gives_the_same_dendrogram(spark):
     assert len(got) <= 5 * 11 and sm.dendrogram(list(range(12)), [tuple(x) for x in got]) == sm.dendrogram(list(range(12)), pairs)
 
 
+def test_forest_without_all_pairs(spark):
+    """Groups of near strains, loose ones, and one with no k-mer in common: the same edges as of all pairs, ties included."""
+    r = random.Random(14)
+    base = [set(r.sample(range(400), 80)) for _ in range(4)]
+    of = {i: (base[i % 4] - set(r.sample(sorted(base[i % 4]), r.choice([0, 2, 20, 60])))) | set(r.sample(range(400), r.choice([0, 3, 20]))) for i in range(1, 30)}
+    of |= {30: {900, 901}, 31: set(of[1]), 32: set(of[1])}
+    inc = spark.createDataFrame([(i, k) for i, x in of.items() for k in x], "strain long, kmer long")
+    ranked = sorted(((a, b, len(of[a] & of[b]) / len(of[a] | of[b])) for a in of for b in of if a < b and of[a] & of[b]), key=lambda e: (-e[2], e[0], e[1]))
+    root, kept = {i: i for i in of}, []
+    for a, b, j in ranked:
+        if root[a] != root[b]:
+            x, y = root[a], root[b]
+            root = {i: x if c == y else c for i, c in root.items()}
+            kept.append((a, b, j))
+    assert rows(sm.spanning_edges(inc)) == sorted(kept)
+
+
 def test_complete_linkage_equals_a_plain_version(spark):
     r = random.Random(6)
     for _ in range(3):
@@ -277,55 +296,6 @@ def test_medoids_and_reassignment(spark):
 
 
 # ---------------------------------------------------------------- search
-def tree_of(cats, metrics, parents):
-    kids = {}
-    for i, p in parents.items():
-        kids.setdefault(p, []).append(i)
-    return {i: ts.Node(i, p, tuple(sorted(kids.get(i, []))), cats.get(i, "2"), *metrics[i]) for i, p in parents.items()}
-
-
-PARENTS = {7: None, 5: 7, 6: 7, 1: 5, 2: 5, 3: 6, 4: 6}
-
-
-def test_search_finds_the_covered_leaf():
-    m = {7: (5000, 0.9, 9), 5: (4000, 0.9, 9), 6: (4000, 0.0, 0), 1: (4000, 0.9, 9), 2: (4000, 0.01, 0), 3: (4000, 0, 0), 4: (4000, 0, 0)}
-    (f,) = ts.search(lambda: tree_of({}, m, PARENTS))
-    assert f.cluster == 1 and f.share == 1 and f.how == "accepted" and math.isclose(f.ab, 9)
-
-
-def test_search_finds_two_and_passes_weak_nodes():
-    m = {7: (10, 0, 0), 5: (10, 0, 0), 6: (4000, 0.8, 3), 1: (4000, 0.9, 6), 2: (4000, 0.0, 0), 3: (4000, 0.8, 3), 4: (4000, 0.0, 0)}
-    found = ts.search(lambda: tree_of({7: "0", 5: "0"}, m, PARENTS))
-    assert {f.cluster for f in found} == {1, 3} and math.isclose(sum(f.share for f in found), 1)
-
-
-def test_search_falls_back_and_retries():
-    m = {7: (5000, 0.9, 9), 5: (4000, 0.2, 2), 6: (4000, 0, 0), 1: (4000, 0.15, 2), 2: (4000, 0, 0), 3: (4000, 0, 0), 4: (4000, 0, 0)}
-    preset = ts.Preset(0.1, 0.9, 1)
-    (f,) = ts.Search(tree_of({}, m, PARENTS), preset).run()
-    assert f.cluster == 1 and f.how == "rejected"
-    nothing = {i: (4000, 0.0, 0) for i in PARENTS}
-    assert ts.search(lambda: tree_of({}, nothing, PARENTS)) == []
-
-
-def test_profile_correction():
-    assert ts.corrected_profile([5] * 1200 + [9], [False] * 1200 + [True], 3) == [5] * 1200
-    left = ts.corrected_profile([10, 12, 11], [True, True, True], 10.0)
-    assert len(left) == 3 and max(left) <= 3
-    q = ts.poisson_quantiles(4.0, 1001)
-    assert q == sorted(q) and abs(np.mean(q) - 4) < 0.05
-
-
-def test_correction_of_rebuilt_nodes():
-    leaves = [ts.Node(1, 9, (), "2", ab=10.0), ts.Node(2, 9, (), "2", ab=900.0)]
-    a, both, none = frozenset([1]), frozenset([1, 2]), frozenset()
-    assert ts.corrected([(4, none)] * 6 + [(0, none)] * 6 + [(9, a)] * 5, leaves, 10) == ("1", 12, 0.5, 4.0)
-    category, n, cov, ab = ts.corrected([(910, both)] * 20, leaves, 10)
-    assert (category, n) == ("o1", 20) and cov < 0.8 and 0 < ab < 60
-    q = ts.poisson_quantiles(900.0, 101)
-    assert abs(np.mean(q) - 900) < 3 and abs(np.std(q) - 30) < 3
-
-
 def test_identify_corrects_for_accepted_leaves(spark):
     from seqlake.plans import index as ix
 
@@ -337,7 +307,7 @@ def test_identify_corrects_for_accepted_leaves(spark):
     cluster_kmer = spark.createDataFrame([(i, k) for i in (1, 3, 4) for k in kmers[i]], ix.SCHEMAS["cluster_kmer"])
     index = ix.Index(None, node, node_kmer, None, cluster_kmer, ix.BuildConfig(mink=10))
     counts = spark.createDataFrame(list(depth.items()), "kmer string, cnt long")
-    assert {f.cluster for f in ix.find_clusters(index, counts)} == {1, 4}
+    assert {f.cluster for f in ix.find_clusters(index, counts.withColumn("sample", F.lit("s"))).collect()} == {1, 4}
 
 
 # ---------------------------------------------------------------- strains
@@ -470,6 +440,47 @@ def test_two_related_strains_and_their_depths(spark, genomes):
     assert {x.strain for x in got.merged.collect()} == {1, 2, 3} and got.strains.where("total < covered or cov > 1").isEmpty()
 
 
+def test_filtered_counts_are_the_counts_of_known_kmers(spark):
+    r = random.Random(2)
+    dna = lambda n: "".join(r.choice("ACGTN" if r.random() < 0.01 else "ACGT") for _ in range(n))
+    own = dna(3000)
+    reads = spark.createDataFrame([("a", own[i : i + 90]) for i in range(0, 2900, 50)] + [("a", dna(500)), ("b", dna(4000) + own[:60]), ("b", None), ("c", dna(20))], "sample string, seq string")
+    cfg = ix.BuildConfig(k=21)
+    known = ix.occurrences(spark.createDataFrame([(1, own)], "strain long, seq string"), cfg).select("kmer")
+    every = ix.counts_of(reads, cfg)
+    assert rows(ix.counts_of(reads, cfg, known)) == rows(every.join(known.distinct(), "kmer", "left_semi").select("sample", "kmer", "cnt"))
+    keep = kf.kmer_filter(known.distinct())
+    codes = np.array([x.kmer for x in known.collect()])
+    assert keep(codes).all() and keep(np.random.default_rng(1).integers(0, 1 << 42, 100_000)).mean() < 0.2
+    assert kf.width(1) == 1 << 16 and kf.width(10**8) == 1 << 30 and kf.width(2 * 10**9) is None
+    assert rows(ix.counts_of(reads, ix.BuildConfig(k=35), ix.occurrences(spark.createDataFrame([(1, own)], "strain long, seq string"), ix.BuildConfig(k=35)).select("kmer")))
+    assert not ix.counts_of(reads, cfg, known.limit(0)).collect()
+
+
+def test_samples_are_reported_apart(spark, genomes):
+    """Two samples at once give what each gives alone."""
+    index = ix.build_index(spark.createDataFrame(list(genomes.items()), "strain long, seq string"), CFG)
+    reads = {"x": reads_of(genomes[3], 10) + reads_of(genomes[4], 5), "y": reads_of(genomes[2], 6) + reads_of(genomes[4], 6)}
+    both = ix.report(index, spark.createDataFrame([(k, *r) for k, x in reads.items() for r in x], "sample string, seq string"))
+    assert both.merged.columns[:1] == ["sample"]
+    for k, x in reads.items():
+        one = ix.report(index, spark.createDataFrame(x, "seq string"))
+        for a, b in ((both.merged, one.merged), (both.strains, one.strains), (both.singles, one.singles)):
+            assert sorted(map(str, a.where(F.col("sample") == k).drop("sample").collect())) == sorted(map(str, b.collect()))
+
+
+def test_a_plasmid_of_which_little_is_there(spark, genomes):
+    """0.4 of a plasmid of strain 2 is in the reads: found, as its coverage has no floor in this mode."""
+    r = random.Random(21)
+    dna = lambda n: "".join(r.choice("ACGT") for _ in range(n))
+    one, two, three = dna(1500), dna(1500), dna(1500)
+    contigs = spark.createDataFrame([(1, genomes[1]), (2, genomes[1]), (1, one), (2, two), (2, three)], "strain long, seq string")
+    index = ix.build_index(contigs.where(F.length("seq") > 2000), CFG)
+    reads = spark.createDataFrame(reads_of(genomes[1], 10) + reads_of(two[:660], 10), "seq string")
+    got = ix.plasmids(index, reads, contigs, below=2000, mink=50)
+    assert [x.strain for x in got.merged.collect()] == [2]
+
+
 def test_short_contigs(spark):
     g = spark.createDataFrame([(1, "A" * 10), (1, "A" * 200), (2, "A")], "strain long, seq string")
     assert ix.short_contigs(g, spark.createDataFrame([(1,)], "strain long"), 100).count() == 1

@@ -9,12 +9,12 @@ import duckdb
 import pytest
 
 from seqlake.functions import sequence as S
-from seqlake.plans import cases
+from seqlake.plans import cases, search_cases
 from seqlake.plans import queries as own
 from seqlake.plans.queries import K
 from seqlake.plans.views import SQL
 
-QUERIES, ORACLE = own.QUERIES | cases.QUERIES, own.ORACLE | cases.ORACLE
+QUERIES, ORACLE = own.QUERIES | cases.QUERIES | search_cases.QUERIES, own.ORACLE | cases.ORACLE | search_cases.ORACLE
 D = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(D), reason="no tables")
 

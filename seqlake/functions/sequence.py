@@ -78,7 +78,8 @@ def codes_of(text: bytes, k: int, strand: str = "given") -> np.ndarray:
             if k >> bit & 1:
                 out = (out << np.uint64(2 * width)) | power[have : have + n]
                 have += width
-            power = (power[: len(power) - width] << np.uint64(2 * width)) | power[width:]
+            if k >> bit + 1:
+                power = (power[: len(power) - width] << np.uint64(2 * width)) | power[width:]
             width *= 2
         return out
 

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -154,39 +152,43 @@ def single_linkage(items: DataFrame, pairs: DataFrame, least: float = 0.95) -> D
             return label
 
 
-def _complete(d: np.ndarray, height: float) -> np.ndarray:
-    """Complete linkage cut at height, ties to the first pair; labels are the smallest member's position."""
-    n = len(d)
-    d, label, alive = d.astype(float).copy(), np.arange(n), np.ones(n, bool)
-    np.fill_diagonal(d, np.inf)
-    while True:
-        i, j = np.unravel_index(np.argmin(d), d.shape)
-        if not np.isfinite(d[i, j]) or d[i, j] > height:
-            return label
-        i, j = min(i, j), max(i, j)
-        label[label == j] = i
-        d[i] = d[:, i] = np.maximum(d[i], d[j])
-        d[j] = d[:, j] = np.inf
-        d[i, i] = np.inf
-        alive[j] = False
-
-
 def complete_linkage(items: DataFrame, pairs: DataFrame, least: float = 0.99) -> DataFrame:
-    """(strain, cluster) by complete linkage at a similarity (C2, C3), within single-linkage components: a complete cluster never
-    spans two. Missing pairs have similarity 0."""
-    comp = single_linkage(items, pairs, least)
-    inner = pairs.where(F.col("similarity") >= least).join(comp.select(F.col("strain").alias("a"), "cluster"), "a").select("cluster", "a", "b", "similarity")
-    # bounded by the largest single-linkage component at the same similarity: 8 bytes for each pair of its members
-    alone = comp.select("cluster", F.col("strain").alias("a"), F.col("strain").alias("b"), F.lit(1.0).alias("similarity"))
-
-    def cut(g: pd.DataFrame) -> pd.DataFrame:
-        names = np.unique(g[["a", "b"]].to_numpy())
-        i, j = np.searchsorted(names, g["a"]), np.searchsorted(names, g["b"])
-        d = np.ones((len(names), len(names)))
-        d[i, j] = d[j, i] = 1 - g["similarity"]
-        return pd.DataFrame({"strain": names, "cluster": names[_complete(d, 1 - least + 1e-12)]})
-
-    return inner.unionByName(alone).groupBy("cluster").applyInPandas(cut, "strain long, cluster long")
+    """(strain, cluster) by complete linkage cut at a similarity (C2, C3), clusters named by their smallest strain. Missing pairs have
+    similarity 0. Of equal similarities the pair of clusters with the smaller names is joined first.
+
+    Rounds work on edges between clusters all of whose strains are similar enough; an edge keeps the least similarity and how many pairs
+    it stands for. A join of two clusters that are each other's best can't be forestalled by any other join (merging never makes
+    clusters more similar), so all such joins of a round are done at once; and where equal best edges join every two of a group, as
+    among copies, the whole group is one. Nothing is held for a component at once."""
+    spark = items.sparkSession
+    label = stage(items.select("strain", F.col("strain").alias("cluster")), "labels")
+    e = pairs.where((F.col("similarity") >= least - 1e-12) & (F.col("a") != F.col("b")))
+    e = e.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("similarity").alias("s")).withColumn("n", F.lit(1).cast("long"))
+    e, at = staged(e, "edges")
+    while not e.isEmpty():
+        both = e.select("a", "b", "s").union(e.select(F.col("b").alias("a"), F.col("a").alias("b"), "s"))
+        # best by value, and the first of these by name
+        first = F.max(F.struct("s", (-F.least("a", "b")).alias("x"), (-F.greatest("a", "b")).alias("y"))).alias("m")
+        best = stage(both.groupBy("a").agg(first).select(F.col("a").alias("c"), "m.s", (-F.col("m.x")).alias("x"), (-F.col("m.y")).alias("y")), "best")
+        tied = e.join(best.select(F.col("c").alias("a"), F.col("s").alias("sa")), "a").join(best.select(F.col("c").alias("b"), F.col("s").alias("sb")), "b").where("s = sa and s = sb").select("a", "b")
+        tied = stage(tied, "tied")
+        group = single_linkage(tied.select(F.col("a").alias("strain")).union(tied.select("b")).distinct(), tied.withColumn("similarity", F.lit(1.0)), 1.0)
+        inside = tied.join(group.select(F.col("strain").alias("a"), "cluster"), "a").groupBy("cluster").agg(F.count("*").alias("edges"))
+        whole = group.groupBy("cluster").agg(F.count("*").alias("m")).join(inside, "cluster").where("2 * edges = m * (m - 1)").select("cluster")
+        joined = group.join(whole, "cluster", "left_semi").select(F.col("strain").alias("c"), F.col("cluster").alias("to"))
+        mutual = best.groupBy("x", "y").agg(F.count("*").alias("k")).where("k = 2").select(F.explode(F.array("x", "y")).alias("c"), F.col("x").alias("to"))
+        to = stage(joined.unionByName(mutual.join(joined.select("c"), "c", "left_anti")), "joined")
+        new = label.join(to.withColumnRenamed("c", "cluster"), "cluster", "left").select("strain", F.coalesce("to", "cluster").alias("cluster"))
+        label = stage(new, "labels")
+        size = label.groupBy("cluster").agg(F.count("*").alias("m"))
+        moved = e.join(to.select(F.col("c").alias("a"), F.col("to").alias("ta")), "a", "left").join(to.select(F.col("c").alias("b"), F.col("to").alias("tb")), "b", "left")
+        moved = moved.select(F.coalesce("ta", "a").alias("a"), F.coalesce("tb", "b").alias("b"), "s", "n").where("a <> b")
+        moved = moved.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("s").alias("s"), F.sum("n").alias("n"))
+        moved = moved.join(size.select(F.col("cluster").alias("a"), F.col("m").alias("ma")), "a").join(size.select(F.col("cluster").alias("b"), F.col("m").alias("mb")), "b").where("n = ma * mb").select("a", "b", "s", "n")
+        moved, new_at = staged(moved, "edges")
+        discard(spark, at)
+        e, at = moved, new_at
+    return label
 
 
 def members(cluster: DataFrame) -> DataFrame:

@@ -265,16 +265,16 @@ def test_forest_without_all_pairs(spark):
 
 def test_complete_linkage_equals_a_plain_version(spark):
     r = random.Random(6)
-    for _ in range(3):
-        pairs = {(a, b): r.choice((0.5, 0.9, 0.93, 0.96, 1.0)) for a in range(9) for b in range(a + 1, 9)}
-        groups = [[i] for i in range(9)]
+    for n in (9, 16):
+        pairs = {(a, b): r.choice((0.5, 0.9, 0.93, 0.96, 1.0)) if n == 9 else r.choice((0.4, 0.91, 0.95)) if (a - b) % 4 else 0.97 for a in range(n) for b in range(a + 1, n)}
+        groups = [[i] for i in range(n)]
         while True:
             far = lambda x, y: max(1 - pairs[min(i, j), max(i, j)] for i in x for j in y)
             d, x, y = min(((far(x, y), x, y) for n, x in enumerate(groups) for y in groups[n + 1 :]), key=lambda t: (t[0], min(t[1]), min(t[2])), default=(2, 0, 0))
             if d > 0.1 + 1e-12:
                 break
             groups = sorted([g for g in groups if g not in (x, y)] + [x + y], key=min)
-        items = spark.createDataFrame([(i,) for i in range(9)], "strain long")
+        items = spark.createDataFrame([(i,) for i in range(n)], "strain long")
         got = sm.complete_linkage(items, spark.createDataFrame([(a, b, s) for (a, b), s in pairs.items()], "a long, b long, similarity double"), 0.9)
         assert rows(got) == sorted((i, min(g)) for g in groups for i in g)
 

@@ -111,16 +111,18 @@ def passing(cov: DataFrame, by: str, least: float = 0.7) -> DataFrame:
     return cov.withColumn("top", top).where(F.when(F.col("top") > least, F.col("cov") > least).otherwise(F.lit(True))).drop("top")
 
 
-def trimmed_stats(df: DataFrame, by: str, value: str, lo: float, hi: float) -> DataFrame:
-    """(by, p_lo, p_hi, n, total) of the values between two nearest-rank percentiles, both included.
+def trimmed_stats(df: DataFrame, by: str | list[str], value: str, lo: float, hi: float, weight: str | None = None) -> DataFrame:
+    """(by, p_lo, p_hi, n, total) of the values between two nearest-rank percentiles, both included (F10, F11). weight: how many values a
+    row stands for.
 
     Works on how often each value occurs: ranks are running sums over a group's distinct values, so no group is collected."""
-    h = df.where(F.col(value).isNotNull()).groupBy(by, F.col(value).alias("v")).agg(F.count("*").alias("m"))
-    w = Window.partitionBy(by)
+    by = [by] if isinstance(by, str) else by
+    h = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg((F.sum(weight) if weight else F.count("*")).alias("m"))
+    w = Window.partitionBy(*by)
     h = h.withColumn("upto", F.sum("m").over(w.orderBy("v"))).withColumn("all", F.sum("m").over(w))
     at = lambda q: F.min(F.when(F.col("upto") > F.bround(F.lit(q) * (F.col("all") - 1)), F.col("v"))).over(w)
     h = h.withColumn("p_lo", at(lo)).withColumn("p_hi", at(hi)).where("v between p_lo and p_hi")
-    return h.groupBy(by).agg(F.first("p_lo").alias("p_lo"), F.first("p_hi").alias("p_hi"), F.sum("m").alias("n"), F.sum(F.col("v") * F.col("m")).alias("total"))
+    return h.groupBy(*by).agg(F.first("p_lo").alias("p_lo"), F.first("p_hi").alias("p_hi"), F.sum("m").alias("n"), F.sum(F.col("v") * F.col("m")).alias("total"))
 
 
 def _positive(l2: DataFrame) -> DataFrame:

@@ -1,13 +1,7 @@
-"""Queries of the operators that the tables' plain views leave out: files, index tables, the tree search and the regression.
-
-Searches and models work on small tables of nodes; their cases are literal, and the SQL states what was worked out by hand.
-"""
+"""Queries of the operators that the tables' plain views leave out: files, index tables, the scan and the regression."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,24 +18,7 @@ from . import queries as q
 from . import views as v
 from .views import sql
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(oracle: str | None = None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLE[f.__name__] = oracle
-        return f
-
-    return keep
-
-
-def golden(columns: str, *rows: tuple) -> str:
-    """SQL of rows that were worked out by hand."""
-    show = lambda x: "NULL" if x is None else str(x).lower() if isinstance(x, bool) else f"{x}::BIGINT" if isinstance(x, int) else f"{x}::DOUBLE" if isinstance(x, float) else f"'{x}'"
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(show, r)) + ')' for r in rows)}) t({columns})"
+QUERIES, ORACLE, query = q.registry()
 
 
 # ---------------------------------------------------------------- files
@@ -179,18 +156,12 @@ def c4_dendrogram(s, d):
     return s.createDataFrame(sm.dendrogram(ids, [(r.a, r.b, r.similarity) for r in forest]), "id long, parent long")
 
 
-def _weak(s):
-    """Three clusters: 1 (strains 1, 2) and 3 have enough k-mers of their own, 2 (strain 4) has one and is closest to 3 (strain 5)."""
-    k = {1: range(0, 10), 2: range(0, 10), 4: [*range(20, 26), 90], 5: range(20, 32)}
-    mult = s.createDataFrame([(t, x, 1) for t, xs in k.items() for x in xs], "strain long, kmer long, mult long")
-    cluster = s.createDataFrame([(1, 1), (2, 1), (4, 4), (5, 5)], "strain long, cluster long")
-    sims = s.createDataFrame([(1, 4, 0.1), (4, 5, 0.5), (2, 5, 0.05), (1, 2, 1.0)], "a long, b long, similarity double")
-    return mult, cluster, sims
-
-
-@query(golden("strain, cluster", (1, 1), (2, 1), (4, 4), (5, 4)))
+@query()
 def c6_weak_leaves(s, d):
-    return ix.repaired(*_weak(s), ix.BuildConfig(mink=3, alpha=0.5)).select("strain", "cluster")
+    """Nations, merged until each has 40 core orders of its own; each weak one joins the nation that a supplier of its own is nearest to."""
+    x = v.order_inc(s, d)
+    mult = v.table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("strain"), F.col("l_orderkey").alias("kmer")).agg(F.count("*").alias("mult"))
+    return ix.repaired(mult, v.cluster(s, d), sm.spanning_edges(x), ix.BuildConfig(mink=40, alpha=0.02)).select("strain", "cluster")
 
 
 REBUILT = f"+{q.CI.replace(q.CORE, q.ORDER_CORE)}, al AS (SELECT DISTINCT node, kmer FROM nl JOIN ck ON ck.cluster + 32 = nl.leaf), x AS (SELECT node, kmer FROM ci WHERE NOT EXISTS (SELECT 1 FROM al WHERE al.kmer = ci.kmer AND al.node <> ci.node AND floor(log2(al.node)) = floor(log2(ci.node)))) SELECT node, kmer, (SELECT count(DISTINCT ck.cluster) FROM ck WHERE ck.kmer = x.kmer AND floor(log2(ck.cluster + 32)) < floor(log2(x.node)))::BIGINT AS n_overlap FROM x QUALIFY row_number() OVER (PARTITION BY node ORDER BY n_overlap, kmer) <= 25"
@@ -221,31 +192,59 @@ def m8_probability(s, d):
 
 
 # ---------------------------------------------------------------- strains of a cluster
-def mixture(weights: tuple[int, ...] = (3, 0, 1, 0, 0, 0)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Patterns of six strains, how many k-mers have each, and counts of a planted mixture."""
-    r = np.random.default_rng(0)
-    x, n = r.random((40, 6)) < 0.5, r.integers(60, 120, 40)
-    return x, n, x @ np.array(weights) * 10
+def _patterns(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Nations, their suppliers and parts, with the quantities returned."""
+    _, counts = v.node_counts(s, d)
+    return dm.pattern_rows(v.inc(s, d).join(v.cluster(s, d), "strain").select("cluster", "strain", "kmer"), counts, counts)
 
 
-@query(golden("case_name, holds", ("no weight is negative", True), ("first share is 0.75", True), ("gradient vanishes where a weight is positive", True), ("gradient is not negative where it is 0", True)))
-def m10_elastic_net(s, d):
-    """The conditions of the optimum, at a planted 3 : 1 mixture."""
-    x, n, y = mixture()
-    w = dm.elastic_net(x[:, [0, 2]], y, n)  # the strains that the scan finds
-    xf = x.astype(float)
-    g, b = (xf * n[:, None]).T @ xf / n.sum(), (xf * n[:, None]).T @ y / n.sum()
-    at = dm._descend(g, b, 0.3, 0.1, np.zeros(6), 1e-12, 100_000)
-    grad = g @ at - b + 0.3 + 0.1 * at
-    checks = {"no weight is negative": (w >= 0).all(), "first share is 0.75": abs(w[0] / w.sum() - 0.75) < 0.05, "gradient vanishes where a weight is positive": np.allclose(grad[at > 0], 0, atol=1e-6), "gradient is not negative where it is 0": (grad[at == 0] >= -1e-6).all()}
-    return s.createDataFrame([(k, bool(ok)) for k, ok in checks.items()], "case_name string, holds boolean")
+ROWS = "+x AS (SELECT cluster, strain, kmer, CASE WHEN coalesce(cnts.cnt, 0) > 1 THEN cnts.cnt ELSE 0 END AS y FROM inc JOIN cl USING (strain) LEFT JOIN cnts USING (kmer))"
+NEAREST = "v[(round_even({q} * (len(v) - 1), 0) + 1)::BIGINT]"
+SCAN = ROWS + f""", st AS (SELECT cluster, strain, count(*) AS total, count(*) FILTER (WHERE y > 0) AS covered FROM x GROUP BY ALL),
+ok AS (SELECT *, covered::DOUBLE / total AS cov FROM st QUALIFY max(covered::DOUBLE / total) OVER (PARTITION BY cluster) <= 0.7 OR covered::DOUBLE / total > 0.7),
+v AS (SELECT cluster, strain, list_sort(list(y)) AS v FROM x WHERE y > 0 GROUP BY ALL),
+sc AS (SELECT cluster, strain, list_sum(list_filter(v, lambda y: y >= {NEAREST.format(q=0.05)} AND y <= {NEAREST.format(q=0.95)})) AS score FROM v),
+s0 AS (SELECT cluster, strain FROM st LEFT JOIN sc USING (cluster, strain) QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY coalesce(score, 0) DESC, strain) = 1),
+u0 AS (SELECT cluster, kmer FROM x JOIN s0 USING (cluster, strain)), r0 AS (SELECT x.* FROM x SEMI JOIN ok USING (cluster, strain) ANTI JOIN u0 USING (cluster, kmer)),
+rm AS (SELECT cluster, strain, count(*) FILTER (WHERE y > 0)::DOUBLE / count(*) AS remain FROM r0 GROUP BY ALL),
+n1 AS (SELECT cluster, strain, count(*) AS new FROM r0 WHERE y > 0 GROUP BY cluster, strain QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY count(*) DESC, strain) = 1 AND count(*) >= 3),
+u1 AS (SELECT cluster, kmer FROM x JOIN n1 USING (cluster, strain)), r1 AS (SELECT r0.* FROM r0 SEMI JOIN n1 USING (cluster) ANTI JOIN u1 USING (cluster, kmer)),
+n2 AS (SELECT cluster, strain, count(*) AS new FROM r1 WHERE y > 0 GROUP BY cluster, strain QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY count(*) DESC, strain) = 1 AND count(*) >= 3)
+SELECT cluster, strain, 0 AS turn, covered, total, covered AS valid, round(covered::DOUBLE / total, 6)::DOUBLE AS remain FROM s0 JOIN st USING (cluster, strain)
+UNION ALL SELECT cluster, strain, turn, covered, total, new, round(remain, 6)::DOUBLE FROM (SELECT *, 1 AS turn FROM n1 UNION ALL SELECT *, 2 FROM n2) JOIN st USING (cluster, strain) JOIN rm USING (cluster, strain) WHERE remain > 0.2"""
+
 
+@query(sql("inc cl cnts", SCAN))
+def m9_two_rounds(s, d):
+    """The dominant supplier of every nation and the two that add most to it, on the returned quantities."""
+    out = dm.scan(*_patterns(s, d), dm.ScanConfig(least_new=3, rounds=2))
+    return out.select("cluster", "strain", "turn", "covered", "total", "valid", q.r6(F.col("remain"), "remain"))
 
-@query(golden("case_name, chosen", ("wide", 1), ("narrow", 2), ("flat", 0)))
-def m11_one_sigma(s, d):
-    """The largest penalty, the first, whose error is within one deviation of the least."""
-    cases = {"wide": ([9.0, 4.0, 3.0, 3.5], [1.0, 1.0, 1.2, 1.0]), "narrow": ([9.0, 4.0, 3.0, 3.5], [1.0, 1.0, 0.1, 1.0]), "flat": ([2.0, 2.0, 2.0], [0.0, 0.0, 0.0])}
-    return s.createDataFrame([(k, dm.one_sigma(np.array(m), np.array(sd))) for k, (m, sd) in cases.items()], "case_name string, chosen long")
+
+@query(sql("inc cl cnts", ROWS + ", k AS (SELECT DISTINCT cluster, kmer, y FROM x) SELECT cluster, 'n' AS kind, NULL::BIGINT AS i, NULL::BIGINT AS j, count(*)::DOUBLE AS v FROM k GROUP BY 1 UNION ALL SELECT cluster, 'yy', NULL, NULL, sum(y * y)::DOUBLE FROM k GROUP BY 1 UNION ALL SELECT cluster, 'xy', strain, NULL, sum(y)::DOUBLE FROM x GROUP BY cluster, strain UNION ALL SELECT a.cluster, 'xx', a.strain, b.strain, count(*)::DOUBLE FROM x a JOIN x b ON a.cluster = b.cluster AND a.kmer = b.kmer AND a.strain <= b.strain GROUP BY ALL"))
+def m10_sums(s, d):
+    """What the regression of every nation rests on: products of suppliers, and of suppliers and quantities."""
+    rows, member = _patterns(s, d)
+    found = member.select("cluster", "strain").distinct()
+    return dm.sums(rows, member, found).select("cluster", "kind", "i", "j", F.get("v", F.lit(0)).alias("v"))
+
+
+@query(sql("inc cl", "SELECT DISTINCT cluster, strain, true AS holds FROM inc JOIN cl USING (strain)"))
+def m10_elastic_net(s, d):
+    """The conditions of the optimum for every supplier: the gradient vanishes where its coefficient is positive, and is not negative where
+    it is 0."""
+    rows, member = _patterns(s, d)
+    found = member.select("cluster", "strain").distinct()
+    c = dm.coefficients(rows, member, found)
+    x = dm.sums(rows, member, found).select("cluster", "kind", "i", "j", F.get("v", F.lit(0)).alias("v"))
+    n = x.where("kind = 'n'").select("cluster", F.col("v").alias("n"))
+    g = x.where("kind = 'xx'")
+    g = g.select("cluster", F.col("i").alias("strain"), "j", "v").union(g.where("i <> j").select("cluster", "j", "i", "v"))
+    g = g.join(c.select("cluster", F.col("strain").alias("j"), "c"), ["cluster", "j"]).groupBy("cluster", "strain").agg(F.sum(F.col("v") * F.col("c")).alias("xx"), F.max(F.when(F.col("strain") == F.col("j"), F.col("v"))).alias("own"))
+    z = c.join(g, ["cluster", "strain"]).join(x.where("kind = 'xy'").select("cluster", F.col("i").alias("strain"), F.col("v").alias("xy")), ["cluster", "strain"]).join(n, "cluster")
+    slope = (F.col("xx") - F.col("xy")) / F.col("n") + F.col("penalty") * (1 + F.col("c")) / 2
+    most = 0.001 * (F.col("penalty") + F.col("xy") / F.col("n"))
+    return z.select("cluster", "strain", (F.when(F.col("c") > 0, F.abs(slope) <= most).otherwise(slope >= -most) & (F.col("c") >= 0)).alias("holds"))
 
 
 @query(sql("inc", "+" + q.Y.format(lo=0.25, hi=0.75) + " SELECT strain AS cluster, strain, 1.0::DOUBLE AS abundance, round(list_avg(list_filter(v, lambda x: x >= lo AND x <= hi)), 6)::DOUBLE AS depth FROM yb"))
@@ -256,24 +255,6 @@ def m13_single_strains(s, d):
     return out.select("cluster", "strain", "abundance", q.r6(F.col("depth"), "depth"))
 
 
-def _dna(n: int, seed: int) -> str:
-    return "".join("ACGT"[i] for i in np.random.default_rng(seed).integers(0, 4, n))
-
-
-@query(golden("kind, strain", ("chromosomes", 3), ("plasmids", 2)))
-def m15_plasmids(s, d):
-    """Strains 1 and 2 share a chromosome and have plasmids of their own; the sample holds strain 3, the chromosome of 1 and 2, and
-    the plasmid of 2. The first search names the other cluster's only strain, the second the plasmid's."""
-    main, rest, one, two = _dna(5000, 1), _dna(5000, 2), _dna(1500, 3), _dna(1500, 4)
-    genomes = s.createDataFrame([(1, main), (2, main), (1, one), (2, two), (3, rest)], "strain long, seq string")
-    tile = lambda x, step: [(x[i : i + 100],) for i in range(0, len(x) - 99, step)]
-    reads = s.createDataFrame(tile(main, 10) + tile(two, 10) + tile(rest, 10), "seq string")
-    index = ix.build_index(genomes.groupBy("strain").agg(F.array_join(F.collect_list("seq"), "N" * 100).alias("seq")), ix.BuildConfig(mink=50, similarity=0.6))
-    first = ix.report(index, reads)
-    second = ix.plasmids(index, reads, genomes, below=2000, mink=50)
-    return first.singles.select(F.lit("chromosomes").alias("kind"), "strain").unionByName(second.merged.select(F.lit("plasmids").alias("kind"), "strain"))
-
-
 @query()
 def m9_report_columns(s, d):
     """Strains of all clusters (nations) with every column of a report, on the returned quantities."""

@@ -221,9 +221,9 @@ def report(index: Index, reads: DataFrame, level: int = 0, scan: dominance.ScanC
     size = index.cluster.groupBy("cluster").agg(F.count("*").alias("size"))
     single = index.cluster.join(detected, "cluster").join(size, "cluster").where("size = 1")
     singles = reports.single_report(single.select("sample", "cluster", "strain", F.col("cls_ab").alias("depth"), F.col("cls_cov").alias("cov"), F.col("cls_covered").cast("long").alias("covered"), F.col("cls_total").alias("total")))
-    l2 = index.l2.join(detected.select("sample", "cluster"), "cluster").select("sample", "cluster", "strain", "kmer")
+    l2 = index.l2.join(detected.select("cluster").distinct(), "cluster", "left_semi")
     own = profiles.exclusive_counts(counts, index.cluster_kmer, detected.select("sample", "cluster"))
-    strains = stage(reports.strain_report(dominance.detect(l2, counts, own, scan), detected.select("sample", "cluster", "cls_ab"), scan.is_extra), "strains")
+    strains = stage(reports.strain_report(dominance.detect(l2, counts, own, scan, detected), detected.select("sample", "cluster", "cls_ab"), scan.is_extra), "strains")
     singles = stage(singles, "singles")
     discard(reads.sparkSession, at)
     merged = reports.merged_report(singles.select("sample", "cluster", "strain", "depth", "cov", "covered", "total"), strains)

@@ -21,6 +21,7 @@ from seqlake.operators import similarity as sm
 from seqlake.plans import index as ix
 from seqlake.sources import readers, writers
 
+from . import plain_scan as psc
 from . import plain_search as ps
 
 
@@ -222,6 +223,15 @@ def test_dendrogram_and_node_sets(spark):
     assert rows(got) == [(1, "one"), (5, "left"), (7, "all")]
 
 
+def test_weak_leaves_join_their_nearest(spark):
+    """Clusters 1 (strains 1, 2) and 5 have enough k-mers of their own, 4 has one and is closest to 5."""
+    k = {1: range(0, 10), 2: range(0, 10), 4: [*range(20, 26), 90], 5: range(20, 32)}
+    mult = spark.createDataFrame([(t, x, 1) for t, xs in k.items() for x in xs], "strain long, kmer long, mult long")
+    cluster = spark.createDataFrame([(1, 1), (2, 1), (4, 4), (5, 5)], "strain long, cluster long")
+    sims = spark.createDataFrame([(1, 4, 0.1), (4, 5, 0.5), (2, 5, 0.05), (1, 2, 1.0)], "a long, b long, similarity double")
+    assert rows(ix.repaired(mult, cluster, sims, ix.BuildConfig(mink=3, alpha=0.5)).select("strain", "cluster")) == [(1, 1), (2, 1), (4, 4), (5, 4)]
+
+
 def test_closure_of_a_long_chain(spark):
     n = 1500
     nodes = spark.createDataFrame([(i, i + 1 if i < n else None) for i in range(1, n + 1)], "id long, parent long")
@@ -320,10 +330,8 @@ def mixture(seed=0, weights=(3, 0, 1, 0, 0, 0)):
 
 def test_scan_finds_dominant_then_second():
     x, n, y = mixture()
-    found = dm.scan(x, y, y, n, dm.ScanConfig(least_new=100))
+    found = psc.scan(x, y, y, n, dm.ScanConfig(least_new=100))
     assert [r["strain"] for r in found][:1] == [0] and 2 in [r["strain"] for r in found] and len(found) <= 16
-    w = dm.elastic_net(x[:, [0, 2]], y, n)
-    assert abs(w[0] / w.sum() - 0.75) < 0.05
 
 
 def test_elastic_net_meets_its_conditions():
@@ -335,6 +343,67 @@ def test_elastic_net_meets_its_conditions():
     assert (w >= 0).all() and np.allclose(grad[w > 0], 0, atol=1e-6) and (grad[w == 0] >= -1e-6).all()
 
 
+def scanned(spark, cases, cfg):
+    """Rows of dm.scan and of detect over planted clusters. cases: cluster -> (patterns, y, own, n); a k-mer for each of the n."""
+    l2, counts, own, k = [], [], [], 0
+    for c, (x, y, o, n) in cases.items():
+        for p in range(len(x)):
+            for _ in range(n[p]):
+                l2 += [(c, 100 + s, k) for s in range(x.shape[1]) if x[p, s]]
+                counts.append((k, int(y[p])))
+                own.append((k, int(o[p])))
+                k += 1
+    l2 = spark.createDataFrame(l2, "cluster long, strain long, kmer long")
+    counts, own = (spark.createDataFrame(t, "kmer long, cnt long") for t in (counts, own))
+    rows_, member = dm.pattern_rows(l2, counts, own)
+    return l2, counts, own, rows_, member, dm.scan(rows_, member, cfg).collect()
+
+
+def test_scan_of_all_clusters_equals_the_plain_one(spark):
+    """Mixtures, one without exclusive counts, one hardly covered, one below the floor, one of a single strain; patterns with ties."""
+    r = np.random.default_rng(7)
+    cases = {}
+    for c in range(7):
+        x = np.unique(r.random((40, 5)) < 0.5, axis=0)
+        x = x[x.any(1)]
+        n = r.integers(20, 60, len(x))
+        y = x @ r.integers(0, 5, 5) * r.integers(1, 6)
+        cases[c] = (x, y, np.where(r.random(len(x)) < 0.7, y, 0), n)
+    cases[3] = (*cases[3][:2], cases[3][1] * 0, cases[3][3])
+    cases[4] = (cases[4][0], cases[4][1] * 0 + np.eye(1, len(cases[4][0]), 2, dtype=int)[0] * 7, cases[4][2] * 0, np.where(np.eye(1, len(cases[4][0]), 2)[0], 1, 60))
+    cases[5] = (np.ones((1, 1), bool), np.array([9]), np.array([9]), np.array([50]))
+    for cfg in (dm.ScanConfig(least_new=40), dm.ScanConfig(coverage=0.0, least_new=20, remain=0.0, rounds=3)):
+        got = {}
+        for t in scanned(spark, cases, cfg)[-1]:
+            got.setdefault(t.cluster, []).append((t.turn, t.strain - 100, t.covered, t.total, t.valid, round(t["cov"], 9), round(t.remain, 9), None if math.isnan(t.depth) else round(t.depth, 9)))
+        for c, (x, y, o, n) in cases.items():
+            want = [(f["strain"], f["covered"], f["total"], f["valid"], round(f["cov"], 9), round(f["remain"], 9), None if math.isnan(f["depth"]) else round(f["depth"], 9)) for f in psc.scan(x, y, o, n, cfg)]
+            assert [t[1:] for t in sorted(got[c], key=lambda t: t[0])] == want, c
+
+
+def test_sums_are_those_of_all_rows_and_halves(spark):
+    """Sums by half equal those worked out k-mer by k-mer, and the coefficients those of the same halves; 3 : 1 comes out."""
+    x, n, y = (t[mixture()[0].any(1)] for t in mixture())
+    l2, counts, own, rows_, member, found = scanned(spark, {9: (x, y, y, n)}, dm.ScanConfig(least_new=100))
+    pick = spark.createDataFrame([(9, 100), (9, 102)], "cluster long, strain long")
+    got = {(r.kind, r.i, r.j): np.array(r.v) for r in dm.sums(rows_, member, pick).collect()}
+    of = {r.kmer: r.h for r in counts.select("kmer", F.xxhash64("kmer").alias("h")).collect()}
+    at = np.repeat(np.arange(len(x)), n)
+    half = np.array([[1, *((of[k] >> i) & 1 for i in range(dm.SPLITS))] for k in range(len(at))], float)
+    z, c = np.where(y <= 1, 0, y)[at].astype(float), x[at][:, [0, 2]].astype(float)
+    gram, xy = np.einsum("kw,ki,kj->wij", half, c, c), np.einsum("kw,ki,k->wi", half, c, z)
+    assert np.allclose(got["xx", 100, 102], gram[:, 0, 1]) and np.allclose(got["xx", 102, 102], gram[:, 1, 1]) and np.allclose(got["xy", 102, None], xy[:, 1])
+    assert np.allclose(got["yy", None, None], half.T @ (z * z)) and np.allclose(got["n", None, None], half.sum(0))
+    w = {r.strain: r.c for r in dm.coefficients(rows_, member, pick).collect()}
+    want, _ = dm.net_of_sums(gram, xy, half.T @ (z * z), half.sum(0))
+    assert np.allclose([w[100], w[102]], want, atol=1e-6) and abs(w[100] / sum(w.values()) - 0.75) < 0.05
+
+
+def test_one_sigma():
+    for mean, sd, chosen in (([9.0, 4.0, 3.0, 3.5], [1.0, 1.0, 1.2, 1.0], 1), ([9.0, 4.0, 3.0, 3.5], [1.0, 1.0, 0.1, 1.0], 2), ([2.0] * 3, [0.0] * 3, 0)):
+        assert dm.one_sigma(np.array(mean), np.array(sd)) == chosen
+
+
 def test_detect_by_cluster(spark):
     x, n, y = mixture()
     l2, counts, k = [], [], 0

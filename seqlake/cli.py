@@ -20,14 +20,21 @@ from .sources import readers, writers
 
 
 def named_genomes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return named(spark, readers.read_genomes(spark, path))
+
+
+def named(spark: SparkSession, genomes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(genomes with long ids, names: strain, name). Ids count the names in order; there is one small row a strain."""
-    g = readers.read_genomes(spark, path).withColumnRenamed("strain", "name")
+    g = genomes.withColumnRenamed("strain", "name")
     names = spark.createDataFrame([(i, r.name) for i, r in enumerate(g.select("name").distinct().orderBy("name").collect(), 1)], "strain long, name string")
     return g.join(F.broadcast(names), "name"), names
 
 
 def build(spark: SparkSession, a: argparse.Namespace) -> None:
-    genomes, names = named_genomes(spark, a.input)
+    if a.blocks:  # which are places of whole sequences
+        genomes, names = named_genomes(spark, a.input)
+    else:  # only k-mers are asked for: files of any size
+        genomes, names = named(spark, readers.read_genome_slices(spark, a.input, a.k))
     cfg = ix.BuildConfig(k=a.k, mink=a.mink, maxk=a.maxk, maxn=a.maxn, unique_cap=a.unique, strand=a.strand, share=a.share, memory=a.memory)
     custom = None
     if a.clusters:

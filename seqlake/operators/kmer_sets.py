@@ -182,12 +182,15 @@ def same_depth_difference(sets: DataFrame, others: DataFrame, depths: DataFrame)
 def node_sets(cluster_kmer: DataFrame, leaves: DataFrame) -> DataFrame:
     """K-mers of every node in closed form (C7): those whose clusters are exactly the node's leaves, and core in all of them.
 
-    One aggregate and one equi-join on the set of leaves replace the bottom-up walk."""
-    occ = cluster_kmer.groupBy("kmer").agg(F.sort_array(F.collect_set("cluster")).alias("leafset"), F.min("is_core").alias("all_core"))
-    of = leaves.groupBy("node").agg(F.sort_array(F.collect_set("leaf")).alias("leafset"))
+    One aggregate and one equi-join on the set of leaves replace the bottom-up walk. A set is known by its size and the exclusive or of
+    two hashes of its members, so no list of clusters is built for a k-mer."""
+    known = lambda c: [F.count("*").alias("f"), F.bit_xor(F.xxhash64(F.col(c).cast("long"))).alias("p"), F.bit_xor(F.xxhash64(F.col(c).cast("long"), F.lit(1))).alias("q")]
+    one = cluster_kmer.groupBy("kmer", "cluster").agg(F.min("is_core").alias("is_core"))
+    occ = one.groupBy("kmer").agg(*known("cluster"), F.min("is_core").alias("all_core"))
+    of = leaves.select("node", "leaf").distinct().groupBy("node").agg(*known("leaf"))
     # of a chain of nodes with the same leaves the deepest has the k-mers
-    of = of.groupBy("leafset").agg(F.max("node").alias("node"))
-    return occ.where("all_core").join(of, "leafset").select("node", "kmer")
+    of = of.groupBy("f", "p", "q").agg(F.max("node").alias("node"))
+    return occ.where("all_core").join(of, ["f", "p", "q"]).select("node", "kmer")
 
 
 def rebuilt_sets(leaf_sets: DataFrame, leaf_core: DataFrame, leaves: DataFrame, depths: DataFrame, short: DataFrame, maxk: int) -> DataFrame:

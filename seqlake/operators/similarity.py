@@ -69,7 +69,7 @@ def jaccard(inc: DataFrame, key: str = "strain", least: float = 0.0) -> DataFram
 
 
 #: Similarities down to which pairs are looked for, one after the other, until all strains hang together.
-STEPS = (0.95, 0.8, 0.6, 0.4, 0.2, 0.05, 0.0)
+STEPS = (0.95, 0.7, 0.4, 0.1, 0.0)
 
 
 def best_edges(pairs: DataFrame, label: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -27,6 +27,17 @@ def s1_strain_names(s, d):
     return v.table(s, d, "pages").select("page_id", readers.strain_name(F.col("url")).alias("strain"))
 
 
+@query(sql("contigs", f"+km AS (SELECT strain, substr(seq, i, {q.K}) AS kmer FROM (SELECT strain, seq, unnest(range(1, length(seq) - {q.K - 2})) AS i FROM contigs WHERE length(seq) >= {q.K})) SELECT strain::VARCHAR AS strain, count(*) AS n, count(DISTINCT kmer) AS n_kmers FROM km GROUP BY 1"))
+def s2_fasta_slices(s, d):
+    """Conversations as FASTA files of one strain each, read split by split: as many 31-mers of each as in whole records."""
+    path = scratch(s, "fasta")
+    x = v.contigs(s, d).select("strain", F.concat(F.lit(">"), F.col("contig").cast("string"), F.lit("\n"), F.regexp_replace("seq", "(.{60})", "$1\n")).alias("value"))
+    x.repartition("strain").write.partitionBy("strain").text(path)
+    slices = readers.read_genome_slices(s, path, q.K, extensions=("txt",), by="strain")
+    k = S.kmer_codes(slices, q.K)
+    return k.groupBy("strain").agg(F.count("*").alias("n"), F.countDistinct("kmer").alias("n_kmers"))
+
+
 @query(sql("genome", "SELECT strain::VARCHAR AS contig, seq FROM genome"))
 def s3_gzip_fasta(s, d):
     """All genomes written as gzipped FASTA (K5) and read back."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -30,6 +30,84 @@ def read_genomes(spark: SparkSession, path: str, extensions: tuple[str, ...] = (
     return fasta_records(files.withColumn("strain", strain_name(F.col("file"))).drop("file"))
 
 
+#: Letters of one slice of a sequence.
+SLICE = 1 << 20
+
+
+def read_genome_slices(spark: SparkSession, path: str, k: int, extensions: tuple[str, ...] = ("fna", "fa", "fasta"), size: int = SLICE, by: str | None = None) -> DataFrame:
+    """(strain, seq) of a folder of FASTA files of any size, one a strain (S2, S3): pieces whose k-mers of A, C, G and T are those of
+    all records, each as often as there.
+
+    Lines are streamed split by split, so a contig is read by as many tasks as it has splits and held whole by none. Slices overlap by
+    k - 1 letters. What a record has beside a split's border goes through a small aggregate: its k - 1 first and last letters there, an
+    N between them, put together in order; so the k-mers that span borders are found in a row of their own. Text before the first
+    record of a file is left out. by: the folders `by=...` that files lie in name the strains, not the files."""
+    lines = spark.read.text(path).select("_metadata.file_path", "_metadata.file_block_start", "value", F.col("_metadata.file_name").alias("name"))
+    lines = lines.where(F.col("name").rlike(r"\.(" + "|".join(extensions) + r")(\.gz)?$"))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []  # file, split, place, begins a record, text; a slice has no split
+        now, place, begun, early = None, 0, False, True
+        parts: list[str] = []
+        have, head, done = 0, "", 0
+
+        def cut() -> None:
+            """Slices of what has come; the overlap with the next stays."""
+            nonlocal parts, have, head, done
+            text = "".join(parts)
+            if done == 0:
+                head = text[: 2 * k]
+            while len(text) >= size + k:
+                out.append((now[0], None, None, None, text[: size + k - 1]))
+                text, done = text[size:], done + size
+            parts, have = [text], len(text)
+
+        def close(border: bool) -> None:
+            """The end of a record's run of lines in a split; border: it goes on in another split, before or after."""
+            nonlocal parts, have, head, done, place
+            cut()
+            text, whole = parts[0], done + have
+            short = whole <= 2 * (k - 1)
+            if have >= k and not (border and short):
+                out.append((now[0], None, None, None, text))
+            if border:
+                ends = (head if short else head[: k - 1] + "N" + text[len(text) - k + 1 :]) if k > 1 else ""
+                out.append((now[0], now[1], place, begun, ends))
+            place, parts, have, head, done = place + 1, [], 0, "", 0
+
+        for b in it:
+            for file, start, line in zip(*(b.column(c).to_pylist() for c in ("file_path", "file_block_start", "value")), strict=True):
+                if (file, start) != now:
+                    if now:
+                        close(True)
+                    now, place, begun, early = (file, start), 0, False, True
+                if line.startswith(">"):
+                    close(early and (begun or now[1] > 0))
+                    begun, early = True, False
+                elif begun or now[1] > 0:
+                    parts.append("".join(line.split()))
+                    have += len(parts[-1])
+                    if have > 2 * (size + k):
+                        cut()
+            if out:
+                yield batch(out)
+                out = []
+        if now:
+            close(True)
+        yield batch(out)
+
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        kinds = {"file": pa.string(), "split": pa.int64(), "place": pa.int32(), "begins": pa.bool_(), "seq": pa.string()}
+        return pa.record_batch([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds.values())], names=list(kinds))
+
+    got = lines.drop("name").mapInArrow(run, "file string, split long, place int, begins boolean, seq string")
+    w = Window.partitionBy("file").orderBy("split", "place")
+    edge = got.where("split is not null").withColumn("record", F.sum(F.col("begins").cast("int")).over(w))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("split", "place", "seq"))), lambda x: x["seq"]), "")
+    edge = edge.groupBy("file", "record").agg(text.alias("seq")).where(F.length("seq") >= k).select("file", "seq")
+    return got.where("split is null").select("file", "seq").unionByName(edge).select((F.regexp_extract("file", f"/{by}=([^/]*)/", 1) if by else strain_name(F.col("file"))).alias("strain"), "seq")
+
+
 def fastq_records(df: DataFrame, text: str = "value") -> DataFrame:
     """(…, read_id, seq, qual) of FASTQ texts of four lines a record."""
     rest = [c for c in df.columns if c != text]

@@ -3,6 +3,7 @@
 import gzip
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -563,3 +564,34 @@ def test_streamed_counts_equal_batch(spark, tmp_path):
     q = streamed_counts(read_stream(spark, str(tmp_path / "in")), 4).writeStream.outputMode("complete").format("memory").queryName("kc").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start()
     q.awaitTermination(120)
     assert rows(spark.table("kc")) == rows(ix.counts_of(spark.createDataFrame(data, "seq string"), ix.BuildConfig(k=4)))
+
+
+@pytest.mark.parametrize("k", [5, 31])
+def test_fasta_slices_have_the_kmers_of_whole_records(spark, tmp_path, k):
+    """Files in many splits, some of a few letters: long and short records, headers at borders, blank lines, text before the first."""
+    r = random.Random(k)
+    dna = lambda n: "".join(r.choice("ACGTN" if r.random() < 0.02 else "ACGT") for _ in range(n))
+    lines = lambda x: "\n".join(x[j : j + 60] for j in range(0, len(x), 60))
+    g = tmp_path / "g"
+    g.mkdir()
+    for name, sizes in {"a": [5000], "b": [0, 3, 40, 700, 29, 30, 31, 2000, 1], "c": [12] * 60, "d": []}.items():
+        body = "".join(f">{name}{i} x\n" + lines(dna(n)) + ("\r\n\n" if i % 2 else "\n") for i, n in enumerate(sizes))
+        (g / f"{name}.fna").write_text(("left out\n" if name != "a" else "") + body)
+    with gzip.open(g / "e.fa.gz", "wt") as f:
+        f.write(f">e\n{dna(300)}\n")
+    (g / "notes.txt").write_text(">no\n" + dna(100))
+    cfg = ix.BuildConfig(k=k, strand="given")
+    count = lambda df: Counter(map(tuple, ix.occurrences(df.select("strain", "seq"), cfg).collect()))
+    want = count(readers.read_genomes(spark, str(g)))
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for most, size in (("64b", 100), ("500b", 64), ("128m", 1 << 20)):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+            got = readers.read_genome_slices(spark, str(g), k, size=size)
+            assert count(got) == want
+            assert most == "64b" or got.agg(F.max(F.length("seq"))).first()[0] <= max(2 * (size + k), 2 * k * 20)
+            assert most == "128m" or got.select("strain").where("strain = 'a'").count() > 10
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+        spark.conf.unset("spark.sql.files.openCostInBytes")

@@ -88,10 +88,11 @@ def k6_written_table(s, d):
     return s.read.parquet(path).select(F.col("cluster").cast("long").alias("cluster"), "strain", "kmer", "cnt")
 
 
-@query(sql("genome", "+b AS (SELECT strain // 2 AS block, strain, seq, CASE WHEN strain % 2 = 1 THEN '-' ELSE '+' END AS strand, substr(seq, 6, 20) AS part FROM genome WHERE length(seq) >= 25), c AS (SELECT block, strain, 's ' || strain || ' 5 20 ' || strand || ' ' || length(seq) || ' ' || CASE strand WHEN '-' THEN reverse(translate(part,'ACGT','TGCA')) ELSE part END AS s FROM b) SELECT 'a' || chr(10) || string_agg(s, chr(10) ORDER BY strain) || chr(10) AS \"value\" FROM c GROUP BY block"))
+@query(sql("genome", "+b AS (SELECT strain // 2 AS block, strain, seq, CASE WHEN strain % 2 = 1 THEN '-' ELSE '+' END AS strand, seq AS part FROM genome WHERE length(seq) > 0), c AS (SELECT block, strain, 's ' || strain || ' 0 ' || length(seq) || ' ' || strand || ' ' || length(seq) || ' ' || CASE strand WHEN '-' THEN reverse(translate(part,'ACGT','TGCA')) ELSE part END AS s FROM b) SELECT 'a' || chr(10) || string_agg(s, chr(10) ORDER BY strain) || chr(10) AS \"value\" FROM c GROUP BY block"))
 def k7_block_text(s, d):
-    g = v.genome(s, d).where("length(seq) >= 25")
-    b = g.select(F.floor(F.col("strain") / 2).alias("block"), "strain", F.when(F.col("strain") % 2 == 1, "-").otherwise("+").alias("strand"), F.lit(5).cast("long").alias("start"), F.lit(25).cast("long").alias("end"))
+    """Whole genomes as blocks of two, the odd ones on the other strand."""
+    g = v.genome(s, d).where("length(seq) > 0")
+    b = g.select(F.floor(F.col("strain") / 2).alias("block"), "strain", F.when(F.col("strain") % 2 == 1, "-").otherwise("+").alias("strand"), F.lit(0).cast("long").alias("start"), F.length("seq").cast("long").alias("end"))
     return writers.block_text(b, g)
 
 
@@ -192,7 +193,7 @@ M8 = "+nk AS (SELECT DISTINCT node, kmer FROM leaves JOIN ck ON leaf = cluster),
 
 @query(sql("ck cl leaves", M8.replace("cnts", "rare_counts").replace("+nk AS", "+rare_counts AS (SELECT l_partkey AS kmer, count(*) AS cnt FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F' AND l_discount = 0.05 AND l_tax = 0.01 GROUP BY 1), nk AS")))
 def m8_probability(s, d):
-    """Low-depth ranking of nations by parts returned at one discount and tax."""
+    """Ranking of nations by a sample of low depth: the parts returned at one discount and tax."""
     nodes = v.nodes(s, d).select("id", "parent", (F.col("id") >= 32).alias("is_leaf"))
     counts = v.table(s, d, "lineitem").where("l_returnflag = 'R' and l_linestatus = 'F' and l_discount = 0.05 and l_tax = 0.01").groupBy(F.col("l_partkey").alias("kmer")).agg(F.count("*").alias("cnt"))
     leaves = q._leaves(s, d).select("node", (F.col("leaf") - 32).alias("cluster"))

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,42 +58,49 @@ def kmers(df: DataFrame, k: int, seq: str = "seq", drop_last: bool = False, stra
     return x.select(*rest, (F.col("first") + F.col("_j")).alias("pos"), own.alias("kmer"))
 
 
+#: Letters of a minimizer.
+MINIMIZER = 11
 #: Two-bit digits by byte (4: no base), and the largest k that fits a long.
 _DIGIT = np.full(256, 4, np.uint8)
 _DIGIT[np.frombuffer(BASES.encode(), np.uint8)] = _DIGIT[np.frombuffer(BASES.lower().encode(), np.uint8)] = range(4)
 MOST_K = 31
 
 
+def _windows(x: np.ndarray, k: int) -> np.ndarray:
+    """x[i], ..., x[i + k - 1] as one number, for every i, by doubling."""
+    n = len(x) - k + 1
+    out, have, width = np.zeros(n, np.uint64), 0, 1
+    power = x.astype(np.uint64)  # codes of `width` digits from each place
+    for bit in range(k.bit_length()):
+        if k >> bit & 1:
+            out = (out << np.uint64(2 * width)) | power[have : have + n]
+            have += width
+        if k >> bit + 1:
+            power = (power[: len(power) - width] << np.uint64(2 * width)) | power[width:]
+        width *= 2
+    return out
+
+
+def _clean(d: np.ndarray, k: int) -> np.ndarray:
+    """Which k-mers are all ACGT."""
+    bad = np.concatenate(([0], np.cumsum(d == 4)))
+    return bad[k:] == bad[:-k]
+
+
 def codes_of(text: bytes, k: int, strand: str = "given") -> np.ndarray:
     """Two-bit codes (`encode`) of the k-mers of text that are all ACGT; canonical is the one whose letters sort first."""
     d = _DIGIT[np.frombuffer(text, np.uint8)]
-    n = len(d) - k + 1
-    if n < 1:
+    if len(d) < k:
         return np.zeros(0, np.int64)
-
-    def windows(x: np.ndarray) -> np.ndarray:
-        """x[i], ..., x[i + k - 1] as one number, for every i, by doubling."""
-        out, have, width = np.zeros(n, np.uint64), 0, 1
-        power = x.astype(np.uint64)  # codes of `width` digits from each place
-        for bit in range(k.bit_length()):
-            if k >> bit & 1:
-                out = (out << np.uint64(2 * width)) | power[have : have + n]
-                have += width
-            if k >> bit + 1:
-                power = (power[: len(power) - width] << np.uint64(2 * width)) | power[width:]
-            width *= 2
-        return out
-
-    bad = np.concatenate(([0], np.cumsum(d == 4)))
-    good = np.flatnonzero(bad[k:] == bad[:-k])
-    own = windows(d & 3)
+    good = np.flatnonzero(_clean(d, k))
+    own = _windows(d & 3, k)
     if strand != "given":
         # digits A 0, G 1, C 2, T 3: the complement of x is 3 - x. Letters sort as A, C, G, T
-        other = windows((3 - (d & 3))[::-1])[::-1]
+        other = _windows((3 - (d & 3))[::-1], k)[::-1]
         if strand == "both":
             return np.concatenate((own[good], other[good])).astype(np.int64)
         swap = np.array([0, 2, 1, 3], np.uint8)
-        first, second = windows(swap[d & 3]), windows(swap[3 - (d & 3)][::-1])[::-1]
+        first, second = _windows(swap[d & 3], k), _windows(swap[3 - (d & 3)][::-1], k)[::-1]
         own = np.where(first <= second, own, other)
     return own[good].astype(np.int64)
 
@@ -123,6 +131,68 @@ def kmer_codes(df: DataFrame, k: int, seq: str = "seq", drop_last: bool = False,
     return df.select(*rest, F.col(seq)).mapInArrow(run, T.StructType([*fields, T.StructField("kmer", T.LongType())]))
 
 
+def runs_of(text: bytes, k: int, strand: str = "given") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, letters, group): runs of neighbouring ACGT k-mers with the same minimizer, the m-mer with the least hash in a k-mer.
+
+    Equal k-mers have equal minimizers, those of both strands too unless strand is given; so a group has all places of its k-mers."""
+    d, m = _DIGIT[np.frombuffer(text, np.uint8)], min(MINIMIZER, (k + 1) // 2)
+    if len(d) < k:
+        return (np.zeros(0, np.int64),) * 3
+    h = _windows(d & 3, m)
+    if strand != "given":
+        h = np.minimum(h, _windows((3 - (d & 3))[::-1], m)[::-1])
+    h = (h + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
+    least, width, need = h, 1, k - m + 1
+    while 2 * width <= need:
+        least = np.minimum(least[:-width], least[width:])
+        width *= 2
+    n = len(d) - k + 1
+    least = np.minimum(least[:n], least[need - width : need - width + n])
+    good = _clean(d, k)
+    new = np.concatenate(([True], (least[1:] != least[:-1]) | (good[1:] != good[:-1])))
+    start = np.flatnonzero(new)
+    end = np.append(start[1:], n)
+    keep = good[start]
+    return start[keep], (end - start + k - 1)[keep], (least[start][keep] >> np.uint64(20)).astype(np.int64)
+
+
+def kmer_runs(df: DataFrame, k: int, buckets: int, seq: str = "seq", strand: str = "given") -> DataFrame:
+    """A row (bucket, part) for every run of neighbouring k-mers of seq with one minimizer: what is to be known of all places of a k-mer
+    takes a shuffle of these, about four letters a k-mer, in place of k-mers."""
+    rest = [c for c in df.columns if c != seq]
+    fields = [f for f in df.schema.fields if f.name != seq]
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for i in range(0, b.num_rows, 256):
+                some = b.slice(i, 256)
+                texts = [(t or "").encode("latin-1", "replace") for t in some.column(seq).to_pylist()]
+                got = [runs_of(t, k, strand) for t in texts]
+                before = np.cumsum([0, *map(len, texts)])
+                row = np.repeat(np.arange(len(got)), [len(x[0]) for x in got])
+                start = np.concatenate([x[0] + o for x, o in zip(got, before)])
+                size, group = (np.concatenate([x[j] for x in got]) for j in (1, 2))
+                ends = np.cumsum(size)
+                letters = np.frombuffer(b"".join(texts), np.uint8)[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)]
+                part = pa.StringArray.from_buffers(len(size), pa.py_buffer(np.concatenate(([0], ends)).astype(np.int32)), pa.py_buffer(letters))
+                yield pa.record_batch([*(some.column(c).take(pa.array(row)) for c in rest), pa.array((group % buckets).astype(np.int32)), part], names=[*rest, "bucket", "part"])
+
+    return df.select(*rest, F.col(seq)).mapInArrow(run, T.StructType([*fields, T.StructField("bucket", T.IntegerType()), T.StructField("part", T.StringType())]))
+
+
+def codes_of_parts(parts: pa.Array, k: int, strand: str = "given") -> tuple[np.ndarray, np.ndarray]:
+    """(codes of the k-mers of all parts, the part of each), of parts that are all ACGT."""
+    parts = parts.cast(pa.large_string())
+    size = np.array(pa.compute.binary_length(parts), np.int64)
+    joined = "".join(parts.to_pylist()).encode()
+    place = np.arange(len(joined) - k + 1) if len(joined) >= k else np.zeros(0, np.int64)
+    ends = np.cumsum(size)
+    of = np.repeat(np.arange(len(size)), size)[: len(place)]
+    inside = place + k <= ends[of] if len(place) else np.zeros(0, bool)
+    return codes_of(joined, k, strand)[inside], of[inside]
+
+
 def both_strands(df: DataFrame, kmer: str = "kmer") -> DataFrame:
     """Each k-mer and its reverse complement."""
     return df.withColumn(kmer, F.explode(F.array(F.col(kmer), revcomp(F.col(kmer)))))

@@ -105,9 +105,10 @@ def codes_of(text: bytes, k: int, strand: str = "given") -> np.ndarray:
     return own[good].astype(np.int64)
 
 
-def kmer_codes(df: DataFrame, k: int, seq: str = "seq", drop_last: bool = False, strand: str = "given", keep: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+def kmer_codes(df: DataFrame, k: int, seq: str = "seq", drop_last: bool = False, strand: str = "given", keep: Callable[[np.ndarray], np.ndarray] | None = None, back: bool = False) -> DataFrame:
     """A row (kmer) for every ACGT k-mer of seq, as a long (`encode`): eight bytes to shuffle in place of k. k up to 31.
-    keep: which codes go on (a mask), asked before any leaves the task.
+    keep: which codes go on (a mask), asked before any leaves the task. back: one more column, whether the code decodes to the letters
+    of its place (given strand, without keep).
 
     Codes of a whole sequence are computed at once, in time linear in its length, and leave it in bounded batches."""
     if k > MOST_K:
@@ -115,20 +116,32 @@ def kmer_codes(df: DataFrame, k: int, seq: str = "seq", drop_last: bool = False,
     rest = [c for c in df.columns if c != seq]
     fields = [f for f in df.schema.fields if f.name != seq]
 
+    def returned(t: bytes, codes: np.ndarray) -> np.ndarray:
+        d = np.frombuffer(t.upper(), np.uint8)
+        if len(d) < k:
+            return np.zeros(0, bool)
+        seen = np.lib.stride_tricks.sliding_window_view(d, k)[_clean(_DIGIT[d], k)]
+        return np.concatenate([(decoded(codes[i : i + 4096], k) == seen[i : i + 4096]).all(1) for i in range(0, max(1, len(codes)), 4096)])
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            got = []
+            got, same = [], []
             for t in b.column(seq).to_pylist():
                 t = (t or "").encode("latin-1", "replace")
                 codes = codes_of(t[:-1] if drop_last else t, k, strand)
                 got.append(codes[keep(codes)] if keep else codes)
+                if back:
+                    same.append(returned(t[:-1] if drop_last else t, codes))
+            good = np.concatenate(same) if same else None
             n = np.array([len(x) for x in got])
             codes, row = np.concatenate(got) if got else np.zeros(0, np.int64), np.repeat(np.arange(len(got)), n)
             for i in range(0, len(codes), 1 << 18):
                 part = pa.array(row[i : i + (1 << 18)])
-                yield pa.record_batch([*(b.column(c).take(part) for c in rest), pa.array(codes[i : i + (1 << 18)])], names=[*rest, "kmer"])
+                more = [pa.array(good[i : i + (1 << 18)])] if back else []
+                yield pa.record_batch([*(b.column(c).take(part) for c in rest), pa.array(codes[i : i + (1 << 18)]), *more], names=[*rest, "kmer", *(["back"] if back else [])])
 
-    return df.select(*rest, F.col(seq)).mapInArrow(run, T.StructType([*fields, T.StructField("kmer", T.LongType())]))
+    more = [T.StructField("back", T.BooleanType())] if back else []
+    return df.select(*rest, F.col(seq)).mapInArrow(run, T.StructType([*fields, T.StructField("kmer", T.LongType()), *more]))
 
 
 def runs_of(text: bytes, k: int, strand: str = "given") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -208,6 +221,18 @@ def encode(kmer: Column) -> Column:
     return F.conv(F.translate(kmer, BASES, DIGITS), 4, 10).cast("long")
 
 
+def lettered(code: Column) -> Column:
+    """A code of k-mers up to 31 as a number that sorts as the letters do, and back: G and C change places."""
+    odd = F.lit(0x1555555555555555)
+    return F.shiftleft(code.bitwiseAND(odd), 1).bitwiseOR(F.shiftright(code, 1).bitwiseAND(odd))
+
+
+def decoded(codes: np.ndarray, k: int) -> np.ndarray:
+    """Letters of codes, a row of k bytes each."""
+    at = np.arange(2 * (k - 1), -1, -2)
+    return np.frombuffer(BASES.encode(), np.uint8)[(codes[:, None] >> at) & 3]
+
+
 def decode(code: Column, k: int) -> Column:
     return F.translate(F.lpad(F.conv(code.cast("string"), 10, 4), k, "0"), DIGITS, BASES)
 

@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from seqlake.functions import sequence as S
+from seqlake.functions import stats as st
 from seqlake.operators import kmer_sets as ks
 
 
@@ -60,3 +61,18 @@ def test_first_unique_of_long_and_of_crowded_strains(spark):
     for cap in (2, 20):
         got = sorted((r.strain, r.kmer) for r in ks.first_unique(g, 31, cap).collect())
         assert got == sorted((i, c) for i, cs in unique.items() for c in sorted(cs)[:cap])
+
+
+def test_percent_rounds_as_printf(spark):
+    pairs = [(n, t) for t in (1000, 1600, 60000) for n in range(1, 400)]
+    x = spark.createDataFrame(pairs, "n long, t long").select("n", "t", st.percent(F.col("n"), F.col("t")).alias("p")).collect()
+    assert [r.p for r in x] == ["%.2f%%" % (100 * n / t) for n, t in pairs]
+
+
+def test_least_kmers_without_a_sort(spark):
+    g = spark.createDataFrame([(1, "GATTACA" * 9), (2, "C" * 31), (3, "ACGTTGCA" * 5)], "strain long, seq string")
+    x = S.kmer_codes(g, 31, strand="both").groupBy("strain").agg(F.min(S.lettered(F.col("kmer"))).alias("lo"))
+    got = {r.strain: r.s for r in x.select("strain", S.decode(S.lettered(F.col("lo")), 31).alias("s")).collect()}
+    turned = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    assert got == {i: min(z for j in range(len(s) - 30) for z in (s[j : j + 31], turned(s[j : j + 31]))) for i, s in ((r.strain, r.seq) for r in g.collect())}
+    assert "SortAggregate" not in x._jdf.queryExecution().toString()

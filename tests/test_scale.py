@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from seqlake.functions import sequence as S
 from seqlake.functions import stats as st
+from seqlake.operators import corrections
 from seqlake.operators import kmer_sets as ks
+from seqlake.operators import similarity as sm
 
 
 def _genomes(spark):
@@ -76,3 +78,32 @@ def test_least_kmers_without_a_sort(spark):
     turned = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
     assert got == {i: min(z for j in range(len(s) - 30) for z in (s[j : j + 31], turned(s[j : j + 31]))) for i, s in ((r.strain, r.seq) for r in g.collect())}
     assert "SortAggregate" not in x._jdf.queryExecution().toString()
+
+
+def test_few_pairs_are_counted_at_once(spark, monkeypatch):
+    """Strains that share many rare k-mers: each k-mer in two of 24 strains. The search by rare patterns read all of both for each pair."""
+    rows = [(i, 100 * i + j) for i in range(24) for j in range(24) if i < j] + [(j, 100 * i + j) for i in range(24) for j in range(24) if i < j] + [(0, -1), (1, -1)]
+    inc = spark.createDataFrame(rows, "strain long, kmer long")
+    pat = sm.pattern_incidence(inc)
+    assert sm.cheap_to_pair(pat)
+    key = lambda df: sorted((r.a, r.b, r.shared, round(r.jaccard, 9)) for r in df.collect())
+    got, forest = key(sm.similar_pairs(pat, 0.02)), sorted(map(tuple, sm.spanning_edges(inc).collect()))
+    monkeypatch.setattr(sm, "FEW", -1)
+    assert got == key(sm.similar_pairs(pat, 0.02)) and len(got) == 276
+    assert forest == sorted(map(tuple, sm.spanning_edges(inc).collect())) and len(forest) == 23
+
+
+def test_corrections_read_only_what_samples_have(spark, monkeypatch):
+    staged = {}
+    keep = corrections.stage
+    monkeypatch.setattr(corrections, "stage", lambda df, name: staged.setdefault(name, keep(df, name)))
+    node_kmer = spark.createDataFrame([(1, k) for k in range(1000)] + [(2, k) for k in range(40)], "node long, kmer long")
+    counts = spark.createDataFrame([(7, 3, 5), (7, 500, 2), (8, 700, 9), (9, 5, 1)], "sample long, kmer long, cnt long")
+    todo = spark.createDataFrame([(s, n) for s in (7, 8, 9) for n in (1, 2)], "sample long, node long")
+    leaves = spark.createDataFrame([(7, 40, 1.0, 1.0), (7, 41, 1.0, 0.5), (8, 41, 1.0, 1.0)], "sample long, leaf long, ab double, path_ab double")
+    cluster_kmer = spark.createDataFrame([(40, k) for k in range(30)] + [(41, k) for k in range(20, 60)], "cluster long, kmer long")
+    got = {(r.sample, r.node): (r.category, r.length, r.covered, r.mean) for r in corrections.corrected_nodes(todo, leaves, node_kmer, counts, cluster_kmer, 25).collect()}
+    assert got == {
+        (7, 1): ("2", 940, 1, 2.0), (7, 2): ("o1", 40, 1, 4.0), (8, 1): ("2", 960, 1, 9.0), (8, 2): ("o1", 40, 0, 0.0), (9, 1): ("2", 1000, 1, 1.0), (9, 2): ("1", 40, 1, 1.0),
+    }
+    assert max(x.count() for x in staged.values()) < 10

@@ -107,3 +107,13 @@ def test_corrections_read_only_what_samples_have(spark, monkeypatch):
         (7, 1): ("2", 940, 1, 2.0), (7, 2): ("o1", 40, 1, 4.0), (8, 1): ("2", 960, 1, 9.0), (8, 2): ("o1", 40, 0, 0.0), (9, 1): ("2", 1000, 1, 1.0), (9, 2): ("1", 40, 1, 1.0),
     }
     assert max(x.count() for x in staged.values()) < 10
+
+
+def test_snp_codes_equal_snp_kmers(spark):
+    rng = random.Random(5)
+    rows = [(i, "".join(rng.choices("ACGT-N", (9, 9, 9, 9, 4, n), k=300))) for i, n in enumerate((0, 0, 1, 1, 2))]
+    rows += [(9, ""), (10, "-" * 40), (11, "ACGTN"), (12, "ACG-T" * 8), (13, "N" * 35 + "ACGTACG" * 5)]
+    g = spark.createDataFrame(rows, "strain long, row string")
+    want = sorted((r.strain, r.kmer or "") for r in S.snp_kmers(g, 31).collect())
+    got = S.snp_codes(g, 31).select("strain", S.decode(F.col("kmer"), 31).alias("kmer")).collect()
+    assert sorted((r.strain, r.kmer or "") for r in got) == want

@@ -2,11 +2,13 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from seqlake.functions import sequence as S
 from seqlake.functions import stats as st
 from seqlake.operators import corrections
+from seqlake.operators import dominance as dm
 from seqlake.operators import kmer_sets as ks
 from seqlake.operators import similarity as sm
 
@@ -117,3 +119,25 @@ def test_snp_codes_equal_snp_kmers(spark):
     want = sorted((r.strain, r.kmer or "") for r in S.snp_kmers(g, 31).collect())
     got = S.snp_codes(g, 31).select("strain", S.decode(F.col("kmer"), 31).alias("kmer")).collect()
     assert sorted((r.strain, r.kmer or "") for r in got) == want
+
+def test_regression_of_a_large_cluster_takes_only_pairs_that_share(spark):
+    """Strains in pairs: the sparse products give the same coefficients as the dense matrix, and 4000 strains no table of all pairs (2.7 GB)."""
+    r = np.random.default_rng(4)
+    gram, n = np.zeros((dm.SPLITS + 1, 8, 8)), np.full(dm.SPLITS + 1, 400.0)
+    for k in range(dm.SPLITS + 1):
+        for j in range(0, 8, 2):
+            gram[k, j, j], gram[k, j + 1, j + 1], gram[k, j, j + 1] = r.integers(50, 60, 2)[0], r.integers(50, 60), r.integers(5, 40)
+            gram[k, j + 1, j] = gram[k, j, j + 1]
+    gram[0], n[0] = 2 * gram[1:].mean(0), 800.0
+    true = np.array([3.0, 0, 1, 2, 0, 0, 5, 1])
+    xy = gram @ true
+    yy = xy @ true
+    want, penalty = dm.net_of_sums(gram, xy, yy, n)
+    assert np.allclose(want, true, atol=0.2) and penalty > 0
+    row, col = np.nonzero(gram.any(0))
+    many = 500
+    add = np.repeat(8 * np.arange(many), len(row))
+    big = dm.Gram(8 * many, np.tile(row, many) + add, np.tile(col, many) + add, np.tile(gram[:, row, col].T, (many, 1)))
+    got, same = dm.net_of_sums(big, np.tile(xy, many), yy * many, n * 1.0)
+    assert np.isclose(same, penalty) and np.allclose(got, np.tile(want, many), atol=1e-9)
+    assert len(big.levels) == 2

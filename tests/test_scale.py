@@ -141,3 +141,25 @@ def test_regression_of_a_large_cluster_takes_only_pairs_that_share(spark):
     got, same = dm.net_of_sums(big, np.tile(xy, many), yy * many, n * 1.0)
     assert np.isclose(same, penalty) and np.allclose(got, np.tile(want, many), atol=1e-9)
     assert len(big.levels) == 2
+
+
+def test_pairs_are_counted_where_their_strains_lie(spark, monkeypatch):
+    """Many buckets, repeated rows, null and lone strains: counts are those of all pairs, and no pair is shuffled."""
+    rng = random.Random(8)
+    rows = [(rng.randrange(40) * 1000 - 9000, rng.randrange(60)) for _ in range(900)] + [(7, 1000), (None, 3), (None, 1000), (50_000, None)]
+    rows += [(s, 2000 + k) for s in range(3) for k in range(5)]
+    inc = spark.createDataFrame(rows, "strain long, kmer long")
+    of = {}
+    for s, k in rows:
+        if s is not None:
+            of.setdefault(s, set()).add(k)
+    want = sorted((a, b, len(of[a] & of[b])) for a in of for b in of if a <= b and of[a] & of[b])
+    for size in (1 << 18, 30):
+        monkeypatch.setattr(sm, "BUCKET_ROWS", size)
+        assert sorted(map(tuple, sm.counted(inc).collect())) == want
+    assert sorted(map(tuple, sm.shared(inc).collect())) == [x for x in want if x[0] < x[1]]
+    got = {(r.a, r.b): (round(r.distance, 9), round(r.back, 9)) for r in sm.hamming(inc).collect()}
+    assert got == {(a, b): (round(len(of[a] ^ of[b]) / len(of[a]), 9), round(len(of[a] ^ of[b]) / len(of[b]), 9)) for a, b, _ in want if a < b}
+    plan = sm.counted(inc)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("Generate explode")]
+    assert sm.counted(inc.limit(0)).count() == 0

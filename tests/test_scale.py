@@ -10,6 +10,7 @@ from seqlake.functions import stats as st
 from seqlake.operators import corrections
 from seqlake.operators import dominance as dm
 from seqlake.operators import kmer_sets as ks
+from seqlake.operators import profiles
 from seqlake.operators import similarity as sm
 
 
@@ -163,3 +164,24 @@ def test_pairs_are_counted_where_their_strains_lie(spark, monkeypatch):
     plan = sm.counted(inc)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan[: plan.index("Generate explode")]
     assert sm.counted(inc.limit(0)).count() == 0
+
+
+def test_sample_metrics_move_only_rows_of_counts(spark, monkeypatch):
+    """Medians of even and odd numbers of counts, outliers, and a sample spread over tasks equal those worked out plainly."""
+    rng = random.Random(6)
+    node_kmer = [(n, k) for n in range(6) for k in range(60) if rng.random() < 0.5]
+    counts = [(s, k, rng.choice((0, 1, 2, 7, 300))) for s in range(5) for k in range(70) if rng.random() < 0.6]
+    cnt, want = {(s, k): c for s, k, c in counts if c > 0}, []
+    for s in range(5):
+        for n in range(6):
+            x = [cnt[s, k] for m, k in node_kmer if m == n and (s, k) in cnt]
+            y = [c for c in x if c < 10 * np.median(x)] if x else []
+            want += [(s, n, len(y), round(sum(y) / len(y), 9))] if y else []
+    nk, cs = spark.createDataFrame(node_kmer, "node long, kmer long"), spark.createDataFrame(counts, "sample long, kmer long, cnt long")
+    for most in (1 << 20, 33):
+        monkeypatch.setattr(profiles, "MOST_KMERS", most)
+        got = profiles.sample_metrics(nk, cs, 10.0)
+        assert sorted((r.sample, r.node, r.covered, round(r["mean"], 9)) for r in got.collect()) == want
+    monkeypatch.setattr(profiles, "MOST_KMERS", 1 << 20)
+    plan = profiles.sample_metrics(nk, cs)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("Generate explode")].replace("AQEShuffleRead", "")

@@ -5,7 +5,7 @@ text; their scores are averaged (by how far a character is from the window's edg
 stretch decodes them together. A span of its joins the base spans where it overlaps none of them and every one of its characters
 is of its kind with a probability of ACCEPT at least, by forward and backward passes over the same scores; no pattern judges it.
 
-Windows of the tagger are those near a digit, an @, a bracketed "at", or an "at" that a "dot" follows; others are not read.
+Every window of every text is read.
 
 Defined results: null text is the empty text and has no spans; a null key stays null; texts of any length are read whole; repeated
 rows give repeated results; an empty table gives none; other columns are not carried (redact keeps them).
@@ -34,9 +34,6 @@ _IP_FIRST = re.compile(r"[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-#: In the JVM: texts without these have no spans of any kind.
-TRIGGER = r"[0-9@]|(?i:[\(\[] ?at ?[\)\]])|(?i: at [^\n]{1,40} dot )"
-_TRIGGER = re.compile(TRIGGER)
 
 
 def luhn(digits: str) -> bool:
@@ -332,15 +329,8 @@ def certainty(s: np.ndarray, tr: np.ndarray, spans: list[Span], at: int) -> list
 
 def tagged_spans(texts: list[str], p: dict[str, np.ndarray], step: int = 256, accept: float = 0.0) -> list[list[Span]]:
     """Spans of the tagger alone, in whole texts, of a certainty of `accept` at least."""
-    todo: list[tuple[int, int]] = []  # (text, start of a window)
-    for i, t in enumerate(texts):
-        last = -1
-        for m in _TRIGGER.finditer(t):
-            lo, hi = max(0, -(-(m.start() - WINDOW + 1) // STRIDE)), m.start() // STRIDE
-            for k in range(max(lo, last + 1), hi + 1):
-                todo.append((i, k * STRIDE))
-            last = max(last, hi)
-    ids = {i: char_ids(texts[i]) for i, _ in todo}
+    todo = [(i, a) for i, t in enumerate(texts) for a in range(0, len(t), STRIDE)]  # (text, start of a window)
+    ids = [char_ids(t) for t in texts]
     near = np.minimum(np.arange(WINDOW) + 1, WINDOW - np.arange(WINDOW)).astype(np.float32)[:, None]
     parts: dict[int, list[tuple[int, np.ndarray]]] = {}
     for j in range(0, len(todo), step):
@@ -372,10 +362,21 @@ def tagged_spans(texts: list[str], p: dict[str, np.ndarray], step: int = 256, ac
     return out
 
 
+#: Characters whose scores are held at once, if they are of several texts.
+TOGETHER = 1 << 20
+
+
 def all_spans(texts: list[str], p: dict[str, np.ndarray]) -> list[tuple[list[Span], list[Span]]]:
     """(base spans, base and tagger's spans) of each text, each by start and kind."""
-    out = []
-    for t, tagged in zip(texts, tagged_spans(texts, p, accept=ACCEPT), strict=True):
+    out, tags, at = [], [], 0
+    while at < len(texts):  # scores of some texts at a time
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end]) <= TOGETHER):
+            size += len(texts[end])
+            end += 1
+        tags += tagged_spans(texts[at:end], p, accept=ACCEPT)
+        at = end
+    for t, tagged in zip(texts, tags, strict=True):
         base = base_spans(t)
         more = list(base)
         for k, a, b in tagged:
@@ -406,8 +407,7 @@ def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
             n = pa.int64()
             yield pa.record_batch([b.column("key"), *(pa.array(x, kind) for x, kind in zip(c, (n, n, n, n, pa.string(), pa.string(), n), strict=True))], names=["key", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
 
-    # texts that can hold no span don't leave the JVM
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.when(F.col(text).rlike(TRIGGER), F.col(text)).alias("text"))
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     return rows.mapInArrow(run, "key long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long").withColumnRenamed("key", key)
 
 
@@ -418,7 +418,7 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     @F.arrow_udf("string")
     def cover(t: pa.Array) -> pa.Array:
         texts = t.to_pylist()
-        some = [i for i, x in enumerate(texts) if x and _TRIGGER.search(x)]
+        some = [i for i, x in enumerate(texts) if x]
         for i, (_, full) in zip(some, all_spans([texts[i] for i in some], p), strict=True):
             out, at = [], 0
             for k, a, b in full:
@@ -428,4 +428,4 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
             texts[i] = "".join([*out, texts[i][at:]])
         return pa.array(texts, pa.string())
 
-    return docs.withColumn(text, F.when(F.col(text).rlike(TRIGGER), cover(F.col(text))).otherwise(F.col(text)))
+    return docs.withColumn(text, cover(F.col(text)))

@@ -691,3 +691,12 @@ def test_gradients_of_the_tagger():
         q = {a: b.copy() for a, b in p.items()}
         q[k][i] += 1e-5
         assert math.isclose((pii._step(q, ids, y, mask)[0] - loss) / 1e-5, g[k][i], rel_tol=1e-3)
+
+
+def test_tagger_reads_every_window(monkeypatch):
+    """Texts without a digit or an @ are read too, and from end to end."""
+    seen, plain = [], pii.emissions
+    monkeypatch.setattr(pii, "emissions", lambda p, ids: (seen.append(ids.shape[1]), plain(p, ids))[1])
+    texts = ["lorem ipsum dolor sit amet " * 40, "a", "", "word " * 30 + "7" + " word" * 300]
+    pii.all_spans(texts, pii.train())
+    assert sum(seen) == sum(-(-len(t) // pii.STRIDE) for t in texts)

@@ -203,12 +203,54 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
     return np.log(np.exp(x - m).sum(axis)) + m.squeeze(axis)
 
 
+#: Windows that are read at once: what is worked on lies in the cache.
+LANE = 1024
+
+
+def _one_way(p: dict[str, np.ndarray], d: str, x: np.ndarray, out: np.ndarray) -> None:
+    """Adds the scores that come from one direction to out (time, tags, batch). x: time, inputs and a one, batch.
+
+    The same as _lstm, in place and with a row for each unit. Every gate is 1 / (1 + exp(-x)), as tanh(x) is 2 / (1 + exp(-2 x)) - 1;
+    signs and factors are in the weights, and half the cell is kept."""
+    h = HIDDEN
+    w = (np.concatenate((2 * p["u" + d], p["w" + d], p["b" + d][None])) * np.where(np.arange(4 * h) < 3 * h, -1.0, -2.0)).T.astype(np.float32).copy()
+    v = (2 * p["v"][:h] if d == "f" else 2 * p["v"][h:]).T.astype(np.float32).copy()
+    n = x.shape[2]
+    a, c, y, z = (np.zeros((m, n), np.float32) for m in (4 * h, h, h, TAGS))
+    i, forget, o, new = (a[k * h : (k + 1) * h] for k in range(4))
+    both = np.zeros((h + x.shape[1], n), np.float32)
+    for t in range(len(x)) if d == "f" else range(len(x) - 1, -1, -1):
+        both[h:] = x[t]
+        np.matmul(w, both, out=a)
+        np.exp(a, out=a)
+        a += 1
+        np.reciprocal(a, out=a)
+        new -= 0.5
+        new *= i
+        c *= forget
+        c += new
+        np.multiply(c, -4, out=y)
+        np.exp(y, out=y)
+        y += 1
+        np.reciprocal(y, out=y)
+        y -= 0.5
+        np.multiply(o, y, out=both[:h])
+        out[t] += np.matmul(v, both[:h], out=z)
+
+
 def emissions(p: dict[str, np.ndarray], ids: np.ndarray) -> np.ndarray:
     """ids: time, batch -> scores: time, batch, tags."""
-    x = p["e"][ids]
-    a, _ = _lstm(x, p["wf"], p["uf"], p["bf"])
-    b, _ = _lstm(x[::-1], p["wb"], p["ub"], p["bb"])
-    return np.concatenate((a, b[::-1]), 2) @ p["v"] + p["c"]
+    e = np.concatenate((p["e"], np.ones((len(p["e"]), 1))), 1).astype(np.float32)
+    out = np.empty((len(ids), TAGS, ids.shape[1]), np.float32)
+    with np.errstate(over="ignore"):  # a gate of 1 / inf is closed
+        for j in range(0, ids.shape[1], LANE):
+            x = np.ascontiguousarray(e[ids[:, j : j + LANE]].transpose(0, 2, 1))
+            s = np.empty((len(ids), TAGS, x.shape[2]), np.float32)
+            s[:] = p["c"][None, :, None]
+            for d in "fb":
+                _one_way(p, d, x, s)
+            out[:, :, j : j + LANE] = s
+    return out.transpose(0, 2, 1)
 
 
 def _step(p: dict[str, np.ndarray], ids: np.ndarray, y: np.ndarray, mask: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -327,38 +369,112 @@ def certainty(s: np.ndarray, tr: np.ndarray, spans: list[Span], at: int) -> list
     return [float(p[x - at : y - at, 1 + 2 * KINDS.index(k) :][:, :2].sum(1).min()) for k, x, y in spans]
 
 
-def tagged_spans(texts: list[str], p: dict[str, np.ndarray], step: int = 256, accept: float = 0.0) -> list[list[Span]]:
-    """Spans of the tagger alone, in whole texts, of a certainty of `accept` at least."""
-    todo = [(i, a) for i, t in enumerate(texts) for a in range(0, len(t), STRIDE)]  # (text, start of a window)
-    ids = [char_ids(t) for t in texts]
-    near = np.minimum(np.arange(WINDOW) + 1, WINDOW - np.arange(WINDOW)).astype(np.float32)[:, None]
-    parts: dict[int, list[tuple[int, np.ndarray]]] = {}
-    for j in range(0, len(todo), step):
-        part = todo[j : j + step]
-        x = np.zeros((WINDOW, len(part)), np.int64)
-        for c, (i, a) in enumerate(part):
-            w = ids[i][a : a + WINDOW]
-            x[: len(w), c] = w
-        s = emissions(p, x)
-        for c, (i, a) in enumerate(part):
-            parts.setdefault(i, []).append((a, s[:, c]))
+def _gains(s: np.ndarray, tr: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, float]:
+    """(g, e): characters of spans, x to y, that follow and precede characters outside add at most sum(g[x..y]) + e to the score of the
+    path that has x to y outside. first, last: where texts begin and end; there no transition leads in or out."""
+    inner, into, out_of, stay = tr[1:, 1:].max(), tr[0, 1:].max(), tr[1:, 0].max(), tr[0, 0]
+    g = (s[:, 1:].max(1) - s[:, 0]).astype(float) + float(inner - stay)
+    g[first] += max(0.0, float(stay - into))
+    g[last] += max(0.0, float(stay - out_of))
+    return g, float(into + out_of - inner - stay)
+
+
+def _may_be_inside(g: np.ndarray, e: float) -> np.ndarray:
+    """Mask of the characters that lie in a stretch whose gain is not below 0: on no best path are others in a span."""
+    c = np.concatenate(([0.0], np.cumsum(g)))
+    upto = c[1:] - np.minimum.accumulate(c)[:-1]  # the best stretch that ends here
+    since = np.maximum.accumulate(c[::-1])[::-1][1:] - c[:-1]
+    return upto + since - g >= -e - 1e-3
+
+
+def is_certain(s: np.ndarray, tr: np.ndarray, span: Span, accept: float) -> bool:
+    """Whether certainty() of a span of scores s (time, tags) is accept at least, from as few scores as decide it.
+
+    What lies beyond an extent only weighs the tags of the extent's first and last character. So the probabilities lie between the least
+    and the largest for any two tags there; where accept is between them, a larger extent is taken, at last all scores."""
+    kind, a, b = span
+    t = 1 + 2 * KINDS.index(kind)
+    m = np.exp(tr.astype(float))
+    for side in (48, 192):
+        x, y = max(0, a - side), min(len(s), b + side)
+        w = np.exp((s[x:y] - s[x:y].max(1, keepdims=True)).astype(float))
+        f, g = np.eye(len(m)) if x else w[:1], np.eye(len(m)) if y < len(s) else np.ones((1, len(m)))
+        fs, gs = [f], [g]
+        for i in range(1, b - x):
+            f = f @ m * w[i]
+            if i % 8 == 0:
+                f /= f.max(1, keepdims=True)
+            fs.append(f)
+        for i in range(y - x - 2, a - x - 1, -1):
+            g = (g * w[i + 1]) @ m.T
+            if i % 8 == 0:
+                g /= g.max(1, keepdims=True)
+            gs.append(g)
+        f, g = np.array(fs[a - x :]), np.array(gs[::-1][: b - a]).transpose(0, 2, 1)
+        p = f[:, :, t : t + 2] @ g[:, t : t + 2] / (f @ g)
+        if p.min() >= accept:
+            return True
+        if p.max((1, 2)).min() < accept:
+            return False
+    return certainty(s, tr, [span], 0)[0] >= accept
+
+
+def trimmed(text: str, a: int, b: int) -> tuple[int, int]:
+    while a < b and text[a] in " \n\t,;":
+        a += 1
+    while a < b and text[b - 1] in " \n\t,;.":
+        b -= 1
+    return a, b
+
+
+def tagged_spans(texts: list[str], p: dict[str, np.ndarray], step: int = LANE, accept: float = 0.0, base: list[list[Span]] | None = None) -> list[list[Span]]:
+    """Spans of the tagger alone, in whole texts, of a certainty of `accept` at least; without those that, trimmed, overlap a span of base.
+
+    Scores of all texts lie one after the other, in blocks of STRIDE characters. Only stretches that a best path may have in a span are
+    decoded, between characters that it has outside (_gains)."""
+    size, folds = np.array([len(t) for t in texts], np.int64), WINDOW // STRIDE
+    n_windows = -(-size // STRIDE)
+    blocks = np.where(size > 0, n_windows + folds - 1, 0)
+    at = np.cumsum(blocks) - blocks  # a text's first block
+    chars = np.zeros(int(blocks.sum()) * STRIDE, np.int32)
+    for t, k in zip(texts, at.tolist(), strict=True):
+        chars[k * STRIDE : k * STRIDE + len(t)] = char_ids(t)
+    start = np.repeat(at - (np.cumsum(n_windows) - n_windows), n_windows) + np.arange(n_windows.sum())  # a window's first block
+    near = np.minimum(np.arange(WINDOW) + 1, WINDOW - np.arange(WINDOW)).astype(np.float32).reshape(folds, 1, STRIDE, 1)
+    scores, weight = np.zeros((len(chars) // STRIDE, STRIDE, TAGS), np.float32), np.zeros((len(chars) // STRIDE, STRIDE, 1), np.float32)
+    for j in range(0, len(start), step):
+        own = start[j : j + step]
+        s = emissions(p, chars[own * STRIDE + np.arange(WINDOW)[:, None]]).reshape(folds, STRIDE, len(own), TAGS)
+        for k in range(folds):
+            scores[own + k] += s[k].transpose(1, 0, 2) * near[k]
+            weight[own + k] += near[k]
+    scores = scores.reshape(-1, TAGS)
+    scores /= np.maximum(weight.reshape(-1, 1), 1)
+    inside = np.arange(len(chars)) - np.repeat(at * STRIDE, blocks * STRIDE) < np.repeat(size, blocks * STRIDE)
+    scores[~inside, 1:] = scores[~inside, :1] - 1000  # no text
+    some = size > 0
+    lo, hi = at * STRIDE, at * STRIDE + size
+    tr = p["t"]
+    gain, e = _gains(scores, tr, lo[some], hi[some] - 1)
+    may = np.concatenate(([0], (_may_be_inside(gain, e) & inside).view(np.int8), [0]))
+    edges = np.flatnonzero(np.diff(may)).reshape(-1, 2)
     out: list[list[Span]] = [[] for _ in texts]
-    for i, windows in parts.items():
-        n, k = len(texts[i]), 0
-        while k < len(windows):  # a stretch of windows that overlap
-            e = k + 1
-            while e < len(windows) and windows[e][0] < windows[e - 1][0] + WINDOW:
-                e += 1
-            a, b = windows[k][0], min(n, windows[e - 1][0] + WINDOW)
-            total, weight = np.zeros((b - a, TAGS), np.float32), np.zeros((b - a, 1), np.float32)
-            for at, s in windows[k:e]:
-                m = min(WINDOW, b - at)
-                total[at - a : at - a + m] += s[:m] * near[:m]
-                weight[at - a : at - a + m] += near[:m]
-            scores = total / weight
-            found = spans_of(viterbi(scores, p["t"]), a)
-            out[i] += [x for x, c in zip(found, certainty(scores, p["t"], found, a), strict=True) if c >= accept] if accept else found
-            k = e
+    of = np.searchsorted(hi, edges[:, 0], "right")
+    for (x, y), i in zip(edges.tolist(), of.tolist(), strict=True):
+        a, b = int(lo[i]), int(hi[i])
+        left, right = max(a, x - 1), min(b, y + 1)
+        part = scores[left:right].copy()
+        if left < x:
+            part[0, 1:] = -1e6
+        if right > y:
+            part[-1, 1:] = -1e6
+        for k, c, d in spans_of(viterbi(part, tr), left - a):
+            if base is not None:
+                c1, d1 = trimmed(texts[i], c, d)
+                if c1 >= d1 or any(c1 < f and u < d1 for _, u, f in base[i]):
+                    continue
+            if not accept or is_certain(scores[a:b], tr, (k, c, d), accept):
+                out[i].append((k, c, d))
     return out
 
 
@@ -368,25 +484,18 @@ TOGETHER = 1 << 20
 
 def all_spans(texts: list[str], p: dict[str, np.ndarray]) -> list[tuple[list[Span], list[Span]]]:
     """(base spans, base and tagger's spans) of each text, each by start and kind."""
+    base = [base_spans(t) for t in texts]
     out, tags, at = [], [], 0
     while at < len(texts):  # scores of some texts at a time
         end, size = at, 0
         while end < len(texts) and (end == at or size + len(texts[end]) <= TOGETHER):
             size += len(texts[end])
             end += 1
-        tags += tagged_spans(texts[at:end], p, accept=ACCEPT)
+        tags += tagged_spans(texts[at:end], p, accept=ACCEPT, base=base[at:end])
         at = end
-    for t, tagged in zip(texts, tags, strict=True):
-        base = base_spans(t)
-        more = list(base)
-        for k, a, b in tagged:
-            while a < b and t[a] in " \n\t,;":
-                a += 1
-            while a < b and t[b - 1] in " \n\t,;.":
-                b -= 1
-            if a < b and all(b <= c or d <= a for _, c, d in more):
-                more.append((k, a, b))
-        out.append((base, sorted(more, key=lambda s: (s[1], KINDS.index(s[0])))))
+    for t, own, tagged in zip(texts, base, tags, strict=True):
+        more = own + [(k, *trimmed(t, a, b)) for k, a, b in tagged]
+        out.append((own, sorted(more, key=lambda s: (s[1], KINDS.index(s[0])))))
     return out
 
 

@@ -700,3 +700,38 @@ def test_tagger_reads_every_window(monkeypatch):
     texts = ["lorem ipsum dolor sit amet " * 40, "a", "", "word " * 30 + "7" + " word" * 300]
     pii.all_spans(texts, pii.train())
     assert sum(seen) == sum(-(-len(t) // pii.STRIDE) for t in texts)
+
+
+def test_short_decoding_equals_that_of_whole_texts(monkeypatch):
+    """Only stretches that may be spans are decoded, and certainties are decided from few scores: with the results of whole texts."""
+    p = pii.train()
+    lines = [t for t, _ in pii.labelled_spans(60, 99)]
+    texts = [" ".join(lines[i : i + 12]) for i in range(0, 60, 12)] + ["", "a", lines[0], "lorem ipsum dolor sit amet " * 60]
+    scores, asked, plain, reads = [], [], pii.viterbi, pii.emissions
+    monkeypatch.setattr(pii, "viterbi", lambda s, tr: (asked.append(len(s)), plain(s, tr))[1])
+    pii.tagged_spans(texts[-1:], p)
+    assert sum(asked) < len(texts[-1]) / 2
+    got, sure = pii.tagged_spans(texts, p), pii.tagged_spans(texts, p, accept=pii.ACCEPT)
+    for t in texts:
+        total, weight = np.zeros((len(t) + pii.WINDOW, pii.TAGS)), np.zeros((len(t) + pii.WINDOW, 1))
+        for a in range(0, len(t), pii.STRIDE):
+            x = pii.char_ids(t)[a : a + pii.WINDOW]
+            near = np.minimum(np.arange(pii.WINDOW) + 1, pii.WINDOW - np.arange(pii.WINDOW))[:, None]
+            total[a : a + pii.WINDOW] += reads(p, np.pad(x, (0, pii.WINDOW - len(x)))[:, None].astype(int))[:, 0] * near
+            weight[a : a + pii.WINDOW] += near
+        scores.append((total[: len(t)] / weight[: len(t)]).astype(np.float32))
+    want = [pii.spans_of(plain(s.astype(float), p["t"].astype(float)), 0) if len(s) else [] for s in scores]
+    assert got == want and sum(map(len, want)) > 40
+    some = [(s, x) for s, xs in zip(scores, want, strict=True) for x in xs]
+    share = {i: pii.certainty(s, p["t"], [x], 0)[0] for i, (s, x) in enumerate(some)}
+    for accept in (0.3, 0.7, pii.ACCEPT, 0.99):
+        assert all(pii.is_certain(s, p["t"], x, accept) == (share[i] >= accept) for i, (s, x) in enumerate(some))
+    assert sum(map(len, sure)) == sum(v >= pii.ACCEPT for v in share.values())
+
+
+def test_emissions_are_those_of_the_trained_network():
+    p, rng = pii.train(), np.random.default_rng(5)
+    ids = rng.integers(0, pii.N_CHARS, (40, pii.LANE + 3))
+    x = p["e"][ids]
+    a, b = pii._lstm(x, p["wf"], p["uf"], p["bf"])[0], pii._lstm(x[::-1], p["wb"], p["ub"], p["bb"])[0]
+    assert np.allclose(pii.emissions(p, ids), np.concatenate((a, b[::-1]), 2) @ p["v"] + p["c"], atol=1e-4)

@@ -185,3 +185,27 @@ def test_sample_metrics_move_only_rows_of_counts(spark, monkeypatch):
     monkeypatch.setattr(profiles, "MOST_KMERS", 1 << 20)
     plan = profiles.sample_metrics(nk, cs)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan[: plan.index("Generate explode")].replace("AQEShuffleRead", "")
+
+
+def test_pattern_rows_have_their_strains_and_products_do_not_depend_on_few(spark, monkeypatch):
+    """Rows carry lists of strains, found where the k-mers lie: one exchange of l2, one of each count, one of rows."""
+    at = [(c, s, 100 * c + m) for c in (1, 2) for m in range(40) for s in range(6) if (m * 7 + s * s) % (s + 2) < 2]
+    l2 = spark.createDataFrame(at + at[:9], "cluster long, strain long, kmer long")
+    c = spark.createDataFrame([(k, k % 5) for k in range(100, 240, 2)], "kmer long, cnt long")
+    rows, member = dm.pattern_rows(l2, c, c)
+    want = {}
+    for cl, s, m in at:
+        want.setdefault((cl, m), set()).add(s)
+    count = {}
+    for (cl, m), s in want.items():
+        y = m % 5 if m % 2 == 0 and m % 5 > 1 else 0
+        count[cl, tuple(sorted(s)), y] = count.get((cl, tuple(sorted(s)), y), 0) + 1
+    assert {(r.cluster, tuple(r.strains), r.y): r.w0 for r in rows.collect()} == count
+    plan = rows._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Join") == 2  # with counts only
+    found = spark.createDataFrame([(1, 0), (1, 2), (1, 5), (2, 3)], "cluster long, strain long")
+    sums = lambda: {(r.cluster, r.kind, r.i, r.j): r.v for r in dm.sums(rows, member, found).collect()}
+    few = sums()
+    monkeypatch.setattr(dm, "FEW", 1)
+    assert few == sums()
+    assert {(a, b) for cl, k, a, b in few if k == "xx" and cl == 1} <= {(0, 0), (0, 2), (0, 5), (2, 2), (2, 5), (5, 5)} and (2, "xx", 3, 3) in few

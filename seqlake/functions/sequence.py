@@ -105,6 +105,10 @@ def codes_of(text: bytes, k: int, strand: str = "given") -> np.ndarray:
     return own[good].astype(np.int64)
 
 
+#: K-mers that a task holds at once, besides those of one sequence.
+AT_ONCE = 1 << 18
+
+
 def kmer_codes(df: DataFrame, k: int, seq: str = "seq", drop_last: bool = False, strand: str = "given", keep: Callable[[np.ndarray], np.ndarray] | None = None, back: bool = False) -> DataFrame:
     """A row (kmer) for every ACGT k-mer of seq, as a long (`encode`): eight bytes to shuffle in place of k. k up to 31.
     keep: which codes go on (a mask), asked before any leaves the task. back: one more column, whether the code decodes to the letters
@@ -123,22 +127,27 @@ def kmer_codes(df: DataFrame, k: int, seq: str = "seq", drop_last: bool = False,
         seen = np.lib.stride_tricks.sliding_window_view(d, k)[_clean(_DIGIT[d], k)]
         return np.concatenate([(decoded(codes[i : i + 4096], k) == seen[i : i + 4096]).all(1) for i in range(0, max(1, len(codes)), 4096)])
 
+    def packed(b: pa.RecordBatch, first: int, got: list[np.ndarray], same: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        codes, row = np.concatenate(got), np.repeat(np.arange(first, first + len(got)), [len(x) for x in got])
+        good = np.concatenate(same) if back else None
+        for i in range(0, len(codes), AT_ONCE):
+            part = pa.array(row[i : i + AT_ONCE])
+            more = [pa.array(good[i : i + AT_ONCE])] if back else []
+            yield pa.record_batch([*(b.column(c).take(part) for c in rest), pa.array(codes[i : i + AT_ONCE]), *more], names=[*rest, "kmer", *(["back"] if back else [])])
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            got, same = [], []
-            for t in b.column(seq).to_pylist():
-                t = (t or "").encode("latin-1", "replace")
+            got, same, held, first = [], [], 0, 0
+            for j, t in enumerate(b.column(seq)):
+                t = (t.as_py() or "").encode("latin-1", "replace")
                 codes = codes_of(t[:-1] if drop_last else t, k, strand)
                 got.append(codes[keep(codes)] if keep else codes)
                 if back:
                     same.append(returned(t[:-1] if drop_last else t, codes))
-            good = np.concatenate(same) if same else None
-            n = np.array([len(x) for x in got])
-            codes, row = np.concatenate(got) if got else np.zeros(0, np.int64), np.repeat(np.arange(len(got)), n)
-            for i in range(0, len(codes), 1 << 18):
-                part = pa.array(row[i : i + (1 << 18)])
-                more = [pa.array(good[i : i + (1 << 18)])] if back else []
-                yield pa.record_batch([*(b.column(c).take(part) for c in rest), pa.array(codes[i : i + (1 << 18)]), *more], names=[*rest, "kmer", *(["back"] if back else [])])
+                held += len(got[-1])
+                if held >= AT_ONCE or j == b.num_rows - 1:  # not all of a batch: it has any number of k-mers
+                    yield from packed(b, first, got, same)
+                    got, same, held, first = [], [], 0, j + 1
 
     more = [T.StructField("back", T.BooleanType())] if back else []
     return df.select(*rest, F.col(seq)).mapInArrow(run, T.StructType([*fields, T.StructField("kmer", T.LongType()), *more]))

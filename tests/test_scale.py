@@ -209,3 +209,27 @@ def test_pattern_rows_have_their_strains_and_products_do_not_depend_on_few(spark
     monkeypatch.setattr(dm, "FEW", 1)
     assert few == sums()
     assert {(a, b) for cl, k, a, b in few if k == "xx" and cl == 1} <= {(0, 0), (0, 2), (0, 5), (2, 2), (2, 5), (5, 5)} and (2, "xx", 3, 3) in few
+
+
+def test_codes_of_a_batch_are_not_held_at_once(spark, monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from seqlake.functions import sequence
+
+    df = spark.createDataFrame([], "strain long, seq string")
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, schema: f)
+    run = sequence.kmer_codes(df, 11)
+    rng = np.random.default_rng(3)
+    texts = ["".join(np.array(list("ACGT"))[rng.integers(0, 4, 4000)]) for _ in range(20)]
+    batch = pa.record_batch([pa.array(range(1000)), pa.array(texts * 50)], names=["strain", "seq"])
+    tracemalloc.start()
+    n = total = 0
+    for b in run(iter([batch])):
+        n, total = n + b.num_rows, total + int(np.array(b.column("strain")).sum())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 1000 * 3990 and total == 3990 * sum(range(1000)) and peak < 30e6
+    got = [list(zip(b.column("strain").to_pylist(), b.column("kmer").to_pylist(), strict=True)) for b in run(iter([batch.slice(7, 3), batch.slice(0, 0)]))]
+    assert [x for b in got for x in b] == [(i, int(c)) for i in range(7, 10) for c in sequence.codes_of(texts[i].encode(), 11)]

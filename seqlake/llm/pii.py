@@ -1,11 +1,11 @@
-"""Operator 10: personal data, by fixed patterns and by a character-level bidirectional LSTM with CRF transitions.
+"""Operator 10: personal data, by fixed patterns and by a character-level bidirectional LSTM (of hard gates) with CRF transitions.
 
 The patterns give the base spans. The tagger, trained in numpy from labelled spans, reads overlapping windows over the whole
 text; their scores are averaged (by how far a character is from the window's edge), and one Viterbi pass over each covered
 stretch decodes them together. A span of its joins the base spans where it overlaps none of them and every one of its characters
 is of its kind with a probability of ACCEPT at least, by forward and backward passes over the same scores; no pattern judges it.
 
-Every window of every text is read.
+Every window of every text is read, from end to end.
 
 Defined results: null text is the empty text and has no spans; a null key stays null; texts of any length are read whole; repeated
 rows give repeated results; an empty table gives none; other columns are not carried (redact keeps them).
@@ -14,6 +14,7 @@ rows give repeated results; an empty table gives none; other columns are not car
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -137,7 +138,10 @@ def labelled_spans(n: int, seed: int) -> list[tuple[str, list[Span]]]:
 
 # ---------------------------------------------------------------- tagger
 TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
-EMBED, HIDDEN, WINDOW, STRIDE = 12, 20, 96, 48
+EMBED, HIDDEN = 12, 14
+#: Windows overlap by 48 characters: in one of its windows each has 24 characters at least on either side, or the text's end.
+WINDOW, STRIDE = 768, 720
+BLOCK = math.gcd(WINDOW, STRIDE)
 _CHARS = np.zeros(0x250, np.int32)
 _CHARS[32:127] = np.arange(1, 96)
 _CHARS[[9, 10, 11, 12, 13]] = 96
@@ -159,8 +163,13 @@ def tags_of(n: int, spans: list[Span]) -> np.ndarray:
     return y
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (np.tanh(0.5 * x) + 1)
+#: Slope of a gate where it is neither open nor closed.
+SLOPE = 0.35
+
+
+def _gate(x: np.ndarray) -> np.ndarray:
+    """The hard sigmoid. New values and cells go through the hard tanh, from -1 to 1."""
+    return np.clip(SLOPE * x + 0.5, 0, 1)
 
 
 def _lstm(x: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.ndarray, keep: bool = False):
@@ -172,10 +181,10 @@ def _lstm(x: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.ndarray, keep: bool
     hs, past = np.empty((n_t, n_b, n_h), x.dtype), []
     for t in range(n_t):
         a = z[t] + h @ u
-        s = _sigmoid(a[:, : 3 * n_h])
-        i, f, o, g = s[:, :n_h], s[:, n_h : 2 * n_h], s[:, 2 * n_h :], np.tanh(a[:, 3 * n_h :])
+        s = _gate(a[:, : 3 * n_h])
+        i, f, o, g = s[:, :n_h], s[:, n_h : 2 * n_h], s[:, 2 * n_h :], np.clip(a[:, 3 * n_h :], -1, 1)
         before, c = c, f * c + i * g
-        tc = np.tanh(c)
+        tc = np.clip(c, -1, 1)
         if keep:
             past.append((i, f, o, g, before, tc, h))
         h = o * tc
@@ -190,8 +199,8 @@ def _lstm_back(x, w, u, past, dh_all):
     for t in range(n_t - 1, -1, -1):
         i, f, o, g, before, tc, h0 = past[t]
         dh = dh + dh_all[t]
-        dc = dc + dh * o * (1 - tc * tc)
-        dz[t] = np.concatenate((dc * g * i * (1 - i), dc * before * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - g * g)), 1)
+        dc = dc + dh * o * (abs(tc) < 1)
+        dz[t] = np.concatenate((SLOPE * dc * g * (i * (1 - i) > 0), SLOPE * dc * before * (f * (1 - f) > 0), SLOPE * dh * tc * (o * (1 - o) > 0), dc * i * (abs(g) < 1)), 1)
         du += h0.T @ dz[t]
         dh, dc = dz[t] @ u.T, dc * f
     flat = dz.reshape(-1, 4 * n_h)
@@ -203,54 +212,68 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
     return np.log(np.exp(x - m).sum(axis)) + m.squeeze(axis)
 
 
-#: Windows that are read at once: what is worked on lies in the cache.
-LANE = 1024
-
-
-def _one_way(p: dict[str, np.ndarray], d: str, x: np.ndarray, out: np.ndarray) -> None:
-    """Adds the scores that come from one direction to out (time, tags, batch). x: time, inputs and a one, batch.
-
-    The same as _lstm, in place and with a row for each unit. Every gate is 1 / (1 + exp(-x)), as tanh(x) is 2 / (1 + exp(-2 x)) - 1;
-    signs and factors are in the weights, and half the cell is kept."""
-    h = HIDDEN
-    w = (np.concatenate((2 * p["u" + d], p["w" + d], p["b" + d][None])) * np.where(np.arange(4 * h) < 3 * h, -1.0, -2.0)).T.astype(np.float32).copy()
-    v = (2 * p["v"][:h] if d == "f" else 2 * p["v"][h:]).T.astype(np.float32).copy()
-    n = x.shape[2]
-    a, c, y, z = (np.zeros((m, n), np.float32) for m in (4 * h, h, h, TAGS))
-    i, forget, o, new = (a[k * h : (k + 1) * h] for k in range(4))
-    both = np.zeros((h + x.shape[1], n), np.float32)
-    for t in range(len(x)) if d == "f" else range(len(x) - 1, -1, -1):
-        both[h:] = x[t]
-        np.matmul(w, both, out=a)
-        np.exp(a, out=a)
-        a += 1
-        np.reciprocal(a, out=a)
+#: Windows that are read at once (and one without text): what is worked on lies in the cache.
+LANE = 1007
+TINY = np.float32(1e-10)
+
+
+def _one_way(p: dict[str, np.ndarray], d: str, ids: np.ndarray, ends: np.ndarray, out: np.ndarray) -> None:
+    """Adds the scores that come from one direction to out (time, tags, batch). ids: time, batch; ends: where the windows' texts end,
+    falling, the first window being one without text. Steps after the end are left out: on the way back a window enters with the state of the first.
+
+    The same as _lstm, in place and with a row for each unit. Slopes are in the weights, states and cells are kept by half, and the
+    product that gives a step's gates gives the scores of the state before it too."""
+    h, (n_t, n) = HIDDEN, ids.shape
+    w = np.concatenate((2 * p["u" + d], p["w" + d], p["b" + d][None])) * np.where(np.arange(4 * h) < 3 * h, SLOPE, 0.5)
+    w[-1] += 0.5
+    v = np.zeros((len(w), TAGS))
+    v[:h] = 2 * (p["v"][:h] if d == "f" else p["v"][h:])
+    w = np.concatenate((w, v), 1).T.astype(np.float32).copy()
+    e = np.concatenate((p["e"], np.ones((len(p["e"]), 1))), 1).T.astype(np.float32).copy()
+    x, a, c, y = (np.zeros((m, n), np.float32) for m in (w.shape[1], len(w), h, h))
+    steps, k = range(n_t) if d == "f" else range(n_t - 1, -1, -1), 0
+    live = np.searchsorted(-ends, -np.arange(n_t) - (d == "b"), "right")  # on the way there one step more, which gives the last score
+    for t in steps:
+        if live[t] != k:
+            if d == "b" and k:
+                x[:h, k : live[t]], c[:, k : live[t]] = x[:h, :1], c[:, :1]
+            k = int(live[t])
+            if k == 1 and d == "f":
+                return
+            xk, ak, ck, yk = (m[:, :k] for m in (x, a, c, y))
+            i, forget, o, new, z = (ak[m * h : (m + 1) * h] for m in range(5))
+            gates, state = ak[: 4 * h], xk[:h]
+        e.take(ids[t], 1, x[h:], "clip")
+        np.matmul(w, xk, out=ak)
+        if t != steps[0]:
+            out[t - steps.step, :, :k] += z
+        gates.clip(0, 1, gates)
         new -= 0.5
         new *= i
-        c *= forget
-        c += new
-        np.multiply(c, -4, out=y)
-        np.exp(y, out=y)
-        y += 1
-        np.reciprocal(y, out=y)
-        y -= 0.5
-        np.multiply(o, y, out=both[:h])
-        out[t] += np.matmul(v, both[:h], out=z)
+        ck *= forget
+        ck += new
+        if t % 4 == 0:  # what fades away becomes 0: denormal numbers take many times as long
+            ck += TINY
+            ck -= TINY
+        ck.clip(-0.5, 0.5, yk)
+        np.multiply(o, yk, out=state)
+    out[steps[-1], :, :k] += w[4 * h :, :h] @ state
 
 
 def emissions(p: dict[str, np.ndarray], ids: np.ndarray) -> np.ndarray:
-    """ids: time, batch -> scores: time, batch, tags."""
-    e = np.concatenate((p["e"], np.ones((len(p["e"]), 1))), 1).astype(np.float32)
-    out = np.empty((len(ids), TAGS, ids.shape[1]), np.float32)
-    with np.errstate(over="ignore"):  # a gate of 1 / inf is closed
-        for j in range(0, ids.shape[1], LANE):
-            x = np.ascontiguousarray(e[ids[:, j : j + LANE]].transpose(0, 2, 1))
-            s = np.empty((len(ids), TAGS, x.shape[2]), np.float32)
-            s[:] = p["c"][None, :, None]
-            for d in "fb":
-                _one_way(p, d, x, s)
-            out[:, :, j : j + LANE] = s
-    return out.transpose(0, 2, 1)
+    """ids: time, batch -> scores: time, batch, tags. -1 after a text's end reads as 0 does, and its scores are not worked out."""
+    out = []
+    for j in range(0, ids.shape[1], LANE):
+        ends = (ids[:, j : j + LANE] >= 0).sum(0)
+        order = np.argsort(-ends, kind="stable")
+        some = np.zeros((len(ids), 1 + len(order)), np.intp)
+        np.maximum(ids[:, j + order], 0, out=some[:, 1:])
+        s = np.empty((len(ids), TAGS, some.shape[1]), np.float32)
+        s[:] = p["c"][None, :, None]
+        for d in "fb":
+            _one_way(p, d, some, np.append(len(ids), ends[order]), s)
+        out.append(s[:, :, 1:] if (np.diff(order) > 0).all() else s[:, :, 1 + np.argsort(order)])
+    return (out[0] if len(out) == 1 else np.concatenate(out, 2)).transpose(0, 2, 1)
 
 
 def _step(p: dict[str, np.ndarray], ids: np.ndarray, y: np.ndarray, mask: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -292,11 +315,11 @@ def _step(p: dict[str, np.ndarray], ids: np.ndarray, y: np.ndarray, mask: np.nda
 
 
 #: What the learning rate is multiplied by after each pass.
-DECAY = 0.8
+DECAY = 0.85
 
 
 @lru_cache(maxsize=4)
-def train(n: int = 1200, epochs: int = 9, batch: int = 16, seed: int = 7) -> dict[str, np.ndarray]:
+def train(n: int = 1600, epochs: int = 12, batch: int = 16, seed: int = 7) -> dict[str, np.ndarray]:
     """Parameters of the tagger, from n made-up labelled lines; the same for the same arguments."""
     data = labelled_spans(n, seed)
     rng = np.random.default_rng(seed)
@@ -339,6 +362,31 @@ def viterbi(s: np.ndarray, tr: np.ndarray) -> np.ndarray:
     return y
 
 
+def best_paths(scores: np.ndarray, tr: np.ndarray, first: np.ndarray, last: np.ndarray, shut: np.ndarray) -> list[np.ndarray]:
+    """Best tags for each stretch of scores (time, tags), first to last; where shut (first, last; stretches) they are outside there. As viterbi, for many at once."""
+    order = np.argsort(first - last, kind="stable")
+    rows, size = first[order], (last - first)[order] + 1
+    vs: list[np.ndarray] = []
+    live = np.searchsorted(-size, -np.arange(size.max(initial=0)))  # the first of them have a character at that time
+    for t, k in enumerate(live.tolist()):
+        s = scores[rows[:k] + t].T.copy()
+        if not t:
+            s[1:, shut[0][order]] = -1e6
+        ends = np.flatnonzero(size[:k] == t + 1)
+        s[1:, ends[shut[1][order[ends]]]] = -1e6
+        vs.append((vs[-1][:, None, :k] + tr[:, :, None]).max(0) + s if t else s)
+    ys = np.empty((len(live), len(order)), np.int8)
+    for t in range(len(live) - 1, -1, -1):
+        k, after = int(live[t]), int(live[t + 1]) if t + 1 < len(live) else 0
+        v = vs.pop()
+        v[:, :after] += tr[:, ys[t + 1, :after]] if after else 0
+        ys[t, :k] = v.argmax(0)
+    out = [ys[:0, 0]] * len(order) if len(order) else []
+    for j, i in enumerate(order.tolist()):
+        out[i] = ys[: size[j], j]
+    return out
+
+
 def spans_of(y: np.ndarray, at: int) -> list[Span]:
     out, a = [], None
     for i, t in enumerate([*y.tolist(), 0]):
@@ -387,36 +435,64 @@ def _may_be_inside(g: np.ndarray, e: float) -> np.ndarray:
     return upto + since - g >= -e - 1e-3
 
 
-def is_certain(s: np.ndarray, tr: np.ndarray, span: Span, accept: float) -> bool:
-    """Whether certainty() of a span of scores s (time, tags) is accept at least, from as few scores as decide it.
+def are_certain(s: np.ndarray, tr: np.ndarray, spans: list[Span], lo: np.ndarray, hi: np.ndarray, accept: float) -> np.ndarray:
+    """Whether certainty() of each span of scores s (time, tags), whose text is from lo to hi, is accept at least, from as few scores as decide it.
 
     What lies beyond an extent only weighs the tags of the extent's first and last character. So the probabilities lie between the least
     and the largest for any two tags there; where accept is between them, a larger extent is taken, at last all scores."""
-    kind, a, b = span
-    t = 1 + 2 * KINDS.index(kind)
-    m = np.exp(tr.astype(float))
-    for side in (48, 192):
-        x, y = max(0, a - side), min(len(s), b + side)
-        w = np.exp((s[x:y] - s[x:y].max(1, keepdims=True)).astype(float))
-        f, g = np.eye(len(m)) if x else w[:1], np.eye(len(m)) if y < len(s) else np.ones((1, len(m)))
-        fs, gs = [f], [g]
-        for i in range(1, b - x):
-            f = f @ m * w[i]
-            if i % 8 == 0:
-                f /= f.max(1, keepdims=True)
-            fs.append(f)
-        for i in range(y - x - 2, a - x - 1, -1):
-            g = (g * w[i + 1]) @ m.T
-            if i % 8 == 0:
-                g /= g.max(1, keepdims=True)
-            gs.append(g)
-        f, g = np.array(fs[a - x :]), np.array(gs[::-1][: b - a]).transpose(0, 2, 1)
-        p = f[:, :, t : t + 2] @ g[:, t : t + 2] / (f @ g)
-        if p.min() >= accept:
-            return True
-        if p.max((1, 2)).min() < accept:
-            return False
-    return certainty(s, tr, [span], 0)[0] >= accept
+    out = np.zeros(len(spans), bool)
+    kind, a, b = (np.array(x, np.int64) for x in zip(*((1 + 2 * KINDS.index(k), x, y) for k, x, y in spans), strict=True)) if spans else np.zeros((3, 0), np.int64)
+    m, left = np.exp(tr.astype(float)), np.argsort(b - a, kind="stable")
+    for side in (8, 48, 192):
+        open_ = []
+        for j in range(0, len(left), TRIED):
+            own = left[j : j + TRIED]
+            least, most = _bounds(s, m, kind[own], a[own], b[own], np.maximum(lo[own], a[own] - side), np.minimum(hi[own], b[own] + side), lo[own], hi[own])
+            out[own] = least >= accept
+            open_.append(own[(least < accept) & (most >= accept)])
+        left = np.concatenate(open_) if open_ else left
+    for i in left.tolist():
+        out[i] = certainty(s[lo[i] : hi[i]], tr, [spans[i]], int(lo[i]))[0] >= accept
+    return out
+
+
+def is_certain(s: np.ndarray, tr: np.ndarray, span: Span, accept: float) -> bool:
+    """are_certain() for a span of the scores of one text."""
+    return bool(are_certain(s, tr, [span], np.zeros(1, np.int64), np.array([len(s)]), accept)[0])
+
+
+#: Spans whose certainty is bounded at once.
+TRIED = 64
+
+
+def _bounds(s, m, kind, a, b, x, y, lo, hi) -> tuple[np.ndarray, np.ndarray]:
+    """Between what the certainty of spans of a kind, from a to b, lies by the scores from x to y alone."""
+    n, tags = len(a), m.shape[0]
+    weight = lambda q: np.exp((s[q] - s[q].max(1, keepdims=True)).astype(float))[:, None, :]
+    f, g = np.tile(np.eye(tags), (n, 1, 1)), np.tile(np.eye(tags), (n, 1, 1))
+    f[x == lo] = weight(x[x == lo])
+    g[y == hi] = 1
+    at = np.zeros((n, int((b - a).max()), tags, tags))
+    for i in range(int((b - x).max())):
+        k = np.flatnonzero(b - x > i)
+        if i:
+            step = (f[k].reshape(-1, tags) @ m).reshape(-1, tags, tags) * weight(x[k] + i)
+            f[k] = step / step.max((1, 2), keepdims=True) if i % 8 == 0 else step
+        k = k[x[k] + i >= a[k]]
+        at[k, x[k] + i - a[k]] = f[k]
+    least, most, of_kind = np.ones(n), np.ones(n), np.zeros((n, 1, tags))
+    of_kind[np.arange(n), 0, kind] = of_kind[np.arange(n), 0, kind + 1] = 1
+    for i in range(int((y - a).max())):
+        k = np.flatnonzero(y - a > i)
+        if i:
+            step = ((g[k] * weight(y[k] - i)).reshape(-1, tags) @ m.T).reshape(-1, tags, tags)
+            g[k] = step / step.max((1, 2), keepdims=True) if i % 8 == 0 else step
+        k = k[y[k] - 1 - i < b[k]]
+        if len(k):
+            there, back = at[k, y[k] - 1 - i - a[k]], g[k].transpose(0, 2, 1)
+            p = (there * of_kind[k]) @ back / (there @ back)
+            least[k], most[k] = np.minimum(least[k], p.min((1, 2))), np.minimum(most[k], p.max((1, 2)))
+    return least, most
 
 
 def trimmed(text: str, a: int, b: int) -> tuple[int, int]:
@@ -430,66 +506,71 @@ def trimmed(text: str, a: int, b: int) -> tuple[int, int]:
 def tagged_spans(texts: list[str], p: dict[str, np.ndarray], step: int = LANE, accept: float = 0.0, base: list[list[Span]] | None = None) -> list[list[Span]]:
     """Spans of the tagger alone, in whole texts, of a certainty of `accept` at least; without those that, trimmed, overlap a span of base.
 
-    Scores of all texts lie one after the other, in blocks of STRIDE characters. Only stretches that a best path may have in a span are
+    Scores of all texts lie one after the other, in blocks of BLOCK characters. Only stretches that a best path may have in a span are
     decoded, between characters that it has outside (_gains)."""
-    size, folds = np.array([len(t) for t in texts], np.int64), WINDOW // STRIDE
-    n_windows = -(-size // STRIDE)
-    blocks = np.where(size > 0, n_windows + folds - 1, 0)
+    size = np.array([len(t) for t in texts], np.int64)
+    n_windows, blocks = -(-size // STRIDE), -(-size // BLOCK)
     at = np.cumsum(blocks) - blocks  # a text's first block
-    chars = np.zeros(int(blocks.sum()) * STRIDE, np.int32)
+    chars = np.zeros((int(blocks.sum()), BLOCK), np.int32)
     for t, k in zip(texts, at.tolist(), strict=True):
-        chars[k * STRIDE : k * STRIDE + len(t)] = char_ids(t)
-    start = np.repeat(at - (np.cumsum(n_windows) - n_windows), n_windows) + np.arange(n_windows.sum())  # a window's first block
-    near = np.minimum(np.arange(WINDOW) + 1, WINDOW - np.arange(WINDOW)).astype(np.float32).reshape(folds, 1, STRIDE, 1)
-    scores, weight = np.zeros((len(chars) // STRIDE, STRIDE, TAGS), np.float32), np.zeros((len(chars) // STRIDE, STRIDE, 1), np.float32)
+        chars.reshape(-1)[k * BLOCK : k * BLOCK + len(t)] = char_ids(t)
+    nth = np.arange(n_windows.sum()) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
+    start, length = np.repeat(at, n_windows) + nth * (STRIDE // BLOCK), np.minimum(np.repeat(size, n_windows) - nth * STRIDE, WINDOW)
+    longest = np.argsort(-length, kind="stable")
+    start, length = start[longest], length[longest]
+    near = np.minimum(np.arange(WINDOW) + 1, WINDOW - np.arange(WINDOW)).astype(np.float32).reshape(-1, 1, BLOCK, 1)
+    scores, weight = np.zeros((len(chars), BLOCK, TAGS), np.float32), np.zeros((len(chars), BLOCK, 1), np.float32)
+    alone = range(len(near) - STRIDE // BLOCK, STRIDE // BLOCK)  # blocks of a window that are in no other
     for j in range(0, len(start), step):
-        own = start[j : j + step]
-        s = emissions(p, chars[own * STRIDE + np.arange(WINDOW)[:, None]]).reshape(folds, STRIDE, len(own), TAGS)
-        for k in range(folds):
-            scores[own + k] += s[k].transpose(1, 0, 2) * near[k]
-            weight[own + k] += near[k]
+        own, end = start[j : j + step], length[j : j + step]
+        ids = chars.reshape(-1)[np.minimum(own * BLOCK + np.arange(WINDOW)[:, None], chars.size - 1)]
+        ids[np.arange(WINDOW)[:, None] >= end] = -1
+        s = emissions(p, ids).reshape(len(near), BLOCK, len(own), TAGS)
+        for k, far in enumerate(near):
+            n = np.searchsorted(-end, -k * BLOCK)  # windows that have text there
+            if k in alone:
+                scores[own[:n] + k] = s[k, :, :n].transpose(1, 0, 2)
+            else:
+                scores[own[:n] + k] += s[k, :, :n].transpose(1, 0, 2) * far
+                weight[own[:n] + k] += far
+    shared = np.flatnonzero(weight[:, 0, 0])
+    scores[shared] /= weight[shared]
     scores = scores.reshape(-1, TAGS)
-    scores /= np.maximum(weight.reshape(-1, 1), 1)
-    inside = np.arange(len(chars)) - np.repeat(at * STRIDE, blocks * STRIDE) < np.repeat(size, blocks * STRIDE)
+    inside = np.arange(len(scores)) - np.repeat(at * BLOCK, blocks * BLOCK) < np.repeat(size, blocks * BLOCK)
     scores[~inside, 1:] = scores[~inside, :1] - 1000  # no text
     some = size > 0
-    lo, hi = at * STRIDE, at * STRIDE + size
+    lo, hi = at * BLOCK, at * BLOCK + size
     tr = p["t"]
     gain, e = _gains(scores, tr, lo[some], hi[some] - 1)
     may = np.concatenate(([0], (_may_be_inside(gain, e) & inside).view(np.int8), [0]))
     edges = np.flatnonzero(np.diff(may)).reshape(-1, 2)
     out: list[list[Span]] = [[] for _ in texts]
     of = np.searchsorted(hi, edges[:, 0], "right")
-    for (x, y), i in zip(edges.tolist(), of.tolist(), strict=True):
-        a, b = int(lo[i]), int(hi[i])
-        left, right = max(a, x - 1), min(b, y + 1)
-        part = scores[left:right].copy()
-        if left < x:
-            part[0, 1:] = -1e6
-        if right > y:
-            part[-1, 1:] = -1e6
-        for k, c, d in spans_of(viterbi(part, tr), left - a):
+    left, right = np.maximum(lo[of], edges[:, 0] - 1), np.minimum(hi[of], edges[:, 1] + 1)
+    found: list[tuple[int, Span]] = []
+    for y, i, x in zip(best_paths(scores, tr, left, right - 1, np.array((left < edges[:, 0], right > edges[:, 1]))), of.tolist(), left.tolist(), strict=True):
+        for k, c, d in spans_of(y, x - int(lo[i])) if y.any() else ():
             if base is not None:
                 c1, d1 = trimmed(texts[i], c, d)
                 if c1 >= d1 or any(c1 < f and u < d1 for _, u, f in base[i]):
                     continue
-            if not accept or is_certain(scores[a:b], tr, (k, c, d), accept):
-                out[i].append((k, c, d))
+            found.append((i, (k, c, d)))
+    doc = np.array([i for i, _ in found], np.int64)
+    sure = are_certain(scores, tr, [(k, c + int(lo[i]), d + int(lo[i])) for i, (k, c, d) in found], lo[doc], hi[doc], accept) if accept else np.ones(len(found), bool)
+    for (i, span), counts in zip(found, sure.tolist(), strict=True):
+        if counts:
+            out[i].append(span)
     return out
 
 
-#: Characters whose scores are held at once, if they are of several texts.
-TOGETHER = 1 << 20
-
-
 def all_spans(texts: list[str], p: dict[str, np.ndarray]) -> list[tuple[list[Span], list[Span]]]:
     """(base spans, base and tagger's spans) of each text, each by start and kind."""
     base = [base_spans(t) for t in texts]
     out, tags, at = [], [], 0
-    while at < len(texts):  # scores of some texts at a time
+    while at < len(texts):  # some texts at a time, or a long one: as many windows as are read at once
         end, size = at, 0
-        while end < len(texts) and (end == at or size + len(texts[end]) <= TOGETHER):
-            size += len(texts[end])
+        while end < len(texts) and (end == at or size - (-len(texts[end]) // STRIDE) <= LANE):
+            size -= -len(texts[end]) // STRIDE
             end += 1
         tags += tagged_spans(texts[at:end], p, accept=ACCEPT, base=base[at:end])
         at = end

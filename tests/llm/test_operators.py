@@ -735,3 +735,44 @@ def test_emissions_are_those_of_the_trained_network():
     x = p["e"][ids]
     a, b = pii._lstm(x, p["wf"], p["uf"], p["bf"])[0], pii._lstm(x[::-1], p["wb"], p["ub"], p["bb"])[0]
     assert np.allclose(pii.emissions(p, ids), np.concatenate((a, b[::-1]), 2) @ p["v"] + p["c"], atol=1e-4)
+
+
+def test_tagger_reads_a_text_little_more_than_once(monkeypatch):
+    """Windows overlap by few of their characters and end with the text, and no character is left out."""
+    p, plain, seen = pii.train(), pii.emissions, []
+    monkeypatch.setattr(pii, "emissions", lambda p, ids: (seen.append(int((ids >= 0).sum())), plain(p, ids))[1])
+    for texts in (["lorem ipsum dolor sit amet " * 2000], ["a word or two"] * 50, ["", "x" * 5000, "call 312-555-3490", ""]):
+        seen.clear()
+        pii.tagged_spans(texts, p)
+        n = sum(map(len, texts))
+        assert n <= sum(seen) <= 1.1 * n
+
+
+def test_steps_after_the_end_change_no_score():
+    p, rng = pii.train(), np.random.default_rng(6)
+    ids, ends = rng.integers(0, pii.N_CHARS, (70, pii.LANE + 9)), rng.integers(0, 71, pii.LANE + 9)
+    after = np.arange(70)[:, None] >= ends
+    got, want = pii.emissions(p, np.where(after, -1, ids)), pii.emissions(p, np.where(after, 0, ids))
+    assert np.allclose(got[~after], want[~after], atol=1e-3)
+
+
+def test_many_stretches_are_decoded_as_each_alone():
+    rng, n = np.random.default_rng(8), 400
+    s, tr = 3 * rng.standard_normal((n, pii.TAGS)).astype(np.float32), rng.standard_normal((pii.TAGS, pii.TAGS)).astype(np.float32)
+    first = rng.integers(0, n, 60)
+    last = np.minimum(first + rng.integers(0, 40, 60), n - 1)
+    shut = rng.random((2, 60)) < 0.5
+    for y, a, b, l, r in zip(pii.best_paths(s, tr, first, last, shut), first, last, *shut, strict=True):
+        part = s[a : b + 1].copy()
+        part[0, 1:], part[-1, 1:] = (-1e6 if l else part[0, 1:]), (-1e6 if r else part[-1, 1:])
+        assert y.tolist() == pii.viterbi(part, tr).tolist()
+    assert pii.best_paths(s, tr, first[:0], last[:0], shut[:, :0]) == []
+    s[:, 0] += 2
+    lo = np.repeat([0, 150, 150], 30)
+    hi = np.where(lo, n, 150)
+    a = lo + rng.integers(0, 140, 90)
+    spans = [(pii.KINDS[i % 4], int(x), int(x) + i % 7 + 1) for i, x in enumerate(a)]
+    want = [pii.certainty(s[x:y], tr, [span], int(x))[0] for span, x, y in zip(spans, lo, hi, strict=True)]
+    for accept in (0.02, 0.2, 0.6):
+        assert pii.are_certain(s, tr, spans, lo, hi, accept).tolist() == [w >= accept for w in want]
+    assert pii.are_certain(s, tr, [], lo[:0], hi[:0], 0.5).tolist() == []

@@ -421,7 +421,10 @@ def _gains(s: np.ndarray, tr: np.ndarray, first: np.ndarray, last: np.ndarray) -
     """(g, e): characters of spans, x to y, that follow and precede characters outside add at most sum(g[x..y]) + e to the score of the
     path that has x to y outside. first, last: where texts begin and end; there no transition leads in or out."""
     inner, into, out_of, stay = tr[1:, 1:].max(), tr[0, 1:].max(), tr[1:, 0].max(), tr[0, 0]
-    g = (s[:, 1:].max(1) - s[:, 0]).astype(float) + float(inner - stay)
+    best = s[:, 1].copy()
+    for k in range(2, s.shape[1]):
+        np.maximum(best, s[:, k], out=best)
+    g = (best - s[:, 0]).astype(float) + float(inner - stay)
     g[first] += max(0.0, float(stay - into))
     g[last] += max(0.0, float(stay - out_of))
     return g, float(into + out_of - inner - stay)

@@ -179,9 +179,35 @@ def runs_of(text: bytes, k: int, strand: str = "given") -> tuple[np.ndarray, np.
     return start[keep], (end - start + k - 1)[keep], (least[start][keep] >> np.uint64(20)).astype(np.int64)
 
 
-def kmer_runs(df: DataFrame, k: int, buckets: int, seq: str = "seq", strand: str = "given") -> DataFrame:
+def packed(letters: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Parts of ACGT (their letters, and how many each has) as binary: four letters a byte, and a last byte that tells how many letters
+    of the byte before count."""
+    many, ends = (size + 3) // 4, np.cumsum(size)
+    wide = np.zeros(4 * many.sum(), np.uint8)
+    wide[np.arange(len(letters)) + np.repeat(4 * (np.cumsum(many) - many) - (ends - size), size)] = _DIGIT[letters]
+    out, after = np.zeros(many.sum() + len(size), np.uint8), np.cumsum(many + 1)
+    out[np.arange(many.sum()) + np.repeat(np.arange(len(size)), many)] = wide.reshape(-1, 4) @ np.array([64, 16, 4, 1], np.uint8)
+    out[after - 1] = (size - 1) % 4 + 1
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.append(0, after).astype(np.int32)), pa.py_buffer(out)])
+
+
+def unpacked(parts: pa.Array) -> tuple[bytes, np.ndarray]:
+    """(letters, how many each part has) of `packed` parts."""
+    many = np.array(pa.compute.binary_length(parts), np.int64)
+    flat = np.frombuffer(b"".join(parts.to_pylist()), np.uint8)
+    after = np.cumsum(many)
+    size = 4 * (many - 2) + flat[after - 1] if len(many) else many
+    data = np.ones(len(flat), bool)
+    data[after - 1] = False
+    letters = np.frombuffer(BASES.encode(), np.uint8)[(flat[data][:, None] >> np.array([6, 4, 2, 0], np.uint8)) & 3].ravel()
+    wide = 4 * (many - 1)
+    place = np.arange(len(letters)) - np.repeat(np.cumsum(wide) - wide, wide)
+    return letters[place < np.repeat(size, wide)].tobytes(), size
+
+
+def kmer_runs(df: DataFrame, k: int, buckets: int, seq: str = "seq", strand: str = "given", pack: bool = False) -> DataFrame:
     """A row (bucket, part) for every run of neighbouring k-mers of seq with one minimizer: what is to be known of all places of a k-mer
-    takes a shuffle of these, about four letters a k-mer, in place of k-mers."""
+    takes a shuffle of these, about four letters a k-mer, in place of k-mers. pack: parts are `packed`."""
     rest = [c for c in df.columns if c != seq]
     fields = [f for f in df.schema.fields if f.name != seq]
 
@@ -197,17 +223,15 @@ def kmer_runs(df: DataFrame, k: int, buckets: int, seq: str = "seq", strand: str
                 size, group = (np.concatenate([x[j] for x in got]) for j in (1, 2))
                 ends = np.cumsum(size)
                 letters = np.frombuffer(b"".join(texts), np.uint8)[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)]
-                part = pa.StringArray.from_buffers(len(size), pa.py_buffer(np.concatenate(([0], ends)).astype(np.int32)), pa.py_buffer(letters))
+                part = packed(letters, size) if pack else pa.StringArray.from_buffers(len(size), pa.py_buffer(np.concatenate(([0], ends)).astype(np.int32)), pa.py_buffer(letters))
                 yield pa.record_batch([*(some.column(c).take(pa.array(row)) for c in rest), pa.array((group % buckets).astype(np.int32)), part], names=[*rest, "bucket", "part"])
 
-    return df.select(*rest, F.col(seq)).mapInArrow(run, T.StructType([*fields, T.StructField("bucket", T.IntegerType()), T.StructField("part", T.StringType())]))
+    return df.select(*rest, F.col(seq)).mapInArrow(run, T.StructType([*fields, T.StructField("bucket", T.IntegerType()), T.StructField("part", T.BinaryType() if pack else T.StringType())]))
 
 
 def codes_of_parts(parts: pa.Array, k: int, strand: str = "given") -> tuple[np.ndarray, np.ndarray]:
-    """(codes of the k-mers of all parts, the part of each), of parts that are all ACGT."""
-    parts = parts.cast(pa.large_string())
-    size = np.array(pa.compute.binary_length(parts), np.int64)
-    joined = "".join(parts.to_pylist()).encode()
+    """(codes of the k-mers of all parts, the part of each), of `packed` parts, which are all ACGT."""
+    joined, size = unpacked(parts)
     place = np.arange(len(joined) - k + 1) if len(joined) >= k else np.zeros(0, np.int64)
     ends = np.cumsum(size)
     of = np.repeat(np.arange(len(size)), size)[: len(place)]

@@ -179,11 +179,15 @@ def members(prints: DataFrame) -> DataFrame:
     return rows.join(classes, "digest", "left").select("key", "class_id", "copies")
 
 
-def matches(prints: DataFrame, query, block: int = 512) -> DataFrame:
+#: Recordings and positions of a file of queries, about.
+BLOCK, BLOCK_POSITIONS = 4096, 1 << 19
+
+
+def matches(prints: DataFrame, query, block: int = BLOCK) -> DataFrame:
     """query_id, match_id, copies, offset, overlap, bit_error: classes that a class with a row of the query set aligns with.
 
     Every pair with one vote, an integer whose upper bits are equal, is aligned and judged by its bits alone. The queries are
-    a table of files of `block` rows in the shared folder; all classes, dealt over partitions, are streamed past the inverted index
+    a table of files in the shared folder, each of `block` rows or BLOCK_POSITIONS, as every class costs a call for each file; all classes, dealt over partitions, are streamed past the inverted index
     of one file after the other. So nothing is copied in a shuffle, a task holds one block and one batch, and only matches leave it.
     """
     spark = prints.sparkSession
@@ -191,7 +195,9 @@ def matches(prints: DataFrame, query, block: int = 512) -> DataFrame:
     classes, _ = staged(rows.groupBy("fingerprint").agg(F.min("key").alias("id"), F.count("*").alias("copies"), F.max(query(F.col("key"))).alias("asked")), "classes")
     folder = scratch(spark, "queries")
     asked = classes.where("asked").select("id", "fingerprint")
-    asked.repartition(n_parts(spark), "id").write.option("maxRecordsPerFile", block).parquet(folder)
+    size = asked.agg(F.count("*").alias("n"), F.sum(F.length("fingerprint")).alias("bytes")).first()
+    files = 1 + max(8 * size["n"] // (7 * block), (size["bytes"] or 0) // (4 * BLOCK_POSITIONS))
+    asked.repartition(files).write.option("maxRecordsPerFile", block).parquet(folder)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, top = open_fs(folder)
